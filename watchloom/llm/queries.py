@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, secret_scan, sharding
+from . import exact_dedup, mixing, near_dedup, packing, secret_scan, sharding
 from ._shared import table
 
 #: Bytes of text in a shard of op2.
@@ -22,6 +22,10 @@ def op3_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_golay_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(found)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_extendible_shards, op3_poisson_mixture, op6_exact_dedup, op8_power_of_two_packing, op10_secret_ledger)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_extendible_shards, op3_poisson_mixture, op5_golay_near_dedup, op6_exact_dedup, op8_power_of_two_packing, op10_secret_ledger)}
 
 OP2_SQL = f"""
 WITH RECURSIVE rows AS (
