@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, secret_scan, sharding, substring_dedup, warc
+from . import exact_dedup, language_id, mixing, near_dedup, packing, quality, secret_scan, sharding, substring_dedup, warc
 from ._shared import table
 
 #: Bytes of text in a shard of op2.
 SHARD_BYTES = 1 << 20
 
 
+def op1_mixture_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
 
@@ -34,6 +39,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("broken")
+
+
 def op8_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -47,7 +56,7 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(found)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_extendible_shards, op3_poisson_mixture, op4_warc_round_trip, op5_golay_near_dedup, op6_exact_dedup, op8_power_of_two_packing, op9_suffix_sort_dedup, op10_secret_ledger)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixture_language_id, op2_extendible_shards, op3_poisson_mixture, op4_warc_round_trip, op5_golay_near_dedup, op6_exact_dedup, op7_risk_controlled_quality, op8_power_of_two_packing, op9_suffix_sort_dedup, op10_secret_ledger)}
 
 OP2_SQL = f"""
 WITH RECURSIVE rows AS (
