@@ -12,8 +12,9 @@ in one place doesn't scale, so equal strings are first brought together:
    anchor is suffix-sorted. Two suffixes are compared by their longest common extension, a binary search over prefix
    polynomial hashes, checked byte for byte; the sort is Python's merge sort with that comparison. In sorted order
    the extensions of neighbours tell which windows are equal on both sides.
-4. Anchors with more than crowd different contexts (a common line) compare the digests of their single windows instead, an aggregation
-   that no task has to hold.
+4. Anchors with more than crowd different contexts (a common line or passage) don't meet in one task. Each context is
+   compared with a few of them, which finds what most share; the windows that are left are compared by their digests, an
+   aggregation that no task has to hold.
 
 Defined results: a null text is empty; matches never cross documents; texts shorter than length lose nothing; repeated rows
 repeat each other; ids may be null or repeated (rows are then numbered in a written copy of the table); an empty table
@@ -235,18 +236,40 @@ def _compare(length: int):
     return run
 
 
-def _windows(length: int):
-    """A row for each single window of a crowded anchor: digest of its bytes and of its place about the anchor."""
+def shared_backs(a: tuple[bytes, bytes], b: tuple[bytes, bytes], length: int) -> tuple[int, int]:
+    """(least, most) bytes before the anchor from which a window of both contexts (left, right) is equal; least > most if none is."""
+    one = [prefix_hashes(np.frombuffer(x, dtype=np.uint8)).tolist() for x in (a[0][::-1], a[1], b[0][::-1], b[1])]
+    most = extension(a[0][::-1], b[0][::-1], one[0], one[2])
+    return length - extension(a[1], b[1], one[1], one[3]), most
+
+
+CROWDED = "gram bigint, digest binary, back bigint, doc bigint, start bigint, stop bigint"
+
+
+def _crowded(length: int):
+    """Of each context of a crowded anchor: spans shared with a sample context (no digest), and the other windows by digest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for gram, doc, place, region in zip(pdf["gram"], pdf["doc"], pdf["place"], pdf["region"], strict=True):
+            rows, theirs = [], set()
+            for gram, doc, place, region, samples in zip(pdf["gram"], pdf["doc"], pdf["place"], pdf["region"], pdf["samples"], strict=True):
                 at, first, last = _unpack(place)
-                for k in range(last - first + 1):
+                left = np.ones(last - first + 1, dtype=bool)
+                for other in samples if samples is not None else ():
+                    if (other["doc"], other["place"]) == (doc, place):
+                        continue
+                    their = _unpack(other["place"])
+                    low, high = shared_backs((region[: at - first], region[at - first :]), (other["region"][: their[0] - their[1]], other["region"][their[0] - their[1] :]), length)
+                    low, high = max(low, at - last, their[0] - their[2]), min(high, at - first, their[0] - their[1])
+                    if low <= high:
+                        rows.append((gram, None, None, doc, at - high, at - low + length))
+                        theirs.add((gram, None, None, other["doc"], their[0] - high, their[0] - low + length))
+                        left[at - high - first : at - low - first + 1] = False
+                for k in np.nonzero(left)[0].tolist():
                     digest = hashlib.blake2b(region[k : k + length], digest_size=16).digest()
-                    rows.append((gram, digest, at - first - k, doc, first + k))
-            yield pd.DataFrame(rows, columns=["gram", "digest", "back", "doc", "start"])
+                    rows.append((gram, digest, at - first - k, doc, first + k, first + k + length))
+            out = pd.DataFrame([*rows, *theirs], columns=[c.split()[0] for c in CROWDED.split(", ")])
+            yield out.astype({"back": "Int64"})
 
     return run
 
@@ -262,16 +285,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     first = F.shiftright("place", 20)
     whole = alike.select("doc", first.alias("start"), (first + F.shiftright("place", 10).bitwiseAND(1023) + length).alias("stop"))
     mixed = contexts.filter("mixed")
-    crowded = mixed.groupBy("gram").count().filter(F.col("count") > crowd).select("gram", F.lit(True).alias("crowded"))
-    wanted = mixed.join(crowded, "gram", "left").select(F.struct("gram", "one.doc", "one.place", "n", F.lit(length).alias("length")).alias("w"), F.col("one.doc").alias("key"), F.col("crowded").isNotNull().alias("crowded"))
-    lists = wanted.groupBy("key", "crowded").agg(F.collect_list("w").alias("wanted"))
+    crowded = mixed.groupBy("gram").count().filter(F.col("count") > crowd).select("gram", F.col("count").alias("d"))
+    w = F.struct("gram", "one.doc", "one.place", "n", F.lit(length).alias("length")).alias("w")
+    # about eight contexts of a crowded anchor, by a hash, are the samples
+    sampled = F.coalesce(F.pmod(F.xxhash64("ctx"), F.ceil(F.col("d") / 8)) == 0, F.lit(False))
+    wanted = mixed.join(crowded, "gram", "left").select(w, F.col("one.doc").alias("key"), F.col("d").isNotNull().alias("crowded"), sampled.alias("sampled"))
+    lists = wanted.groupBy("key", "crowded", "sampled").agg(F.collect_list("w").alias("wanted"))
     texts = lists.join(docs.select("key", "text"), "key")
     some = texts.filter(~F.col("crowded")).select("text", "wanted").mapInPandas(_fetch, CONTEXTS)
     some = some.repartition("gram").sortWithinPartitions("gram").mapInPandas(_compare(length), SPANS)
     many = texts.filter("crowded").select("text", "wanted").mapInPandas(_fetch, CONTEXTS)
-    many = many.mapInPandas(_windows(length), "gram bigint, digest binary, back bigint, doc bigint, start bigint")
-    twice = many.groupBy("gram", "digest", "back").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    many = many.join(twice, ["gram", "digest", "back"], "left_semi").select("doc", "start", (F.col("start") + length).alias("stop"))
+    samples = texts.filter("sampled").select("text", "wanted").mapInPandas(_fetch, CONTEXTS)
+    samples = samples.groupBy("gram").agg(F.collect_list(F.struct("doc", "place", "region")).alias("samples"))
+    many = many.join(samples, "gram", "left").mapInPandas(_crowded(length), CROWDED)
+    twice = many.filter("digest is not null").groupBy("gram", "digest", "back").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = many.join(twice, ["gram", "digest", "back"], "left_semi").select("doc", "start", "stop")
+    many = many.filter("digest is null").select("doc", "start", "stop").unionByName(again)
     return whole.unionByName(some).unionByName(many)
 
 
