@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import mapping as M
@@ -38,13 +38,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def stamp(c: str) -> F.Column:
+def stamp(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
-
-
 # summaries -------------------------------------------------------------------------------------
 @query("""WITH {alerts}, d AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_alerts, count(*) FILTER (is_attack) AS n_attacks, round(avg(level), 4) AS avg_level, max(level) AS max_level FROM alerts GROUP BY 1, 2)
 SELECT *, row_number() OVER (PARTITION BY day ORDER BY n_attacks DESC, max_level DESC, user_id)::INT AS rank FROM d""")
@@ -63,13 +60,15 @@ def top_groups(spark: SparkSession, d: str) -> DataFrame:
     return A.top_groups(alerts(spark, d))
 
 
-LEVEL_NAME = F.when(F.col("level") >= 12, "CRITICAL").when(F.col("level") >= 9, "ERROR").when(F.col("level") >= 5, "WARNING").when(F.col("level") >= 2, "INFO").otherwise("DEBUG")
+def level_name() -> Column:
+    level = F.col("level")
+    return F.when(level >= 12, "CRITICAL").when(level >= 9, "ERROR").when(level >= 5, "WARNING").when(level >= 2, "INFO").otherwise("DEBUG")
 
 
 @query("""WITH {alerts} SELECT rule_id AS tag, count(*) AS "all", count(*) FILTER (level BETWEEN 2 AND 4) AS info, count(*) FILTER (level BETWEEN 9 AND 11) AS error, count(*) FILTER (level >= 12) AS critical,
 count(*) FILTER (level BETWEEN 5 AND 8) AS warning, count(*) FILTER (level < 2) AS debug FROM alerts GROUP BY 1""")
 def log_summary(spark: SparkSession, d: str) -> DataFrame:
-    return A.log_summary(alerts(spark, d).withColumn("name", LEVEL_NAME), "rule_id", "name")
+    return A.log_summary(alerts(spark, d).withColumn("name", level_name()), "rule_id", "name")
 
 
 @query("WITH {alerts} SELECT (floor(score / 10) * 10)::BIGINT AS bucket, count(*) AS n FROM alerts GROUP BY 1")
@@ -343,33 +342,37 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     return D.cascade_delete(gone, table(spark, d, "lineitem"), ["l_orderkey"]).select("l_orderkey", "l_linenumber", "operation")
 
 
-PENDING = F.when(F.col("event_type") == "signup", "CREATE").when(F.col("event_type") == "error", "DELETE").otherwise("MODIFY")
+def pending_operation() -> Column:
+    return F.when(F.col("event_type") == "signup", "CREATE").when(F.col("event_type") == "error", "DELETE").otherwise("MODIFY")
 
 
 @query("""WITH p AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'CREATE' WHEN 'error' THEN 'DELETE' ELSE 'MODIFY' END AS op FROM events), g AS (SELECT user_id AS id, max(event_id) AS seq, arg_min(op, event_id) AS f, arg_max(op, event_id) AS l FROM p GROUP BY 1)
 SELECT id, seq, CASE WHEN f = 'CREATE' AND l = 'MODIFY' THEN 'CREATE' ELSE l END AS operation, f <> 'CREATE' AS existing FROM g WHERE NOT (f = 'CREATE' AND l = 'DELETE')""")
 def coalesce_changes(spark: SparkSession, d: str) -> DataFrame:
-    pending = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), PENDING.alias("operation"), F.col("props").alias("data"))
+    pending = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), pending_operation().alias("operation"), F.col("props").alias("data"))
     return D.coalesce_changes(pending).drop("data")
 
 
-CHECKSUM = A.row_checksum(F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority"))
+def order_checksum() -> Column:
+    return A.row_checksum(*map(F.col, ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")))
+
+
 CHECKSUM_SQL = "sha1(concat_ws(':', o_orderkey, o_custkey, o_orderstatus, o_orderpriority))"
 
 
 @query(f"WITH r AS (SELECT o_custkey % 50 AS agent, {CHECKSUM_SQL} AS c FROM orders) SELECT agent, sha1(string_agg(c, '' ORDER BY c)) AS table_checksum, count(*) AS n FROM r GROUP BY 1")
 def table_checksum(spark: SparkSession, d: str) -> DataFrame:
-    return A.table_checksum(table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("agent"), CHECKSUM.alias("checksum")), ["agent"])
+    return A.table_checksum(table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("agent"), order_checksum().alias("checksum")), ["agent"])
 
 
 @query(f"""WITH r AS (SELECT o_custkey % 50 AS agent, substr({CHECKSUM_SQL}, 1, 2) AS b, {CHECKSUM_SQL} AS c FROM orders), i AS (SELECT agent, b, sha1(string_agg(c, '' ORDER BY c)) AS c, count(*) AS n FROM r GROUP BY 1, 2) SELECT agent, sha1(string_agg(b || c, '' ORDER BY b || c)) AS table_checksum, sum(n)::BIGINT AS n FROM i GROUP BY 1""")
 def table_checksum_levels(spark: SparkSession, d: str) -> DataFrame:
-    return A.table_checksum_levels(table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("agent"), CHECKSUM.alias("checksum")), ["agent"])
+    return A.table_checksum_levels(table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("agent"), order_checksum().alias("checksum")), ["agent"])
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey % 50 IN (SELECT o_custkey % 50 FROM orders WHERE o_orderkey % 101 = 0)")
 def integrity_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    mine = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("agent"), CHECKSUM.alias("checksum"))
+    mine = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("agent"), order_checksum().alias("checksum"))
     theirs = mine.withColumn("checksum", F.when(F.col("o_orderkey") % 101 == 0, F.lit("old")).otherwise(F.col("checksum")))
     return D.integrity_mismatch(mine, theirs, ["agent"]).select("o_orderkey")
 
