@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.transform import delete_key
 from .aggregates import table_checksum
 
 
@@ -102,7 +103,7 @@ def feed_upsert(state: DataFrame, changes: DataFrame) -> DataFrame:
 def json_patch(payload: Column, patches: list[tuple[str, str, str | None]]) -> Column:
     """replace, add and remove on the top-level fields of a map."""
     for op, key, value in patches:
-        rest = F.map_filter(payload, lambda k, v, key=key: k != key)
+        rest = delete_key(payload, key)
         payload = rest if op == "remove" else F.map_concat(rest, F.create_map(F.lit(key), F.lit(value)))
     return payload
 

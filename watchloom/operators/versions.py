@@ -126,7 +126,7 @@ def policy_check_eval(content: DataFrame, rules: DataFrame) -> DataFrame:
     joined = rules.join(content, "target", "left")
 
     def holds(line: Column, term: Column) -> Column:
-        number = F.regexp_extract(line, term["pattern"], 1).try_cast("double")
+        number = F.call_function("regexp_extract", line, term["pattern"], F.lit(1)).try_cast("double")
         compared = F.when(term["op"] == "<", number < term["value"]).when(term["op"] == "<=", number <= term["value"]).when(term["op"] == ">", number > term["value"]).when(term["op"] == ">=", number >= term["value"]).when(term["op"] == "==", number == term["value"]).otherwise(number != term["value"])
         hit = F.coalesce(F.when(term["kind"] == "r", F.regexp_like(line, term["pattern"])).when(term["kind"] == "n", compared).otherwise(line == term["pattern"]), F.lit(False))
         return F.when(term["negate"], ~hit).otherwise(hit)

@@ -33,8 +33,10 @@ def stream_dedup(events: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     return events.withWatermark(ts, LATE).dropDuplicatesWithinWatermark([key])
 
 
-def discard_late_or_old(events: DataFrame, since: str, ts: str = "ts") -> DataFrame:
-    return events.filter(F.col(ts) >= F.lit(since).cast("timestamp")).withWatermark(ts, LATE)
+def discard_late_or_old(events: DataFrame, since: str, ts: str = "ts", late: str | None = LATE) -> DataFrame:
+    """Data since a date; late=None if a later step sets the watermark."""
+    kept = events.filter(F.col(ts) >= F.lit(since).cast("timestamp"))
+    return kept.withWatermark(ts, late) if late else kept
 
 
 def hourly_totals_stream(events: DataFrame, is_alert: Column, ts: str = "ts") -> DataFrame:
@@ -84,7 +86,7 @@ class _Changes(StatefulProcessor):
 
 def stream_coalesce_changes(changes: DataFrame) -> DataFrame:
     """changes: id, seq, operation, data. The pending change of an id after each batch; NONE if it came to nothing."""
-    return changes.groupBy("id").transformWithStateInPandas(_Changes(), "id string, operation string, data string, existing boolean", "Update", "None")
+    return changes.withColumn("id", F.col("id").cast("string")).groupBy("id").transformWithStateInPandas(_Changes(), "id string, operation string, data string, existing boolean", "Update", "None")
 
 
 class _Keepalive(StatefulProcessor):
@@ -99,14 +101,13 @@ class _Keepalive(StatefulProcessor):
         newest = max(int(pdf["ts"].max().timestamp() * 1000) for pdf in rows)
         held = self.last.get() if self.last.exists() else None
         if held is not None and newest <= held[0]:
-            yield pd.DataFrame({"agent_id": [], "status": [], "at_ms": []})
             return
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.handle.registerTimer(newest + self.waits[0])
         self.last.update((newest, 0))
-        fresh = held is None or held[1] > 0
-        yield pd.DataFrame({"agent_id": [key[0]] * fresh, "status": ["active"] * fresh, "at_ms": [newest] * fresh})
+        if held is None or held[1] > 0:
+            yield pd.DataFrame({"agent_id": [key[0]], "status": ["active"], "at_ms": [newest]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         ms, stage = self.last.get()
@@ -151,7 +152,8 @@ class _Lines(StatefulProcessor):
         if held is not None:
             self.held.update((held,))
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout)
-        yield pd.DataFrame({"file": [key[0]] * len(out), "event": out})
+        if out:
+            yield pd.DataFrame({"file": [key[0]] * len(out), "event": out})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         event = self.held.get()[0]
