@@ -36,6 +36,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that go to a Python worker at once, where the session has Spark's own limit.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches by bytes: ten thousand long texts in one batch would fill a worker's memory."""
+    key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", (str(64 << 20), f"{64 << 20}b")
+    if spark.conf.get(key) in usual:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import unit_hash
+from ._shared import bounded_batches, unit_hash
 
 BUCKET_BITS = 16
 UNKNOWN = "und"
@@ -58,6 +58,7 @@ def train(docs: DataFrame, per_language: int = 20_000, text_col: str = "text", l
 
     What reaches the driver is a count for each language and bucket, 65536 buckets at most.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), unit_hash(F.lit("language"), F.col(id_col)).alias("u"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     share = F.lit(1.0)
@@ -127,6 +128,7 @@ def infer(model: Model, text: str | None, penalty: float = 3.0) -> tuple[str, fl
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", penalty: float = 3.0) -> DataFrame:
     """doc_id, lang_pred, score, languages (proportion of each selected language) of every document."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 65536 floats for each language
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

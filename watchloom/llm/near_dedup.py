@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from ._shared import save
+from ._shared import bounded_batches, save
 from .components import components
 
 ERRORS, BITS = 4, 64
@@ -52,6 +52,7 @@ def fingerprint(text: str | None, n: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 4) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a long)."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

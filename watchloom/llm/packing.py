@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ._shared import bounded_batches
+
 #: The word pattern of byte-level splitting, and what it comes to where no two white-space
 #: characters are side by side.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -83,6 +85,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, longest
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
+    bounded_batches(docs.sparkSession)
     schema = PIECES + (", ids array<bigint>" if with_ids else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

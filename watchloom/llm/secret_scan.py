@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import new_path, save, text_or_empty
+from ._shared import bounded_batches, new_path, save, text_or_empty
 
 #: kind → (version, pattern, group whose length counts, least length); kinds in the order of ties
 RULES = {
@@ -56,6 +56,7 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None, text_col: str = "text
 
     Each blob's text is scanned once: rows are grouped by blob and the text goes along in one copy.
     """
+    bounded_batches(docs.sparkSession)
     rules = [(kind, rule[0]) for kind, rule in RULES.items()]
     blobs = docs.select(F.sha2(text_or_empty(text_col), 256).alias("blob"), text_or_empty(text_col).alias("text"))
     if ledger is None:

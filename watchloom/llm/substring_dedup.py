@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import save, text_or_empty
+from ._shared import bounded_batches, save, text_or_empty
 
 LENGTH, GRAM = 200, 64
 #: Window starts handled at once, so that the arrays of a very long text stay small.
@@ -345,6 +345,7 @@ def _finish(with_text: bool):
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text", id_col: str = "doc_id", crowd: int = 1024, with_text: bool = False) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds the kept bytes."""
+    bounded_batches(docs.sparkSession)
     rows = keyed(docs, text_col, id_col)
     spans = repeated_spans(rows, length, gram, crowd).distinct().groupBy(F.col("doc").alias("key")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     both = rows.join(spans, "key", "left").select(F.col("doc_id").cast("string").alias("id"), "text", "spans")

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import new_path, save, text_or_empty
+from ._shared import bounded_batches, new_path, save, text_or_empty
 
 CHUNK = 1 << 18
 ARCHIVES = "path string, records bigint, bytes bigint"
@@ -95,6 +95,7 @@ def _writer(folder: str, roll: int) -> Callable[[Iterator[pd.DataFrame]], Iterat
 
 def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, roll: int = 1 << 25, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes the archives and returns their list: path, records, bytes. roll: compressed bytes at which a new archive begins."""
+    bounded_batches(pages.sparkSession)
     folder = folder or new_path(pages.sparkSession, "warc")
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), text_or_empty(payload_col).alias("html"))
     rows = rows.withColumn("key", F.when(F.octet_length("html") >= min_bytes, F.unhex(F.sha2("html", 256))))
