@@ -37,15 +37,26 @@ class Rule:
     cutoffs: tuple[float, ...]
 
 
+#: Candidate cutoffs of each rule.
+CUTOFFS = {
+    "symbols": (0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0),
+    "marks": (0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0),
+    "repeats": (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4),
+    "long_words": (6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0),
+    "dup_lines": (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6),
+}
+
+
 def rules() -> tuple[Rule, ...]:
     words = F.greatest(F.col("n_words"), F.lit(1))
-    return (
-        Rule("symbols", F.col("n_symbols") / words, (0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0)),
-        Rule("marks", F.col("n_marks") / words, (0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0)),
-        Rule("repeats", F.col("n_repeat_words") / words, (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4)),
-        Rule("long_words", F.col("word_chars") / words, (6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0)),
-        Rule("dup_lines", F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6)),
-    )
+    values = {
+        "symbols": F.col("n_symbols") / words,
+        "marks": F.col("n_marks") / words,
+        "repeats": F.col("n_repeat_words") / words,
+        "long_words": F.col("word_chars") / words,
+        "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
+    }
+    return tuple(Rule(name, values[name], cuts) for name, cuts in CUTOFFS.items())
 
 
 def features(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", stratum_col: str = "lang") -> DataFrame:

@@ -92,4 +92,60 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, co
 FROM documents
 """
 
-ORACLE: dict[str, str] = {"op2_extendible_shards": OP2_SQL, "op3_poisson_mixture": OP3_SQL, "op6_exact_dedup": OP6_SQL}
+BASE32_BITS = " + ".join(f"{16 >> k} * CAST(substr(bits, i * 5 + {k + 1}, 1) AS INT)" for k in range(5))
+OP4_SQL = f"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b, CAST(CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS VARCHAR) AS bits, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages
+)
+SELECT page_id, octet_length(b) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + {BASE32_BITS} AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to, true AS ok
+FROM p
+"""
+
+_GAPS = r"[\x20\x09-\x0D]+"
+_VALUES = {"symbols": "n_symbols / greatest(n_words, 1)", "marks": "n_marks / greatest(n_words, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)", "long_words": "word_chars / greatest(n_words, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)"}
+
+
+def _op7_sql(alpha: float = 0.02, delta: float = 0.05) -> str:
+    """The base counts by lists, and the thresholds by summing binomial terms with lgamma."""
+    grid = quality.CUTOFFS
+    tests = sum(map(len, grid.values()))
+    cells = " UNION ALL ".join(f"SELECT lang, '{name}' AS rule, c AS cutoff, count(*) AS n, count(*) FILTER ({_VALUES[name]} > c) AS k FROM held, (SELECT unnest({list(cuts)}) AS c) GROUP BY lang, c" for name, cuts in grid.items())
+    broken = " OR ".join(f"coalesce({value} > (SELECT min(cutoff) FROM sure WHERE sure.rule = '{name}' AND sure.lang IS NOT DISTINCT FROM f.lang), false)" for name, value in _VALUES.items())
+    a = alpha / len(grid)
+    return f"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '{_GAPS}'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+u AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w WHERE len(w) >= 3),
+g AS (SELECT r, i, a, lead(a, 1) OVER q AS b, lead(a, 2) OVER q AS c FROM u WINDOW q AS (PARTITION BY r ORDER BY i)),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS c FROM g WHERE c IS NOT NULL),
+p AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM h WHERE c > 1) GROUP BY r),
+f AS (
+  SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) - length(replace(text, '!', '')) AS n_marks, len(lines) AS n_lines, len(w) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w) AS base_failed
+  FROM w LEFT JOIN p USING (r)
+),
+held AS (SELECT f.* FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
+cells AS ({cells}),
+m AS (SELECT count(DISTINCT coalesce(lang, '~')) * {tests} AS m FROM held),
+sure AS (SELECT lang, rule, cutoff FROM cells, m WHERE k < n * {a!r} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({a!r}) + (n - i) * ln(1 - {a!r}))) FROM range(0, k + 1) AS x(i)) <= {delta!r} / m)
+SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({broken}) AS kept FROM f
+"""
+
+
+OP7_SQL = _op7_sql()
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+q AS (SELECT r, k, substr(h, 1 + 1000 * k, 1398) AS g, length(h) // 2 - 500 * k AS n FROM (SELECT r, h, unnest(range(0, length(h) // 1000 + 1)) AS k FROM d)),
+s AS (SELECT r, 500 * k + unnest(range(0, least(500, n - 199))) AS p, unnest(list_transform(range(0, least(500, n - 199)), lambda o: md5_number(substr(g, 2 * o + 1, 400)))) AS x FROM q WHERE n >= 200),
+t AS (SELECT x FROM s GROUP BY x HAVING count(*) > 1),
+c AS (SELECT r, p FROM s WHERE x IN (SELECT x FROM t)),
+b AS (SELECT r, 500 * k + unnest(range(0, least(500, n))) AS p, unnest(list_transform(range(0, least(500, n)), lambda o: substr(g, 2 * o + 1, 2))) AS x FROM q),
+m AS (SELECT b.r, b.p, x, max(c.p) OVER (PARTITION BY b.r ORDER BY b.p) AS last FROM b LEFT JOIN c ON c.r = b.r AND c.p = b.p),
+g AS (SELECT r, p, x, coalesce(last > p - 200, false) AS gone, lag(coalesce(last > p - 200, false), 1, false) OVER (PARTITION BY r ORDER BY p) AS before FROM m),
+k AS (SELECT r, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_spans, sha256(unhex(coalesce(string_agg(x, '' ORDER BY p) FILTER (NOT gone), ''))) AS kept_sha256 FROM g GROUP BY r)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op2_extendible_shards": OP2_SQL, "op3_poisson_mixture": OP3_SQL, "op4_warc_round_trip": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_risk_controlled_quality": OP7_SQL, "op9_suffix_sort_dedup": OP9_SQL}
