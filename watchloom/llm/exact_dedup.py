@@ -13,8 +13,6 @@ no rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -158,9 +156,3 @@ def keep_exact(docs: DataFrame, historical: Column | None = None, text_col: str
         historical = F.pmod(F.xxhash64(F.col(id_col)), F.lit(2)) == 0
     won = winners(docs, historical, text_col, id_col).select(F.col("keep_id").alias("__keep"), F.col("digest").alias("__digest"))
     return docs.join(won, docs[id_col].cast("bigint").eqNullSafe(F.col("__keep")) & (digest_of(docs[text_col]) == F.col("__digest")), "left_semi")
-
-
-def iter_index(index: DataFrame) -> Iterator[tuple[int, int]]:
-    """(shard, number of slots) of each shard, for reports; the rows stay small whatever the digests."""
-    for row in index.select("shard", F.size("ids").alias("n")).toLocalIterator():
-        yield row["shard"], row["n"]
