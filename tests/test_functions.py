@@ -79,6 +79,9 @@ def test_mapping_dates(spark):
 
 def test_network(spark):
     assert values(spark, M.iana_protocol_number_to_name(F.lit("6")), M.iana_protocol_number_to_name(F.lit(200)), M.iana_protocol_name_to_number(F.lit("TCP")), M.iana_protocol_name_to_number(F.lit("icmp6"))) == ["tcp", None, "6", "58"]
+    assert values(spark, *(M.iana_protocol_number_to_name(F.lit(k)) for k in (58, 147, 61, 148, 253, -1)), M.iana_protocol_number_to_name(F.lit("6.0"))) == ["ipv6-icmp", "bit-emu", None, None, None, None, None]
+    assert values(spark, *(M.iana_protocol_name_to_number(F.lit(k)) for k in ("UDP", "udp_lite", "ip-in-ip", "ICMPv6", "smtp", ""))) == ["17", "136", "94", "58", None, None]
+    assert [M.PROTOCOLS[k] for k in (17, 41, 88, 112, 132, 136, 142)] == ["udp", "ipv6", "eigrp", "vrrp", "sctp", "udplite", "ethernet"]
     assert values(spark, M.ip_version(F.lit("1.2.3.4")), M.ip_version(F.lit("::1")), M.ip_version(F.lit("x"))) == ["IPv4", "IPv6", None]
     # published examples of Community ID version 1
     one = M.network_community_id(F.lit("128.232.110.120"), F.lit("66.35.250.204"), F.lit(34855), F.lit(80), F.lit(6))

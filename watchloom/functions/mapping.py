@@ -96,9 +96,19 @@ def system_epoch() -> Column:
 
 
 # network ---------------------------------------------------------------------------------------
-#: Protocol keywords by number, the common part of the public registry.
-PROTOCOLS = {0: "hopopt", 1: "icmp", 2: "igmp", 3: "ggp", 4: "ipv4", 5: "st", 6: "tcp", 7: "cbt", 8: "egp", 9: "igp", 17: "udp", 27: "rdp", 33: "dccp", 41: "ipv6", 43: "ipv6-route", 44: "ipv6-frag", 46: "rsvp", 47: "gre", 50: "esp", 51: "ah", 58: "ipv6-icmp", 59: "ipv6-nonxt", 60: "ipv6-opts", 88: "eigrp", 89: "ospfigp", 94: "ipip", 103: "pim", 108: "ipcomp", 112: "vrrp", 115: "l2tp", 132: "sctp", 136: "udplite", 137: "mpls-in-ip"}
-ALIASES = {"icmp6": "ipv6-icmp", "icmpv6": "ipv6-icmp", "ospf": "ospfigp"}
+#: Keywords of the public protocol registry by number from 0 on; - for a number without one.
+PROTOCOL_NAMES = """
+hopopt icmp igmp ggp ipv4 st tcp cbt egp igp bbn-rcc-mon nvp-ii pup argus emcon xnet chaos udp mux dcn-meas
+hmp prm xns-idp trunk-1 trunk-2 leaf-1 leaf-2 rdp irtp iso-tp4 netblt mfe-nsp merit-inp dccp 3pc idpr xtp ddp idpr-cmtp tp++
+il ipv6 sdrp ipv6-route ipv6-frag idrp rsvp gre dsr bna esp ah i-nlsp swipe narp mobile tlsp skip ipv6-icmp ipv6-nonxt
+ipv6-opts - cftp - sat-expak kryptolan rvd ippc - sat-mon visa ipcv cpnx cphb wsn pvp br-sat-mon sun-nd wb-mon wb-expak
+iso-ip vmtp secure-vmtp vines ttp nsfnet-igp dgp tcf eigrp ospfigp sprite-rpc larp mtp ax.25 ipip micp scc-sp etherip encap -
+gmtp ifmp pnni pim aris scps qnx a/n ipcomp snp compaq-peer ipx-in-ip vrrp pgm - l2tp ddx iatp stp srp
+uti smp sm ptp isis-over-ipv4 fire crtp crudp sscopmce iplt sps pipe sctp fc rsvp-e2e-ignore mobility-header udplite mpls-in-ip manet shim6
+wesp rohc ethernet aggfrag nsh homa - bit-emu
+"""
+PROTOCOLS = {k: name for k, name in enumerate(PROTOCOL_NAMES.split()) if name != "-"}
+ALIASES = {"icmp6": "ipv6-icmp", "icmpv6": "ipv6-icmp", "ospf": "ospfigp", "udp-lite": "udplite", "ip-in-ip": "ipip"}
 
 
 def _lookup(pairs: dict) -> Column:

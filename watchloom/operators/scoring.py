@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -336,9 +335,3 @@ def technique_keyword_match(queries: DataFrame, techniques: DataFrame, k: int =
     hits = asked.join(named, "word").groupBy("query", "technique", "w").agg(F.lit(1)).groupBy("query", "technique").agg(F.sum("w").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "technique"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def rows_of(nodes: DataFrame) -> Iterator[tuple[int, int]]:
-    """(tree, number of nodes) of a forest, for reports."""
-    for r in nodes.groupBy("tree").count().orderBy("tree").toLocalIterator():
-        yield r["tree"], r["count"]
