@@ -76,6 +76,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text
     for kind, rule in RULES.items():
         current = current | ((F.col("kind") == kind) & (F.col("version") == rule[0]))
     found = known.filter(current & (F.size("spans") > 0)).groupBy("blob").agg(F.map_from_entries(F.collect_list(F.struct("kind", "spans"))).alias("found"))
+    # written, so that the join reads both sides plainly and Spark can split a blob with very many paths
+    found = save(found, "secret-findings")
     paths = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_or_empty(text_col), 256).alias("blob"))
     return paths.join(found, "blob", "left"), new
 
