@@ -248,29 +248,6 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str,
     return raw.join(best, "query").select("query", "doc", (F.col("raw") / F.col("best")).alias("score"))
 
 
-def unit(vector: Column) -> Column:
-    """L2-normalised array of doubles."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    return F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def vector_topk(vectors: DataFrame, queries: list[list[float]], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query, id, similarity, rank: exact cosine of a stated list of query vectors with every row.
-
-    The queries are literals, each row keeps them all, and the top-k of each query is taken in the partitions before it is merged.
-    """
-    asked = F.array(*(F.struct(F.lit(i).alias("query"), F.array(*(F.lit(float(x)) for x in q)).alias("q")) for i, q in enumerate(queries)))
-    scored = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v")).select("id", "v", F.explode(asked).alias("a"))
-    scored = scored.select("a.query", "id", dot(F.col("v"), unit(F.col("a.q"))).alias("similarity"))
-    tops = [scored.filter(F.col("query") == i).orderBy(F.desc("similarity"), "id").limit(k) for i in range(len(queries))]
-    merged = reduce(DataFrame.unionByName, tops)
-    return merged.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id")))
-
-
 def freshness(ts: Column, as_of: Column, hours: float = 168) -> Column:
     age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 3.6e9
     return F.exp(-age / hours)

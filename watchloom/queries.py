@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import mapping as M
@@ -16,6 +16,7 @@ from .operators import extract as X
 from .operators import filters as L
 from .operators import ranking as W
 from .operators import scoring as R
+from .operators import search as S
 from .operators import state as D
 from .operators import versions as V
 from .plans.alerts import ALERTS_SQL, alerts, table
@@ -650,8 +651,9 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return W.prioritise_events(scores, ["query"], "score", "doc").filter("rank <= 10").withColumn("score", F.round("score", 6))
 
 
-def first_vectors(spark: SparkSession, d: str, n: int = 5) -> list[list[float]]:
-    return [r[0] for r in table(spark, d, "embeddings").orderBy("vec_id").limit(n).select("embedding").collect()]
+def first_vectors(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
+    first = table(spark, d, "embeddings").orderBy("vec_id").limit(n)
+    return first.select((F.row_number().over(Window.orderBy("vec_id")) - 1).alias("query"), F.col("embedding").alias("vector"))
 
 
 VECTOR_SQL = """u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings), q AS (SELECT row_number() OVER (ORDER BY id) - 1 AS query, v AS w FROM u ORDER BY id LIMIT 5), vs AS (SELECT query::INT AS query, id, list_dot_product(v, w) AS similarity FROM u, q)"""
@@ -659,14 +661,14 @@ VECTOR_SQL = """u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x
 
 @query(f"WITH {VECTOR_SQL}, k AS (SELECT query, id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, id)::INT AS rank FROM vs) SELECT * FROM k WHERE rank <= 10")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.vector_topk(table(spark, d, "embeddings"), first_vectors(spark, d), 10).withColumn("similarity", F.round("similarity", 6))
+    return S.vector_topk(table(spark, d, "embeddings"), first_vectors(spark, d), 10).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""WITH {VECTOR_SQL}, {BM25_SQL}, sem AS (SELECT query, id AS doc, similarity AS x FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS r FROM vs) WHERE r <= 30), h AS (SELECT coalesce(sem.query, s.query) AS query, coalesce(sem.doc, s.doc) AS doc, 0.6 * coalesce(x, 0) + 0.3 * coalesce(score, 0) AS part FROM sem FULL JOIN (SELECT * FROM s WHERE query < 5) s ON sem.query = s.query AND sem.doc = s.doc),
 z AS (SELECT query, doc, round(part + 0.1 * coalesce(exp(-(doc % 500) / 168.0), 0), 6) AS score FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INT AS rank FROM z) SELECT query::BIGINT AS query, doc, score, rank FROM k WHERE rank <= 10""")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    semantic = R.vector_topk(table(spark, d, "embeddings"), first_vectors(spark, d), 30).select(F.col("query").cast("bigint").alias("query"), F.col("id").alias("doc"), F.col("similarity").alias("score"))
+    semantic = S.vector_topk(table(spark, d, "embeddings"), first_vectors(spark, d), 30).select(F.col("query").cast("bigint").alias("query"), F.col("id").alias("doc"), F.col("similarity").alias("score"))
     keyword = R.bm25_scores(docs, asked(docs), "doc_id", "text").filter("query < 5")
     every = docs.select(F.col("doc_id").alias("doc")).unionByName(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"))).distinct()
     fresh = every.withColumn("score", F.exp(-(F.col("doc") % 500) / 168.0))
@@ -674,6 +676,39 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return W.prioritise_events(total, ["query"], "score", "doc").filter("rank <= 10")
 
 
+# every row whose id is divisible by 20 asks
+ALL_VECTOR_SQL = """u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings), vs AS (SELECT q.id AS query, u.id, list_dot_product(u.v, q.v) AS similarity FROM u, u q WHERE q.id % 20 = 0)"""
+ALL_BM25_SQL = """w AS (SELECT doc_id AS doc, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents), t AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w), bq AS (SELECT DISTINCT doc AS query, unnest(w) AS term FROM w WHERE doc % 20 = 0),
+p AS (SELECT term, doc, l, count(*) AS tf FROM (SELECT doc, len(w) AS l, unnest(w) AS term FROM w) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+r AS (SELECT query, doc, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))) AS raw FROM p JOIN df USING (term) JOIN bq USING (term), t GROUP BY 1, 2), s AS (SELECT query, doc, raw / max(raw) OVER (PARTITION BY query) AS score FROM r)"""
+
+
+def asking_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+def asking_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), "text")
+
+
+@query(f"WITH {ALL_VECTOR_SQL}, k AS (SELECT query, id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, id)::INT AS rank FROM vs) SELECT * FROM k WHERE rank <= 10")
+def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    return S.vector_topk(table(spark, d, "embeddings"), asking_vectors(spark, d), 10).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"WITH {ALL_BM25_SQL}, k AS (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc)::INT AS rank FROM s) SELECT * FROM k WHERE rank <= 10")
+def bm25_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    return S.bm25_topk(table(spark, d, "documents"), asking_texts(spark, d), 10, "doc_id", "text").select("query", F.col("id").alias("doc"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {ALL_VECTOR_SQL}, {ALL_BM25_SQL}, sem AS (SELECT query, id AS doc, similarity AS x FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, id) AS r FROM vs) WHERE r <= 30), h AS (SELECT coalesce(sem.query, s.query) AS query, coalesce(sem.doc, s.doc) AS doc, 0.6 * coalesce(x, 0) + 0.3 * coalesce(score, 0) AS part FROM sem FULL JOIN s ON sem.query = s.query AND sem.doc = s.doc),
+z AS (SELECT query, doc, round(part + 0.1 * exp(-(doc % 500) / 168.0), 6) AS score FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INT AS rank FROM z) SELECT query, doc, score, rank FROM k WHERE rank <= 10""")
+def hybrid_search_all(spark: SparkSession, d: str) -> DataFrame:
+    semantic = S.vector_topk(table(spark, d, "embeddings"), asking_vectors(spark, d), 30)
+    out = S.hybrid_topk(semantic, table(spark, d, "documents"), asking_texts(spark, d), F.exp(-(F.col("id") % 500) / 168.0), 10, "doc_id", "text")
+    return out.select("query", F.col("id").alias("doc"), F.round("score", 6).alias("score"), "rank")
+
+
 @query("""WITH r AS (SELECT l_orderkey, ['all', 'any', 'none'][l_orderkey % 3 + 1] AS condition, CASE l_returnflag WHEN 'A' THEN 'Found' WHEN 'N' THEN 'NotFound' ELSE 'Invalid' END AS result FROM lineitem), g AS (SELECT l_orderkey, condition, bool_or(result = 'Found') AS f, bool_or(result = 'NotFound') AS m, bool_or(result = 'Invalid') AS i FROM r GROUP BY 1, 2)
 SELECT l_orderkey AS check_id, condition, CASE condition WHEN 'all' THEN CASE WHEN m THEN 'Failed' WHEN i THEN 'Not applicable' ELSE 'Passed' END WHEN 'any' THEN CASE WHEN f THEN 'Passed' WHEN i THEN 'Not applicable' ELSE 'Failed' END ELSE CASE WHEN f THEN 'Failed' WHEN i THEN 'Not applicable' ELSE 'Passed' END END AS status FROM g""")
 def check_conditions(spark: SparkSession, d: str) -> DataFrame:
