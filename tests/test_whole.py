@@ -5,8 +5,12 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from watchloom import queries as own
+from watchloom.operators import enrich as J
 from watchloom.operators import search as S
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_every_vector_query_is_answered(spark, monkeypatch):
     monkeypatch.setattr(S, "VECTORS", 7)
@@ -37,3 +41,26 @@ def test_every_text_query_with_all_words(spark):
     want = {(q, r + 1): d for q in range(0, 50, 5) for r, d in enumerate(sorted((d for d in range(50) if raw(q, d) > 0), key=lambda d: (-round(raw(q, d), 9), d))[:4])}
     assert {(r["query"], r["rank"]): r["id"] for r in got} == want
     assert all(abs(r["raw"] - raw(r["query"], r["id"])) < 1e-9 for r in got)
+
+
+def test_every_alert_gets_its_events_without_a_product(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, int(rng.integers(0, 50)), "u1" if i % 3 else f"u{i % 7}", f"h{i % 5}" if i % 4 else None) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, ts int, user string, host string").repartition(3)
+    out = J.correlated_events(df, df, ["user", "host"])
+    want = {}
+    for a in data:
+        hits = sorted((e[1], e[0]) for e in data if e[0] != a[0] and (e[2] == a[2] or (a[3] and e[3] == a[3])))
+        want |= {(a[0], r + 1): e for r, (_, e) in enumerate(hits[:10])}
+    assert {(r["alert_id"], r["rank"]): r["event_id"] for r in out.collect()} == want
+    severities = own.QUERIES["alert_episodes_all"](spark, SF)
+    assert severities.count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert {r[0] for r in severities.select("severity").distinct().collect()} >= {"high", "medium", "low"}  # sf0.001 has no critical one
+
+
+def test_no_join_of_an_entity_with_itself(spark):
+    df = spark.range(3000).select("id", F.col("id").alias("ts"), F.lit("u").alias("user"))
+    joins = J.correlated_events(df, df, ["user"])
+    joins.collect()
+    plan = joins._jdf.queryExecution().executedPlan().toString()
+    assert "<= 11" in plan

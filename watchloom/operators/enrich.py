@@ -129,13 +129,20 @@ def description_fallback(found: DataFrame, vendor: DataFrame, default: DataFrame
 
 
 def correlated_events(alerts: DataFrame, events: DataFrame, entities: list[str], most: int = 10) -> DataFrame:
-    """alert_id, event_id, rank of the first events that share an entity; ids are columns id, time is ts."""
+    """alert_id, event_id, rank of the first events that share an entity; ids are columns id, time is ts.
+
+    Of each entity only its first most + 1 events (one may be the alert itself) go to the join, ranked within parts before they are merged.
+    """
 
     def exploded(df: DataFrame, name: str) -> DataFrame:
         values = F.array_compact(F.array(*(F.when(F.col(e).isNotNull(), F.concat(F.lit(f"{e}:"), F.col(e).cast("string"))) for e in entities)))
         return df.select(F.col("id").alias(name), F.col("ts").alias(f"{name}_ts"), F.explode(values).alias("entity"))
 
-    pairs = exploded(alerts, "alert_id").join(exploded(events, "event_id"), "entity").filter("alert_id <> event_id").select("alert_id", "event_id", "event_id_ts").distinct()
+    by_time = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("event_id_ts", "event_id"))
+    parted = exploded(events, "event_id").distinct().withColumn("__part", F.pmod(F.xxhash64("event_id"), F.lit(64)))
+    parts = parted.withColumn("__r", by_time("entity", "__part")).filter(F.col("__r") <= most + 1)
+    first = parts.withColumn("__r", by_time("entity")).filter(F.col("__r") <= most + 1).drop("__part", "__r")
+    pairs = exploded(alerts, "alert_id").join(first, "entity").filter("alert_id <> event_id").select("alert_id", "event_id", "event_id_ts").distinct()
     w = Window.partitionBy("alert_id").orderBy("event_id_ts", "event_id")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("alert_id", "event_id", "rank")
 

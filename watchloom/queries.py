@@ -237,6 +237,21 @@ def alert_episodes(spark: SparkSession, d: str) -> DataFrame:
     return A.alert_episode(worst, J.correlated_events(worst, rows, ["user_id"])).select("id", "severity", F.array_join(F.transform("raw_refs", lambda x: x.cast("string")), ",").alias("refs"))
 
 
+ALL_CORRELATED_SQL = "f AS (SELECT id, user_id, ts FROM alerts QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, id) <= 11), c AS (SELECT a.id AS alert_id, e.id AS event_id, row_number() OVER (PARTITION BY a.id ORDER BY e.ts, e.id)::INT AS rank FROM alerts a JOIN f e ON a.user_id = e.user_id AND a.id <> e.id)"
+
+
+@query("WITH {alerts}, " + ALL_CORRELATED_SQL + " SELECT * FROM c WHERE rank <= 10")
+def correlated_events_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = alerts(spark, d)
+    return J.correlated_events(rows, rows, ["user_id"])
+
+
+@query("WITH {alerts}, " + ALL_CORRELATED_SQL + """, l AS (SELECT alert_id, string_agg(event_id, ',' ORDER BY rank) AS refs FROM c WHERE rank <= 10 GROUP BY 1) SELECT id, CASE WHEN level >= 12 THEN 'critical' WHEN level >= 10 THEN 'high' WHEN level >= 7 THEN 'medium' ELSE 'low' END AS severity, refs FROM alerts LEFT JOIN l ON id = alert_id""")
+def alert_episodes_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = alerts(spark, d)
+    return A.alert_episode(rows, J.correlated_events(rows, rows, ["user_id"])).select("id", "severity", F.array_join(F.transform("raw_refs", lambda x: x.cast("string")), ",").alias("refs"))
+
+
 # lookups ---------------------------------------------------------------------------------------
 def nations(spark: SparkSession, d: str) -> DataFrame:
     """Nations of the first three regions as key and value."""
