@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from watchloom import queries as own
 from watchloom.operators import enrich as J
+from watchloom.operators import filters as L
 from watchloom.operators import search as S
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +65,8 @@ def test_no_join_of_an_entity_with_itself(spark):
     joins.collect()
     plan = joins._jdf.queryExecution().executedPlan().toString()
     assert "<= 11" in plan
+
+
+def test_agent_ids_keep_all_digits(spark):
+    tasks = spark.createDataFrame([(1, 7, 0, 0), (2, 999, 0, 0), (3, 1000, 0, 0), (4, 123456, 0, 0)], "task_id int, agent_id int, create_time long, last_update_time long")
+    assert [r["agent_id"] for r in L.task_query(tasks).collect()] == ["007", "999", "1000", "123456"]

@@ -175,7 +175,8 @@ def task_query(tasks: DataFrame, agents: list[int] | None = None, ids: list[int]
     out = check_list(tasks, conditions)
     iso = [F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c) for c in ("create_time", "last_update_time")]
     rest = [c for c in tasks.columns if c not in ("create_time", "last_update_time", "agent_id")]
-    return out.orderBy("task_id").offset(offset).limit(limit).select(F.lpad(F.col("agent_id").cast("string"), 3, "0").alias("agent_id"), *rest, *iso)
+    agent = F.col("agent_id").cast("string")
+    return out.orderBy("task_id").offset(offset).limit(limit).select(F.lpad(agent, F.greatest(F.lit(3), F.length(agent)), F.lit("0")).alias("agent_id"), *rest, *iso)
 
 
 def file_state_search(files: DataFrame, like: str | None = None, inode: int | None = None, device: int | None = None) -> DataFrame:

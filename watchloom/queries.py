@@ -522,6 +522,13 @@ def task_query(spark: SparkSession, d: str) -> DataFrame:
     return L.task_query(tasks, status="F", offset=20, limit=100).select("agent_id", "task_id", "create_time")
 
 
+@query("""SELECT lpad(CAST(o_custkey AS VARCHAR), greatest(3, length(CAST(o_custkey AS VARCHAR)))::INT, '0') AS agent_id, o_orderkey AS task_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS create_time FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 100 OFFSET 20""")
+def task_query_all(spark: SparkSession, d: str) -> DataFrame:
+    epoch = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    tasks = table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("agent_id"), F.col("o_orderstatus").alias("status"), epoch.alias("create_time"), epoch.alias("last_update_time"))
+    return L.task_query(tasks, status="F", offset=20, limit=100).select("agent_id", "task_id", "create_time")
+
+
 @query("SELECT p_partkey, replace(p_name, ' ', '_') AS name, CASE WHEN regexp_matches(p_brand, '1$') THEN 'one' END AS tag FROM part")
 def keyed_normalizer(spark: SparkSession, d: str) -> DataFrame:
     entries = [{"find_field": "p_name", "find_pattern": " ", "replace_field": "p_name", "replace_pattern": " ", "replace_value": "_"}, {"find_field": "p_brand", "find_pattern": "1$", "add_field": "tag", "add_value": "one"}]
