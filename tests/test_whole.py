@@ -70,3 +70,13 @@ def test_no_join_of_an_entity_with_itself(spark):
 def test_agent_ids_keep_all_digits(spark):
     tasks = spark.createDataFrame([(1, 7, 0, 0), (2, 999, 0, 0), (3, 1000, 0, 0), (4, 123456, 0, 0)], "task_id int, agent_id int, create_time long, last_update_time long")
     assert [r["agent_id"] for r in L.task_query(tasks).collect()] == ["007", "999", "1000", "123456"]
+
+
+def test_every_customer_and_user_is_in_the_feed(spark):
+    got = {r["key"]: r["payload"] for r in own.QUERIES["feed_upsert_all"](spark, SF).collect()}
+    state = {r["c_custkey"]: r["c_name"] for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
+    for e in sorted(spark.read.parquet(f"{SF}/events.parquet").collect(), key=lambda e: e["event_id"]):
+        state.pop(e["user_id"], None)
+        if e["event_type"] != "error":
+            state[e["user_id"]] = e["props"]
+    assert got == state

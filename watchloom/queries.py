@@ -402,6 +402,15 @@ def feed_upsert(spark: SparkSession, d: str) -> DataFrame:
     return D.feed_upsert(state, changes)
 
 
+@query("""WITH c AS (SELECT user_id AS key, arg_max(event_type, event_id) AS t, arg_max(props, event_id) AS p FROM events GROUP BY 1), s AS (SELECT c_custkey AS key, c_name AS payload FROM customer)
+SELECT key, payload FROM s WHERE key NOT IN (SELECT key FROM c) UNION ALL SELECT key, p FROM c WHERE t <> 'error'""")
+def feed_upsert_all(spark: SparkSession, d: str) -> DataFrame:
+    state = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("payload"))
+    kind = F.when(F.col("event_type") == "error", "delete").otherwise("update")
+    changes = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("offset"), kind.alias("type"), F.col("props").alias("payload"))
+    return D.feed_upsert(state, changes)
+
+
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1000")
 def max_rows_cap(spark: SparkSession, d: str) -> DataFrame:
     return D.max_rows_cap(table(spark, d, "orders"), 1000, "o_orderdate", "o_orderkey").select("o_orderkey")
