@@ -1,14 +1,17 @@
 """Operators do the whole job: every query, alert, change and row counts."""
 
+import hashlib
 import math
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from watchloom import queries as own
+from watchloom.operators import aggregates as A
 from watchloom.operators import enrich as J
 from watchloom.operators import filters as L
 from watchloom.operators import search as S
+from watchloom.operators import state as D
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +83,33 @@ def test_every_customer_and_user_is_in_the_feed(spark):
         if e["event_type"] != "error":
             state[e["user_id"]] = e["props"]
     assert got == state
+
+
+def test_checksum_tree_grows_with_the_table(spark):
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    sizes = {"empty": 1, "one": 20, "two": 300, "three": 3000}
+    data = [(g, sha(f"{g}{i // 2 if g == 'two' else i}")) for g, n in sizes.items() for i in range(n)]
+
+    def tree(cs, depth):
+        kept = {}
+        for c in cs:
+            kept.setdefault(sha(c)[:depth], []).append(c)
+        sums = {b: sha(",".join(sorted(f"{c}:{v.count(c)}" for c in set(v)))) for b, v in kept.items()}
+        for level in range(depth, 0, -1):
+            up = {}
+            for b, c in sums.items():
+                up.setdefault(b[: level - 1], []).append(b + c)
+            sums = {b: sha("".join(sorted(v))) for b, v in up.items()}
+        return sums[""]
+
+    want = {g: (tree(cs := [c for x, c in data if x == g], min(3, max(0, math.ceil(math.log(len(set(cs)) / 4) / math.log(16))))), n) for g, n in sizes.items()}
+    got = A.checksum_tree(spark.createDataFrame(data, "g string, checksum string").repartition(3), ["g"], bucket_rows=4, digits=1)
+    assert {r["g"]: (r["table_checksum"], r["n"]) for r in got.collect()} == want
+
+
+def test_integrity_mismatch_holds_no_table(spark):
+    mine = spark.range(20000).select((F.col("id") % 2).alias("g"), F.sha1(F.col("id").cast("string")).alias("checksum"))
+    theirs = mine.withColumn("checksum", F.when((F.col("g") == 1) & F.col("checksum").startswith("00"), F.lit("old")).otherwise(F.col("checksum")))
+    out = D.integrity_mismatch(mine, theirs, ["g"])
+    assert {r["g"]: r["count"] for r in out.groupBy("g").count().collect()} == {1: 10000}
+    assert "depth" in out._jdf.queryExecution().optimizedPlan().toString()

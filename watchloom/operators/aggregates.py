@@ -193,17 +193,38 @@ def row_checksum(*cols: Column) -> Column:
 
 
 def table_checksum(rows: DataFrame, by: list[str], checksum: str = "checksum") -> DataFrame:
-    """SHA-1 over the checksums of each table in their order."""
+    """SHA-1 over the checksums of each table in their order. Only for small tables: a task holds one whole."""
     return rows.groupBy(*by).agg(F.sha1(F.array_join(F.sort_array(F.collect_list(checksum)), "")).alias("table_checksum"), F.count(F.lit(1)).alias("n"))
 
 
 def table_checksum_levels(rows: DataFrame, by: list[str], checksum: str = "checksum", digits: int = 2) -> DataFrame:
-    """For large tables: a checksum for each leading-digit bucket, then over the buckets, so no task holds a table."""
+    """A checksum for each leading-digit bucket, then over the buckets. The number of buckets is fixed: checksum_tree bounds their size."""
     inner = table_checksum(rows.withColumn("__bucket", F.substring(checksum, 1, digits)), [*by, "__bucket"], checksum)
     pair = F.sort_array(F.collect_list(F.concat("__bucket", "table_checksum")))
     return inner.groupBy(*by).agg(F.sha1(F.array_join(pair, "")).alias("table_checksum"), F.sum("n").alias("n"))
 
 
+def checksum_tree(rows: DataFrame, by: list[str], checksum: str = "checksum", bucket_rows: int = 4096, digits: int = 3) -> DataFrame:
+    """table_checksum, n of tables of any size: a checksum for each bucket, rolled up level by level, so no task holds a table.
+
+    Buckets are the leading digits of the SHA-1 of the row's checksum, so many for each level. The levels, at most three, follow from the number of
+    distinct checksums, which bounds the mean size of a bucket. Copies of a checksum enter as one with their count.
+    """
+    each = rows.groupBy(*by, F.col(checksum).alias("c")).agg(F.count(F.lit(1)).alias("k"))
+    levels = F.least(F.lit(3), F.greatest(F.lit(0), F.ceil(F.log(F.count(F.lit(1)) / bucket_rows) / F.log(F.lit(float(16**digits)))))).cast("int")
+    sized = each.groupBy(*by).agg(levels.alias("depth")).select(*(F.col(c).alias(f"__{c}") for c in by), "depth")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    bucket = F.expr(f"substring(sha1(coalesce(c, '')), 1, {digits} * depth)")
+    item = F.concat_ws(":", F.col("c"), F.col("k").cast("string"))
+    out = each.join(sized, same).groupBy(*by, "depth", bucket.alias("b")).agg(F.sha1(F.array_join(F.sort_array(F.collect_list(item)), ",")).alias("c"), F.sum("k").alias("n"))
+    for level in (3, 2, 1):
+        deep = F.col("depth") >= level
+        upper = F.when(deep, F.substring("b", 1, digits * (level - 1))).otherwise(F.col("b")).alias("b")
+        rolled = F.when(deep, F.sha1(F.array_join(F.sort_array(F.collect_list(F.concat("b", "c"))), ""))).otherwise(F.max("c"))
+        out = out.groupBy(*by, "depth", upper).agg(rolled.alias("c"), F.sum("n").alias("n"))
+    return out.select(*by, F.col("c").alias("table_checksum"), "n")
+
+
 def max_version(rows: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.max("version"), F.lit(0)).alias("version"))
 

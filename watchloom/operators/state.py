@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.transform import delete_key
-from .aggregates import table_checksum
+from .aggregates import checksum_tree
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], ignore: list[str] = ()) -> DataFrame:
@@ -80,8 +80,8 @@ def select_rows(table: DataFrame, columns: list[str], where: Column | None = Non
 
 def integrity_mismatch(mine: DataFrame, theirs: DataFrame, by: list[str]) -> DataFrame:
     """Rows (by, checksum, …) of the tables whose checksum differs between the two sides: what must be sent whole."""
-    a = table_checksum(mine, by).select(*by, F.col("table_checksum").alias("a"))
-    b = table_checksum(theirs, by).select(*by, F.col("table_checksum").alias("b"))
+    a = checksum_tree(mine, by).select(*by, F.concat_ws(":", "table_checksum", F.col("n").cast("string")).alias("a"))
+    b = checksum_tree(theirs, by).select(*by, F.concat_ws(":", "table_checksum", F.col("n").cast("string")).alias("b"))
     differ = a.join(b, by, "left").filter(~F.col("a").eqNullSafe(F.col("b"))).select(*by)
     return mine.join(differ, by, "left_semi")
 

@@ -386,6 +386,15 @@ def table_checksum_levels(spark: SparkSession, d: str) -> DataFrame:
     return A.table_checksum_levels(table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("agent"), order_checksum().alias("checksum")), ["agent"])
 
 
+TREE_SQL = ", ".join(f"l{i} AS (SELECT agent, depth, CASE WHEN depth >= {i} THEN substr(x.b, 1, {3 * i - 3}) ELSE x.b END AS b, CASE WHEN depth >= {i} THEN sha1(string_agg(x.b || x.c, '' ORDER BY x.b || x.c)) ELSE max(x.c) END AS c, sum(x.n)::BIGINT AS n FROM l{i + 1} x GROUP BY 1, 2, 3)" for i in (3, 2, 1))
+
+
+@query(f"""WITH e AS (SELECT o_custkey % 50 AS agent, {CHECKSUM_SQL} AS c, count(*) AS k FROM orders GROUP BY 1, 2), s AS (SELECT agent, least(3, greatest(0, ceil(ln(count(*) / 4096) / ln(4096))))::INT AS depth FROM e GROUP BY 1),
+l4 AS (SELECT agent, depth, substr(sha1(c), 1, 3 * depth) AS b, sha1(string_agg(c || ':' || k, ',' ORDER BY c || ':' || k)) AS c, sum(k)::BIGINT AS n FROM e JOIN s USING (agent) GROUP BY agent, depth, substr(sha1(e.c), 1, 3 * depth)), {TREE_SQL} SELECT agent, c AS table_checksum, n FROM l1""")
+def table_checksum_tree(spark: SparkSession, d: str) -> DataFrame:
+    return A.checksum_tree(table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("agent"), order_checksum().alias("checksum")), ["agent"])
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_custkey % 50 IN (SELECT o_custkey % 50 FROM orders WHERE o_orderkey % 101 = 0)")
 def integrity_mismatch(spark: SparkSession, d: str) -> DataFrame:
     mine = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("agent"), order_checksum().alias("checksum"))
