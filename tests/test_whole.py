@@ -10,6 +10,7 @@ from watchloom import queries as own
 from watchloom.operators import aggregates as A
 from watchloom.operators import enrich as J
 from watchloom.operators import filters as L
+from watchloom.operators import scoring as R
 from watchloom.operators import search as S
 from watchloom.operators import state as D
 
@@ -113,3 +114,27 @@ def test_integrity_mismatch_holds_no_table(spark):
     out = D.integrity_mismatch(mine, theirs, ["g"])
     assert {r["g"]: r["count"] for r in out.groupBy("g").count().collect()} == {1: 10000}
     assert "depth" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_forest_has_all_trees_and_scores_as_walked(spark, monkeypatch):
+    seen = []
+    fit = R.isolation_forest_fit
+    monkeypatch.setattr(R, "isolation_forest_fit", lambda *a, **b: seen.append(fit(*a, **b)) or seen[-1])
+    own.QUERIES["anomaly_scores"](spark, SF)
+    assert seen[0].select("tree").distinct().count() == 200
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
+    nodes = fit(df)
+    walk = {(n["tree"], n["node"]): n for n in nodes.collect()}
+
+    def depth(tree, r):
+        n = walk[tree, 0]
+        while n["feature"] >= 0:
+            n = walk[tree, n["left"] if r[n["feature"]] < n["cut"] else n["right"]]
+        return n["depth"]
+
+    norm = R._mean_path(256)
+    got = {r["id"]: r["raw"] for r in R.isolation_forest_score(df, nodes).collect()}
+    for i in range(0, 300, 30):
+        assert abs(got[i] - (0.5 - 2 ** (-np.mean([depth(t, x[i]) for t in range(200)]) / norm))) < 1e-9

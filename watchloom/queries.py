@@ -770,7 +770,7 @@ def anomaly_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = alerts(spark, d).withColumns({"agent_ip": F.lit("10.0.0.1"), "message": F.col("full_log")})
     feats = R.event_features(rows).select("id", "is_attack", "features")
     scaled = R.standardise(feats.filter(~F.col("is_attack")), feats)
-    nodes = R.isolation_forest_fit(scaled.filter(~F.col("is_attack")), trees=100)
+    nodes = R.isolation_forest_fit(scaled.filter(~F.col("is_attack")))
     raw = R.isolation_forest_score(scaled, nodes)
     low_high = A.calibration_percentiles(raw.filter(~F.col("is_attack")))
     return raw.crossJoin(F.broadcast(low_high)).select("id", "is_attack", R.score_normalise(F.col("raw"), F.col("score_min"), F.col("score_max")).alias("score"))
