@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from watchloom import queries as own
+from watchloom.llm import exact_dedup as E
 from watchloom.operators import aggregates as A
 from watchloom.operators import enrich as J
 from watchloom.operators import filters as L
@@ -138,3 +139,12 @@ def test_forest_has_all_trees_and_scores_as_walked(spark, monkeypatch):
     got = {r["id"]: r["raw"] for r in R.isolation_forest_score(df, nodes).collect()}
     for i in range(0, 300, 30):
         assert abs(got[i] - (0.5 - 2 ** (-np.mean([depth(t, x[i]) for t in range(200)]) / norm))) < 1e-9
+
+
+def test_arrivals_without_history_are_sharded(spark, monkeypatch):
+    shards, probe = [], E.probe
+    monkeypatch.setattr(E, "probe", lambda index, new, n: shards.append(n) or probe(index, new, n))
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(60)], "doc_id long, text string")
+    got = {r["keep_id"]: r["group_size"] for r in E.winners(docs, F.lit(False), shard_rows=10).collect()}
+    assert shards == [4]
+    assert got == {i: 2 if i >= 40 else 1 for i in range(20, 60)}

@@ -132,13 +132,14 @@ def winners(docs: DataFrame, historical: Column, text_col: str = "text", id_col:
     """digest, keep_id, group_size of every distinct text.
 
     Rows for which historical holds are indexed first, the others arrive later. shard_rows is the mean
-    number of digests in a shard, which bounds what a task holds.
+    number of digests in a shard, of the larger of both sides, which bounds what a task holds.
     """
     past = F.coalesce(historical, F.lit(False))
     history = save(groups_of(docs.filter(past), text_col, id_col), "exact-history")
-    n = max(1, -(-history.count() // shard_rows))
+    new = save(groups_of(docs.filter(~past), text_col, id_col), "exact-arrivals")
+    n = max(1, -(-max(history.count(), new.count()) // shard_rows))
     index = save(build_index(history, n), "exact-index")
-    return save(probe(index, groups_of(docs.filter(~past), text_col, id_col), n), "exact-winners")
+    return save(probe(index, new, n), "exact-winners")
 
 
 def exact_dedup(docs: DataFrame, historical: Column | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
