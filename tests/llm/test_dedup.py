@@ -176,12 +176,11 @@ def substring_brute(rows, length):
 
 
 def test_substrings_equal_brute_force_on_documents(docs):
-    rows = docs.limit(120)
-    got = sorted((tuple(r) for r in substring_dedup.substring_dedup(rows).collect()), key=repr)
-    assert got == substring_brute([(r.doc_id, r.text) for r in rows.collect()], 200)
+    got = sorted((tuple(r) for r in substring_dedup.substring_dedup(docs).collect()), key=repr)
+    assert got == substring_brute([(r.doc_id, r.text) for r in docs.collect()], 200)
 
 
-@pytest.mark.parametrize(("length", "gram", "crowd"), [(200, 64, 1024), (40, 8, 1024), (40, 8, 3), (200, 64, 2)])
+@pytest.mark.parametrize(("length", "gram", "crowd"), [(200, 64, 1024), (40, 8, 1024), (40, 8, 3), (200, 64, 2), (40, 8, 1)])
 def test_substrings_with_null_and_repeated_ids(spark, length, gram, crowd):
     rng = random.Random(3)
     base = ["".join(rng.choice("abcé\n") for _ in range(rng.randint(0, 400))) for _ in range(12)]
@@ -192,6 +191,36 @@ def test_substrings_with_null_and_repeated_ids(spark, length, gram, crowd):
     assert got == substring_brute(rows, length)
 
 
+def test_substrings_survive_forged_context_collisions(spark):
+    """Contexts get a hash of three bits, so nearly all of an anchor's look like copies: the proofs fail and a second try decides."""
+    rng = random.Random(9)
+    line = "".join(rng.choice("abcdefgh") for _ in range(90))
+    tails = ["".join(rng.choice("abcdefgh") for _ in range(300)) for _ in range(20)]
+    rows = [(i, rng.choice(tails) + line + rng.choice(tails)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((tuple(r) for r in substring_dedup.substring_dedup(frame, 120, 32, crowd=8, hash_bits=(3, 64)).collect()), key=repr)
+    assert got == substring_brute(rows, 120)
+    with pytest.raises(RuntimeError):
+        substring_dedup.substring_dedup(frame, 120, 32, hash_bits=(1,))
+
+
+@pytest.mark.parametrize(("length", "gram"), [(5000, 64), (1200, 64), (20, 30), (20, 0)])
+def test_substring_lengths_out_of_range(docs, length, gram):
+    with pytest.raises(ValueError):
+        substring_dedup.substring_dedup(docs, length, gram)
+
+
+def test_a_line_that_most_documents_share(spark):
+    """Its anchors have hundreds of contexts, which are dealt anew until a few are left."""
+    rng = random.Random(6)
+    line = "".join(rng.choice("abcdefghijkl ") for _ in range(260))
+    own = lambda n: "".join(rng.choice("abcdefghijkl ") for _ in range(n))
+    rows = [(i, own(150) + line + own(150 if i % 3 else 0)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((tuple(r) for r in substring_dedup.substring_dedup(frame, crowd=20).collect()), key=repr)
+    assert got == substring_brute(rows, 200)
+
+
 def test_extension_survives_collisions():
     a, b = b"abcdefgh", b"abcxefgh"
     same = [0] * 9

@@ -7,30 +7,31 @@ in one place doesn't scale, so equal strings are first brought together:
    (the leftmost of equals). Equal windows have equal anchors at the same place, and windows next to
    each other mostly share theirs. So the anchor's hash is a shuffle key under which all copies of a window
    meet. A row is an anchor with the range of window starts it stands for; its context is the bytes of those windows.
-2. Anchors whose hash comes once are done. Occurrences with equal contexts repeat each other wholly.
+2. Anchors whose hash comes once are done. Contexts with equal hashes are taken as copies of the least of them. Neighbouring
+   copies make a run, and where the texts are read, the SHA-256 of every run and of what it copies must agree. If one
+   doesn't, the whole search is done again with another hash.
 3. Where an anchor has different contexts, one occurrence of each is fetched, and what follows and what precedes the
    anchor is suffix-sorted. Two suffixes are compared by their longest common extension, a binary search over prefix
    polynomial hashes, checked byte for byte; the sort is Python's merge sort with that comparison. In sorted order
    the extensions of neighbours tell which windows are equal on both sides.
-4. Anchors with more than crowd different contexts (a common line or passage) don't meet in one task. Each context is
-   compared with a few of them, which finds what most share; the windows that are left are compared by their digests, an
-   aggregation that no task has to hold.
+4. Anchors with more than crowd different contexts (a common line or passage) don't meet in one task: see narrowed().
+   Their contexts are dealt anew by the bytes that a range of their windows shares, until at most crowd are left to sort.
 
 Defined results: a null text is empty; matches never cross documents; texts shorter than length lose nothing; repeated rows
-repeat each other; ids may be null or repeated (rows are then numbered in a written copy of the table); an empty table
-gives no rows; other columns are ignored.
+repeat each other; ids may be null or repeated (rows are then numbered in a written copy of the table) and must be whole
+numbers or texts of such; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cmp_to_key
+from functools import cmp_to_key, reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import bounded_batches, save, text_or_empty
@@ -50,7 +51,14 @@ def _powers(n: int, base: int = BASE) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-POWERS, INVERSE = _powers(CHUNK + 2 * LENGTH), _powers(CHUNK + 2 * LENGTH, pow(BASE, -1, 1 << 64))
+#: A place has 10 bits for how many more starts an anchor stands for, and a chunk overlaps the next by a window.
+MOST_STARTS, LONGEST = 1 << 10, 1 << 12
+POWERS, INVERSE = _powers(CHUNK + LONGEST), _powers(CHUNK + LONGEST, pow(BASE, -1, 1 << 64))
+
+
+def _valid(length: int, gram: int) -> None:
+    if not 1 <= gram <= length < LONGEST or length - gram >= MOST_STARTS:
+        raise ValueError(f"needs 1 <= gram <= length < {LONGEST} and length - gram < {MOST_STARTS}")
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
@@ -96,8 +104,16 @@ def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first + (place & 1023), first, first + (place >> 10 & 1023)
 
 
-def anchor_rows(docs: DataFrame, length: int, gram: int, only: tuple[str, ...]) -> DataFrame:
-    """gram, ctx, doc, place of every anchor of key, text; ctx is a digest of the context and its extents."""
+ANCHORS = "gram bigint, ctx bigint, doc bigint, place bigint"
+
+
+def anchor_rows(docs: DataFrame, length: int, gram: int, salt: int = 0, bits: int = 64) -> DataFrame:
+    """gram, ctx, doc, place of every anchor of key, text; ctx is a salted hash of so many bits of the context and its extents."""
+    mask = (1 << bits) - 1
+
+    def frame(parts: list) -> pd.DataFrame:
+        h, ctx, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pd.DataFrame({"gram": h.view(np.int64), "ctx": ctx.view(np.int64), "doc": doc, "place": place})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -107,22 +123,16 @@ def anchor_rows(docs: DataFrame, length: int, gram: int, only: tuple[str, ...])
                 h, at, first, last = anchors(data, length, gram)
                 if len(h):
                     place = _pack(at, first, last)
-                    seeds = (place & 0xFFFFF).tolist()
-                    ctx = np.array([xxhash.xxh3_64_intdigest(data[a : b + length], s) for a, b, s in zip(first.tolist(), last.tolist(), seeds, strict=True)], dtype=np.uint64)
-                    out.append((h, ctx, np.full(len(h), key, dtype=np.int64), place))
+                    seeds = ((place & 0xFFFFF) | salt << 20).tolist()
+                    ctx = [xxhash.xxh3_64_intdigest(data[a : b + length], x) & mask for a, b, x in zip(first.tolist(), last.tolist(), seeds, strict=True)]
+                    out.append((h, np.array(ctx, dtype=np.uint64), np.full(len(h), key, dtype=np.int64), place))
                 if sum(len(x[0]) for x in out) > 200_000:
-                    yield _frame(out, only)
+                    yield frame(out)
                     out = []
             if out:
-                yield _frame(out, only)
-
-    return docs.select("key", "text").mapInPandas(run, ", ".join(f"{c} bigint" for c in only))
+                yield frame(out)
 
-
-def _frame(parts: list, only: tuple[str, ...]) -> pd.DataFrame:
-    h, ctx, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-    every = {"gram": h.view(np.int64), "ctx": ctx.view(np.int64), "doc": doc, "place": place}
-    return pd.DataFrame({c: every[c] for c in only})
+    return docs.select("key", "text").mapInPandas(run, ANCHORS)
 
 
 def extension(a: bytes, b: bytes, ha: list[int], hb: list[int]) -> int:
@@ -191,22 +201,23 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 SPANS = "doc bigint, start bigint, stop bigint"
-CONTEXTS = "gram bigint, doc bigint, place bigint, alone boolean, region binary"
+CONTEXTS = "key bigint, doc bigint, place bigint, alone boolean, region binary"
 
 
 def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each text the wanted contexts, with their bytes."""
     for pdf in batches:
         rows = []
-        for text, wanted in zip(pdf["text"], pdf["wanted"], strict=True):
+        for doc, text, wanted in zip(pdf["key"], pdf["text"], pdf["wanted"], strict=True):
             data = text.encode("utf-8", "surrogatepass")
             for w in wanted:
                 _, first, last = _unpack(w["place"])
-                rows.append((w["gram"], w["doc"], w["place"], w["n"] == 1, data[first : last + w["length"]]))
-        yield pd.DataFrame(rows, columns=["gram", "doc", "place", "alone", "region"])
+                rows.append((w["gram"], doc, w["place"], w["alone"], data[first : last + w["length"]]))
+        yield pd.DataFrame(rows, columns=["key", "doc", "place", "alone", "region"])
 
 
 def _compare(length: int):
-    """Spans repeated between the contexts of an anchor; rows come sorted by gram."""
+    """Spans repeated between the contexts of a key; rows come sorted by key."""
 
     def spans(group: list[tuple[int, int, bool, bytes]]) -> Iterator[tuple[int, int, int]]:
         marks = []
@@ -220,14 +231,14 @@ def _compare(length: int):
                     yield doc, at - b, at - a + length
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, gram = [], None
+        held, key = [], None
         for pdf in batches:
             rows = []
-            for g, *row in zip(pdf["gram"].tolist(), pdf["doc"].tolist(), pdf["place"].tolist(), pdf["alone"].tolist(), pdf["region"], strict=True):
-                if g != gram and held:
+            for k, *row in zip(pdf["key"].tolist(), pdf["doc"].tolist(), pdf["place"].tolist(), pdf["alone"].tolist(), pdf["region"], strict=True):
+                if k != key and held:
                     rows += spans(held)
                     held = []
-                gram = g
+                key = k
                 held.append(tuple(row))
             yield pd.DataFrame(rows, columns=["doc", "start", "stop"])
         if held:
@@ -236,80 +247,99 @@ def _compare(length: int):
     return run
 
 
-def shared_backs(a: tuple[bytes, bytes], b: tuple[bytes, bytes], length: int) -> tuple[int, int]:
-    """(least, most) bytes before the anchor from which a window of both contexts (left, right) is equal; least > most if none is."""
-    one = [prefix_hashes(np.frombuffer(x, dtype=np.uint8)).tolist() for x in (a[0][::-1], a[1], b[0][::-1], b[1])]
-    most = extension(a[0][::-1], b[0][::-1], one[0], one[2])
-    return length - extension(a[1], b[1], one[1], one[3]), most
-
-
-CROWDED = "gram bigint, digest binary, back bigint, doc bigint, start bigint, stop bigint"
-
-
-def _crowded(length: int):
-    """Of each context of a crowded anchor: spans shared with a sample context (no digest), and the other windows by digest."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows, theirs = [], set()
-            for gram, doc, place, region, samples in zip(pdf["gram"], pdf["doc"], pdf["place"], pdf["region"], pdf["samples"], strict=True):
-                at, first, last = _unpack(place)
-                left = np.ones(last - first + 1, dtype=bool)
-                for other in samples if samples is not None else ():
-                    if (other["doc"], other["place"]) == (doc, place):
-                        continue
-                    their = _unpack(other["place"])
-                    low, high = shared_backs((region[: at - first], region[at - first :]), (other["region"][: their[0] - their[1]], other["region"][their[0] - their[1] :]), length)
-                    low, high = max(low, at - last, their[0] - their[2]), min(high, at - first, their[0] - their[1])
-                    if low <= high:
-                        rows.append((gram, None, None, doc, at - high, at - low + length))
-                        theirs.add((gram, None, None, other["doc"], their[0] - high, their[0] - low + length))
-                        left[at - high - first : at - low - first + 1] = False
-                for k in np.nonzero(left)[0].tolist():
-                    digest = hashlib.blake2b(region[k : k + length], digest_size=16).digest()
-                    rows.append((gram, digest, at - first - k, doc, first + k, first + k + length))
-            out = pd.DataFrame([*rows, *theirs], columns=[c.split()[0] for c in CROWDED.split(", ")])
-            yield out.astype({"back": "Int64"})
-
-    return run
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 1024) -> DataFrame:
-    """doc, start, stop of spans to remove (they may overlap) from docs: key (unique), text."""
-    grams = anchor_rows(docs, length, gram, ("gram", "ctx")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
+def wanted_rows(docs: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
+    """CONTEXTS rows of contexts (gram, n, one: doc and place of an occurrence), read from the texts."""
+    w = F.struct("gram", "one.place", (F.col("n") == 1).alias("alone"), F.lit(length).alias("length"))
+    lists = contexts.groupBy(F.col("one.doc").alias("key")).agg(F.collect_list(w).alias("wanted"))
+    return docs.select("key", "text").join(lists, "key").mapInPandas(_fetch, CONTEXTS)
+
+
+def narrowed(rows: DataFrame, length: int, gram: int, crowd: int, ways: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(spans, rows left to sort) of CONTEXTS rows whose keys have too many contexts for one task.
+
+    A window is back bytes in front of its anchor, 0 <= back <= length - gram. All windows with back in low ... high hold the same
+    bytes from low in front of the anchor to length - high behind its start. So the contexts of a key are cut to ranges of back and dealt
+    anew by a hash of these common bytes: equal windows still meet, contexts that differ there part. Ranges shrink by ways each round. Of the
+    contexts of a range, equal ones (same extents, same SHA-256 of their bytes) become one row, and each such copy is a span. A
+    key with at most crowd rows is left to sort. At ranges of one window, all rows of a key are equal, but for collisions of its hash.
+    """
+    width, spans, left = length - gram + 1, [], []
+    rows = save(rows.withColumn("low", F.lit(0)), "substring-crowded")
+    while True:
+        step = -(-width // ways)
+        back, more = F.expr("place & 1023"), F.expr("shiftright(place, 10) & 1023")
+        cut = rows.withColumns({"back": back, "least": back - more}).withColumn("low", F.explode(F.sequence(F.col("low"), F.col("low") + width - 1, F.lit(step))))
+        cut = cut.withColumns({"b1": F.greatest("low", "least"), "b2": F.least(F.col("low") + step - 1, F.col("back"))}).filter("b1 <= b2")
+        common = F.substring("region", F.col("back") - F.col("low") + 1, F.lit(length - step + 1))
+        own = F.substring("region", F.col("back") - F.col("b2") + 1, length + F.col("b2") - F.col("b1"))
+        start = F.shiftright("place", 20) + F.col("back") - F.col("b2")
+        place = F.expr("shiftleft(start, 20) | shiftleft(b2 - b1, 10) | b2")
+        cut = cut.withColumns({"start": start, "stop": start + F.col("b2") - F.col("b1") + length, "key": F.xxhash64("key", "low", common), "own": own})
+        cut = cut.select("key", "low", "b1", "b2", "doc", "start", "stop", place.alias("place"), "alone", "own", F.unhex(F.sha2("own", 256)).alias("digest"))
+        same = ["key", "low", "b1", "b2", "digest"]
+        one = F.min(F.struct("doc", "place", "own")).alias("one")
+        merged = save(cut.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.bool_and("alone").alias("alone"), one), "substring-narrowed")
+        copies = merged.filter("n > 1").select(*same)
+        spans.append(save(cut.filter("alone").join(copies, same, "left_semi").select("doc", "start", "stop"), "substring-copies"))
+        sizes = merged.groupBy("key", "low").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        held = merged.join(sizes, ["key", "low"]).select("key", "low", "one.doc", "one.place", (F.col("alone") & (F.col("n") == 1)).alias("alone"), F.col("one.own").alias("region"), "size")
+        held = save(held, "substring-held")
+        few = (F.col("size") <= crowd) | F.lit(step == 1)
+        # ranges of one anchor are sorted apart
+        left.append(held.filter(few).select(F.xxhash64("key", "low").alias("key"), "doc", "place", "alone", "region"))
+        rows, width = held.filter(~few).drop("size"), step
+        if step == 1 or rows.isEmpty():
+            return reduce(DataFrame.unionByName, spans), reduce(DataFrame.unionByName, left)
+
+
+def copied_runs(found: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
+    """doc, start, stop, of, shift: maximal runs of contexts in doc that copy, by their hash, document of at start + shift."""
+    alike = found.join(contexts.filter("n > 1").select("gram", "ctx", "one"), ["gram", "ctx"])
+    first, more = F.shiftright("place", 20), F.expr("shiftright(place, 10) & 1023")
+    rows = alike.select("doc", first.alias("first"), (first + more).alias("last"), F.col("one.doc").alias("of"), (F.shiftright("one.place", 20) - first).alias("shift"))
+    w = Window.partitionBy("doc").orderBy("first")
+    joins = (F.lag("last").over(w) + 1 == F.col("first")) & (F.lag("of").over(w) == F.col("of")) & (F.lag("shift").over(w) == F.col("shift"))
+    rows = rows.withColumn("new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    return rows.groupBy("doc", "run").agg(F.min("first").alias("start"), (F.max("last") + length).alias("stop"), F.min("of").alias("of"), F.min("shift").alias("shift"))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 256, salt: int = 0, bits: int = 64) -> DataFrame:
+    """doc, start, stop, of, origin, gone for docs: key (unique), text.
+
+    Rows with gone are spans to remove (they may overlap). Where of is given, the span is a copy, by its hash, of as many bytes of
+    document of from origin on; these bytes have a row too, without gone. Both must prove equal.
+    """
+    _valid(length, gram)
+    every = save(anchor_rows(docs, length, gram, salt, bits), "substring-anchors")
+    grams = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
     again = save(grams.filter("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed")), "substring-grams")
-    found = save(anchor_rows(docs, length, gram, ("gram", "ctx", "doc", "place")).join(again, "gram"), "substring-anchors")
+    found = save(every.join(again, "gram"), "substring-found")
     contexts = found.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("one"), F.first("mixed").alias("mixed"))
     contexts = save(contexts.filter("mixed or n > 1"), "substring-contexts")
-    alike = found.join(contexts.filter("n > 1").select("gram", "ctx"), ["gram", "ctx"], "left_semi")
-    first = F.shiftright("place", 20)
-    whole = alike.select("doc", first.alias("start"), (first + F.shiftright("place", 10).bitwiseAND(1023) + length).alias("stop"))
     mixed = contexts.filter("mixed")
-    crowded = mixed.groupBy("gram").count().filter(F.col("count") > crowd).select("gram", F.col("count").alias("d"))
-    w = F.struct("gram", "one.doc", "one.place", "n", F.lit(length).alias("length")).alias("w")
-    # about eight contexts of a crowded anchor, by a hash, are the samples
-    sampled = F.coalesce(F.pmod(F.xxhash64("ctx"), F.ceil(F.col("d") / 8)) == 0, F.lit(False))
-    wanted = mixed.join(crowded, "gram", "left").select(w, F.col("one.doc").alias("key"), F.col("d").isNotNull().alias("crowded"), sampled.alias("sampled"))
-    lists = wanted.groupBy("key", "crowded", "sampled").agg(F.collect_list("w").alias("wanted"))
-    texts = lists.join(docs.select("key", "text"), "key")
-    some = texts.filter(~F.col("crowded")).select("text", "wanted").mapInPandas(_fetch, CONTEXTS)
-    some = some.repartition("gram").sortWithinPartitions("gram").mapInPandas(_compare(length), SPANS)
-    many = texts.filter("crowded").select("text", "wanted").mapInPandas(_fetch, CONTEXTS)
-    samples = texts.filter("sampled").select("text", "wanted").mapInPandas(_fetch, CONTEXTS)
-    samples = samples.groupBy("gram").agg(F.collect_list(F.struct("doc", "place", "region")).alias("samples"))
-    many = many.join(samples, "gram", "left").mapInPandas(_crowded(length), CROWDED)
-    twice = many.filter("digest is not null").groupBy("gram", "digest", "back").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    again = many.join(twice, ["gram", "digest", "back"], "left_semi").select("doc", "start", "stop")
-    many = many.filter("digest is null").select("doc", "start", "stop").unionByName(again)
-    return whole.unionByName(some).unionByName(many)
+    crowded = save(mixed.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > crowd).select("gram"), "substring-crowds")
+    none = [F.lit(None).cast("bigint").alias(c) for c in ("of", "origin")]
+    if crowded.isEmpty():
+        others, rows = [], wanted_rows(docs, mixed, length)
+    else:
+        # written, so that Spark knows how many they are
+        many = save(mixed.join(crowded, "gram", "left_semi"), "substring-many")
+        spans, rest = narrowed(wanted_rows(docs, many, length), length, gram, crowd)
+        others, rows = [spans.select("*", *none, F.lit(True).alias("gone"))], wanted_rows(docs, mixed.join(crowded, "gram", "left_anti"), length).unionByName(rest)
+    sorted_out = rows.repartition("key").sortWithinPartitions("key").mapInPandas(_compare(length), SPANS).select("*", *none, F.lit(True).alias("gone"))
+    runs = copied_runs(found, contexts, length)
+    own = F.struct("doc", "start", "stop", F.when((F.col("of") != F.col("doc")) | (F.col("shift") != 0), F.col("of")).alias("of"), (F.col("start") + F.col("shift")).alias("origin"), F.lit(True).alias("gone"))
+    source = F.struct(F.col("of").alias("doc"), (F.col("start") + F.col("shift")).alias("start"), (F.col("stop") + F.col("shift")).alias("stop"), "of", (F.col("start") + F.col("shift")).alias("origin"), F.lit(False).alias("gone"))
+    both = F.array_compact(F.array(own, F.when((F.col("of") != F.col("doc")) | (F.col("shift") != 0), source)))
+    return reduce(DataFrame.unionByName, [runs.select(F.explode(both).alias("r")).select("r.*"), sorted_out, *others])
 
 
 def keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """key, doc_id, text; the key is the id where ids are unique, else a number in a written copy."""
+    """key, text where ids are unique; else doc_id, text, key of a written copy, in which rows are numbered."""
     ids = docs.groupBy(F.col(id_col).cast("bigint").alias("key")).count().filter("key is null or count > 1")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     if ids.isEmpty():
-        return rows.withColumn("key", F.col("doc_id"))
+        return docs.select(F.col(id_col).cast("bigint").alias("key"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return save(rows.withColumn("key", F.monotonically_increasing_id()), "substring-rows")
 
 
@@ -324,30 +354,44 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+RESULT = "key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, checks array<struct<of:bigint,origin:bigint,size:bigint,digest:binary>>"
+
+
 def _finish(with_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc_id, text, spans in zip(pdf["id"], pdf["text"], pdf["spans"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                runs = merged([(s["start"], s["stop"]) for s in spans]) if spans is not None else []
+            for key, text, spans in zip(pdf["key"], pdf["text"], pdf["spans"], strict=True):
+                data, spans = text.encode("utf-8", "surrogatepass"), spans if spans is not None else ()
+                runs = merged([(s["start"], s["stop"]) for s in spans if s["gone"]])
+                checks = [{"of": s["of"], "origin": s["origin"], "size": s["stop"] - s["start"], "digest": hashlib.sha256(data[s["start"] : s["stop"]]).digest()} for s in spans if s["of"] is not None]
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(data[at:a])
                     at = b
                 rest = b"".join([*kept, data[at:]])
-                row = (doc_id, len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest())
+                row = (key, len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), checks)
                 rows.append((*row, rest) if with_text else row)
-            yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
+            yield pd.DataFrame(rows, columns=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "checks", *["kept"] * with_text])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text", id_col: str = "doc_id", crowd: int = 1024, with_text: bool = False) -> DataFrame:
-    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds the kept bytes."""
+def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text", id_col: str = "doc_id", crowd: int = 256, with_text: bool = False, hash_bits: tuple[int, ...] = (64, 64, 64)) -> DataFrame:
+    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds the kept bytes.
+
+    hash_bits: width of the context hash of each try; another is needed only if different contexts of an anchor had one hash.
+    """
     bounded_batches(docs.sparkSession)
     rows = keyed(docs, text_col, id_col)
-    spans = repeated_spans(rows, length, gram, crowd).distinct().groupBy(F.col("doc").alias("key")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    both = rows.join(spans, "key", "left").select(F.col("doc_id").cast("string").alias("id"), "text", "spans")
-    out = both.mapInPandas(_finish(with_text), "id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text)
-    return out.select(F.col("id").cast("bigint").alias("doc_id"), *[c for c in out.columns if c != "id"])
+    texts = rows.filter("key is not null")  # never null; stated, so that both joins read the texts by one shuffle
+    for salt, bits in enumerate(hash_bits):
+        # a set: what many documents copy is asked for once
+        spans = repeated_spans(texts, length, gram, crowd, salt, bits).groupBy(F.col("doc").alias("key")).agg(F.collect_set(F.struct("start", "stop", "of", "origin", "gone")).alias("spans"))
+        done = save(texts.select("key", "text").join(spans, "key", "left").mapInPandas(_finish(with_text), RESULT + ", kept binary" * with_text), "substring-result")
+        proofs = done.select(F.explode("checks").alias("c")).groupBy("c.of", "c.origin", "c.size").agg(F.min("c.digest").alias("lo"), F.max("c.digest").alias("hi"))
+        if proofs.filter("lo <> hi").isEmpty():
+            named = done.drop("checks")
+            named = named.withColumn("doc_id", F.col("key")) if rows.columns[0] == "key" else named.join(rows.select("key", "doc_id"), "key")
+            return named.select("doc_id", *[c for c in done.columns if c not in ("key", "checks")])
+    raise RuntimeError("different contexts had one hash in every try")
