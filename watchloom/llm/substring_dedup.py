@@ -281,7 +281,8 @@ def narrowed(rows: DataFrame, length: int, gram: int, crowd: int, ways: int = 4)
         merged = save(cut.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.bool_and("alone").alias("alone"), one), "substring-narrowed")
         copies = merged.filter("n > 1").select(*same)
         spans.append(save(cut.filter("alone").join(copies, same, "left_semi").select("doc", "start", "stop"), "substring-copies"))
-        sizes = merged.groupBy("key", "low").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        # written, so that the join reads both sides plainly and Spark can split a key with very many rows
+        sizes = save(merged.groupBy("key", "low").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "substring-sizes")
         held = merged.join(sizes, ["key", "low"]).select("key", "low", "one.doc", "one.place", (F.col("alone") & (F.col("n") == 1)).alias("alone"), F.col("one.own").alias("region"), "size")
         held = save(held, "substring-held")
         few = (F.col("size") <= crowd) | F.lit(step == 1)
