@@ -39,18 +39,29 @@ def test_shard_odd_rows(odd_docs, no_docs, spark, tmp_path):
     assert all(r.fits == (r.shard_bytes <= 100) for r in rows)
     assert len({r["shard"] for r in rows if r.doc_id == 3}) == 1
     assert sharding.shard(no_docs).count() == 0
-    unique = odd_docs.dropDuplicates(["doc_id"])
-    sharding.write_shards(unique, str(tmp_path / "out"), limit=1000)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == unique.count()
+    clash = odd_docs.withColumn("shard", sharding.F.lit("mine"))
+    sharding.write_shards(clash, str(tmp_path / "out"), limit=1000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(repr, back.drop("shard_").select(*clash.columns).collect())) == sorted(map(repr, clash.collect()))
+    assert {f"b{r['shard']}" for r in sharding.shard(odd_docs, limit=1000).collect()} == {r.shard_ for r in back.collect()}
 
 
 def test_deep_split_below_the_cells(spark):
     rows = spark.createDataFrame([(i, "x" * 10) for i in range(3000)], "doc_id bigint, text string")
-    hashed = rows.select(sharding.key_hash(rows.doc_id).alias("h"), rows.doc_id, sharding.F.lit(10).cast("bigint").alias("bytes"))
+    hashed = rows.select(sharding.key_hash(rows.doc_id).alias("__h"), sharding.F.lit(10).cast("bigint").alias("__bytes"))
     got = {(r.depth, r.bucket): r.bytes for r in sharding.directory(hashed, 30, slack_bits=-4).collect()}
     assert sum(got.values()) == 30_000 and all(b <= 30 for b in got.values())
 
 
+def test_cells_over_the_limit_are_split_by_whole_hashes(spark, monkeypatch):
+    """Few bits for cells, and a key that a third of the rows share."""
+    rows = spark.createDataFrame([(i if i % 3 else 0, "x" * (i % 50)) for i in range(900)], "doc_id bigint, text string")
+    plain = sharding.entries
+    monkeypatch.setattr(sharding, "entries", lambda slim, limit: plain(slim, limit, -3))
+    got = sorted(((r.doc_id, r["shard"], r.shard_bytes) for r in sharding.shard(rows, limit=100).collect()), key=repr)
+    assert got == brute([(r.doc_id, r.text) for r in rows.collect()], 100)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

@@ -36,12 +36,29 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all that save() has left below the shared folder, once the results that read it are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/watchloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name with as many underscores at its end as make it new to the table."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 #: Bytes of rows that go to a Python worker at once, where the session has Spark's own limit.
 BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches by bytes: ten thousand long texts in one batch would fill a worker's memory."""
+    """Bounds the Arrow batches by bytes: ten thousand long texts in one batch would fill a worker's memory.
+
+    It sets the session's limit, and only where that is Spark's default: the plans that need it run later, when their rows are asked for.
+    """
     key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", (str(64 << 20), f"{64 << 20}b")
     if spark.conf.get(key) in usual:
         spark.conf.set(key, str(BATCH_BYTES))

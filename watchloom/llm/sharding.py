@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import save
+from ._shared import free_name, save
 
 BITS = 60
 
@@ -30,56 +30,79 @@ def key_hash(key: Column) -> Column:
 
 
 def _leaves(cells: DataFrame, width: int, limit: int, shortest: int) -> DataFrame:
-    """For each cell the least depth at which its prefix fits (or holds a single hash), with that prefix's totals."""
-    every = cells.select("cell", "bytes", "n", "lo", "hi", F.explode(F.sequence(F.lit(shortest), F.lit(width))).alias("__d"))
-    every = every.withColumn("bucket", F.expr(f"shiftright(cell, {width} - __d)"))
-    sums = every.groupBy("__d", "bucket").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    ok = sums.filter((F.col("bytes") <= limit) | (F.col("lo") == F.col("hi")))
-    full = sums.filter((F.col("bytes") > limit) & (F.col("lo") < F.col("hi"))).select((F.col("__d") + 1).alias("__d"), F.col("bucket").alias("parent"))
-    kids = ok.withColumn("parent", F.expr("shiftright(bucket, 1)"))
-    # the children of a full bucket that are not full themselves
-    below = kids.filter(F.col("__d") > shortest).join(full, ["__d", "parent"], "left_semi")
-    return kids.filter(F.col("__d") == shortest).unionByName(below).drop("parent").withColumnRenamed("__d", "depth")
-
-
-def directory(rows: DataFrame, limit: int, slack_bits: int = 6) -> DataFrame:
-    """The buckets of rows (h: 60-bit hash, bytes): depth, bucket (the prefix), bytes, n, fits."""
-    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    """cell, depth, bucket, bytes, n: for each cell the least depth at which its prefix fits or holds a single hash. Cells without one are left out."""
+    every = cells.select("cell", "bytes", "n", "lo", "hi", F.explode(F.sequence(F.lit(shortest), F.lit(width))).alias("depth"))
+    every = every.withColumn("bucket", F.expr(f"shiftright(cell, {width} - depth)"))
+    sums = every.groupBy("depth", "bucket").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    good = sums.filter((F.col("bytes") <= limit) | (F.col("lo") == F.col("hi"))).drop("lo", "hi")
+    least = every.select("cell", "depth", "bucket").join(good, ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket", "bytes", "n")).alias("b"))
+    return least.select("cell", "b.*")
+
+
+def _cells(rows: DataFrame, cell: Column) -> DataFrame:
+    return rows.groupBy(cell.alias("cell")).agg(F.sum("__bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("__h").alias("lo"), F.max("__h").alias("hi"))
+
+
+def entries(rows: DataFrame, limit: int, slack_bits: int = 4) -> tuple[DataFrame, DataFrame | None, int]:
+    """The directory of rows (__h: 60-bit hash, __bytes) as (entries by cell, entries by whole hash, bits of a cell).
+
+    An entry is cell, depth, bucket, bytes, n. Only cells that hold rows have one. Where cells are still over the limit, the
+    hashes in them have an entry each in the second table.
+    """
+    total = rows.agg(F.coalesce(F.sum("__bytes"), F.lit(0))).first()[0]
     width = min(BITS, max(1, math.ceil(math.log2(max(1.0, total / limit))) + slack_bits))
-    cells = save(rows.groupBy(F.expr(f"shiftright(h, {BITS - width})").alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")), "shard-cells")
-    top = _leaves(cells, width, limit, 0)
-    crowded = cells.filter((F.col("bytes") > limit) & (F.col("lo") < F.col("hi"))).select("cell")
-    deep = rows.withColumn("cell", F.expr(f"shiftright(h, {BITS - width})")).join(crowded, "cell", "left_semi")
-    deep = deep.groupBy(F.col("h").alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-    # below a crowded cell the roll-up starts one bit further down
-    low = _leaves(deep, BITS, limit, width + 1) if width < BITS else deep.limit(0).select(F.lit(0).alias("depth"), F.col("cell").alias("bucket"), "bytes", "n", "lo", "hi")
-    out = top.unionByName(low.select(*top.columns))
-    return out.select(F.col("depth").cast("int"), "bucket", "bytes", "n", (F.col("bytes") <= limit).alias("fits"), F.lit(width).alias("__width"))
+    cell = F.shiftright("__h", BITS - width)
+    cells = save(_cells(rows, cell), "shard-cells")
+    top = save(_leaves(cells, width, limit, 0), "shard-entries")
+    crowded = save(cells.filter((F.col("bytes") > limit) & (F.col("lo") < F.col("hi"))).select("cell"), "shard-crowded")
+    if width == BITS or crowded.isEmpty():
+        return top, None, width
+    deep = _cells(rows.withColumn("__cell", cell).join(crowded.withColumnRenamed("cell", "__cell"), "__cell", "left_semi"), F.col("__h"))
+    return top, save(_leaves(save(deep, "shard-deep"), BITS, limit, width + 1), "shard-deep-entries"), width
+
+
+def directory(rows: DataFrame, limit: int, slack_bits: int = 4) -> DataFrame:
+    """The buckets of rows (__h, __bytes): depth, bucket (the prefix), bytes, n, fits."""
+    top, deep, _ = entries(rows, limit, slack_bits)
+    found = top.drop("cell") if deep is None else top.drop("cell").unionByName(deep.drop("cell"))
+    return found.distinct().withColumn("fits", F.col("bytes") <= limit)
+
+
+def _hashed(docs: DataFrame, key_col: str, text_col: str, *keep: Column) -> DataFrame:
+    return docs.select(*keep, key_hash(F.col(key_col)).alias("__h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint").alias("__bytes"))
+
+
+def _placed(rows: DataFrame, slim: DataFrame, limit: int) -> DataFrame:
+    """rows (with __h) and their __depth, __bucket, __size, __n. slim: __h, __bytes of the same rows.
+
+    Each row looks its cell up. The entries are a written table whose size Spark knows: it is broadcast while that is small, else both sides are
+    shuffled by cell, where a cell with very many rows can be split.
+    """
+    top, deep, width = entries(slim, limit)
+    named = lambda t: t.select(F.col("cell").alias("__cell"), F.col("depth").alias("__depth"), F.col("bucket").alias("__bucket"), F.col("bytes").alias("__size"), F.col("n").alias("__n"))
+    out = rows.withColumn("__cell", F.shiftright("__h", BITS - width)).join(named(top), "__cell")
+    if deep is not None:
+        out = out.unionByName(rows.withColumn("__cell", F.col("__h")).join(named(deep), "__cell"))
+    return out.drop("__cell")
+
+
+def _bits() -> Column:
+    return F.when(F.col("__depth") == 0, "").otherwise(F.expr("right(lpad(bin(__bucket), 60, '0'), __depth)"))
 
 
 def shard(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", limit: int = 1 << 26) -> DataFrame:
     """Every row's place: key_col, bytes, shard (its bits as 0/1 text), depth, shard_bytes, shard_rows, fits.
 
-    limit: bytes of text in a shard at most. The directory has as many rows as shards and is joined
-    on the row's bucket: each row looks its cell up, as the directory of extendible hashing does.
+    limit: bytes of text in a shard at most.
     """
-    rows = docs.select(F.col(key_col).alias("__key"), key_hash(F.col(key_col)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint").alias("bytes"))
-    buckets = save(directory(rows, limit), "shard-directory")
-    widths = buckets.agg(F.max("__width"), F.max("depth")).first()
-    width, deepest = (widths[0] or 1), (widths[1] or 0)
-    # directory entries: a bucket of depth d < width has 2 ** (width - d) of them; deeper ones share the cell's entry
-    span = F.expr(f"sequence(shiftleft(bucket, {width} - depth), shiftleft(bucket + 1, {width} - depth) - 1)")
-    entries = buckets.filter(F.col("depth") <= width).withColumn("cell", F.explode(span))
-    deeper = buckets.filter(F.col("depth") > width).withColumn("cell", F.expr(f"shiftright(bucket, depth - {width})"))
-    found = entries.unionByName(deeper).select("cell", "bucket", "depth", "fits", F.col("bytes").alias("shard_bytes"), F.col("n").alias("shard_rows"))
-    out = rows.withColumn("cell", F.expr(f"shiftright(h, {BITS - width})")).join(found, "cell")
-    if deepest > width:
-        out = out.filter(F.expr(f"shiftright(h, {BITS} - depth) = bucket"))
-    bits = F.expr("right(lpad(bin(bucket), 60, '0'), depth)")
-    return out.select(F.col("__key").alias(key_col), "bytes", F.when(F.col("depth") == 0, "").otherwise(bits).alias("shard"), "depth", "shard_bytes", "shard_rows", "fits")
+    rows = _hashed(docs, key_col, text_col, F.col(key_col).alias("__key"))
+    found = _placed(rows, rows.drop("__key"), limit)
+    return found.select(F.col("__key").alias(key_col), F.col("__bytes").alias("bytes"), _bits().alias("shard"), F.col("__depth").cast("int").alias("depth"), F.col("__size").alias("shard_bytes"), F.col("__n").alias("shard_rows"), (F.col("__size") <= limit).alias("fits"))
 
 
 def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text", limit: int = 1 << 26) -> None:
-    """Writes the rows to one folder for each shard. Keys must be unique here, as rows find their shard by key."""
-    at = shard(docs, key_col, text_col, limit).select(F.col(key_col).alias("__key"), "shard")
-    docs.join(at, docs[key_col].eqNullSafe(F.col("__key"))).drop("__key").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Writes the rows, repeated keys too, to one folder for each shard: shard=..., with an underscore more where that is a column already."""
+    name = free_name(docs, "shard")
+    rows = _hashed(docs, key_col, text_col, *(F.col(f"`{c}`") for c in docs.columns))
+    found = _placed(rows, _hashed(docs, key_col, text_col), limit).withColumn(name, F.concat(F.lit("b"), _bits()))
+    found.select(*(f"`{c}`" for c in docs.columns), name).repartition(name).write.partitionBy(name).parquet(path)
