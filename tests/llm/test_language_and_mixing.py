@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from watchloom.llm import language_id as li
 from watchloom.llm import mixing
@@ -73,4 +74,8 @@ def test_mix_odd_rows(odd_docs, no_docs):
     out = mixing.mix(odd_docs, total=100)
     assert out.columns == [*odd_docs.columns, "copy_no", "shuffle_key"]
     assert None in {r.source for r in out.collect()}
+    clash = odd_docs.withColumns({"copy_no": F.lit("a"), "Shuffle_Key": F.lit("b"), "rate": F.lit(1)})
+    assert mixing.mix(clash, total=100).columns == [*clash.columns, "copy_no_", "shuffle_key_"]
+    assert mixing.mix(clash, total=100, numbered=False).columns == clash.columns
+    assert {(r.copy_no, r.Shuffle_Key) for r in mixing.mix(clash, total=100, numbered=False).collect()} == {("a", "b")}
     assert mixing.mix(no_docs).count() == 0

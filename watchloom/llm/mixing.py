@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import save, unit_hash
+from ._shared import free_name, save, unit_hash
 
 
 def rates(docs: DataFrame, source_col: str = "source", weights: dict[str | None, float] | None = None, temperature: float = 0.5, total: int | None = None) -> DataFrame:
@@ -35,39 +35,49 @@ def rates(docs: DataFrame, source_col: str = "source", weights: dict[str | None,
     return weighed.join(F.broadcast(sums)).select("source", "n", F.coalesce(F.try_divide(F.col("w") * goal, F.col("sum_w") * F.col("n")), F.lit(0.0)).alias("rate"))
 
 
-def poisson_count(rate: Column, u: Column) -> Column:
-    """The least k with P(X <= k) > u for X ~ Poisson(rate).
+def poisson_cdf(rate: Column) -> Column:
+    """P(X <= 0), P(X <= 1), ... for X ~ Poisson(rate) as an array.
 
     The terms are summed in log space up to rate + 12 * sqrt(rate) + 40, beyond which a double has no
     more mass to give.
     """
     most = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    first = F.struct(F.lit(0.0).alias("term"), F.exp(-rate).alias("sum"), F.when(F.exp(-rate) > u, 0).otherwise(-1).alias("k"))
+    start = F.struct(F.lit(0.0).alias("term"), F.array(F.exp(-rate)).alias("sums"))
 
     def step(acc: Column, k: Column) -> Column:
         term = acc["term"] + F.log(rate) - F.log(k.cast("double"))
-        below = acc["sum"] + F.exp(term - rate)
-        return F.struct(term.alias("term"), below.alias("sum"), F.when((acc["k"] < 0) & (below > u), k).otherwise(acc["k"]).alias("k"))
+        return F.struct(term.alias("term"), F.array_append(acc["sums"], F.element_at(acc["sums"], -1) + F.exp(term - rate)).alias("sums"))
 
-    found = F.aggregate(F.sequence(F.lit(1), most), first, step)["k"]
-    return F.when(rate <= 0, 0).when(found < 0, most).otherwise(found)
+    return F.aggregate(F.sequence(F.lit(1), most), start, step)["sums"]
+
+
+def poisson_count(rate: Column, cdf: Column, u: Column) -> Column:
+    """The least k with P(X <= k) > u for X ~ Poisson(rate), from poisson_cdf(rate)."""
+    return F.when(rate <= 0, 0).otherwise(F.least(F.size(F.filter(cdf, lambda p: p <= u)), F.size(cdf) - 1))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str | None, float] | None = None, temperature: float = 0.5, total: int | None = None, seed: int = 17, numbered: bool = True) -> DataFrame:
     """The mixed rows with all their columns in shuffled order; numbered adds copy_no and shuffle_key.
 
-    shuffle_key is the 60-bit key of the global order, so a reader can restore or cut it.
+    shuffle_key is the 60-bit key of the global order, so a reader can restore or cut it. Where the table has columns of these names, the new ones
+    have an underscore more. Keys are evenly spread hashes, so their leading bits deal the rows out in order, without a sample of them.
     """
     # a row for each source: a written table, so that its size is known and Spark picks the join by it
-    per = save(rates(docs, source_col, weights, temperature, total), "mix-rates").select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    per = rates(docs, source_col, weights, temperature, total).withColumn("cdf", F.when(F.col("rate") > 0, poisson_cdf(F.col("rate"))))
+    per = save(per, "mix-rates").select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("cdf").alias("__cdf"))
     seeded = docs.withColumn("__u", unit_hash(F.lit(seed), F.col(id_col)))
     joined = seeded.join(per, seeded[source_col].eqNullSafe(F.col("__source")))
-    out = joined.withColumn("__k", poisson_count(F.col("__rate"), F.col("__u"))).filter(F.col("__k") > 0)
-    out = out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__k"))))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("\\N")), F.col("copy_no")))
-    out = out.withColumn("shuffle_key", F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint"))
-    out = out.drop("__u", "__source", "__rate", "__k").repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key", id_col)
-    return out if numbered else out.drop("copy_no", "shuffle_key")
+    out = joined.withColumn("__k", poisson_count(F.col("__rate"), F.col("__cdf"), F.col("__u"))).filter(F.col("__k") > 0)
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__k"))))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("\\N")), F.col("__copy")))
+    out = out.withColumn("__key", F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint")).drop("__u", "__source", "__rate", "__cdf", "__k")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # 30 of the key's 60 bits, so that the product stays a long
+    place = F.shiftright(F.shiftright("__key", 30) * F.lit(parts), 30).cast("int")
+    out = out.repartitionById(parts, place).sortWithinPartitions("__key", id_col)
+    if not numbered:
+        return out.drop("__copy", "__key")
+    return out.withColumnsRenamed({"__copy": free_name(docs, "copy_no"), "__key": free_name(docs, "shuffle_key")})
 
 
 def expected_rows(n: int, rate: float) -> tuple[float, float]:
