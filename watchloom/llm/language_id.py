@@ -6,19 +6,19 @@ expectation-maximisation estimates. Languages are added in the order of their pr
 log-likelihood grows by more than the penalty, so a document has the fewest languages that explain it. The
 prediction is the language with the largest proportion in the selected set, the score that proportion.
 
-Defined results: a null text or one without a letter is und with score 0, as is every text if nothing was learnt;
-ties of proportions go to the first language by name; repeated rows and null ids are predicted each by itself; an
-empty table gives no rows; other columns are ignored.
+Defined results: a null text or one without a letter (Unicode category L) is und with score 0, as is every text if nothing was learnt;
+ties of proportions go to the first language by name; repeated rows and null ids are predicted each by itself (ids are whole
+numbers or texts of such); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ from ._shared import bounded_batches, unit_hash
 
 BUCKET_BITS = 16
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that aren't lower-case letters become spaces.
 PLAIN = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], dtype=np.uint8)
 
@@ -53,17 +53,17 @@ class Model:
     likelihood: np.ndarray
 
 
-def train(docs: DataFrame, per_language: int = 20_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", smoothing: float = 0.5) -> Model:
+def train(docs: DataFrame, per_language: int = 20_000, most_languages: int = 128, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", smoothing: float = 0.5) -> Model:
     """Learns from about per_language documents of each language, chosen by a hash of the id.
 
-    What reaches the driver is a count for each language and bucket, 65536 buckets at most.
+    Of more labels than most_languages the most frequent are learnt, so a dirty label column can't fill the driver. What reaches
+    the driver is a count for each language and bucket, 65536 buckets at most.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), unit_hash(F.lit("language"), F.col(id_col)).alias("u"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(1.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    shares = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"])))) if sizes else F.create_map().cast("map<string,double>")
+    share = F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -85,8 +85,11 @@ def train(docs: DataFrame, per_language: int = 20_000, text_col: str = "text", l
     return Model(languages, (table / table.sum(axis=0)).astype(np.float32) if languages else table)
 
 
-def proportions(likelihood: np.ndarray, counts: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """(proportions, log-likelihood) of the columns by expectation-maximisation; rows are n-grams, counts how often."""
+def proportions(likelihood: np.ndarray, counts: np.ndarray, tolerance: float = 1e-4, rounds: int = 1000) -> tuple[np.ndarray, float]:
+    """(proportions, log-likelihood) of the columns by expectation-maximisation; rows are n-grams, counts how often.
+
+    It runs until no proportion changes by the tolerance; rounds is only a safeguard.
+    """
     n, k = float(counts.sum()), likelihood.shape[1]
     share = np.full(k, 1.0 / k, dtype=np.float32)
     if k == 1:
@@ -94,7 +97,7 @@ def proportions(likelihood: np.ndarray, counts: np.ndarray, rounds: int = 12) ->
     for _ in range(rounds):
         weighed = counts / (likelihood @ share)
         new = share * (weighed @ likelihood) / np.float32(n)
-        done = np.abs(new - share).max() < 1e-3
+        done = np.abs(new - share).max() < tolerance
         share = new
         if done:
             break
