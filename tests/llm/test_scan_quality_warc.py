@@ -142,3 +142,24 @@ def test_warc_damage(spark, tmp_path):
     assert ok["urn:page:0"] and ok["urn:page:2"] and not ok["urn:page:9"] and sum(not r.ok for r in rows) >= 2
     cut = list(warc.members(io.BytesIO(good[0][:-20])))
     assert len(cut) == 1 and not cut[0][1]
+
+
+def test_warc_headers_of_any_bytes_and_padding():
+    record = warc.record("urn:page:1", "u", b"payload", None)
+    block = record.split(b"\r\n\r\n", 1)[1][:-4]
+    odd = block.replace(b"Content-Type: text/html", b"X-A: caf\xe9\r\nContent-Type: text/html")
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:7>\r\nWARC-Target-URI: caf\xe9\r\nContent-Type: application/http\r\nContent-Length: " + str(len(odd)).encode() + b"\r\n\r\n"
+    got = warc.parse(head + odd + b"\r\n\r\n")
+    assert got["ok"] and got["payload"] == b"payload" and got["url"] == "caf\ufffd"
+    one = warc.member(record)
+    assert [(x, whole) for x, whole in warc.members(io.BytesIO(bytes(50) + one + bytes(warc.CHUNK + 9) + one + bytes(3)))] == [(record, True)] * 2
+
+
+def test_warc_next_member_is_found_across_chunks(monkeypatch):
+    good = warc.member(warc.record("urn:page:2", "u", b"page", None))
+    broken = bytearray(warc.member(warc.record("urn:page:1", "u", bytes(range(256)) * 4, None)))
+    broken[20] ^= 0xFF
+    for chunk in range(40, 60):
+        monkeypatch.setattr(warc, "CHUNK", chunk)
+        parsed = [warc.parse(x)["record_id"] for x, whole in warc.members(io.BytesIO(bytes(broken) + good)) if whole]
+        assert "urn:page:2" in parsed

@@ -10,7 +10,8 @@ the headers alone, which refer to it.
 
 Defined results: a null payload is empty; a null url leaves the target header out; line ends in a url are percent-encoded;
 a null id is smaller than any other; rows that share the largest id and the payload are all responses; an empty table gives
-an archive list without rows; other columns are ignored. A broken member or a wrong digest gives ok = false with
+an archive list without rows; other columns are ignored; ids are whole numbers or texts of such. Header bytes that aren't UTF-8
+are replaced. A broken member or a wrong digest gives ok = false with
 what could be read, and the archive is read on from the next member where it can be found.
 """
 
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, new_path, save, text_or_empty
 
 CHUNK = 1 << 18
+#: Fixed value: how a gzip member begins.
+MAGIC = b"\x1f\x8b\x08"
 ARCHIVES = "path string, records bigint, bytes bigint"
 #: Fixed value: the profile of revisits of identical payloads in WARC 1.1.
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -109,7 +112,7 @@ def _head(stream: io.BytesIO) -> tuple[str, dict[str, str]]:
     first = stream.readline().strip().decode("utf-8", "replace")
     fields: dict[str, str] = {}
     for line in iter(lambda: stream.readline().rstrip(b"\r\n"), b""):
-        name, _, value = line.decode("utf-8", "surrogatepass").partition(":")
+        name, _, value = line.decode("utf-8", "replace").partition(":")
         fields[name.strip().lower()] = value.strip()
     return first, fields
 
@@ -136,12 +139,14 @@ def parse(data: bytes) -> dict:
 
 
 def members(stream) -> Iterator[tuple[bytes, bool]]:
-    """(bytes, whole) of each gzip member of a stream, decompressed chunk by chunk."""
+    """(bytes, whole) of each gzip member of a stream, decompressed chunk by chunk. Zero bytes between members are padding."""
     rest = b""
     while True:
-        rest = rest or stream.read(CHUNK)
-        if not rest:
-            return
+        rest = rest.lstrip(b"\0")
+        while not rest:
+            if not (rest := stream.read(CHUNK)):
+                return
+            rest = rest.lstrip(b"\0")
         unpack, parts, whole = zlib.decompressobj(31), [], True
         try:
             while not unpack.eof:
@@ -154,12 +159,13 @@ def members(stream) -> Iterator[tuple[bytes, bool]]:
                 rest = unpack.unconsumed_tail or (unpack.unused_data if unpack.eof else b"")
         except zlib.error:
             whole = False
-            at = rest.find(b"\x1f\x8b\x08", 1)  # the next member's head, if it is in sight
+            at = rest.find(MAGIC, 1)  # the next member's head
             while at < 0:
-                rest = stream.read(CHUNK)
-                if not rest:
+                more = stream.read(CHUNK)
+                if not more:
                     break
-                at = rest.find(b"\x1f\x8b\x08")
+                rest = rest[-len(MAGIC) + 1 :] + more  # it may lie across two chunks
+                at = rest.find(MAGIC)
             rest = rest[at:] if at >= 0 else b""
         yield b"".join(parts), whole
 
