@@ -8,21 +8,24 @@ is missed. Fingerprints with a common key are compared bit by bit.
 
 Work inside a key's bucket: small buckets compare by shifting, larger ones grow trees that visit each fingerprint
 once, so a bucket of n similar fingerprints gives n - 1 links and not n * n. A bucket with more than
-split fingerprints is cut again by five blocks of its free bits, on one of which any linked pair agrees.
+split fingerprints is cut again by five blocks of its free bits, on one of which any linked pair agrees, and so on
+with the bits that are still free, until its buckets are small enough.
 
 Defined results: a null or blank text has the fingerprint zero, which is linked like any other; texts of
 fewer than n words are one shingle; null ids are never the least of a component unless all are null; repeated
-rows stay; an empty table gives no rows; other columns are ignored.
+rows stay; ids are whole numbers or texts of such; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
@@ -169,23 +172,40 @@ def _scanner(split: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
     return scan
 
 
-def _blocks() -> Column:
-    """For a row of a crowded bucket: five keys of the bucket's free bits, as (block, bits) hashed with the bucket."""
-    cases = []
-    for segment in range(len(SEGMENTS)):
-        free = _free(segment)
-        parts = [free[k::5] for k in range(5)]
-        rows = []
-        for k, places in enumerate(parts):
-            mask = sum(1 << p for p in places)
-            mask = mask - (1 << 64) if mask >> 63 else mask
-            rows.append(F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bits")))
-        cases.append(F.array(*rows))
-    segment_of = F.shiftright("key", 27)
-    out = cases[-1]
-    for segment in range(len(SEGMENTS) - 1):
-        out = F.when(segment_of == segment, cases[segment]).otherwise(out)
-    return out
+#: Bits of a deeper key that are a hash; those above hold the path: the segment, then the block of each cut.
+HASH_BITS = 42
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+
+
+def free_bits(path: tuple[int, ...]) -> list[int]:
+    """The bits that don't yet agree in a bucket that was cut along path: its segment, then a block (every fifth free bit) each time."""
+    free = _free(path[0])
+    for block in path[1:]:
+        free = [x for k, x in enumerate(free) if k % 5 != block]
+    return free
+
+
+def _paths(level: int) -> list[tuple[int, ...]]:
+    return list(itertools.product(range(len(SEGMENTS)), *[range(5)] * level))
+
+
+def _cutter(level: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Five rows for each row (key, fp) of a crowded bucket of a level: keys of the level below."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            key, fp = pdf["key"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64)
+            path = key >> 27 if level == 0 else key >> HASH_BITS
+            for p in np.unique(path).tolist():
+                own, bits = path == p, free_bits(_paths(level)[p])
+                for block in range(5):
+                    mask = np.uint64(sum(1 << x for x in bits[block::5]))
+                    h = (key[own].view(np.uint64) + np.uint64(block)) * MIX[0] ^ (fp[own] & mask) * MIX[1]
+                    h = (h ^ (h >> np.uint64(32))) * MIX[0]
+                    below = np.uint64(5 * p + block) << np.uint64(HASH_BITS) | h >> np.uint64(64 - HASH_BITS)
+                    yield pd.DataFrame({"key": below.view(np.int64), "fp": fp[own].view(np.int64)})
+
+    return cut
 
 
 def links(fps: DataFrame, split: int = 4096) -> DataFrame:
@@ -198,17 +218,17 @@ def links(fps: DataFrame, split: int = 4096) -> DataFrame:
                 row, key = keys(f[k : k + 20_000].view(np.uint64))
                 yield pd.DataFrame({"key": key, "fp": f[k : k + 20_000][row]})
 
-    schema = "key bigint, fp bigint"
-    def scanned(rows: DataFrame, most: int | None) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_scanner(most), LINKS)
-
-    first = save(scanned(fps.mapInPandas(spread, "key bigint, fp bigint"), split), "near-links")
-    found = first.filter(~F.col("crowded")).select("a", "b")
-    crowd = first.filter("crowded").select(F.col("a").alias("key"), F.col("b").alias("fp"))
-    if crowd.isEmpty():
-        return found
-    cut = crowd.withColumn("block", F.explode(_blocks())).select(F.xxhash64("key", "block.block", "block.bits").alias("key"), "fp")
-    return found.unionByName(scanned(cut, None).select("a", "b"))
+    schema, rows, found, level = "key bigint, fp bigint", fps.mapInPandas(spread, "key bigint, fp bigint"), [], 0
+    while True:
+        # with so few free bits a bucket can't hold more than split (or five, the least that is cut) fingerprints
+        last = len(free_bits((0, *[0] * level))) <= max(5, split.bit_length() - 1)
+        scanned = rows.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_scanner(None if last else split), LINKS)
+        scanned = save(scanned, "near-links")
+        found.append(scanned.filter(~F.col("crowded")).select("a", "b"))
+        crowd = scanned.filter("crowded").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+        if last or crowd.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        rows, level = crowd.mapInPandas(_cutter(level), schema), level + 1
 
 
 def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 4, split: int = 4096) -> DataFrame:
