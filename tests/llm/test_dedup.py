@@ -34,6 +34,21 @@ def test_exact_equals_brute_force(docs, odd_docs, historical):
         assert got == exact_brute(rows.collect())
 
 
+@pytest.mark.parametrize("historical", [True, False, None])
+def test_exact_winners_over_many_shards(docs, historical):
+    past = F.col("doc_id") % 3 == 0 if historical is None else F.lit(historical)
+    got = {r.keep_id: r.group_size for r in exact_dedup.winners(docs, past, shard_rows=9).collect()}
+    assert got == {x[1]: x[2] for x in exact_brute(docs.collect())}
+
+
+def test_probe_tells_members_from_others(docs):
+    history = exact_dedup.groups_of(docs.filter("doc_id % 2 = 0"))
+    new = exact_dedup.groups_of(docs.filter("doc_id % 2 = 1"))
+    old = {bytes(r.digest) for r in history.collect()}
+    out = exact_dedup.probe(exact_dedup.build_index(history, 5), new, 5).collect()
+    assert len(out) == len(old) + new.count() and all(r.member == (bytes(r.digest) in old) for r in out)
+
+
 def test_minimal_perfect_hash():
     digests = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
     bits = exact_dedup.build_hash(b"".join(digests))
@@ -104,7 +119,7 @@ def near_brute(rows):
     return sorted(((r.doc_id, f"{int(fps[i]):016x}", min((x for x in least[find(i)] if x is not None), default=None)) for i, r in enumerate(rows)), key=repr)
 
 
-@pytest.mark.parametrize("split", [4096, 3])
+@pytest.mark.parametrize("split", [4096, 12])
 def test_near_equals_brute_force(docs, split):
     got = sorted((tuple(r) for r in near_dedup.near_dedup(docs, split=split).collect()), key=repr)
     assert got == near_brute(docs.collect())
@@ -117,7 +132,7 @@ def test_near_dense_cluster(spark):
     values = {centre ^ sum(1 << b for b in rng.choice(63, int(rng.integers(0, 6)), replace=False).tolist()) for _ in range(700)} | {int(x) for x in rng.integers(0, 1 << 63, 300)}
     fps = sorted(values)
     rows = spark.createDataFrame([(v,) for v in fps], "fp bigint")
-    for split in (4096, 20):
+    for split in (4096, 150):
         edges = near_dedup.links(rows, split)
         roots = {r.node: r.root for r in components(edges).collect()}
         arr = np.array(fps, dtype=np.uint64)
@@ -137,7 +152,26 @@ def test_near_dense_cluster(spark):
             for x in own:
                 comp[fps[x]] = min(fps[y] for y in own)
         assert all(roots.get(f, f) == comp[f] for f in fps)
-        assert edges.count() < 60 * len(fps)
+        assert edges.count() < (60 if split == 4096 else 600) * len(fps)
+
+
+def test_cuts_lose_no_pair():
+    """Any two fingerprints within four bits that share a bucket share one below it, at every level."""
+    rng = np.random.default_rng(8)
+    import pandas as pd
+
+    for level in range(4):
+        paths = near_dedup._paths(level)
+        for _ in range(40):
+            p = int(rng.integers(len(paths)))
+            free = near_dedup.free_bits(paths[p])
+            a = int(rng.integers(0, 1 << 63))
+            b = a ^ sum(1 << x for x in rng.choice(free, min(4, len(free)), replace=False).tolist())
+            key = p << 27 if level == 0 else p << near_dedup.HASH_BITS | 12345
+            rows = pd.DataFrame({"key": [key, key], "fp": np.array([a, b], dtype=np.uint64).view(np.int64)})
+            out = pd.concat(near_dedup._cutter(level)(iter([rows])))
+            keys = [set(out["key"][out["fp"].to_numpy().view(np.uint64) == np.uint64(x)]) for x in (a, b)]
+            assert keys[0] & keys[1] and all(k >> near_dedup.HASH_BITS in range(5 * p, 5 * p + 5) for k in keys[0])
 
 
 def test_near_odd_rows(odd_docs, no_docs):

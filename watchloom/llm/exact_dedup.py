@@ -7,8 +7,8 @@ of rows seen. A lookup compares all 32 bytes of the digest, so a key that is no
 
 Defined results: a null text counts as empty; of equal texts the row with the largest id stays (null
 ids are smaller than any other; if all are null, keep_id is null and every such row is kept); rows
-that share both id and text are one document and are kept or dropped together; an empty table gives
-no rows; other columns of the input are ignored.
+that share both id and text are one document and are kept or dropped together; ids are whole numbers or texts of
+such; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -103,43 +103,47 @@ def build_index(groups: DataFrame, n_shards: int) -> DataFrame:
 
 
 def probe(index: DataFrame, arrivals: DataFrame, n_shards: int) -> DataFrame:
-    """Looks the distinct arrivals up and returns each digest with its winner and size after them."""
+    """digest, id, size, member: the slots of the index, and every arrival, a member if its digest is in a slot byte for byte."""
 
     def find(history: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        row = history.iloc[0] if len(history) else None
-        bits, held = (list(row["bits"]), row["digests"]) if row is not None else ([], b"")
-        known = [bytes(held[k : k + 32]) for k in range(0, len(held), 32)]
-        ids, sizes = (list(row["ids"]), list(row["sizes"])) if row is not None else ([], [])
-        fresh = []
-        at = lookup(bits, held, b"".join(new["digest"])) if len(new) else []
-        for k, digest, new_id, size in zip(at, new["digest"], new["id"], new["size"], strict=True):
-            new_id = None if pd.isna(new_id) else int(new_id)
-            if k < 0:
-                fresh.append((digest, new_id, size))
-                continue
-            old = None if pd.isna(ids[k]) else int(ids[k])
-            ids[k] = new_id if old is None else old if new_id is None else max(old, new_id)
-            sizes[k] += size
-        rows = [*zip(known, (None if pd.isna(x) else str(int(x)) for x in ids), sizes, strict=True), *((d, None if i is None else str(i), s) for d, i, s in fresh)]
-        return pd.DataFrame(rows, columns=["digest", "keep_id", "group_size"])
+        digests, ids, sizes, member = new["digest"].tolist(), new["id"].tolist(), new["size"].tolist(), [False] * len(new)
+        if len(history):
+            row = history.iloc[0]
+            bits, held = list(row["bits"]), row["digests"]
+            if len(new):
+                member = (lookup(bits, held, b"".join(digests)) >= 0).tolist()
+            digests += [bytes(held[k : k + 32]) for k in range(0, len(held), 32)]
+            ids += [None if pd.isna(x) else str(int(x)) for x in row["ids"]]
+            sizes += list(row["sizes"])
+            member += [True] * len(row["sizes"])
+        return pd.DataFrame({"digest": digests, "id": pd.Series(ids, dtype=object), "size": sizes, "member": member})
 
     new = arrivals.select(_shard(n_shards), "digest", F.col("id").cast("string"), "size")
-    out = index.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(find, "digest binary, keep_id string, group_size bigint")
-    return out.withColumn("keep_id", F.col("keep_id").cast("bigint"))
+    out = index.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(find, "digest binary, id string, size bigint, member boolean")
+    return out.withColumn("id", F.col("id").cast("bigint"))
+
+
+#: Rows of a digest that arrive at a shard, at most.
+ARRIVALS = 64
 
 
 def winners(docs: DataFrame, historical: Column, text_col: str = "text", id_col: str = "doc_id", shard_rows: int = 32768) -> DataFrame:
     """digest, keep_id, group_size of every distinct text.
 
-    Rows for which historical holds are indexed first, the others arrive later. shard_rows is the mean
-    number of digests in a shard, of the larger of both sides, which bounds what a task holds.
+    Rows for which historical holds are indexed first, the others arrive later. Copies among the arrivals of a digest are combined to
+    at most 64 rows before they look it up. Members then raise the size and the winner of their slot, nonmembers are grouped apart. shard_rows is
+    the mean number of digests in a shard, of the larger of both sides, which bounds what a task holds.
     """
     past = F.coalesce(historical, F.lit(False))
     history = save(groups_of(docs.filter(past), text_col, id_col), "exact-history")
-    new = save(groups_of(docs.filter(~past), text_col, id_col), "exact-arrivals")
+    rows = docs.filter(~past).select(digest_of(text_col).alias("digest"), F.col(id_col).cast("bigint").alias("id"))
+    parts = rows.groupBy("digest", F.pmod(F.xxhash64("id"), F.lit(ARRIVALS)).alias("part"))
+    new = save(parts.agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("size")).drop("part"), "exact-arrivals")
     n = max(1, -(-max(history.count(), new.count()) // shard_rows))
     index = save(build_index(history, n), "exact-index")
-    return save(probe(index, new, n), "exact-winners")
+    found = save(probe(index, new, n), "exact-probed")
+    grouped = lambda part: part.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("size").alias("group_size"))
+    return save(grouped(found.filter("member")).unionByName(grouped(found.filter("not member"))), "exact-winners")
 
 
 def exact_dedup(docs: DataFrame, historical: Column | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
