@@ -1,4 +1,5 @@
 import hashlib
+import json
 import zlib
 from collections import defaultdict
 
@@ -67,15 +68,43 @@ def tokenizer():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def made_encoder(path):
+    return packing.encoder(path, packing.ranks_of(path))
+
+
 def test_encoder_equals_the_library(tokenizer, docs):
-    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = made_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encode.any is not None
     texts = [r.text for r in docs.collect()] + ["", " ", "  a  b", "a\n\n b\t", "it's <|endoftext|> 12", "　x   y", "é日本\U0001f600 '''ll"]
     for t in texts:
         assert encode(t) == np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    other = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    other = made_encoder(public_tokenizers.path("word_bpe_49k.json"))
     assert other("Some Text") == np.asarray(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode("Some Text", add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_ranks_are_refused_unless_they_tell_the_merges(tmp_path):
+    """abc is listed as a + bc, but its ranks give ab + c; then options that change merging."""
+
+    def made(merges, **options):
+        chars = sorted(packing._byte_chars())
+        vocab = {c: k for k, c in enumerate([*chars, *("".join(m) for m in merges)])}
+        model = {"type": "BPE", "vocab": vocab, "merges": merges, "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False} | options
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        pre = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        path.write_text(json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": pre, "post_processor": None, "decoder": None, "model": model}))
+        return str(path)
+
+    good = made([["a", "b"], ["ab", "c"], ["b", "c"]])
+    assert packing.ranks_of(good) is not None
+    bad = made([["a", "b"], ["b", "c"], ["a", "bc"]])
+    assert packing.ranks_of(bad) is None
+    assert packing.ranks_of(made([["a", "b"]], dropout=0.5)) is None and packing.ranks_of(made([["a", "b"]], ignore_merges=True)) is None
+    for path in (good, bad):
+        library = Tokenizer.from_file(path)
+        for text in ("abc", "aabcbc", "bcabc ab"):
+            assert made_encoder(path)(text) == np.asarray(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def test_pieces_round_trip(tokenizer, docs):
     parts = defaultdict(list)
     rows = packing.pack(docs, with_ids=True).collect()

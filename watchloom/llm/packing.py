@@ -5,7 +5,7 @@ it goes), longest first. Each piece is a sequence of its own, so no sequence cro
 none needs padding; pieces of equal length form a bucket and are batched together.
 
 Defined results: a null or empty text is the end token alone; repeated rows and null ids are packed
-like any other, each row by itself; an empty table gives no rows; other columns are ignored.
+like any other, each row by itself; ids are whole numbers or texts of such; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,26 +40,57 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def _listed(data: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
+    """The parts of data after all merges of a rank under below, the least rank first, the leftmost of equals."""
+    parts = [data[i : i + 1] for i in range(len(data))]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(x + y, below), i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)))
+        if rank >= below:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+@cache
+def ranks_of(path: str) -> dict[bytes, int] | None:
+    """bytes → id if the tokenizer is one whose merges are told by the ids alone, else None.
+
+    That is so for a byte-level BPE without options that change merging, whose merged ids ascend and in which each token, encoded by ranks under
+    its own, comes to the two parts of its listed merge. (Two neighbours that make up the token stood alone until its turn came, so they
+    are what those bytes come to by themselves: the listed parts. Merging by rank is then merging by list.)
+    """
+    spec = json.loads(Tokenizer.from_file(path).to_str())
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    if any(spec.get(k) for k in ("normalizer", "truncation", "padding")) or any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk")):
+        return None
+    chars, vocab = _byte_chars(), model["vocab"]
+    special = {t["content"] for t in spec.get("added_tokens") or []}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [vocab.get("".join(m), -1) for m in pairs]
+    if made != sorted(set(made)) or set(chars) - set(vocab) or len(made) + len(chars) != len(set(vocab) - special):
+        return None
+    ranks = {bytes(chars[c] for c in token): k for token, k in vocab.items() if token not in special}
+    for (x, y), k in zip(pairs, made, strict=True):
+        if _listed(bytes(chars[c] for c in x + y), ranks, k) != [bytes(chars[c] for c in part) for part in (x, y)]:
+            return None
+    return ranks
+
+
 class Encoder:
     """Token ids of whole texts, as the tokenizers library gives them, as little-endian unsigned 32-bit bytes.
 
-    A byte-level BPE whose ids follow the order of its merges is also a table of ranks, which tiktoken
-    encodes several times faster; it is made here from the tokenizer's own file. Texts with a special token's
-    string, and other tokenizers, go to the tokenizers library.
+    Where the merges are told by the ids alone (ranks_of), tiktoken encodes with the table of ranks, several times faster. Texts with an added
+    token's string, and other tokenizers, go to the tokenizers library.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, ranks: dict[bytes, int] | None) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-        self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        self.special = [t["content"] for t in json.loads(self.tokenizer.to_str()).get("added_tokens") or []]
         self.tight = self.any = None
-        if model["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer"):
-            made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-            if made == sorted(made):
-                chars = _byte_chars()
-                ranks = {bytes(chars[c] for c in token): k for token, k in model["vocab"].items() if token not in self.special}
-                self.any, self.tight = (tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (WORDS, WORDS_APART))
+        if ranks is not None:
+            self.any, self.tight = (tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (WORDS, WORDS_APART))
 
     def __call__(self, text: str) -> bytes:
         if self.any is None or any(s in text for s in self.special):
@@ -67,6 +100,16 @@ class Encoder:
         return np.array(ids, dtype="<u4").tobytes()
 
 
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str, ranks: dict[bytes, int] | None) -> Encoder:
+    """Made once in each worker process."""
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path, ranks)
+    return ENCODERS[path]
+
+
 def piece_lengths(n: int, longest: int = 2048) -> list[int]:
     """The powers of two that make up n, the longest as often as it goes."""
     out = [longest] * (n // longest)
@@ -87,14 +130,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, longest
         raise ValueError("longest must be a power of two")
     bounded_batches(docs.sparkSession)
     schema = PIECES + (", ids array<bigint>" if with_ids else "")
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    ranks = docs.sparkSession.sparkContext.broadcast(ranks_of(path))  # proved here once; as many entries as the vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if tokenizer is None:
-            import public_tokenizers
-
-            encode = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-        else:
-            encode = Encoder(tokenizer)
+        encode = encoder(path, ranks.value)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for pdf in batches:
             rows = []
