@@ -1,12 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
-A rule measures a ratio of a document and rejects it above a cutoff. Cutoffs aren't chosen by hand: labelled good documents
-(the holdout) say how many of them each candidate cutoff would reject, and the exact binomial distribution says
-whether that proves a false rejection rate of at most alpha. P(X <= k) for X ~ Binomial(n, alpha) is the p-value of
-"the rate is above alpha" when k of n good documents are rejected. With m tests over all strata, rules and cutoffs,
-a cutoff holds if its p-value is at most delta / m (Bonferroni), so with confidence 1 - delta every chosen cutoff keeps its
-promise at once. The lowest cutoff that holds is used; a rule without one rejects nothing in that stratum. alpha of a
-stratum is divided among the rules, so all rules together falsely reject at most that share.
+A rule measures a ratio of a document and rejects it above a cutoff. Cutoffs aren't chosen by hand. The rules' candidate cutoffs
+form one sequence of levels: level 1 has only the loosest cutoff of the first rule, each next level tightens one rule by one cutoff, in turn.
+Labelled good documents (the holdout) say how many of them a level would reject, by all its rules together, and the exact
+binomial distribution says whether that proves a false rejection rate of at most alpha: P(X <= k) for X ~ Binomial(n, alpha) is the
+p-value of "the rate is above alpha" when k of n good documents are rejected.
+
+The levels of a stratum are tested in their fixed order, loosest first, and testing stops at the first that fails, so all tests of a
+stratum share one error level (a level beyond a true limit is only reached through a false one). Strata share delta by Bonferroni. Hence with
+confidence 1 - delta the levels of all strata at once keep their promise: of the good documents that the base rules pass, at most alpha are rejected.
+A stratum whose first level fails rejects nothing.
 
 Only DataFrame functions run here. Defined results: a null text has no words; documents that fail the base rules are not
 in the holdout; a null stratum is a stratum of its own; labels that contradict each other count as not good; labels without a
@@ -37,7 +40,7 @@ class Rule:
     cutoffs: tuple[float, ...]
 
 
-#: Candidate cutoffs of each rule.
+#: Candidate cutoffs of each rule, as many for each.
 CUTOFFS = {
     "symbols": (0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0),
     "marks": (0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0),
@@ -107,28 +110,43 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(below))
 
 
-def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, label_col: str = "quality", id_col: str = "doc_id", chosen: tuple[Rule, ...] | None = None) -> DataFrame:
-    """stratum, rule, cutoff, n, k, p of the cutoffs that hold (the lowest of each stratum and rule)."""
+def rejected_from(rule: Rule, place: int, n_rules: int) -> Column:
+    """The first level at which a rule, the place-th of n_rules, rejects the document; null if none does."""
+    below = F.size(F.filter(F.array(*map(F.lit, rule.cutoffs)), lambda c: c < rule.value))
+    return F.when(below > 0, n_rules * (len(rule.cutoffs) - below) + place + 1)
+
+
+def cutoffs_of(level: int, chosen: tuple[Rule, ...] | None = None) -> dict[str, float]:
+    """The cutoffs that are in force at a level."""
+    chosen = chosen or rules()
+    steps = {r.name: min(len(r.cutoffs), (level - place - 1) // len(chosen) + 1) for place, r in enumerate(chosen)}
+    return {r.name: r.cutoffs[-steps[r.name]] for r in chosen if steps[r.name] > 0}
+
+
+def levels(feats: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, label_col: str = "quality", id_col: str = "doc_id", chosen: tuple[Rule, ...] | None = None) -> DataFrame:
+    """stratum, level, n, k, p: the last level of each stratum's sequence that holds. Strata without one are left out."""
     chosen = chosen or rules()
     good = labels.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("good")).filter("good = 1")
     held = feats.filter(~base_failed()).join(good, feats["doc_id"] == good["__id"], "left_semi")
-    counts = [F.count_if(r.value > c).alias(f"{r.name}_{i}") for r in chosen for i, c in enumerate(r.cutoffs)]
+    first = F.array_min(F.array(*(rejected_from(r, i, len(chosen)) for i, r in enumerate(chosen))))
+    n_levels = len(chosen) * max(len(r.cutoffs) for r in chosen)
+    counts = [F.count_if(first <= t).alias(f"k{t}") for t in range(1, n_levels + 1)]
     wide = save(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts), "quality-holdout")
-    m = max(1, wide.count() * len(counts))
-    tests = F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r.name}_{i}").alias("k")) for r in chosen for i, c in enumerate(r.cutoffs))))
-    long = wide.select("stratum", "n", tests.alias("t")).select("stratum", "n", "t.*")
-    sure = long.withColumn("p", binomial_tail(F.col("k"), F.col("n"), alpha / len(chosen))).filter(F.col("p") <= delta / m)
-    return sure.groupBy("stratum", "rule").agg(F.min_by(F.struct("cutoff", "n", "k", "p"), "cutoff").alias("c")).select("stratum", "rule", "c.*")
+    strata = max(1, wide.count())
+    tests = F.explode(F.array(*(F.struct(F.lit(t).alias("level"), F.col(f"k{t}").alias("k")) for t in range(1, n_levels + 1))))
+    tested = wide.select("stratum", "n", tests.alias("t")).select("stratum", "n", "t.*").withColumn("p", binomial_tail(F.col("k"), F.col("n"), alpha))
+    # k, and p with it, never falls from level to level, so the levels that hold are the first ones
+    sure = tested.filter(F.col("p") <= delta / strata)
+    return sure.groupBy("stratum").agg(F.max_by(F.struct("level", "n", "k", "p"), "level").alias("c")).select("stratum", "c.*")
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, text_col: str = "text", id_col: str = "doc_id", stratum_col: str = "lang") -> DataFrame:
     """doc_id, the counts, base_failed, kept and the names of the rules that the document breaks."""
     chosen = rules()
     feats = save(features(docs, text_col, id_col, stratum_col), "quality-features")
-    limits = cutoffs(feats, labels, alpha, delta, chosen=chosen).groupBy(F.col("stratum").alias("__stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
     # a row for each stratum: a written table, so Spark knows its size and picks the join by it
-    limits = save(limits, "quality-limits")
+    limits = save(levels(feats, labels, alpha, delta, chosen=chosen).select(F.col("stratum").alias("__stratum"), "level"), "quality-limits")
     both = feats.join(limits, feats["stratum"].eqNullSafe(F.col("__stratum")), "left")
-    broken = F.array_compact(F.array(*(F.when(r.value > F.try_element_at("limits", F.lit(r.name)), F.lit(r.name)) for r in chosen)))
+    broken = F.array_compact(F.array(*(F.when(rejected_from(r, i, len(chosen)) <= F.col("level"), F.lit(r.name)) for i, r in enumerate(chosen))))
     broken = F.coalesce(broken, F.array().cast("array<string>"))
     return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & (F.size(broken) == 0)).alias("kept"), broken.alias("broken"))

@@ -52,8 +52,7 @@ def op9_suffix_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secret_scan.scan(table(spark, sf_dir, "documents"))
-    return secret_scan.report(found)
+    return secret_scan.report(secret_scan.scan_in_steps(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixture_language_id, op2_extendible_shards, op3_poisson_mixture, op4_warc_round_trip, op5_golay_near_dedup, op6_exact_dedup, op7_risk_controlled_quality, op8_power_of_two_packing, op9_suffix_sort_dedup, op10_secret_ledger)}
@@ -107,12 +106,10 @@ _VALUES = {"symbols": "n_symbols / greatest(n_words, 1)", "marks": "n_marks / gr
 
 
 def _op7_sql(alpha: float = 0.02, delta: float = 0.05) -> str:
-    """The base counts by lists, and the thresholds by summing binomial terms with lgamma."""
+    """The base counts by lists, and the levels by summing binomial terms with lgamma."""
     grid = quality.CUTOFFS
-    tests = sum(map(len, grid.values()))
-    cells = " UNION ALL ".join(f"SELECT lang, '{name}' AS rule, c AS cutoff, count(*) AS n, count(*) FILTER ({_VALUES[name]} > c) AS k FROM held, (SELECT unnest({list(cuts)}) AS c) GROUP BY lang, c" for name, cuts in grid.items())
-    broken = " OR ".join(f"coalesce({value} > (SELECT min(cutoff) FROM sure WHERE sure.rule = '{name}' AND sure.lang IS NOT DISTINCT FROM f.lang), false)" for name, value in _VALUES.items())
-    a = alpha / len(grid)
+    firsts = ", ".join(f"CASE WHEN {_VALUES[name]} > {cuts[0]} THEN {len(grid)} * ({len(cuts)} - len(list_filter({list(cuts)}, lambda c: c < {_VALUES[name]}))) + {i + 1} END" for i, (name, cuts) in enumerate(grid.items()))
+    n_levels = sum(map(len, grid.values()))
     return f"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '{_GAPS}'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
@@ -125,11 +122,12 @@ f AS (
     coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) - length(replace(text, '!', '')) AS n_marks, len(lines) AS n_lines, len(w) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w) AS base_failed
   FROM w LEFT JOIN p USING (r)
 ),
-held AS (SELECT f.* FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
-cells AS ({cells}),
-m AS (SELECT count(DISTINCT coalesce(lang, '~')) * {tests} AS m FROM held),
-sure AS (SELECT lang, rule, cutoff FROM cells, m WHERE k < n * {a!r} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({a!r}) + (n - i) * ln(1 - {a!r}))) FROM range(0, k + 1) AS x(i)) <= {delta!r} / m)
-SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({broken}) AS kept FROM f
+s AS (SELECT *, least({firsts}) AS first FROM f),
+held AS (SELECT lang, first FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
+cells AS (SELECT lang, l, count(*) AS n, count(*) FILTER (first <= l) AS k FROM held, range(1, {n_levels + 1}) AS x(l) GROUP BY lang, l),
+m AS (SELECT count(DISTINCT coalesce(lang, '~')) AS m FROM held),
+sure AS (SELECT lang, max(l) AS l FROM cells, m WHERE k < n * {alpha!r} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha!r}) + (n - i) * ln(1 - {alpha!r}))) FROM range(0, k + 1) AS x(i)) <= {delta!r} / m GROUP BY lang)
+SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(first > sure.l, true) AS kept FROM s LEFT JOIN sure ON s.lang IS NOT DISTINCT FROM sure.lang
 """
 
 

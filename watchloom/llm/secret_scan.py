@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import bounded_batches, save, text_or_empty
@@ -51,35 +51,51 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["blob", "kind", "version", "spans"])
 
 
+def _current() -> Column:
+    """Whether a ledger row is of a rule's present version."""
+    out = F.lit(False)
+    for kind, rule in RULES.items():
+        out = out | ((F.col("kind") == kind) & (F.col("version") == rule[0]))
+    return out
+
+
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None, text_col: str = "text") -> DataFrame:
-    """Ledger rows for the pairs of blob and rule version that the ledger lacks.
+    """Ledger rows for the pairs of blob and rule version that the ledger lacks, written once.
 
-    Each blob's text is scanned once: rows are grouped by blob and the text goes along in one copy.
+    Copies of a blob are combined before the shuffle, so each blob's text travels and is scanned once.
     """
     bounded_batches(docs.sparkSession)
-    rules = [(kind, rule[0]) for kind, rule in RULES.items()]
-    blobs = docs.select(F.sha2(text_or_empty(text_col), 256).alias("blob"), text_or_empty(text_col).alias("text"))
+    every = F.array(*(F.lit(kind) for kind in RULES))
+    blobs = docs.select(F.sha2(text_or_empty(text_col), 256).alias("blob"), text_or_empty(text_col).alias("text")).dropDuplicates(["blob"])
     if ledger is None:
-        todo = blobs.withColumn("kinds", F.array(*(F.lit(k) for k, _ in rules)))
+        todo = blobs.withColumn("kinds", every)
     else:
-        wanted = blobs.select("blob").distinct().withColumn("r", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(v).alias("version")) for k, v in rules))))
-        wanted = wanted.select("blob", "r.kind", "r.version").join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
-        todo = blobs.join(wanted.groupBy("blob").agg(F.sort_array(F.collect_list("kind")).alias("kinds")), "blob")
-    return todo.dropDuplicates(["blob"]).mapInPandas(_scan, LEDGER)
+        seen = ledger.filter(_current()).groupBy("blob").agg(F.collect_set("kind").alias("seen"))
+        kinds = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
+        todo = blobs.join(seen, "blob", "left").select("blob", "text", kinds.alias("kinds")).filter(F.size("kinds") > 0)
+    return save(todo.mapInPandas(_scan, LEDGER), "secret-ledger")
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(findings for every path, the new ledger rows). The new rows are written once and then read by both."""
-    new = save(scan_unseen(docs, ledger, text_col), "secret-ledger")
-    known = new if ledger is None else ledger.select(*new.columns).unionByName(new)
-    current = F.lit(False)
-    for kind, rule in RULES.items():
-        current = current | ((F.col("kind") == kind) & (F.col("version") == rule[0]))
-    found = known.filter(current & (F.size("spans") > 0)).groupBy("blob").agg(F.map_from_entries(F.collect_list(F.struct("kind", "spans"))).alias("found"))
+def at_paths(docs: DataFrame, ledger: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, blob, found (kind → spans) of every path, from a ledger that holds its blob."""
+    found = ledger.filter(_current() & (F.size("spans") > 0)).groupBy("blob").agg(F.map_from_entries(F.collect_list(F.struct("kind", "spans"))).alias("found"))
     # written, so that the join reads both sides plainly and Spark can split a blob with very many paths
     found = save(found, "secret-findings")
     paths = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_or_empty(text_col), 256).alias("blob"))
-    return paths.join(found, "blob", "left"), new
+    return paths.join(found, "blob", "left")
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(findings for every path, the new ledger rows)."""
+    new = scan_unseen(docs, ledger, text_col)
+    return at_paths(docs, new if ledger is None else ledger.select(*new.columns).unionByName(new), text_col, id_col), new
+
+
+def scan_in_steps(docs: DataFrame, historical: Column | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Findings for every path of a table whose historical rows (half of the ids, if not given) are in the ledger before the others come."""
+    past = F.coalesce(F.pmod(F.xxhash64(F.col(id_col)), F.lit(2)) == 0 if historical is None else historical, F.lit(False))
+    ledger = scan_unseen(docs.filter(past), None, text_col)
+    return at_paths(docs, ledger.unionByName(scan_unseen(docs.filter(~past), ledger, text_col)), text_col, id_col)
 
 
 def _entries(rank: int, kind: str):
