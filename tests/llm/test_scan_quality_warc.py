@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import io
 import math
+import random
 import re
 from collections import Counter
 from pathlib import Path
@@ -44,6 +45,13 @@ def test_spans_equal_brute_force(spark, docs, odd_docs):
     assert "key:0:31" in spans[3] and "web:" in spans[3] and spans[2] == spans[4]
 
 
+def test_scan_in_steps_equals_one_scan(docs, odd_docs):
+    for rows, pasts in ((docs, [None]), (odd_docs, [F.lit(False), F.col("doc_id") < 4])):
+        for past in pasts:
+            got = sorted(map(repr, secret_scan.report(secret_scan.scan_in_steps(rows, past)).collect()))
+            assert got == sorted(map(repr, secret_scan.report(secret_scan.scan(rows)[0]).collect()))
+
+
 def test_ledger_scans_only_what_is_new(spark, monkeypatch, no_docs):
     first = spark.createDataFrame(PLANTED[:3], "doc_id bigint, text string")
     every = spark.createDataFrame(PLANTED, "doc_id bigint, text string")
@@ -82,20 +90,45 @@ def test_binomial_tail(spark):
         assert r.p == 1.0 if r.k >= 0.01 * r.n else abs(r.p - want) < 1e-9
 
 
-def test_cutoffs_hold_and_are_used(spark):
-    good, bad = "plain words of good prose about many things " * 12, "bad%%% text*** with### marks$$$ every&&& where|||  " * 12
-    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)) if i % 10 else " ".join(f"w{i}x{j}%%" for j in range(60)), "en" if i % 2 else None) for i in range(6000)]
+def test_levels_hold_and_are_used(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)) if i % 10 else " ".join(f"w{i}x{j}%%" for j in range(60)), "en" if i % 2 else None) for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    labels = spark.createDataFrame([(i, 1 if i % 10 else 0) for i in range(6000)] + [(1, 0)], "doc_id bigint, quality int")
+    labels = spark.createDataFrame([(i, 1 if i % 10 else 0) for i in range(2000)] + [(1, 0)], "doc_id bigint, quality int")
     feats = quality.features(docs)
-    chosen = {(r.stratum, r.rule): r for r in quality.cutoffs(feats, labels, alpha=0.05).collect()}
-    assert {s for s, _ in chosen} == {"en", None} and chosen[("en", "symbols")].k == 0
-    judged = quality.judge(docs, labels, alpha=0.05).collect()
+    chosen = {r.stratum: r for r in quality.levels(feats, labels).collect()}
+    assert set(chosen) == {"en", None}
+    for r in chosen.values():
+        assert r.k == 0 and "symbols" in quality.cutoffs_of(r.level)
+    judged = quality.judge(docs, labels).collect()
     assert all(r.kept == bool(r.doc_id % 10) for r in judged)
-    assert not quality.cutoffs(feats.limit(0), labels).collect()
+    assert not quality.levels(feats.limit(0), labels).collect()
     few = quality.judge(docs.filter("doc_id < 100"), labels)
     assert few.filter("kept").count() == 100  # too few labels prove nothing, so nothing is rejected
-    _ = good, bad
+
+
+def test_levels_tighten_one_rule_at_a_time(spark):
+    grid = quality.CUTOFFS
+    assert quality.cutoffs_of(1) == {"symbols": 2.0} and quality.cutoffs_of(7)["marks"] == 1.5 and quality.cutoffs_of(45) == {k: c[0] for k, c in grid.items()}
+    rng = random.Random(4)
+    rows = [[rng.choice([0.0, rng.random(), 3 * rng.random(), 40 * rng.random()]) for _ in grid] for _ in range(300)]
+    chosen = tuple(quality.Rule(name, F.col(name), cuts) for name, cuts in grid.items())
+    first = F.least(*(quality.rejected_from(r, i, len(chosen)) for i, r in enumerate(chosen)))
+    for r in spark.createDataFrame(rows, ", ".join(f"{k} double" for k in grid)).withColumn("first", first).collect():
+        want = next((t for t in range(1, 46) if any(r[k] > c for k, c in quality.cutoffs_of(t).items())), None)
+        assert r["first"] == want
+
+
+def test_false_rejections_stay_under_alpha_in_simulations(spark):
+    """Each stratum is a trial at five percent (delta is a share for all): of 300 levels at most that share break their promise."""
+    trials, alpha = 300, 0.05
+    rng = random.Random(12)
+    rows = [(t * 1000 + i, str(t), 100, rng.paretovariate(1.5) - 1) for t in range(trials) for i in range(400)]
+    feats = spark.createDataFrame(rows, "doc_id bigint, stratum string, n_words bigint, value double").withColumn("n_repeat_words", F.lit(0).cast("bigint"))
+    cuts = (0.5, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0)
+    rule = (quality.Rule("tail", F.col("value"), cuts),)
+    found = quality.levels(feats, feats.select("doc_id", F.lit(1).alias("quality")), alpha, 0.05 * trials, chosen=rule).collect()
+    true_rate = [(1 + quality.cutoffs_of(r.level, rule)["tail"]) ** -1.5 for r in found]
+    assert len(found) > 100 and sum(x > alpha for x in true_rate) <= 0.05 * trials + 3 * math.sqrt(0.05 * 0.95 * trials)
 
 
 def test_quality_odd_rows(spark, odd_docs, no_docs):
