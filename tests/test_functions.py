@@ -49,8 +49,12 @@ def test_addresses(spark):
     assert values(spark, *ok6) == [True, True, True, True, False, False]
     ip = F.lit("192.168.10.7")
     assert values(spark, P.ip_cidr_match(ip, "192.168.0.0", "16"), P.ip_cidr_match(ip, "192.168.0.0", "255.255.0.0"), P.ip_cidr_match(ip, "192.168.11.0", "24"), P.ip_cidr_match(F.lit("x"), "0.0.0.0", "0")) == [True, True, False, False]
-    public = [P.is_public_ip(F.lit(x)) for x in ("8.8.8.8", "10.1.1.1", "172.20.0.1", "127.0.0.1", "fd00::1", "2001:db8::1", "no")]
-    assert values(spark, *public) == [True, False, False, False, False, True, False]
+    public = [P.is_public_ip(F.lit(x)) for x in ("8.8.8.8", "10.1.1.1", "172.20.0.1", "127.0.0.1", "fd00::1", "2001:db8::1", "no", "169.254.1.1", "0:0:0:0:0:0:0:1", "::1", "FE80::1", "fec0::1", "::ffff:10.0.0.1")]
+    assert values(spark, *public) == [True, False, False, False, False, True, False, True, False, False, False, True, True]
+    cases = [("2001:db8::1", "2001:db8::", "32", True), ("2001:db9::1", "2001:db8::", "32", False), ("2001:0DB8:0:0::1", "2001:db8::", "/33", True), ("1.2.3.4", "::", "0", False), ("::ffff:1.2.3.4", "::ffff:102:304", "128", True), ("1.2.3.4", "1.2.3.4", "33", False)]
+    assert values(spark, *(P.ip_cidr_match(F.lit(a), b, m) for a, b, m, _ in cases)) == [x for *_, x in cases]
+    keys = values(spark, *(F.hex(P.ip_key(F.lit(x))) for x in ("1.2.3.4", "::ffff:1.2.3.4", "2001:db8::1", "x")))
+    assert keys == ["00000000000000000000FFFF01020304"] * 2 + ["20010DB8000000000000000000000001", None]
 
 
 def test_variant_types(spark):
@@ -66,6 +70,7 @@ def test_variant_types(spark):
 def test_mapping_text_and_numbers(spark):
     assert values(spark, M.concat("a", 1, F.lit(True)), M.concat("a", NONE("string")), M.concat_any("a", NONE("string"), 2)) == ["a1true", None, "a2"]
     assert values(spark, M.decode_base16(F.lit("48656C6C6F")), M.decode_base16(F.lit("4")), M.hex_to_number(F.lit("0x1F")), M.hex_to_number(F.lit("g"))) == ["Hello", None, 31, None]
+    assert values(spark, M.decode_base16(F.lit("ff")), M.decode_base16(F.lit("c3a9"))) == [None, "é"]
     assert values(spark, M.int_calculate("sum", 1, 2, 3), M.int_calculate("sub", 10, 3), M.int_calculate("mul", 1 << 62, 4), M.int_calculate("div", -7, 2), M.int_calculate("div", 7, 0)) == [6, 7, None, -3, None]
     assert values(spark, M.float_calculate("div", 1.0, 4), M.float_calculate("div", 1.0, 0), M.float_calculate("mul", 1e308, 10)) == [0.25, None, None]
     assert values(spark, M.to_int(F.lit(9.6)), M.to_int(F.lit(9.6), "round"), M.to_int(F.lit(-9.6)), M.to_bool(F.lit(0)), M.regex_extract(F.lit("id=42"), r"id=(\d+)"), M.regex_extract(F.lit("x"), r"(\d)")) == [9, 10, -9, False, "42", None]
@@ -74,6 +79,7 @@ def test_mapping_text_and_numbers(spark):
 
 def test_mapping_dates(spark):
     assert values(spark, M.date_from_epoch(F.lit(1700000000)), M.date_to_epoch(F.lit("2023-11-14T22:13:20Z")), M.date_to_epoch(F.lit("no"))) == ["2023-11-14T22:13:20Z", 1700000000.0, None]
+    assert values(spark, *(M.date_from_epoch(F.lit(x)) for x in (9223372036854775807, -9223372036854775808, 253402300799, 253402300800, "x"))) == [None, None, "9999-12-31T23:59:59Z", None, None]
     assert abs(values(spark, M.system_epoch())[0] - dt.datetime.now().timestamp()) < 60
 
 

@@ -1,4 +1,6 @@
 import datetime as dt
+import itertools
+import re
 
 import numpy as np
 import pytest
@@ -151,7 +153,7 @@ def test_lookups(spark):
     assert rows(J.sid_list_describe(df, kv, dom, "id", "sids", "names"), "names") == [(["Domain Admins", "Everyone", "S-9"],)]
     nets = spark.createDataFrame([(167772160, 184549375, "ten"), (167772160, 167772415, "small")], "net_lo bigint, net_hi bigint, record string")
     ips = spark.createDataFrame([(1, "10.0.0.5"), (2, "10.200.0.1"), (3, "11.0.0.1"), (4, None)], "id int, ip string")
-    assert dict(rows(J.geo_enrich(ips, nets, "ip", "net"), "id", "net")) == {1: "small", 2: "ten", 3: None, 4: None}
+    assert dict(rows(J.range_enrich(ips, nets, "ip", "net"), "id", "net")) == {1: "small", 2: "ten", 3: None, 4: None}
     deep = spark.createDataFrame([(1, {"x": {"a": "1"}})], "key int, value map<string,map<string,string>>")
     base = spark.createDataFrame([(1, {"x": {"b": "2"}}), (2, {"x": {"b": "2"}})], "k int, m map<string,map<string,string>>")
     assert dict(rows(J.lookup_merge(base, deep, "k", "m", recursive=True), "k", "m")) == {1: {"x": {"a": "1", "b": "2"}}, 2: {"x": {"b": "2"}}}
@@ -191,3 +193,65 @@ def test_aggregates_and_sequences(spark):
     assert W.merge_knowledge([kv, s]).columns == ["key", "k", "n"]
     files = spark.createDataFrame([("/a", 1, 1), ("/b", 1, 1), ("/c", 2, 1)], "path string, inode int, device int")
     assert rows(A.entry_counts(files)) == [(3, 2)] and rows(L.file_state_search(files, like="/a%")) == [("/a",)]
+
+
+def test_networks_of_both_kinds(spark):
+    nets = [("10.0.0.0/8", "ten"), ("10.1.0.0/16", "ten one"), ("2001:db8::/32", "doc"), ("2001:db8:0:0:0:0:0:1/128", "one"), ("0.0.0.0/0", "any"), ("x/8", "no")]
+    ips = {1: "10.1.2.3", 2: "10.2.2.3", 3: "2001:db8::1", 4: "2001:0db8:0000::2", 5: "8.8.8.8", 6: "fe80::1", 7: "no", 8: None, 9: "2001:DB8::0:1"}
+    got = J.geo_enrich(spark.createDataFrame([*ips.items()], "id int, ip string"), spark.createDataFrame(nets, "network string, record string"), "ip", "net")
+    assert dict(rows(got, "id", "net")) == {1: "ten one", 2: "ten", 3: "one", 4: "doc", 5: "any", 6: None, 7: None, 8: None, 9: "one"}
+
+
+def test_changes_equal_the_stream_over_all_short_sequences(spark):
+    """The batch against the fold that the stream keeps, for every sequence of up to four operations."""
+    ops = ("CREATE", "MODIFY", "DELETE")
+    every = [s for n in range(1, 5) for s in itertools.product(ops, repeat=n)]
+
+    def fold(seq):
+        held = None
+        for i, op in enumerate(seq):
+            if held is None:
+                held = (op != "CREATE", op, i)
+            elif not held[0]:
+                held = None if op == "DELETE" else (False, "CREATE", i)
+            else:
+                held = (True, op, i)
+        return held
+
+    pending = spark.createDataFrame([(k, i, op, str(i)) for k, s in enumerate(every) for i, op in enumerate(s)], "id int, seq int, operation string, data string")
+    got = {r.id: (r.existing, r.operation, r.seq) for r in D.coalesce_changes(pending).collect()}
+    assert got == {k: fold(s) for k, s in enumerate(every) if fold(s)}
+
+
+def test_tables_that_only_one_side_has(spark):
+    mine = spark.createDataFrame([(1, "a"), (2, "b")], "t int, checksum string")
+    theirs = spark.createDataFrame([(1, "a"), (3, "c")], "t int, checksum string")
+    assert rows(D.integrity_mismatch(mine, theirs, ["t"]), "t") == [(2,)] and rows(D.integrity_extra(mine, theirs, ["t"])) == [(3,)]
+
+
+def test_attack_pattern_literals_miss_nothing(spark):
+    texts = ["failed SSH login for bob", "invalid x login", "authentication failure; sshd", "login failed", "failed\nssh", "union all select", "drop the table", "'; x --", "exec master xp_", "powershell -enc", "su - root", ";rm", "; x wget", "plain", ""]
+    got = rows(spark.createDataFrame([(t,) for t in texts], "t string").select("t", R.attack_patterns(F.col("t"))["all_patterns"]))
+    for t, names in got:
+        assert names == [n for n, p, _ in R.ATTACK_PATTERNS if re.search(p, t.lower())], t
+    assert got[0][1] == ["SSH Brute Force"]
+
+
+def test_forest_equals_a_plain_walk(spark):
+    """Scores of the forest against a walk node by node; each tree gets about its share of a large table."""
+    rng = np.random.default_rng(2)
+    data = [(i, rng.normal(size=3).round(3).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(data, "id bigint, features array<double>")
+    nodes = R.isolation_forest_fit(df, trees=20, sample=64)
+    table = {(r.tree, r.node): r for r in nodes.collect()}
+    got = dict(rows(R.isolation_forest_score(df, nodes, sample=64), "id", "raw"))
+    mean = lambda n: 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    assert {t for t, _ in table} == set(range(20))
+    for i, x in data[:200]:
+        total = 0.0
+        for t in range(20):
+            n = table[t, 0]
+            while n.feature >= 0:
+                n = table[t, n.left if x[n.feature] < n.cut else n.right]
+            total += n.depth
+        assert abs(got[i] - (0.5 - 2 ** (-total / 20 / mean(64)))) < 1e-9

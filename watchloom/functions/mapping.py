@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .predicates import Value, col, hex_number, is_ipv4, is_ipv6
+from .predicates import Value, address_hex, col, hex_number, is_ipv4, is_ipv6
 
 # text ------------------------------------------------------------------------------------------
 
@@ -34,7 +34,8 @@ def join(array: Column, separator: str) -> Column:
 
 
 def decode_base16(x: Column) -> Column:
-    return F.when(x.rlike("^(?:[0-9a-fA-F]{2})+$"), F.decode(F.unhex(x), "UTF-8"))
+    """The text of hexadecimal digits; null if they aren't, or aren't UTF-8."""
+    return F.try_validate_utf8(F.when(x.rlike("^(?:[0-9a-fA-F]{2})+$"), F.unhex(x)).cast("string"))
 
 
 def hex_to_number(x: Column) -> Column:
@@ -79,8 +80,14 @@ def to_int(x: Column, mode: str = "truncate") -> Column:
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
+def epoch_timestamp(seconds: Column) -> Column:
+    """Seconds since 1970 as a timestamp; null outside the years 1 to 9999."""
+    s = seconds.try_cast("bigint")
+    return F.timestamp_seconds(F.when(s.between(-62135596800, 253402300799), s))
+
+
 def date_from_epoch(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds.try_cast("bigint")), ISO)
+    return F.date_format(epoch_timestamp(seconds), ISO)
 
 
 def date_to_epoch(text: Column, fmt: str = ISO) -> Column:
@@ -129,16 +136,6 @@ def ip_version(ip: Column) -> Column:
     return F.when(is_ipv4(ip), "IPv4").when(is_ipv6(ip), "IPv6")
 
 
-def _address_hex(ip: Column) -> Column:
-    """An IPv4 address as 8 hexadecimal digits, a full or compressed IPv6 address as 32."""
-    v4 = F.array_join(F.transform(F.split(ip, r"\."), lambda x: F.lpad(F.hex(x.try_cast("bigint")), 2, "0")), "")
-    heads, tails = (F.filter(F.split(F.split_part(ip, F.lit("::"), F.lit(k)), ":"), lambda x: x != "") for k in (1, 2))
-    gap = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(heads) - F.size(tails), F.lit(0)))
-    groups = F.when(ip.contains("::"), F.concat(heads, gap, tails)).otherwise(F.split(ip, ":"))
-    v6 = F.array_join(F.transform(groups, lambda x: F.lpad(x, 4, "0")), "")
-    return F.when(is_ipv4(ip), v4).when(is_ipv6(ip), v6)
-
-
 #: ICMP and ICMPv6 types that answer each other; a flow of these has the two types as its ports.
 ICMP_PAIRS = {1: {8: 0, 0: 8, 13: 14, 14: 13, 15: 16, 16: 15, 17: 18, 18: 17, 10: 9, 9: 10}, 58: {128: 129, 129: 128, 133: 134, 134: 133, 135: 136, 136: 135, 130: 131, 131: 130, 144: 145, 145: 144, 139: 140, 140: 139}}
 
@@ -152,7 +149,7 @@ def network_community_id(src: Column, dst: Column, sport: Column, dport: Column,
     icmp = proto.isin(*ICMP_PAIRS)
     one_way = icmp & answer.isNull()
     b = F.when(icmp & answer.isNotNull(), answer).otherwise(b)
-    ha, hb = F.lower(_address_hex(src)), F.lower(_address_hex(dst))
+    ha, hb = address_hex(src), address_hex(dst)
 
     def two(x: Column) -> Column:
         return F.lower(F.lpad(F.hex(x.cast("bigint")), 4, "0"))

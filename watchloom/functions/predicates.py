@@ -126,8 +126,7 @@ IPV4 = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 GROUP = r"[0-9a-fA-F]{1,4}"
 IPV6 = rf"^(?:(?:{GROUP}:){{7}}{GROUP}|(?:{GROUP}:){{1,7}}:|(?:{GROUP}:){{1,6}}:{GROUP}|(?:{GROUP}:){{1,5}}(?::{GROUP}){{1,2}}|(?:{GROUP}:){{1,4}}(?::{GROUP}){{1,3}}|(?:{GROUP}:){{1,3}}(?::{GROUP}){{1,4}}|(?:{GROUP}:){{1,2}}(?::{GROUP}){{1,5}}|{GROUP}:(?::{GROUP}){{1,6}}|:(?:(?::{GROUP}){{1,7}}|:)|::(?:[fF]{{4}}:)?{OCTET}(?:\.{OCTET}){{3}})$"
 #: Networks that are not public.
-PRIVATE_V4 = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16")
-PRIVATE_V6 = r"^(?:::1$|[fF][cCdD]|[fF][eE][89aAbB])"
+PRIVATE = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "fe80::/10", "fc00::/7", "::1/128")
 
 
 def is_ipv4(field: Column) -> Column:
@@ -145,21 +144,44 @@ def ip_number(field: Column) -> Column:
     return F.when(is_ipv4(field), n[0] * 16777216 + n[1] * 65536 + n[2] * 256 + n[3])
 
 
-def _mask_number(mask: Column) -> Column:
-    bits = F.regexp_extract(mask, r"^/?(\d{1,2})$", 1).try_cast("int")
-    return F.when(bits.between(0, 32), F.lit(4294967296) - F.pow(F.lit(2.0), 32 - bits).cast("bigint")).otherwise(ip_number(mask))
+def address_hex(ip: Column) -> Column:
+    """An IPv4 address as 8 lower-case hexadecimal digits, a full or compressed IPv6 address as 32 (with a dotted end too); null if it is neither."""
+    octets = lambda x: F.array_join(F.transform(F.split(x, r"\."), lambda o: F.lpad(F.hex(o.try_cast("bigint")), 2, "0")), "")
+    dotted = F.regexp_extract(ip, r":([\d.]+)$", 1)
+    end = octets(dotted)
+    # a dotted end as two groups
+    plain = F.when(dotted.contains("."), F.concat(F.regexp_extract(ip, r"^(.*:)", 1), F.substring(end, 1, 4), F.lit(":"), F.substring(end, 5, 4))).otherwise(ip)
+    heads, tails = (F.filter(F.split(F.split_part(plain, F.lit("::"), F.lit(k)), ":"), lambda x: x != "") for k in (1, 2))
+    gap = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(heads) - F.size(tails), F.lit(0)))
+    groups = F.when(plain.contains("::"), F.concat(heads, gap, tails)).otherwise(F.split(plain, ":"))
+    return F.lower(F.when(is_ipv4(ip), octets(ip)).when(is_ipv6(ip), F.array_join(F.transform(groups, lambda x: F.lpad(x, 4, "0")), "")))
+
+
+def ip_key(ip: Column) -> Column:
+    """An address as 16 bytes, IPv4 under ::ffff:0:0/96: one order for both."""
+    digits = address_hex(ip)
+    return F.unhex(F.when(F.length(digits) == 8, F.concat(F.lit("0" * 20 + "ffff"), digits)).otherwise(digits))
+
+
+def bit_text(digits: Column) -> Column:
+    """An address as its bits, 32 or 128 of 0 and 1."""
+    return F.array_join(F.transform(F.split(digits, ""), lambda c: F.when(c != "", F.lpad(F.conv(c, 16, 2), 4, "0")).otherwise("")), "")
 
 
 def ip_cidr_match(field: Column, subnet: Value, mask: Value) -> Column:
-    m = _mask_number(col(mask).cast("string"))
-    return sure(ip_number(field).bitwiseAND(m) == ip_number(col(subnet)).bitwiseAND(m))
+    """Whether an address lies in a subnet of its own kind. mask: a number of bits, with or without /, or a dotted mask."""
+    m, ours, theirs = col(mask).cast("string"), bit_text(address_hex(field)), bit_text(address_hex(col(subnet)))
+    dotted = F.length(F.regexp_replace(bit_text(address_hex(m)), "0", ""))
+    n = F.coalesce(F.regexp_extract(m, r"^/?(\d{1,3})$", 1).try_cast("int"), F.when(is_ipv4(m), dotted))
+    fits = (F.length(ours) == F.length(theirs)) & (n <= F.length(ours)) & (n >= 0)
+    return sure(fits & (F.substring(ours, F.lit(1), n) == F.substring(theirs, F.lit(1), n)))
 
 
 def is_public_ip(field: Column) -> Column:
     private = F.lit(False)
-    for net in PRIVATE_V4:
+    for net in PRIVATE:
         private = private | ip_cidr_match(field, *net.split("/"))
-    return (is_ipv4(field) & ~private) | (is_ipv6(field) & ~sure(field.rlike(PRIVATE_V6)))
+    return (is_ipv4(field) | is_ipv6(field)) & ~private
 
 
 # types of a variant ----------------------------------------------------------------------------

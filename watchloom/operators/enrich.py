@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import hex_number, ip_number
+from ..functions.predicates import address_hex, bit_text, hex_number, ip_number
 from ..functions.transform import merge, merge_recursive
 
 
@@ -64,17 +64,44 @@ def network_blocks(networks: DataFrame, bits: int = 16) -> DataFrame:
     return networks.withColumn("__block", F.explode(F.sequence(F.shiftright("net_lo", bits), F.shiftright("net_hi", bits))))
 
 
-def geo_enrich(df: DataFrame, networks: DataFrame, ip: str, target: str, record: str = "record", bits: int = 16) -> DataFrame:
-    """target = record of the network that holds the address, the smallest if several do; an equi join on the block comes first."""
+def range_enrich(df: DataFrame, ranges: DataFrame, ip: str, target: str, record: str = "record", bits: int = 16) -> DataFrame:
+    """target = record of the range of IPv4 addresses (net_lo, net_hi) that holds the address, the smallest if several do.
+
+    An equi join on the block comes first. For networks of either kind see geo_enrich.
+    """
     left = df.withColumn("__ip", ip_number(F.col(ip)))
     left = left.withColumn("__block", F.shiftright("__ip", bits))
-    right = network_blocks(networks, bits).select("__block", "net_lo", "net_hi", F.col(record).alias("__record"))
+    right = network_blocks(ranges, bits).select("__block", "net_lo", "net_hi", F.col(record).alias("__record"))
     keys = left.select("__ip", "__block").filter(F.col("__ip").isNotNull()).distinct()
     hits = keys.join(right, "__block").filter(F.col("__ip").between(F.col("net_lo"), F.col("net_hi")))
     best = hits.groupBy("__ip").agg(F.min_by("__record", F.struct(F.col("net_hi") - F.col("net_lo"), F.col("net_lo"))).alias(target))
     return left.join(best, "__ip", "left").drop("__ip", "__block")
 
 
+def network_prefixes(networks: DataFrame, network: str = "network") -> DataFrame:
+    """networks (network: address/bits) with kind, bits and prefix, the leading bits that all its addresses share."""
+    parts = F.split(network, "/")
+    digits = address_hex(parts[0])
+    out = networks.withColumns({"__kind": F.length(digits) * 4, "__len": F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), F.length(digits) * 4)})
+    return out.withColumn("__prefix", F.substring(bit_text(digits), F.lit(1), F.col("__len"))).filter("__len between 0 and __kind")
+
+
+def geo_enrich(df: DataFrame, networks: DataFrame, ip: str, target: str, record: str = "record", network: str = "network") -> DataFrame:
+    """target = record of the network (network: address/bits, IPv4 or IPv6) that holds the address, the smallest if several do.
+
+    An address has one prefix for each length that occurs among the networks, at most 162, and these meet the networks by an equi join. Each distinct
+    address is looked up once.
+    """
+    right = network_prefixes(networks, network).select("__kind", "__len", "__prefix", F.col(record).alias("__record"))
+    lengths = {(r[0], r[1]) for r in right.select("__kind", "__len").distinct().collect()}
+    left = df.withColumn("__ip", address_hex(F.col(ip)))
+    keys = left.select("__ip").filter(F.col("__ip").isNotNull()).distinct().withColumns({"__kind": F.length("__ip") * 4, "__bits": bit_text(F.col("__ip"))})
+    known = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in sorted(lengths))) if lengths else F.array().cast("array<struct<k:int,n:int>>")
+    each = keys.withColumn("__x", F.explode(F.filter(known, lambda x: x["k"] == F.col("__kind")))).select("__ip", "__kind", F.col("__x.n").alias("__len"), F.substring("__bits", F.lit(1), F.col("__x.n")).alias("__prefix"))
+    best = each.join(right, ["__kind", "__len", "__prefix"]).groupBy("__ip").agg(F.max_by("__record", "__len").alias(target))
+    return left.join(best, "__ip", "left").drop("__ip")
+
+
 #: The address-to-system lookup is the same join on another table.
 asn_enrich = geo_enrich
 

@@ -8,6 +8,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.mapping import date_from_epoch
 from ..functions.predicates import IPV4, IPV6, sure
 
 
@@ -107,8 +108,9 @@ def catalog_filters(df: DataFrame, ids: list | None = None, level: tuple[int, in
 
 
 def ilike_search(df: DataFrame, query: str, columns: list[str], newest: str, limit: int, **equal) -> DataFrame:
+    """The newest rows with the text in one of the columns; of equally new ones the least by the columns."""
     hit = reduce(or_, (sure(F.col(c).ilike(f"%{query}%")) for c in columns))
-    return check_list(df, [hit, *(F.col(c) == v for c, v in equal.items())]).orderBy(F.desc(newest)).limit(limit)
+    return check_list(df, [hit, *(F.col(c) == v for c, v in equal.items())]).orderBy(F.desc(newest), *columns).limit(limit)
 
 
 def ioc_search(df: DataFrame, kind: str, value: str, limit: int = 50) -> DataFrame:
@@ -173,7 +175,7 @@ def task_query(tasks: DataFrame, agents: list[int] | None = None, ids: list[int]
     conditions += [F.col(c).isin(*v) for c, v in (("agent_id", agents), ("task_id", ids)) if v is not None]
     conditions += [F.col(c) == v for c, v in (("status", status), ("module", module)) if v is not None]
     out = check_list(tasks, conditions)
-    iso = [F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c) for c in ("create_time", "last_update_time")]
+    iso = [date_from_epoch(F.col(c)).alias(c) for c in ("create_time", "last_update_time")]
     rest = [c for c in tasks.columns if c not in ("create_time", "last_update_time", "agent_id")]
     agent = F.col("agent_id").cast("string")
     return out.orderBy("task_id").offset(offset).limit(limit).select(F.lpad(agent, F.greatest(F.lit(3), F.length(agent)), F.lit("0")).alias("agent_id"), *rest, *iso)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
@@ -63,13 +65,22 @@ NODES = "tree int, node int, feature int, cut double, left int, right int, depth
 def isolation_forest_fit(train: DataFrame, trees: int = 200, sample: int = 256, seed: int = 42, row_id: str = "id") -> DataFrame:
     """The node table of the forest. Each tree gets about sample rows by a seeded hash of the row's id, and is grown in its own group.
 
-    A tree's group has at most some hundred rows, whatever the size of the training table.
+    A tree's group has at most some hundred rows, whatever the size of the training table. A row is drawn before it is repeated: one hash inverts the
+    binomial distribution of the number of its trees, and only so many are made.
     """
     n = max(1, train.count())
     share = min(1.0, 1.5 * sample / n)
-    each = train.select(F.col("features"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.col(row_id).alias("rid"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "tree", "rid"), F.lit(1 << 30)) / float(1 << 30)
-    picked = each.withColumn("u", draw).filter(F.col("u") < share)
+    unit = lambda *of: F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 52)) / float(1 << 52)
+    rows = train.select(F.col("features"), F.col(row_id).alias("rid"))
+    if share == 1.0:  # a small table: each row in each tree
+        each = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    else:
+        sums = list(itertools.accumulate(math.exp(math.lgamma(trees + 1) - math.lgamma(k + 1) - math.lgamma(trees - k + 1) + k * math.log(share) + (trees - k) * math.log1p(-share)) for k in range(trees)))
+        drawn = rows.withColumn("k", F.size(F.filter(F.array(*map(F.lit, sums)), lambda p: p <= unit("rid")))).filter("k > 0")
+        # k of the trees: those with the least hashes
+        ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(unit(t, F.col("rid")).alias("u"), t.alias("tree"))))
+        each = drawn.withColumn("t", F.explode(F.slice(ranked, F.lit(1), F.col("k")))).select("features", "rid", F.col("t.tree").alias("tree"))
+    picked = each.withColumn("u", unit("tree", "rid", F.lit("order")))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["u", "rid"]).head(sample)
@@ -165,7 +176,7 @@ def multi_dimensional_score(anomaly: Column, hour: Column, failures: Column, ips
 
 #: Name, pattern over lower-cased text, risk.
 ATTACK_PATTERNS = (
-    ("SSH Brute Force", r"failed password|authentication failure|invalid user|ssh.*brute", 75),
+    ("SSH Brute Force", r"(failed|invalid|authentication failure).*(ssh|login)", 75),
     ("SQL Injection", r"union.*select|drop.*table|';.*--|exec.*xp_", 90),
     ("PowerShell Obfuscation", r"powershell.*-enc|base64|encoded|obfuscat", 85),
     ("Port Scanning", r"port.*scan|connection.*refused|multiple.*ports", 60),
@@ -178,10 +189,17 @@ ATTACK_PATTERNS = (
 )
 
 
+def _may_match(low: Column, pattern: str) -> Column:
+    """Whether a text holds the literals of some alternative of a pattern, a plain search that spares most texts the regular expression."""
+    parts = [p.strip("()").split("|") for p in pattern.split(").*(")] if ").*(" in pattern else None
+    every = list(itertools.product(*parts)) if parts else [tuple(x.split(".*")) for x in pattern.split("|")]
+    return reduce(or_, (reduce(and_, (low.contains(word) for word in words)) for words in every))
+
+
 def attack_patterns(text: Column) -> Column:
     """Struct: pattern (the riskiest, the first of equals), risk_score, all_patterns in order, suspicious."""
     low = F.lower(text)
-    hits = F.array_compact(F.array(*(F.when(low.rlike(p), F.struct(F.lit(risk).alias("risk"), F.lit(-i).alias("i"), F.lit(name).alias("name"))) for i, (name, p, risk) in enumerate(ATTACK_PATTERNS))))
+    hits = F.array_compact(F.array(*(F.when(_may_match(low, p) & low.rlike(p), F.struct(F.lit(risk).alias("risk"), F.lit(-i).alias("i"), F.lit(name).alias("name"))) for i, (name, p, risk) in enumerate(ATTACK_PATTERNS))))
     best = F.array_max(hits)
     return F.struct(F.coalesce(best["name"], F.lit("No known pattern")).alias("pattern"), F.coalesce(best["risk"], F.lit(0)).alias("risk_score"), F.transform(hits, lambda h: h["name"]).alias("all_patterns"), F.coalesce(F.size(hits) > 0, F.lit(False)).alias("suspicious"))
 
@@ -205,21 +223,38 @@ def threat_assessment(anomaly: Column, combined: Column, risk: Column, is_suspic
     return F.struct(final.alias("final_score"), ((anomaly > threshold) | is_suspicious | (final >= threshold)).alias("is_anomaly"), level.alias("threat_level"))
 
 
+#: The texts of the advice, and the names in a pattern's name that call for some of them.
+ADVICE = {
+    "score": "High priority score detected - immediate investigation recommended",
+    "time": "Event occurred during off-hours - suspicious timing",
+    "frequency": "High frequency of failed attempts detected - possible brute force",
+    "pattern": "Suspicious pattern detected: ",
+    "threat": "Similar to known threat: ",
+    "mitigation": "Recommended mitigation: ",
+    "none": "Review event manually for potential security concerns",
+}
+PATTERN_ADVICE = {
+    "SSH|Brute Force": "Consider blocking source IP and enabling rate limiting",
+    "SQL Injection": "Review database access logs and validate input sanitization",
+    "PowerShell": "Investigate PowerShell execution and check for script obfuscation",
+}
+
+
 def recommendations(combined: Column, time: Column, frequency: Column, pattern: Column, is_suspicious: Column, intel: Column) -> Column:
     """Texts by scores, pattern and the nearest intelligence (struct of description and mitigation, or null)."""
-    advice = F.when(pattern.contains("Brute Force") | pattern.contains("SSH"), "Consider blocking source IP and enabling rate limiting").when(pattern.contains("SQL Injection"), "Review database access logs and validate input sanitization").when(pattern.contains("PowerShell"), "Investigate PowerShell execution and check for script obfuscation")
+    special = F.coalesce(*(F.when(pattern.rlike(names), F.lit(text)) for names, text in PATTERN_ADVICE.items()))
     found = F.array_compact(
         F.array(
-            F.when(combined > 80, F.lit("High priority score detected - immediate investigation recommended")),
-            F.when(time > 20, F.lit("Event occurred during off-hours - suspicious timing")),
-            F.when(frequency > 30, F.lit("High frequency of failed attempts detected - possible brute force")),
-            F.when(is_suspicious, F.concat(F.lit("Suspicious pattern detected: "), pattern)),
-            F.when(is_suspicious, advice),
-            F.concat(F.lit("Similar to known threat: "), F.substring(intel["description"], 1, 100)),
-            F.concat(F.lit("Recommended mitigation: "), F.nullif(intel["mitigation"], F.lit(""))),
+            F.when(combined > 80, F.lit(ADVICE["score"])),
+            F.when(time > 20, F.lit(ADVICE["time"])),
+            F.when(frequency > 30, F.lit(ADVICE["frequency"])),
+            F.when(is_suspicious, F.concat(F.lit(ADVICE["pattern"]), pattern)),
+            F.when(is_suspicious, special),
+            F.concat(F.lit(ADVICE["threat"]), F.substring(intel["description"], 1, 100)),
+            F.concat(F.lit(ADVICE["mitigation"]), F.nullif(intel["mitigation"], F.lit(""))),
         )
     )
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Review event manually for potential security concerns")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(ADVICE["none"])))
 
 
 # retrieval -------------------------------------------------------------------------------------

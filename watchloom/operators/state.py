@@ -61,13 +61,14 @@ def cascade_delete(parents_deleted: DataFrame, children: DataFrame, keys: list[s
 def coalesce_changes(pending: DataFrame) -> DataFrame:
     """pending: id, seq, operation (CREATE, MODIFY, DELETE), data. One change for each id, or none.
 
-    Created and deleted before a sync is nothing; deleted first, whatever follows, keeps existing = true and takes the last
-    operation; created first and then modified stays a creation; else the last wins.
+    A creation that is deleted before a sync is nothing, and what follows begins anew. A modification or deletion where nothing is pending shows that the row
+    exists: from then on the last operation wins. A pending creation stays one, with the last data.
     """
-    agg = pending.groupBy("id").agg(F.min_by("operation", "seq").alias("first"), F.max_by(F.struct("operation", "data"), "seq").alias("last"), F.max("seq").alias("seq"))
-    created = F.col("first") == "CREATE"
-    operation = F.when(created & (F.col("last.operation") == "MODIFY"), "CREATE").otherwise(F.col("last.operation"))
-    return agg.filter(~(created & (F.col("last.operation") == "DELETE"))).select("id", "seq", operation.alias("operation"), F.col("last.data").alias("data"), (F.col("first") != "CREATE").alias("existing"))
+    before = F.lag("operation").over(Window.partitionBy("id").orderBy("seq"))
+    shows = (F.coalesce(before, F.lit("DELETE")) == "DELETE") & (F.col("operation") != "CREATE")
+    agg = pending.withColumn("__shows", shows).groupBy("id").agg(F.bool_or("__shows").alias("existing"), F.max_by(F.struct("operation", "data"), "seq").alias("last"), F.max("seq").alias("seq"))
+    operation = F.when(F.col("existing"), F.col("last.operation")).otherwise("CREATE")
+    return agg.filter(F.col("existing") | (F.col("last.operation") != "DELETE")).select("id", "seq", operation.alias("operation"), F.col("last.data").alias("data"), "existing")
 
 
 def select_rows(table: DataFrame, columns: list[str], where: Column | None = None, distinct: bool = False, order: list[str] = (), count: int | None = None) -> DataFrame:
@@ -79,13 +80,18 @@ def select_rows(table: DataFrame, columns: list[str], where: Column | None = Non
 
 
 def integrity_mismatch(mine: DataFrame, theirs: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (by, checksum, …) of the tables whose checksum differs between the two sides: what must be sent whole."""
+    """Rows (by, checksum, …) of mine in tables whose checksum differs from theirs or that they lack: what must be sent whole."""
     a = checksum_tree(mine, by).select(*by, F.concat_ws(":", "table_checksum", F.col("n").cast("string")).alias("a"))
     b = checksum_tree(theirs, by).select(*by, F.concat_ws(":", "table_checksum", F.col("n").cast("string")).alias("b"))
     differ = a.join(b, by, "left").filter(~F.col("a").eqNullSafe(F.col("b"))).select(*by)
     return mine.join(differ, by, "left_semi")
 
 
+def integrity_extra(mine: DataFrame, theirs: DataFrame, by: list[str]) -> DataFrame:
+    """Tables that only the other side has: what must be cleared there."""
+    return theirs.select(*by).distinct().join(mine.select(*by).distinct(), by, "left_anti")
+
+
 def agent_disconnect(agents: DataFrame, as_of: Column, disconnect_seconds: int, alert_seconds: int) -> DataFrame:
     """Adds new_status and alert: active agents that were silent too long, and those silent longer still."""
     silent = F.unix_seconds(as_of) - F.unix_seconds("last_keepalive")

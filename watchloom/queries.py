@@ -301,7 +301,7 @@ def geo_range_enrich(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_id", F.concat_ws(".", octet(24), octet(16), octet(8), octet(0)).alias("ip"))
     lo = F.lit(167772160).cast("bigint") + F.col("n_nationkey") * 40000
     nets = table(spark, d, "nation").select(lo.alias("net_lo"), (lo + 29999).alias("net_hi"), F.col("n_name").alias("record"))
-    return J.geo_enrich(rows, nets, "ip", "network").select("event_id", "network")
+    return J.range_enrich(rows, nets, "ip", "network").select("event_id", "network")
 
 
 @query("""SELECT c_custkey AS id, string_agg(r_name, ',' ORDER BY r_regionkey DESC) AS groups FROM customer LEFT JOIN region ON (c_custkey + r_regionkey) % 3 = 0 GROUP BY 1""")
@@ -362,8 +362,10 @@ def pending_operation() -> Column:
     return F.when(F.col("event_type") == "signup", "CREATE").when(F.col("event_type") == "error", "DELETE").otherwise("MODIFY")
 
 
-@query("""WITH p AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'CREATE' WHEN 'error' THEN 'DELETE' ELSE 'MODIFY' END AS op FROM events), g AS (SELECT user_id AS id, max(event_id) AS seq, arg_min(op, event_id) AS f, arg_max(op, event_id) AS l FROM p GROUP BY 1)
-SELECT id, seq, CASE WHEN f = 'CREATE' AND l = 'MODIFY' THEN 'CREATE' ELSE l END AS operation, f <> 'CREATE' AS existing FROM g WHERE NOT (f = 'CREATE' AND l = 'DELETE')""")
+@query("""WITH p AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'CREATE' WHEN 'error' THEN 'DELETE' ELSE 'MODIFY' END AS op FROM events),
+s AS (SELECT *, op <> 'CREATE' AND coalesce(lag(op) OVER (PARTITION BY user_id ORDER BY event_id), 'DELETE') = 'DELETE' AS shows FROM p),
+g AS (SELECT user_id AS id, max(event_id) AS seq, bool_or(shows) AS existing, arg_max(op, event_id) AS l FROM s GROUP BY 1)
+SELECT id, seq, CASE WHEN existing THEN l ELSE 'CREATE' END AS operation, existing FROM g WHERE existing OR l <> 'DELETE'""")
 def coalesce_changes(spark: SparkSession, d: str) -> DataFrame:
     pending = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), pending_operation().alias("operation"), F.col("props").alias("data"))
     return D.coalesce_changes(pending).drop("data")
@@ -573,7 +575,7 @@ def predicate_arrays(spark: SparkSession, d: str) -> DataFrame:
     return alerts(spark, d).select("id", P.array_contains(g, "click", "severe").alias("every"), P.array_contains_any(g, "click", "severe").alias("some"), P.array_not_contains(g, "click", "severe").alias("not_every"), P.array_not_contains_any(g, "click", "severe").alias("none"), P.match_value(F.col("rule_id"), F.array(F.lit("click"), F.lit("view"))).alias("listed"))
 
 
-@query("""WITH e AS (SELECT event_id, (user_id * 7 % 224) AS a, (user_id % 256) AS b FROM events) SELECT event_id, a = 10 AND b < 128 AS inside, NOT (a = 10 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR a = 127 OR (a = 169 AND b = 254)) AS public FROM e""")
+@query("""WITH e AS (SELECT event_id, (user_id * 7 % 224) AS a, (user_id % 256) AS b FROM events) SELECT event_id, a = 10 AND b < 128 AS inside, NOT (a = 10 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR a = 127) AS public FROM e""")
 def predicate_addresses(spark: SparkSession, d: str) -> DataFrame:
     ip = F.concat_ws(".", F.col("user_id") * 7 % 224, F.col("user_id") % 256, F.lit(1), F.lit(2))
     return table(spark, d, "events").select("event_id", P.ip_cidr_match(ip, "10.0.0.0", "9").alias("inside"), P.is_public_ip(ip).alias("public"))
@@ -650,9 +652,18 @@ def type_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 # scoring and retrieval -------------------------------------------------------------------------
-PATTERN_SQL = ", ".join(f"CASE WHEN regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}', 's') THEN {{'r': {risk}, 'i': {-i}, 'n': '{name}'}} END" for i, (name, p, risk) in enumerate(R.ATTACK_PATTERNS))
+PATTERN_SQL = """
+  CASE WHEN regexp_matches(t, '(failed|invalid|authentication failure).*(ssh|login)') THEN {'r': 75, 'i': 0, 'n': 'SSH Brute Force'} END,
+  CASE WHEN regexp_matches(t, 'union.*select|drop.*table|\'\';.*--|exec.*xp_') THEN {'r': 90, 'i': -1, 'n': 'SQL Injection'} END,
+  CASE WHEN regexp_matches(t, 'powershell.*-enc|base64|encoded|obfuscat') THEN {'r': 85, 'i': -2, 'n': 'PowerShell Obfuscation'} END,
+  CASE WHEN regexp_matches(t, 'port.*scan|connection.*refused|multiple.*ports') THEN {'r': 60, 'i': -3, 'n': 'Port Scanning'} END,
+  CASE WHEN regexp_matches(t, 'sudo|su -|privilege|escalation|root.*access') THEN {'r': 80, 'i': -4, 'n': 'Privilege Escalation'} END,
+  CASE WHEN regexp_matches(t, 'file.*modified|integrity.*violation|checksum.*mismatch') THEN {'r': 85, 'i': -5, 'n': 'File Integrity Violation'} END,
+  CASE WHEN regexp_matches(t, 'malware|virus|trojan|backdoor|rootkit') THEN {'r': 95, 'i': -6, 'n': 'Malware Execution'} END,
+  CASE WHEN regexp_matches(t, 'lateral.*movement|psexec|wmic|remote.*execution') THEN {'r': 80, 'i': -7, 'n': 'Lateral Movement'} END,
+  CASE WHEN regexp_matches(t, 'exfiltrat|data.*export|large.*transfer|unauthorized.*access') THEN {'r': 90, 'i': -8, 'n': 'Data Exfiltration'} END,
+  CASE WHEN regexp_matches(t, ';.*rm|;.*cat|;.*wget|command.*injection') THEN {'r': 85, 'i': -9, 'n': 'Command Injection'} END"""
 PATTERNS_SQL = f"h AS (SELECT doc_id, list_filter([{PATTERN_SQL}], lambda x: x IS NOT NULL) AS hits FROM (SELECT doc_id, lower(text) AS t FROM documents)), b AS (SELECT doc_id, coalesce(list_aggregate(hits, 'max').r, 0) AS risk_score, coalesce(list_aggregate(hits, 'max').n, 'No known pattern') AS pattern, len(hits) AS n FROM h)"
-PATTERNS_SQL = PATTERNS_SQL.replace(", 's')", ")")
 
 
 @query(f"WITH {PATTERNS_SQL} SELECT doc_id, pattern, risk_score, n::INT AS n_patterns FROM b")

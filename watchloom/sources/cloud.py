@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.mapping import date_from_epoch
+
 
 def _strings(names: str) -> str:
     return ", ".join(f"{n} string" for n in names.split())
@@ -31,7 +33,7 @@ def _address(c: str, k: int) -> Column:
 
 def flow_log_source(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(_strings(FLOW)).csv(path, sep=" ").filter("version rlike '^[0-9]+$'")
-    iso = [F.date_format(F.timestamp_seconds(F.col(c).try_cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c) for c in ("start", "end")]
+    iso = [date_from_epoch(F.col(c)).alias(c) for c in ("start", "end")]
     return rows.select(*[c for c in FLOW.split() if c not in ("start", "end")], *iso)
 
 

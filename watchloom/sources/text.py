@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.mapping import epoch_timestamp
+
 
 def json_lines_source(spark: SparkSession, path: str, schema: StructType | str, quarantine: bool = False) -> DataFrame:
     """Blank and malformed lines are dropped; quarantine keeps the malformed ones in _corrupt_record."""
@@ -124,7 +126,7 @@ def alert_block_fields(blocks: DataFrame) -> DataFrame:
     origin = r"(?m)^\d{4} \w{3} +\d+ \d{2}:\d{2}:\d{2} (?:\(([^)]*)\) )?(\S+?)->(\S+)$"
     message = F.array_join(F.filter(F.slice(rest, 3, F.size(rest)), lambda x: ~x.rlike(r"^(Rule:|User:|Src IP:|Dst IP:|Src Port:|Dst Port:)")), "\n")
     out = blocks.select(
-        F.timestamp_micros((F.regexp_extract("event", r"^\*\* Alert (\d+)", 1).try_cast("bigint") * 1_000_000)).alias("timestamp"),
+        epoch_timestamp(F.regexp_extract("event", r"^\*\* Alert (\d+)", 1)).alias("timestamp"),
         F.coalesce(take(origin), take(origin, 2)).alias("hostname"),
         take(origin, 3).alias("location"),
         take(r"(?m)^\w{3} +\d+ [\d:]{8} \S+ ([\w./-]+)(?:\[\d+\])?:").alias("program"),
@@ -219,10 +221,10 @@ def hourly_totals_source(lines: DataFrame) -> DataFrame:
 
 
 def kv_state_source(lines: DataFrame) -> DataFrame:
-    """name='number' lines of a file as a map of doubles."""
+    """name='number' lines of a file as a map of doubles; of equal names the last line counts."""
     p = r"^\s*([A-Za-z_]\w*)='(-?[\d.]+)'"
-    hits = lines.filter(F.col("line").rlike(p)).select("file", F.regexp_extract("line", p, 1).alias("k"), F.regexp_extract("line", p, 2).try_cast("double").alias("v"))
-    return hits.groupBy("file", "k").agg(F.last("v").alias("v")).groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("state"))
+    hits = lines.filter(F.col("line").rlike(p)).select("file", "line_no", F.regexp_extract("line", p, 1).alias("k"), F.regexp_extract("line", p, 2).try_cast("double").alias("v"))
+    return hits.groupBy("file", "k").agg(F.max_by("v", "line_no").alias("v")).groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("state"))
 
 
 def multilog_source(spark: SparkSession, path: str) -> DataFrame:
