@@ -47,7 +47,7 @@ Src IP: 10.0.0.9
 User: bob
 Nov 14 22:13:20 host1 sshd[99]: Invalid user bob
 
-** Alert 1700000001.1: - ossec,
+** Alert 1700000001.1: - agentd,
 2023 Nov 14 22:13:21 (agent7) 10.1.1.1->syscheck
 Rule: 550 (level 7) -> 'Changed'
 Integrity changed

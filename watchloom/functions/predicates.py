@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -168,20 +171,45 @@ def bit_text(digits: Column) -> Column:
     return F.array_join(F.transform(F.split(digits, ""), lambda c: F.when(c != "", F.lpad(F.conv(c, 16, 2), 4, "0")).otherwise("")), "")
 
 
+def _mask_number(mask: Column) -> Column:
+    bits = F.regexp_extract(mask, r"^/?(\d{1,2})$", 1).try_cast("int")
+    return F.when(bits.between(0, 32), F.lit(4294967296) - F.pow(F.lit(2.0), 32 - bits).cast("bigint")).otherwise(ip_number(mask))
+
+
+def _once(value: Column, test: Callable[[Column], Column]) -> Column:
+    """test(value) with value computed once."""
+    return F.transform(F.array(value), test)[0]
+
+
+def _in_network(network: str) -> Callable[[Column], Column]:
+    """Whether an address (a long, or 32 hexadecimal digits) lies in a network that is known here: address/bits."""
+    net = ipaddress.ip_network(network, strict=False)
+    if net.version == 4:
+        return lambda n: n.between(int(net.network_address), int(net.broadcast_address))
+    return lambda h: h.between(f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}")
+
+
 def ip_cidr_match(field: Column, subnet: Value, mask: Value) -> Column:
     """Whether an address lies in a subnet of its own kind. mask: a number of bits, with or without /, or a dotted mask."""
-    m, ours, theirs = col(mask).cast("string"), bit_text(address_hex(field)), bit_text(address_hex(col(subnet)))
-    dotted = F.length(F.regexp_replace(bit_text(address_hex(m)), "0", ""))
-    n = F.coalesce(F.regexp_extract(m, r"^/?(\d{1,3})$", 1).try_cast("int"), F.when(is_ipv4(m), dotted))
-    fits = (F.length(ours) == F.length(theirs)) & (n <= F.length(ours)) & (n >= 0)
-    return sure(fits & (F.substring(ours, F.lit(1), n) == F.substring(theirs, F.lit(1), n)))
+    if isinstance(subnet, str) and isinstance(mask, (str, int)):
+        try:
+            inside, six = _in_network(f"{subnet}/{str(mask).lstrip('/')}"), ":" in subnet
+        except ValueError:
+            return F.lit(False)
+        return sure(_once(address_hex(field), lambda h: (F.length(h) == 32) & inside(h)) if six else _once(ip_number(field), inside))
+    net, m = col(subnet), col(mask).cast("string")
+    number = _mask_number(m)
+    four = ip_number(field).bitwiseAND(number) == ip_number(net).bitwiseAND(number)
+    bits = F.regexp_extract(m, r"^/?(\d{1,3})$", 1).try_cast("int")
+    ours, theirs = (bit_text(address_hex(x)) for x in (field, net))
+    six = bits.between(0, 128) & (F.length(ours) == 128) & (F.substring(ours, F.lit(1), bits) == F.substring(theirs, F.lit(1), bits))
+    return sure(F.when(field.contains(":"), six).otherwise(four))
 
 
 def is_public_ip(field: Column) -> Column:
-    private = F.lit(False)
-    for net in PRIVATE:
-        private = private | ip_cidr_match(field, *net.split("/"))
-    return (is_ipv4(field) | is_ipv6(field)) & ~private
+    four, six = ([_in_network(n) for n in PRIVATE if (":" in n) == kind] for kind in (False, True))
+    none = lambda tests: lambda x: ~reduce(or_, (t(x) for t in tests))
+    return sure(F.when(field.contains(":"), _once(address_hex(field), none(six))).otherwise(_once(ip_number(field), none(four))))
 
 
 # types of a variant ----------------------------------------------------------------------------

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,25 +17,10 @@ from .operators import scoring as R
 from .operators import search as S
 from .operators import state as D
 from .operators import versions as V
-from .plans.alerts import ALERTS_SQL, alerts, table
+from .plans.alerts import alerts, table
+from .registry import ORACLE, QUERIES, query
 from .sources import incremental as INC
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query; {alerts} in the SQL stands for the alert view."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql.replace("{alerts}", ALERTS_SQL)
-        return f
-
-    return add
-
+from .sources.landing import stored
 
 def stamp(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
@@ -782,7 +765,7 @@ def anomaly_scores(spark: SparkSession, d: str) -> DataFrame:
     feats = R.event_features(rows).select("id", "is_attack", "features")
     scaled = R.standardise(feats.filter(~F.col("is_attack")), feats)
     nodes = R.isolation_forest_fit(scaled.filter(~F.col("is_attack")))
-    raw = R.isolation_forest_score(scaled, nodes)
+    raw = stored(R.isolation_forest_score(scaled, nodes).select("id", "is_attack", "raw"), "forest-raw")
     low_high = A.calibration_percentiles(raw.filter(~F.col("is_attack")))
     return raw.crossJoin(F.broadcast(low_high)).select("id", "is_attack", R.score_normalise(F.col("raw"), F.col("score_min"), F.col("score_max")).alias("score"))
 
@@ -809,3 +792,7 @@ def high_water_mark(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderpriority AS prefix, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
 def last_key(spark: SparkSession, d: str) -> DataFrame:
     return INC.last_key(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "prefix"), ["prefix"], "o_orderkey")
+
+
+# the other sets register themselves
+from . import queries_functions, queries_operators, queries_sources  # noqa: E402, F401

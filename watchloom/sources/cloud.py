@@ -183,10 +183,10 @@ def blob_records_source(spark: SparkSession, path: str, mode: str, tag: str, ext
     return rows.withColumn("tag", F.lit(tag))
 
 
-def columnar_rows_source(spark: SparkSession, path: str) -> DataFrame:
-    """tables[].columns[] and rows[][] as a map for each row."""
+def columnar_rows_source(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """tables[].columns[] and rows[][] as a map for each row. A file is one answer, or with by_line each of its lines is."""
     schema = "tables array<struct<name:string,columns:array<struct<name:string,type:string>>,rows:array<array<string>>>>"
-    tables = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("tables").alias("t"))
+    tables = spark.read.schema(schema).option("multiLine", not by_line).json(path).select(F.explode("tables").alias("t"))
     return tables.select(F.col("t.name").alias("table"), F.col("t.columns.name").alias("names"), F.explode("t.rows").alias("row")).select("table", F.map_from_arrays("names", "row").alias("record"))
 
 

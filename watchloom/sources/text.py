@@ -161,8 +161,17 @@ def delimiter_multiline_source(spark: SparkSession, path: str, marker: str) -> D
 
 
 def event_channel_source(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    reader = spark.read.format("xml").option("rowTag", "Event").option("mode", "DROPMALFORMED")
-    return (reader.schema(schema) if schema is not None else reader).load(path)
+    """Events of an exported channel, under a root element or one after the other; malformed ones are dropped.
+
+    With a schema the files are read in splits that end with an event. Without one it is inferred, from files with a root element.
+    """
+    if schema is None:
+        return spark.read.format("xml").option("rowTag", "Event").option("mode", "DROPMALFORMED").load(path)
+    full = f"{schema}, _corrupt_record string" if isinstance(schema, str) else StructType([*schema.fields]).add("_corrupt_record", "string")
+    body = F.regexp_extract("value", r"(?s)(<Event(?:\s[^>]*)?>.*)$", 1)
+    rows = spark.read.option("lineSep", "</Event>").text(path).select(body.alias("x")).filter("x <> ''")
+    events = rows.select(F.from_xml(F.concat("x", F.lit("</Event>")), full, {"rowTag": "Event"}).alias("e")).select("e.*")
+    return events.filter("_corrupt_record is null").drop("_corrupt_record")
 
 
 def scan_report_source(lines: DataFrame) -> DataFrame:
