@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, save, text_or_empty
+from ._shared import bounded_batches, discard, save, text_or_empty
 
 LENGTH, GRAM = 200, 64
 #: Window starts handled at once, so that the arrays of a very long text stay small.
@@ -315,18 +315,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     grams = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
     again = save(grams.filter("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed")), "substring-grams")
     found = save(every.join(again, "gram"), "substring-found")
+    discard(every)
     contexts = found.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("one"), F.first("mixed").alias("mixed"))
     contexts = save(contexts.filter("mixed or n > 1"), "substring-contexts")
     mixed = contexts.filter("mixed")
     crowded = save(mixed.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > crowd).select("gram"), "substring-crowds")
     none = [F.lit(None).cast("bigint").alias(c) for c in ("of", "origin")]
-    if crowded.isEmpty():
-        others, rows = [], wanted_rows(docs, mixed, length)
-    else:
-        # written, so that Spark knows how many they are
-        many = save(mixed.join(crowded, "gram", "left_semi"), "substring-many")
-        spans, rest = narrowed(wanted_rows(docs, many, length), length, gram, crowd)
-        others, rows = [spans.select("*", *none, F.lit(True).alias("gone"))], wanted_rows(docs, mixed.join(crowded, "gram", "left_anti"), length).unionByName(rest)
+    # read once from the texts, for both ways of sorting
+    rows, others = save(wanted_rows(docs, mixed, length), "substring-regions"), []
+    if not crowded.isEmpty():
+        named = crowded.withColumnRenamed("gram", "key")
+        spans, rest = narrowed(rows.join(named, "key", "left_semi"), length, gram, crowd)
+        others, rows = [spans.select("*", *none, F.lit(True).alias("gone"))], rows.join(named, "key", "left_anti").unionByName(rest)
     sorted_out = rows.repartition("key").sortWithinPartitions("key").mapInPandas(_compare(length), SPANS).select("*", *none, F.lit(True).alias("gone"))
     runs = copied_runs(found, contexts, length)
     own = F.struct("doc", "start", "stop", F.when((F.col("of") != F.col("doc")) | (F.col("shift") != 0), F.col("of")).alias("of"), (F.col("start") + F.col("shift")).alias("origin"), F.lit(True).alias("gone"))
@@ -385,11 +385,11 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
     """
     bounded_batches(docs.sparkSession)
     rows = keyed(docs, text_col, id_col)
-    texts = rows.filter("key is not null")  # never null; stated, so that both joins read the texts by one shuffle
+    texts = rows.select("key", "text")
     for salt, bits in enumerate(hash_bits):
         # a set: what many documents copy is asked for once
         spans = repeated_spans(texts, length, gram, crowd, salt, bits).groupBy(F.col("doc").alias("key")).agg(F.collect_set(F.struct("start", "stop", "of", "origin", "gone")).alias("spans"))
-        done = save(texts.select("key", "text").join(spans, "key", "left").mapInPandas(_finish(with_text), RESULT + ", kept binary" * with_text), "substring-result")
+        done = save(texts.join(spans, "key", "left").mapInPandas(_finish(with_text), RESULT + ", kept binary" * with_text), "substring-result")
         proofs = done.select(F.explode("checks").alias("c")).groupBy("c.of", "c.origin", "c.size").agg(F.min("c.digest").alias("lo"), F.max("c.digest").alias("hi"))
         if proofs.filter("lo <> hi").isEmpty():
             named = done.drop("checks")
