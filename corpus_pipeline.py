@@ -2,6 +2,9 @@
 
 Each stage works on all that the one before kept. Its rows are written to the shared folder and read again, so a lost
 executor repeats at most one stage.
+
+Defined results, for every stage: a null text counts as empty; columns of any name are carried along by all but the last stage; repeated rows and null ids are rows like
+any other (of equal texts one id stays, with all rows that share it); an empty table gives no rows. An empty text goes at the first stage.
 """
 
 from __future__ import annotations
@@ -33,10 +36,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document: sequences of power-of-two lengths that cross no document."""
     return packing.pack(docs)
 
 
-STAGES = [("language", identify_language), ("exact", drop_exact_copies), ("near", drop_near_copies), ("mix", mix_sources), ("pack", pack_sequences)]
+STAGES = [
+    ("language", identify_language),
+    ("exact", drop_exact_copies),
+    ("near", drop_near_copies),
+    ("mix", mix_sources),
+    ("pack", pack_sequences),
+]
 
 #: SQL can't express the learnt language model, the shingle hashes or the tokenizer; tests/llm compares with brute force.
 ORACLE_SQL = None
