@@ -35,7 +35,8 @@ def _leaves(cells: DataFrame, width: int, limit: int, shortest: int) -> DataFram
     every = every.withColumn("bucket", F.expr(f"shiftright(cell, {width} - depth)"))
     sums = every.groupBy("depth", "bucket").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     good = sums.filter((F.col("bytes") <= limit) | (F.col("lo") == F.col("hi"))).drop("lo", "hi")
-    least = every.select("cell", "depth", "bucket").join(good, ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket", "bytes", "n")).alias("b"))
+    # merged, as Spark would judge the exploded cells by their size before, and broadcast them
+    least = every.select("cell", "depth", "bucket").hint("merge").join(good.hint("merge"), ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket", "bytes", "n")).alias("b"))
     return least.select("cell", "b.*")
 
 
