@@ -77,9 +77,9 @@ def isolation_forest_fit(train: DataFrame, trees: int = 200, sample: int = 256,
     else:
         sums = list(itertools.accumulate(math.exp(math.lgamma(trees + 1) - math.lgamma(k + 1) - math.lgamma(trees - k + 1) + k * math.log(share) + (trees - k) * math.log1p(-share)) for k in range(trees)))
         drawn = rows.withColumn("k", F.size(F.filter(F.array(*map(F.lit, sums)), lambda p: p <= unit("rid")))).filter("k > 0")
-        # k of the trees: those with the least hashes
-        ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(unit(t, F.col("rid")).alias("u"), t.alias("tree"))))
-        each = drawn.withColumn("t", F.explode(F.slice(ranked, F.lit(1), F.col("k")))).select("features", "rid", F.col("t.tree").alias("tree"))
+        # k hashes name its trees; a tree that is named twice counts once
+        named = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("k")), lambda j: F.pmod(F.xxhash64(F.lit(seed), F.lit("tree"), "rid", j), F.lit(trees)).cast("int")))
+        each = drawn.withColumn("tree", F.explode(named)).drop("k")
     picked = each.withColumn("u", unit("tree", "rid", F.lit("order")))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
