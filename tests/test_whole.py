@@ -59,7 +59,7 @@ def test_every_alert_gets_its_events_without_a_product(spark):
         hits = sorted((e[1], e[0]) for e in data if e[0] != a[0] and (e[2] == a[2] or (a[3] and e[3] == a[3])))
         want |= {(a[0], r + 1): e for r, (_, e) in enumerate(hits[:10])}
     assert {(r["alert_id"], r["rank"]): r["event_id"] for r in out.collect()} == want
-    severities = own.QUERIES["alert_episodes_all"](spark, SF)
+    severities = own.QUERIES["alert_episodes"](spark, SF)
     assert severities.count() == spark.read.parquet(f"{SF}/events.parquet").count()
     assert {r[0] for r in severities.select("severity").distinct().collect()} >= {"high", "medium", "low"}  # sf0.001 has no critical one
 
@@ -78,7 +78,7 @@ def test_agent_ids_keep_all_digits(spark):
 
 
 def test_every_customer_and_user_is_in_the_feed(spark):
-    got = {r["key"]: r["payload"] for r in own.QUERIES["feed_upsert_all"](spark, SF).collect()}
+    got = {r["key"]: r["payload"] for r in own.QUERIES["feed_upsert"](spark, SF).collect()}
     state = {r["c_custkey"]: r["c_name"] for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
     for e in sorted(spark.read.parquet(f"{SF}/events.parquet").collect(), key=lambda e: e["event_id"]):
         state.pop(e["user_id"], None)

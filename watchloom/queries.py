@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import mapping as M
@@ -204,33 +204,17 @@ def process_episode(spark: SparkSession, d: str) -> DataFrame:
     return A.process_episode(rows).select("tree", "process_count", stamp("start").alias("start"), F.size("users").cast("bigint").alias("n_users"))
 
 
-CORRELATED_SQL = "c AS (SELECT a.id AS alert_id, e.id AS event_id, row_number() OVER (PARTITION BY a.id ORDER BY e.ts, e.id)::INT AS rank FROM alerts a JOIN alerts e ON a.user_id = e.user_id AND a.id <> e.id WHERE a.level >= 14)"
+CORRELATED_SQL = "f AS (SELECT id, user_id, ts FROM alerts QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, id) <= 11), c AS (SELECT a.id AS alert_id, e.id AS event_id, row_number() OVER (PARTITION BY a.id ORDER BY e.ts, e.id)::INT AS rank FROM alerts a JOIN f e ON a.user_id = e.user_id AND a.id <> e.id)"
 
 
 @query("WITH {alerts}, " + CORRELATED_SQL + " SELECT * FROM c WHERE rank <= 10")
 def correlated_events(spark: SparkSession, d: str) -> DataFrame:
-    rows = alerts(spark, d)
-    return J.correlated_events(rows.filter("level >= 14"), rows, ["user_id"])
-
-
-@query("WITH {alerts}, " + CORRELATED_SQL + """, l AS (SELECT alert_id, string_agg(event_id, ',' ORDER BY rank) AS refs FROM c WHERE rank <= 10 GROUP BY 1) SELECT id, CASE WHEN level >= 12 THEN 'critical' WHEN level >= 10 THEN 'high' WHEN level >= 7 THEN 'medium' ELSE 'low' END AS severity, refs FROM alerts LEFT JOIN l ON id = alert_id WHERE level >= 14""")
-def alert_episodes(spark: SparkSession, d: str) -> DataFrame:
-    rows = alerts(spark, d)
-    worst = rows.filter("level >= 14")
-    return A.alert_episode(worst, J.correlated_events(worst, rows, ["user_id"])).select("id", "severity", F.array_join(F.transform("raw_refs", lambda x: x.cast("string")), ",").alias("refs"))
-
-
-ALL_CORRELATED_SQL = "f AS (SELECT id, user_id, ts FROM alerts QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, id) <= 11), c AS (SELECT a.id AS alert_id, e.id AS event_id, row_number() OVER (PARTITION BY a.id ORDER BY e.ts, e.id)::INT AS rank FROM alerts a JOIN f e ON a.user_id = e.user_id AND a.id <> e.id)"
-
-
-@query("WITH {alerts}, " + ALL_CORRELATED_SQL + " SELECT * FROM c WHERE rank <= 10")
-def correlated_events_all(spark: SparkSession, d: str) -> DataFrame:
     rows = alerts(spark, d)
     return J.correlated_events(rows, rows, ["user_id"])
 
 
-@query("WITH {alerts}, " + ALL_CORRELATED_SQL + """, l AS (SELECT alert_id, string_agg(event_id, ',' ORDER BY rank) AS refs FROM c WHERE rank <= 10 GROUP BY 1) SELECT id, CASE WHEN level >= 12 THEN 'critical' WHEN level >= 10 THEN 'high' WHEN level >= 7 THEN 'medium' ELSE 'low' END AS severity, refs FROM alerts LEFT JOIN l ON id = alert_id""")
-def alert_episodes_all(spark: SparkSession, d: str) -> DataFrame:
+@query("WITH {alerts}, " + CORRELATED_SQL + """, l AS (SELECT alert_id, string_agg(event_id, ',' ORDER BY rank) AS refs FROM c WHERE rank <= 10 GROUP BY 1) SELECT id, CASE WHEN level >= 12 THEN 'critical' WHEN level >= 10 THEN 'high' WHEN level >= 7 THEN 'medium' ELSE 'low' END AS severity, refs FROM alerts LEFT JOIN l ON id = alert_id""")
+def alert_episodes(spark: SparkSession, d: str) -> DataFrame:
     rows = alerts(spark, d)
     return A.alert_episode(rows, J.correlated_events(rows, rows, ["user_id"])).select("id", "severity", F.array_join(F.transform("raw_refs", lambda x: x.cast("string")), ",").alias("refs"))
 
@@ -387,18 +371,9 @@ def integrity_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return D.integrity_mismatch(mine, theirs, ["agent"]).select("o_orderkey")
 
 
-@query("""WITH c AS (SELECT user_id AS key, arg_max(event_type, event_id) AS t, arg_max(props, event_id) AS p FROM events WHERE user_id % 2 = 0 GROUP BY 1), s AS (SELECT c_custkey AS key, c_name AS payload FROM customer WHERE c_custkey <= 100)
-SELECT key, payload FROM s WHERE key NOT IN (SELECT key FROM c) UNION ALL SELECT key, p FROM c WHERE t <> 'error'""")
-def feed_upsert(spark: SparkSession, d: str) -> DataFrame:
-    state = table(spark, d, "customer").filter("c_custkey <= 100").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("payload"))
-    kind = F.when(F.col("event_type") == "error", "delete").otherwise("update")
-    changes = table(spark, d, "events").filter("user_id % 2 = 0").select(F.col("user_id").alias("key"), F.col("event_id").alias("offset"), kind.alias("type"), F.col("props").alias("payload"))
-    return D.feed_upsert(state, changes)
-
-
 @query("""WITH c AS (SELECT user_id AS key, arg_max(event_type, event_id) AS t, arg_max(props, event_id) AS p FROM events GROUP BY 1), s AS (SELECT c_custkey AS key, c_name AS payload FROM customer)
 SELECT key, payload FROM s WHERE key NOT IN (SELECT key FROM c) UNION ALL SELECT key, p FROM c WHERE t <> 'error'""")
-def feed_upsert_all(spark: SparkSession, d: str) -> DataFrame:
+def feed_upsert(spark: SparkSession, d: str) -> DataFrame:
     state = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("payload"))
     kind = F.when(F.col("event_type") == "error", "delete").otherwise("update")
     changes = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("offset"), kind.alias("type"), F.col("props").alias("payload"))
@@ -518,15 +493,8 @@ def schema_conformance(spark: SparkSession, d: str) -> DataFrame:
     return out.agg(F.lit(1).alias("one"), F.count_if(F.array_contains("violations", "c_name")).alias("bad_name"), F.count_if(F.array_contains("violations", "c_nationkey")).alias("bad_nation"))
 
 
-@query("""SELECT lpad(CAST(o_custkey AS VARCHAR), greatest(3, length(CAST(o_custkey AS VARCHAR)))::INT, '0') AS agent_id, o_orderkey AS task_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS create_time FROM orders WHERE o_orderstatus = 'F' AND o_custkey < 900 ORDER BY o_orderkey LIMIT 100 OFFSET 20""")
-def task_query(spark: SparkSession, d: str) -> DataFrame:
-    epoch = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
-    tasks = table(spark, d, "orders").filter("o_custkey < 900").select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("agent_id"), F.col("o_orderstatus").alias("status"), epoch.alias("create_time"), epoch.alias("last_update_time"))
-    return L.task_query(tasks, status="F", offset=20, limit=100).select("agent_id", "task_id", "create_time")
-
-
 @query("""SELECT lpad(CAST(o_custkey AS VARCHAR), greatest(3, length(CAST(o_custkey AS VARCHAR)))::INT, '0') AS agent_id, o_orderkey AS task_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS create_time FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 100 OFFSET 20""")
-def task_query_all(spark: SparkSession, d: str) -> DataFrame:
+def task_query(spark: SparkSession, d: str) -> DataFrame:
     epoch = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
     tasks = table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("agent_id"), F.col("o_orderstatus").alias("status"), epoch.alias("create_time"), epoch.alias("last_update_time"))
     return L.task_query(tasks, status="F", offset=20, limit=100).select("agent_id", "task_id", "create_time")
@@ -667,52 +635,9 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     return R.keyword_alert_search(table(spark, d, "documents"), ["the", "que"], F.col("text"), F.col("source"), "n_chars", 25, "doc_id").select("doc_id", "score")
 
 
-def asked(docs: DataFrame) -> DataFrame:
-    """Keyword queries made of the table: the first three words of the ten smallest ids."""
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    return docs.orderBy("doc_id").limit(10).select(F.col("doc_id").alias("query"), F.slice(words, 1, 3).alias("terms"))
-
-
-BM25_SQL = """w AS (SELECT doc_id AS doc, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents), t AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w), bq AS (SELECT DISTINCT doc AS query, unnest(w[1:3]) AS term FROM (SELECT * FROM w ORDER BY doc LIMIT 10)),
-p AS (SELECT term, doc, l, count(*) AS tf FROM (SELECT doc, len(w) AS l, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM bq) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-r AS (SELECT query, doc, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))) AS raw FROM p JOIN df USING (term) JOIN bq USING (term), t GROUP BY 1, 2), s AS (SELECT query, doc, raw / max(raw) OVER (PARTITION BY query) AS score FROM r)"""
-
-
-@query(f"WITH {BM25_SQL}, k AS (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc)::INT AS rank FROM s) SELECT * FROM k WHERE rank <= 10")
-def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    scores = R.bm25_scores(docs, asked(docs), "doc_id", "text").withColumn("score", F.round("score", 9))
-    return W.prioritise_events(scores, ["query"], "score", "doc").filter("rank <= 10").withColumn("score", F.round("score", 6))
-
-
-def first_vectors(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
-    first = table(spark, d, "embeddings").orderBy("vec_id").limit(n)
-    return first.select((F.row_number().over(Window.orderBy("vec_id")) - 1).alias("query"), F.col("embedding").alias("vector"))
-
-
-VECTOR_SQL = """u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings), q AS (SELECT row_number() OVER (ORDER BY id) - 1 AS query, v AS w FROM u ORDER BY id LIMIT 5), vs AS (SELECT query::INT AS query, id, list_dot_product(v, w) AS similarity FROM u, q)"""
-
-
-@query(f"WITH {VECTOR_SQL}, k AS (SELECT query, id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, id)::INT AS rank FROM vs) SELECT * FROM k WHERE rank <= 10")
-def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    return S.vector_topk(table(spark, d, "embeddings"), first_vectors(spark, d), 10).withColumn("similarity", F.round("similarity", 6))
-
-
-@query(f"""WITH {VECTOR_SQL}, {BM25_SQL}, sem AS (SELECT query, id AS doc, similarity AS x FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS r FROM vs) WHERE r <= 30), h AS (SELECT coalesce(sem.query, s.query) AS query, coalesce(sem.doc, s.doc) AS doc, 0.6 * coalesce(x, 0) + 0.3 * coalesce(score, 0) AS part FROM sem FULL JOIN (SELECT * FROM s WHERE query < 5) s ON sem.query = s.query AND sem.doc = s.doc),
-z AS (SELECT query, doc, round(part + 0.1 * coalesce(exp(-(doc % 500) / 168.0), 0), 6) AS score FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INT AS rank FROM z) SELECT query::BIGINT AS query, doc, score, rank FROM k WHERE rank <= 10""")
-def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    semantic = S.vector_topk(table(spark, d, "embeddings"), first_vectors(spark, d), 30).select(F.col("query").cast("bigint").alias("query"), F.col("id").alias("doc"), F.col("similarity").alias("score"))
-    keyword = R.bm25_scores(docs, asked(docs), "doc_id", "text").filter("query < 5")
-    every = docs.select(F.col("doc_id").alias("doc")).unionByName(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"))).distinct()
-    fresh = every.withColumn("score", F.exp(-(F.col("doc") % 500) / 168.0))
-    total = R.hybrid_search(semantic, keyword, fresh, 1 << 30).withColumn("score", F.round("score", 6)).drop("rank")
-    return W.prioritise_events(total, ["query"], "score", "doc").filter("rank <= 10")
-
-
 # every row whose id is divisible by 20 asks
-ALL_VECTOR_SQL = """u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings), vs AS (SELECT q.id AS query, u.id, list_dot_product(u.v, q.v) AS similarity FROM u, u q WHERE q.id % 20 = 0)"""
-ALL_BM25_SQL = """w AS (SELECT doc_id AS doc, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents), t AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w), bq AS (SELECT DISTINCT doc AS query, unnest(w) AS term FROM w WHERE doc % 20 = 0),
+VECTOR_SQL = """u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings), vs AS (SELECT q.id AS query, u.id, list_dot_product(u.v, q.v) AS similarity FROM u, u q WHERE q.id % 20 = 0)"""
+BM25_SQL = """w AS (SELECT doc_id AS doc, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents), t AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w), bq AS (SELECT DISTINCT doc AS query, unnest(w) AS term FROM w WHERE doc % 20 = 0),
 p AS (SELECT term, doc, l, count(*) AS tf FROM (SELECT doc, len(w) AS l, unnest(w) AS term FROM w) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 r AS (SELECT query, doc, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))) AS raw FROM p JOIN df USING (term) JOIN bq USING (term), t GROUP BY 1, 2), s AS (SELECT query, doc, raw / max(raw) OVER (PARTITION BY query) AS score FROM r)"""
 
@@ -725,19 +650,19 @@ def asking_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), "text")
 
 
-@query(f"WITH {ALL_VECTOR_SQL}, k AS (SELECT query, id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, id)::INT AS rank FROM vs) SELECT * FROM k WHERE rank <= 10")
-def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
+@query(f"WITH {VECTOR_SQL}, k AS (SELECT query, id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, id)::INT AS rank FROM vs) SELECT * FROM k WHERE rank <= 10")
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return S.vector_topk(table(spark, d, "embeddings"), asking_vectors(spark, d), 10).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"WITH {ALL_BM25_SQL}, k AS (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc)::INT AS rank FROM s) SELECT * FROM k WHERE rank <= 10")
-def bm25_topk_all(spark: SparkSession, d: str) -> DataFrame:
+@query(f"WITH {BM25_SQL}, k AS (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc)::INT AS rank FROM s) SELECT * FROM k WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return S.bm25_topk(table(spark, d, "documents"), asking_texts(spark, d), 10, "doc_id", "text").select("query", F.col("id").alias("doc"), F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH {ALL_VECTOR_SQL}, {ALL_BM25_SQL}, sem AS (SELECT query, id AS doc, similarity AS x FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, id) AS r FROM vs) WHERE r <= 30), h AS (SELECT coalesce(sem.query, s.query) AS query, coalesce(sem.doc, s.doc) AS doc, 0.6 * coalesce(x, 0) + 0.3 * coalesce(score, 0) AS part FROM sem FULL JOIN s ON sem.query = s.query AND sem.doc = s.doc),
+@query(f"""WITH {VECTOR_SQL}, {BM25_SQL}, sem AS (SELECT query, id AS doc, similarity AS x FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, id) AS r FROM vs) WHERE r <= 30), h AS (SELECT coalesce(sem.query, s.query) AS query, coalesce(sem.doc, s.doc) AS doc, 0.6 * coalesce(x, 0) + 0.3 * coalesce(score, 0) AS part FROM sem FULL JOIN s ON sem.query = s.query AND sem.doc = s.doc),
 z AS (SELECT query, doc, round(part + 0.1 * exp(-(doc % 500) / 168.0), 6) AS score FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INT AS rank FROM z) SELECT query, doc, score, rank FROM k WHERE rank <= 10""")
-def hybrid_search_all(spark: SparkSession, d: str) -> DataFrame:
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     semantic = S.vector_topk(table(spark, d, "embeddings"), asking_vectors(spark, d), 30)
     out = S.hybrid_topk(semantic, table(spark, d, "documents"), asking_texts(spark, d), F.exp(-(F.col("id") % 500) / 168.0), 10, "doc_id", "text")
     return out.select("query", F.col("id").alias("doc"), F.round("score", 6).alias("score"), "rank")
