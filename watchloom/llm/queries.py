@@ -146,4 +146,35 @@ k AS (SELECT r, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(
 SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
 """
 
-ORACLE: dict[str, str] = {"op2_extendible_shards": OP2_SQL, "op3_poisson_mixture": OP3_SQL, "op4_warc_round_trip": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_risk_controlled_quality": OP7_SQL, "op9_suffix_sort_dedup": OP9_SQL}
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+rules(kind, rank, pattern, part, least) AS (VALUES
+  ('assign', 0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
+  ('access', 1, '(AKIA[A-Z0-9]+)', 1, 18),
+  ('hex', 2, '([0-9a-f]+)', 1, 16),
+  ('key', 3, '(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----)', 1, 1),
+  ('web', 4, '(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})', 1, 1)
+),
+"cut" AS (  -- two noncharacters mark where a match begins and ends
+  SELECT r, kind, rank, pattern, part, least, string_split(regexp_replace(t, pattern, chr(1114110) || '\0' || chr(1114111), 'g'), chr(1114110)) AS pieces FROM d, rules
+),
+piece AS (SELECT * EXCLUDE (pieces), unnest(pieces) AS x, generate_subscripts(pieces, 1) AS i FROM "cut"),
+placed AS (
+  SELECT r, kind, rank, pattern, part, least, i, split_part(x, chr(1114111), 1) AS found,
+    sum(length(replace(x, chr(1114111), ''))) OVER (PARTITION BY r, rank ORDER BY i) - length(replace(x, chr(1114111), '')) AS start
+  FROM piece
+),
+spans AS (
+  SELECT r, kind, rank, start, kind || ':' || start || ':' || (start + length(found)) AS span FROM placed
+  WHERE i > 1 AND CASE WHEN kind = 'assign' THEN length(regexp_extract(found, '["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) ELSE length(found) END >= least
+),
+g AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op2_extendible_shards": OP2_SQL, "op3_poisson_mixture": OP3_SQL, "op4_warc_round_trip": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_risk_controlled_quality": OP7_SQL, "op9_suffix_sort_dedup": OP9_SQL, "op10_secret_ledger": OP10_SQL}
