@@ -287,3 +287,12 @@ def test_substring_odd_rows(odd_docs, no_docs):
     rows = {r.doc_id: r for r in substring_dedup.substring_dedup(odd_docs).collect()}
     assert rows[4].n_removed == rows[4].n_bytes and rows[4].n_spans == 1 and rows[2].n_bytes == 0
     assert substring_dedup.substring_dedup(no_docs).count() == 0
+
+
+def test_arrivals_without_history_are_sharded(spark, monkeypatch):
+    shards, probe = [], exact_dedup.probe
+    monkeypatch.setattr(exact_dedup, "probe", lambda index, new, n: shards.append(n) or probe(index, new, n))
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(60)], "doc_id long, text string")
+    got = {r["keep_id"]: r["group_size"] for r in exact_dedup.winners(docs, F.lit(False), shard_rows=10).collect()}
+    assert shards == [6]  # 60 arrivals at most; two copies are combined only if their ids share one of 64 parts
+    assert got == {i: 2 if i >= 40 else 1 for i in range(20, 60)}

@@ -132,7 +132,7 @@ def winners(docs: DataFrame, historical: Column, text_col: str = "text", id_col:
 
     Rows for which historical holds are indexed first, the others arrive later. Copies among the arrivals of a digest are combined to
     at most 64 rows before they look it up. Members then raise the size and the winner of their slot, nonmembers are grouped apart. shard_rows is
-    the mean number of digests in a shard, of the larger of both sides, which bounds what a task holds.
+    the mean number of rows in a shard, of the larger of both sides (digests in the history, combined arrivals), which bounds what a task holds.
     """
     past = F.coalesce(historical, F.lit(False))
     history = save(groups_of(docs.filter(past), text_col, id_col), "exact-history")
