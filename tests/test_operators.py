@@ -150,7 +150,12 @@ def test_lookups(spark):
     kv = spark.createDataFrame([("S-1-1-0", "Everyone")], "key string, value string")
     dom = spark.createDataFrame([("512", "Domain Admins")], "key string, value string")
     df = spark.createDataFrame([(1, ["S-1-5-21-1-2-3-512", "S-1-1-0", "S-9"])], "id int, sids array<string>")
-    assert rows(J.sid_list_describe(df, kv, dom, "id", "sids", "names"), "names") == [(["Domain Admins", "Everyone", "S-9"],)]
+    assert rows(J.sid_list_describe(df, kv, dom, "sids", "names"), "names") == [(["Domain Admins", "Everyone", "S-9"],)]
+    twice = spark.createDataFrame([(1, ["S-9"]), (1, ["S-1-1-0", "S-1-1-0"]), (2, ["S-1-1-0", "S-1-1-0"]), (3, []), (4, None)], df.schema)
+    assert sorted(rows(J.lookup_array(twice, kv, "sids", "names"), "id", "sids", "names"), key=str) == sorted([(1, ["S-9"], None), (1, ["S-1-1-0"] * 2, ["Everyone"] * 2), (2, ["S-1-1-0"] * 2, ["Everyone"] * 2), (3, [], None), (4, None, None)], key=str)
+    bits = spark.createDataFrame([(0, "read"), (4, "run"), (31, "all")], "bit int, value string")
+    masks = spark.createDataFrame([(1, "0x11"), (1, "0x80000001"), (2, "0x2"), (3, None)], "id int, mask string")
+    assert sorted(rows(J.lookup_bitmask(masks, bits, "mask", "names"), "mask", "names"), key=str) == sorted([("0x11", ["read", "run"]), ("0x80000001", ["read", "all"]), ("0x2", None), (None, None)], key=str)
     nets = spark.createDataFrame([(167772160, 184549375, "ten"), (167772160, 167772415, "small")], "net_lo bigint, net_hi bigint, record string")
     ips = spark.createDataFrame([(1, "10.0.0.5"), (2, "10.200.0.1"), (3, "11.0.0.1"), (4, None)], "id int, ip string")
     assert dict(rows(J.range_enrich(ips, nets, "ip", "net"), "id", "net")) == {1: "small", 2: "ten", 3: None, 4: None}

@@ -28,6 +28,22 @@ def test_json_lines_and_history(spark, tmp_path):
     assert rows(text.plain_line_source(spark, p, 3).filter("line = 'bad'"), "line") == [("bad",)]
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    for name in "ab":
+        put(tmp_path, f"many/{name}.log", "".join(f"{name}{i}{chr(13) if i % 2 else ''}\n" for i in range(3000)))
+    put(tmp_path, "many/none.log", "")
+    put(tmp_path, "many/open.log", "x\n\ny", "w")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        lines = text.numbered_lines(spark, str(tmp_path / "many"))
+        got = {(r.file.rsplit("/", 1)[-1], r.line_no): r.line for r in lines.collect()}
+        pairs = [(r.event, r.n_lines, r.line_no) for r in text.regex_all_source(lines.filter("file like '%a.log'"), r"a\d+\na\d+$").orderBy("line_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {(f"{n}.log", i): f"{n}{i}" for n in "ab" for i in range(3000)} | {("open.log", 0): "x", ("open.log", 1): "", ("open.log", 2): "y"}
+    assert pairs == [(f"a{i}\na{i + 1}", 2, i) for i in range(0, 3000, 2)]
+
+
 def test_multiline_sources(spark, tmp_path):
     p = put(tmp_path, "m.log", "a1\na2\nb1\nb2\nc1\n")
     lines = text.numbered_lines(spark, p)

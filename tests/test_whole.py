@@ -7,7 +7,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from watchloom import queries as own
-from watchloom.llm import exact_dedup as E
 from watchloom.operators import aggregates as A
 from watchloom.operators import enrich as J
 from watchloom.operators import filters as L
@@ -47,6 +46,16 @@ def test_every_text_query_with_all_words(spark):
     want = {(q, r + 1): d for q in range(0, 50, 5) for r, d in enumerate(sorted((d for d in range(50) if raw(q, d) > 0), key=lambda d: (-round(raw(q, d), 9), d))[:4])}
     assert {(r["query"], r["rank"]): r["id"] for r in got} == want
     assert all(abs(r["raw"] - raw(r["query"], r["id"])) < 1e-9 for r in got)
+    asked = docs.filter("doc_id % 5 = 0").select(F.col("doc_id").alias("query"), F.split("text", " ").alias("terms"))
+    scores = R.bm25_scores(docs, asked, "doc_id", "text")
+    every = {(q, d): raw(q, d) / max(raw(q, x) for x in range(50)) for q in range(0, 50, 5) for d in range(50) if raw(q, d) > 0}
+    found = {(r["query"], r["doc"]): r["score"] for r in scores.collect()}
+    assert found.keys() == every.keys() and all(abs(found[k] - v) < 1e-9 for k, v in every.items())
+    near = docs.filter("doc_id < 9").select(F.lit(0).cast("long").alias("query"), F.col("doc_id").alias("doc"), (F.col("doc_id") / 9).alias("score"))
+    fresh = docs.select(F.col("doc_id").alias("doc"), (F.col("doc_id") / 50).alias("score"))
+    total = {d: 0.6 * (d / 9 if d < 9 else 0) + 0.3 * every.get((0, d), 0) + 0.1 * d / 50 for d in range(50) if d < 9 or (0, d) in every}
+    top = [r["doc"] for r in R.hybrid_search(near, scores.filter("query = 0"), fresh, 6).orderBy("rank").collect()]
+    assert top == sorted(total, key=lambda d: (-total[d], d))[:6]
 
 
 def test_every_alert_gets_its_events_without_a_product(spark):
@@ -139,12 +148,3 @@ def test_forest_has_all_trees_and_scores_as_walked(spark, monkeypatch):
     got = {r["id"]: r["raw"] for r in R.isolation_forest_score(df, nodes).collect()}
     for i in range(0, 300, 30):
         assert abs(got[i] - (0.5 - 2 ** (-np.mean([depth(t, x[i]) for t in range(200)]) / norm))) < 1e-9
-
-
-def test_arrivals_without_history_are_sharded(spark, monkeypatch):
-    shards, probe = [], E.probe
-    monkeypatch.setattr(E, "probe", lambda index, new, n: shards.append(n) or probe(index, new, n))
-    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(60)], "doc_id long, text string")
-    got = {r["keep_id"]: r["group_size"] for r in E.winners(docs, F.lit(False), shard_rows=10).collect()}
-    assert shards == [4]
-    assert got == {i: 2 if i >= 40 else 1 for i in range(20, 60)}

@@ -34,29 +34,39 @@ def lookup_merge(df: DataFrame, kv: DataFrame, field: str, target: str, recursiv
     return _found(df, kv, field).withColumn(target, (merge_recursive if recursive else merge)(F.col(target), F.col("__value"))).drop("__value")
 
 
-def lookup_array(df: DataFrame, kv: DataFrame, row_id: str, keys: str, target: str) -> DataFrame:
-    """target = values of the keys that are found, in their order; rows without a hit keep null."""
-    hits = df.select(row_id, F.posexplode(keys).alias("__pos", "key")).join(kv.select("key", "value"), "key")
-    lists = hits.groupBy(row_id).agg(F.transform(F.sort_array(F.collect_list(F.struct("__pos", "value"))), lambda x: x["value"]).alias(target))
-    return df.join(lists, row_id, "left")
+def _by_list(df: DataFrame, source: str, each: DataFrame, item: Column, target: str) -> DataFrame:
+    """target = the items of a list in their order. each: a row for each entry of each distinct list, with __list and __pos."""
+    items = F.transform(F.sort_array(F.collect_list(F.struct("__pos", item.alias("item")))), lambda x: x["item"])
+    lists = each.groupBy("__list").agg(items.alias("__items"))
+    out = df.drop(target) if target != source else df
+    return out.join(lists, F.col(source) == F.col("__list"), "left").drop("__list").withColumn(target, F.col("__items")).drop("__items")
 
 
-def lookup_bitmask(df: DataFrame, bits: DataFrame, row_id: str, mask: str, target: str) -> DataFrame:
+def _entries(df: DataFrame, source: str, name: str) -> DataFrame:
+    """__list, __pos and the entries of each distinct list: equal lists are looked up once, whichever rows hold them."""
+    return df.select(F.col(source).alias("__list")).distinct().select("__list", F.posexplode("__list").alias("__pos", name))
+
+
+def lookup_array(df: DataFrame, kv: DataFrame, keys: str, target: str) -> DataFrame:
+    """target = values of the keys that are found, in their order; rows without a hit get null."""
+    hits = _entries(df, keys, "key").join(kv.select("key", F.col("value").alias("__value")), "key")
+    return _by_list(df, keys, hits, F.col("__value"), target)
+
+
+def lookup_bitmask(df: DataFrame, bits: DataFrame, mask: str, target: str) -> DataFrame:
     """target = values (bits: bit, value) of the set bits 0..31 in order; null if there is none."""
-    number = hex_number(F.col(mask))
-    each = df.select(row_id, F.explode(F.filter(F.sequence(F.lit(0), F.lit(31)), lambda b: F.call_function("getbit", number, b) == 1)).alias("bit"))
-    lists = each.join(bits, "bit").groupBy(row_id).agg(F.transform(F.sort_array(F.collect_list(F.struct("bit", "value"))), lambda x: x["value"]).alias(target))
-    return df.join(lists, row_id, "left")
+    number = hex_number(F.col("__list"))
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda b: F.call_function("getbit", number, b) == 1)
+    each = df.select(F.col(mask).alias("__list")).distinct().select("__list", F.explode(numbers).alias("__pos"))
+    return _by_list(df, mask, each.join(bits.select(F.col("bit").alias("__pos"), F.col("value").alias("__value")), "__pos"), F.col("__value"), target)
 
 
-def sid_list_describe(df: DataFrame, names: DataFrame, domain_names: DataFrame, row_id: str, sids: str, target: str) -> DataFrame:
+def sid_list_describe(df: DataFrame, names: DataFrame, domain_names: DataFrame, sids: str, target: str) -> DataFrame:
     """Account text of each SID; a domain SID by its last number; else the SID itself."""
-    each = df.select(row_id, F.posexplode(sids).alias("__pos", "__sid"))
-    each = each.withColumn("__rid", F.regexp_extract("__sid", r"^S-1-5-21-.*-(\d{1,5})$", 1))
+    each = _entries(df, sids, "__sid").withColumn("__rid", F.regexp_extract("__sid", r"^S-1-5-21-.*-(\d{1,5})$", 1))
     each = each.join(names.select(F.col("key").alias("__sid"), F.col("value").alias("__name")), "__sid", "left")
     each = each.join(domain_names.select(F.col("key").alias("__rid"), F.col("value").alias("__domain")), "__rid", "left")
-    text = F.struct("__pos", F.coalesce("__name", "__domain", "__sid").alias("text"))
-    return df.join(each.groupBy(row_id).agg(F.transform(F.sort_array(F.collect_list(text)), lambda x: x["text"]).alias(target)), row_id, "left")
+    return _by_list(df, sids, each, F.coalesce("__name", "__domain", "__sid"), target)
 
 
 def network_blocks(networks: DataFrame, bits: int = 16) -> DataFrame:
@@ -217,5 +227,6 @@ def intel_to_event_match(events: DataFrame, top: DataFrame, intel: DataFrame, ki
 
 def technique_catalog(techniques: DataFrame, related: DataFrame, ids: str, name: str) -> DataFrame:
     """Techniques with the names of related rows (id, name) that their id array lists."""
-    each = techniques.select("id", F.explode(ids).alias("__rid")).join(related.select(F.col("id").alias("__rid"), F.col("name").alias("__name")), "__rid")
-    return techniques.join(each.groupBy("id").agg(F.sort_array(F.collect_set("__name")).alias(name)), "id", "left")
+    each = _entries(techniques, ids, "__rid").join(related.select(F.col("id").alias("__rid"), F.col("name").alias("__name")), "__rid")
+    names = each.groupBy("__list").agg(F.sort_array(F.collect_set("__name")).alias(name))
+    return techniques.join(names, F.col(ids) == F.col("__list"), "left").drop("__list")

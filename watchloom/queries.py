@@ -251,14 +251,14 @@ def lookup_merge(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH k AS (SELECT p_partkey, unnest([p_size % 25, (p_size * 7) % 25, 99]) AS key, unnest([0, 1, 2]) AS pos FROM part) SELECT p_partkey, string_agg(n_name, ',' ORDER BY pos) AS names FROM part LEFT JOIN (SELECT * FROM k JOIN nation ON key = n_nationkey AND n_regionkey < 3) USING (p_partkey) GROUP BY 1""")
 def lookup_array(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", F.array(F.col("p_size") % 25, (F.col("p_size") * 7) % 25, F.lit(99)).alias("keys"))
-    return J.lookup_array(rows, nations(spark, d), "p_partkey", "keys", "names").select("p_partkey", F.array_join("names", ",").alias("names"))
+    return J.lookup_array(rows, nations(spark, d), "keys", "names").select("p_partkey", F.array_join("names", ",").alias("names"))
 
 
 @query("SELECT p_partkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM part LEFT JOIN nation ON (p_size >> n_nationkey) & 1 = 1 GROUP BY 1")
 def lookup_bitmask(spark: SparkSession, d: str) -> DataFrame:
     bits = table(spark, d, "nation").select(F.col("n_nationkey").alias("bit"), F.col("n_name").alias("value"))
     rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("0x"), F.hex("p_size")).alias("mask"))
-    return J.lookup_bitmask(rows, bits, "p_partkey", "mask", "names").select("p_partkey", F.array_join("names", ",").alias("names"))
+    return J.lookup_bitmask(rows, bits, "mask", "names").select("p_partkey", F.array_join("names", ",").alias("names"))
 
 
 @query("""WITH e AS (SELECT event_id, 167772160 + (user_id * 7919) % 1000000 AS n FROM events), net AS (SELECT n_name, 167772160 + n_nationkey * 40000 AS lo, 167772160 + n_nationkey * 40000 + 29999 AS hi FROM nation) SELECT event_id, n_name AS network FROM e LEFT JOIN net ON n BETWEEN lo AND hi""")

@@ -116,7 +116,7 @@ def sid_descriptions(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "nation").select(F.concat(F.lit("S-1-1-"), "n_nationkey").alias("key"), F.col("n_name").alias("value"))
     domain = spark.range(5).select((500 + F.col("id")).cast("string").alias("key"), F.concat(F.lit("Group "), "id").alias("value"))
     sids = F.array(F.concat(F.lit("S-1-1-"), "c_nationkey"), F.concat(F.lit("S-1-5-21-7-8-9-"), 500 + F.col("c_custkey") % 5), F.lit("S-1-5-9"))
-    out = J.sid_list_describe(table(spark, d, "customer").select("c_custkey", sids.alias("sids")), names, domain, "c_custkey", "sids", "names")
+    out = J.sid_list_describe(table(spark, d, "customer").select("c_custkey", sids.alias("sids")), names, domain, "sids", "names")
     return out.select("c_custkey", F.array_join("names", ",").alias("names"))
 
 

@@ -1,11 +1,13 @@
 """Line and block sources: raw logs into events.
 
-A text file has no line numbers once it is split, so sources that join lines read whole files and number the lines inside
-each (one file is one task's work; rotate files to bound them). Plain line sources read in splits.
+Files are read in splits. Sources that join lines number the lines of each file by the split's offset and the place in
+it, so one file's lines are sorted, and may be spilled, in one task (rotate files to bound that).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,9 +39,11 @@ def json_log_source(spark: SparkSession, path: str, schema: StructType | str, **
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 0), line of whole files."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\r?\n$", "").alias("value"))
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    """file, line_no (from 0), line. A line ends at \\n or \\r\\n; an empty file has none."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at")]
+    lines = spark.read.option("lineSep", "\n").text(path).select(*place, F.regexp_replace("value", r"\r$", "").alias("line"))
+    number = F.row_number().over(Window.partitionBy("file").orderBy("__start", "__at")) - 1
+    return lines.select("file", number.alias("line_no"), "line")
 
 
 def _running(flag: Column, by: str = "file") -> Column:
@@ -78,23 +82,29 @@ def regex_end_source(lines: DataFrame, pattern: str, join: str = "keep") -> Data
 
 
 def regex_all_source(lines: DataFrame, pattern: str, most: int = 1000, join: str = "keep") -> DataFrame:
-    """Lines gather until the whole buffer matches; a buffer over most lines is given up. The buffer decides, so files run one by one."""
+    """Lines gather until the whole buffer matches; a buffer of most lines is given up. The buffer decides, so a file runs in order; a task holds one batch and one buffer."""
     import re
 
     sign = JOINS[join]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        compiled, rows, held = re.compile(pattern), [], []
-        for no, line in pdf.sort_values("line_no")[["line_no", "line"]].itertuples(index=False):
-            held.append((no, line))
-            if compiled.search(sign.join(x for _, x in held)):
-                rows.append((pdf["file"].iloc[0], sign.join(x for _, x in held), len(held), held[0][0]))
-                held = []
-            elif len(held) >= most:
-                held = []
-        return pd.DataFrame(rows, columns=["file", "event", "n_lines", "line_no"])
-
-    return lines.groupBy("file").applyInPandas(run, "file string, event string, n_lines bigint, line_no int")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compiled, held, current = re.compile(pattern), [], None
+        for pdf in batches:
+            rows = []
+            for file, no, line in pdf.itertuples(index=False):
+                if file != current:
+                    current, held = file, []
+                held.append((no, line))
+                event = sign.join(x for _, x in held)
+                if compiled.search(event):
+                    rows.append((file, event, len(held), held[0][0]))
+                    held = []
+                elif len(held) >= most:
+                    held = []
+            yield pd.DataFrame(rows, columns=["file", "event", "n_lines", "line_no"])
+
+    ordered = lines.select("file", "line_no", "line").repartition("file").sortWithinPartitions("file", "line_no")
+    return ordered.mapInPandas(run, "file string, event string, n_lines bigint, line_no int")
 
 
 #: How a record of each database's log begins.
