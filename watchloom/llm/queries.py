@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over whole tables with the parameters of a production run."""
+"""The queries of the operators, each over whole tables with the parameters of a production run."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, near_dedup, packing, quality, secret_scan, sharding, substring_dedup, warc
+from . import exact_dedup, fill_in_middle, language_id, mixing, near_dedup, packing, quality, secret_scan, sharding, substring_dedup, warc
 from ._shared import table
 
 #: Bytes of text in a shard of op2.
@@ -55,7 +55,15 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan_in_steps(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixture_language_id, op2_extendible_shards, op3_poisson_mixture, op4_warc_round_trip, op5_golay_near_dedup, op6_exact_dedup, op7_risk_controlled_quality, op8_power_of_two_packing, op9_suffix_sort_dedup, op10_secret_ledger)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    *(op1_mixture_language_id, op2_extendible_shards, op3_poisson_mixture, op4_warc_round_trip, op5_golay_near_dedup, op6_exact_dedup),
+    *(op7_risk_controlled_quality, op8_power_of_two_packing, op9_suffix_sort_dedup, op10_secret_ledger, op11_fill_in_middle),
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
 OP2_SQL = f"""
 WITH RECURSIVE rows AS (
@@ -177,4 +185,22 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN g USING (r)
 """
 
-ORACLE: dict[str, str] = {"op2_extendible_shards": OP2_SQL, "op3_poisson_mixture": OP3_SQL, "op4_warc_round_trip": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_risk_controlled_quality": OP7_SQL, "op9_suffix_sort_dedup": OP9_SQL, "op10_secret_ledger": OP10_SQL}
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '\\N')) AS x FROM documents),
+h AS (
+  SELECT *, ('0x' || substr(x, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(x, 9, 8))::BIGINT % (n + 1) AS b,
+    ('0x' || substr(x, 17, 8))::BIGINT % 100 AS p, ('0x' || substr(x, 25, 8))::BIGINT % 100 AS q FROM d
+),
+f AS (
+  SELECT *, least(a, b) AS i, greatest(a, b) AS j,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR p >= 90 THEN 'plain' WHEN q < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, i) || '<S>' || substr(t, j + 1) || '<M>' || substr(t, i + 1, j - i)
+    ELSE '<S>' || substr(t, j + 1) || '<P>' || substr(t, 1, i) || '<M>' || substr(t, i + 1, j - i) END AS output FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+  sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o
+"""
+
+ORACLE: dict[str, str] = {"op11_fill_in_middle": OP11_SQL, "op2_extendible_shards": OP2_SQL, "op3_poisson_mixture": OP3_SQL, "op4_warc_round_trip": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_risk_controlled_quality": OP7_SQL, "op9_suffix_sort_dedup": OP9_SQL, "op10_secret_ledger": OP10_SQL}
