@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fill_in_middle, language_id, mixing, near_dedup, packing, quality, secret_scan, sharding, substring_dedup, warc
+from . import conversation_repair, exact_dedup, fill_in_middle, language_id, mixing, near_dedup, packing, partial_matching, quality, secret_scan, sharding, substring_dedup, warc
 from ._shared import table
 
 #: Bytes of text in a shard of op2.
@@ -59,9 +59,19 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_report(damaged, copies_col="copies")
+
+
+def op13_partial_matching_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partial_matching.score(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     *(op1_mixture_language_id, op2_extendible_shards, op3_poisson_mixture, op4_warc_round_trip, op5_golay_near_dedup, op6_exact_dedup),
     *(op7_risk_controlled_quality, op8_power_of_two_packing, op9_suffix_sort_dedup, op10_secret_ledger, op11_fill_in_middle),
+    *(op12_conversation_repair, op13_partial_matching_scores),
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
@@ -203,4 +213,63 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CA
   sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o
 """
 
-ORACLE: dict[str, str] = {"op11_fill_in_middle": OP11_SQL, "op2_extendible_shards": OP2_SQL, "op3_poisson_mixture": OP3_SQL, "op4_warc_round_trip": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_risk_controlled_quality": OP7_SQL, "op9_suffix_sort_dedup": OP9_SQL, "op10_secret_ledger": OP10_SQL}
+#: CRC-32 bit by bit over the characters of k: an entry below 0 is one of the eight shifts after each byte.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(k) + 1), lambda i: [ascii(substr(k, CAST(i AS BIGINT), 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END))"""
+
+
+def _op12_sql() -> str:
+    """Costs, edits and repaired rows of the rest of a conversation, row by row from its end, for each of four states."""
+
+    def move(edit: str, cost: str, state: str, row: str = "") -> str:
+        rows = f"list_prepend({row}, {state}.t)" if row else f"{state}.t"
+        return f"{{'c': {state}.c + {cost}, 'a': '{edit}' || {state}.a, 't': {rows}}}"
+
+    never = "{'c': 1000000000::BIGINT, 'a': '', 't': []::VARCHAR[]}"
+    named = {"u": "'user:' || text", "d": "'assistant:' || text"}
+
+    def base(state: str, leads: str, kept: dict[str, str]) -> str:
+        keeps = " ".join(f"WHEN x = '{x}' THEN {move('K', 'more', to, "role || ':' || text")}" for x, to in kept.items())
+        keep, rerole = f"CASE WHEN gone THEN {never} {keeps} ELSE {never} END", f"CASE WHEN gone THEN {never} ELSE {move('R', '3 + more', leads, named[leads])} END"
+        return f"list_min([{move('D', '4', state)}, {rerole}, {keep}])"
+
+    def insert(state: str) -> str:
+        return move("I", "3", state, "'user:'" if state == "u" else "'assistant:'")
+
+    return f"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hashed AS (SELECT *, {_CRC} % 20 AS h FROM keyed),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM hashed
+),
+placed AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM rows),
+faults AS (
+  SELECT *, left(role, 1) AS x, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+),
+sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || x NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id
+),
+dp AS (
+  SELECT DISTINCT conv_id, n + 1 AS i, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS b, {{'c': 6::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']}} AS s,
+    {{'c': 3::BIGINT, 'a': 'I', 't': ['assistant:']}} AS u, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS d FROM placed
+  UNION ALL
+  SELECT conv_id, i, list_min([b, {insert('u')}]), list_min([s, {insert('u')}]), u, d FROM (
+    SELECT conv_id, i, b, s, list_min([u, {insert('d')}]) AS u, list_min([d, {insert('u')}]) AS d FROM (
+      SELECT dp.conv_id, f.i, {base('b', 'u', {'s': 's', 'u': 'u'})} AS b, {base('s', 'u', {'u': 'u'})} AS s, {base('u', 'd', {'a': 'd'})} AS u, {base('d', 'u', {'u': 'u'})} AS d
+      FROM dp JOIN (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM faults) f ON dp.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = dp.i - 1
+    )
+  )
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(dp.b.c, 0) AS cost, coalesce(dp.b.a, '') AS audit, sha256(coalesce(array_to_string(dp.b.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums ON c.conv_id IS NOT DISTINCT FROM sums.conv_id LEFT JOIN dp ON c.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.i = 1
+"""
+
+
+OP12_SQL = _op12_sql()
+
+ORACLE: dict[str, str] = {"op12_conversation_repair": OP12_SQL, "op11_fill_in_middle": OP11_SQL, "op2_extendible_shards": OP2_SQL, "op3_poisson_mixture": OP3_SQL, "op4_warc_round_trip": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_risk_controlled_quality": OP7_SQL, "op9_suffix_sort_dedup": OP9_SQL, "op10_secret_ledger": OP10_SQL}
