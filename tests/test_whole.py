@@ -46,16 +46,27 @@ def test_every_text_query_with_all_words(spark):
     want = {(q, r + 1): d for q in range(0, 50, 5) for r, d in enumerate(sorted((d for d in range(50) if raw(q, d) > 0), key=lambda d: (-round(raw(q, d), 9), d))[:4])}
     assert {(r["query"], r["rank"]): r["id"] for r in got} == want
     assert all(abs(r["raw"] - raw(r["query"], r["id"])) < 1e-9 for r in got)
-    asked = docs.filter("doc_id % 5 = 0").select(F.col("doc_id").alias("query"), F.split("text", " ").alias("terms"))
-    scores = R.bm25_scores(docs, asked, "doc_id", "text")
-    every = {(q, d): raw(q, d) / max(raw(q, x) for x in range(50)) for q in range(0, 50, 5) for d in range(50) if raw(q, d) > 0}
-    found = {(r["query"], r["doc"]): r["score"] for r in scores.collect()}
-    assert found.keys() == every.keys() and all(abs(found[k] - v) < 1e-9 for k, v in every.items())
-    near = docs.filter("doc_id < 9").select(F.lit(0).cast("long").alias("query"), F.col("doc_id").alias("doc"), (F.col("doc_id") / 9).alias("score"))
-    fresh = docs.select(F.col("doc_id").alias("doc"), (F.col("doc_id") / 50).alias("score"))
-    total = {d: 0.6 * (d / 9 if d < 9 else 0) + 0.3 * every.get((0, d), 0) + 0.1 * d / 50 for d in range(50) if d < 9 or (0, d) in every}
-    top = [r["doc"] for r in R.hybrid_search(near, scores.filter("query = 0"), fresh, 6).orderBy("rank").collect()]
-    assert top == sorted(total, key=lambda d: (-total[d], d))[:6]
+    near = docs.filter("doc_id < 9").select(F.lit(0).cast("long").alias("query"), F.col("doc_id").alias("id"), (F.col("doc_id") / 9).alias("similarity"))
+    best = max(raw(0, x) for x in range(50))
+    total = {d: 0.6 * (d / 9 if d < 9 else 0) + 0.3 * raw(0, d) / best + 0.1 * d / 50 for d in range(50) if d < 9 or raw(0, d) > 0}
+    top = S.hybrid_topk(near, docs, docs.filter("doc_id = 0").select(F.col("doc_id").alias("query"), "text"), F.col("id") / 50, 6, "doc_id", "text")
+    assert [r["id"] for r in top.orderBy("rank").collect()] == sorted(total, key=lambda d: (-round(total[d], 6), d))[:6]
+
+
+def test_ids_that_are_null_or_very_large_and_vectors_of_any_kind(spark):
+    big = 2**60 + 1
+    near = [(big, [1.0, 0.0]), (big + 1, [1.0, 0.0]), (None, [1.0, 0.0]), (None, [0.0, 1.0]), (7, [0.0, 0.0])]
+    odd = [(20, [1.0]), (21, [1.0, 2.0, 3.0]), (22, [1.0, None]), (23, [float("nan"), 1.0]), (24, None), (25, []), (26, [float("inf"), 1.0])]
+    df = spark.createDataFrame(near + odd, "vec_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(big + 2, [2.0, 0.0]), (None, [1.0, 0.0]), (5, [3.0]), (6, [1.0, 1.0, 1.0, 1.0]), (8, [None, 1.0])], "query long, vector array<double>")
+    got = {(r["query"], r["rank"]): (r["id"], round(r["similarity"], 9)) for r in S.vector_topk(df, asked, 4).collect()}
+    assert got == {(big + 2, 1): (big, 1.0), (big + 2, 2): (big + 1, 1.0), (big + 2, 3): (None, 1.0), (big + 2, 4): (7, 0.0), (5, 1): (20, 1.0)}
+    assert S.vector_topk(df.limit(0), asked, 4).count() == S.vector_topk(df, asked.limit(0), 4).count() == 0
+    docs = spark.createDataFrame([(big, "a b"), (None, "a b"), (big + 1, "a b"), (3, None), (4, ""), (None, "z")], "doc_id long, text string").repartition(2)
+    asked = spark.createDataFrame([(big + 1, "a a b"), (None, "a"), (9, "z"), (10, None)], "query long, text string")
+    got = {(r["query"], r["rank"]): r["id"] for r in S.bm25_topk(docs, asked, 5, "doc_id", "text").collect()}
+    assert got == {(big + 1, 1): big, (big + 1, 2): big + 1, (big + 1, 3): None, (9, 1): None}
+    assert S.bm25_topk(docs.limit(0), asked, 5, "doc_id", "text").count() == 0
 
 
 def test_every_alert_gets_its_events_without_a_product(spark):

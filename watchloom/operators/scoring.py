@@ -258,44 +258,11 @@ def recommendations(combined: Column, time: Column, frequency: Column, pattern:
 
 
 # retrieval -------------------------------------------------------------------------------------
-def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, term, tf of lower-cased words between white space."""
-    words = F.explode(F.filter(F.split(F.lower(text_col), r"\s+"), lambda w: w != ""))
-    return docs.select(F.col(id_col).alias("doc"), words.alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query, doc, score in (0, 1] (divided by the query's best). queries: query, terms (array).
-
-    Only the postings of query terms are scored: the queries' terms are joined to the index first.
-    """
-    words = F.filter(F.split(F.lower(text_col), r"\s+"), lambda w: w != "")
-    sized = docs.select(F.col(id_col).alias("doc"), words.alias("w")).select("doc", "w", F.size("w").alias("len"))
-    totals = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    asked = queries.select("query", F.explode(F.array_distinct("terms")).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    postings = sized.select("doc", "len", F.explode("w").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term", "doc", "len").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    raw = postings.join(df, "term").crossJoin(F.broadcast(totals)).join(asked, "term").groupBy("query", "doc").agg(F.sum(part).alias("raw"))
-    best = raw.groupBy("query").agg(F.max("raw").alias("best"))
-    return raw.join(best, "query").select("query", "doc", (F.col("raw") / F.col("best")).alias("score"))
-
-
 def freshness(ts: Column, as_of: Column, hours: float = 168) -> Column:
     age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 3.6e9
     return F.exp(-age / hours)
 
 
-def hybrid_search(semantic: DataFrame, keyword: DataFrame, fresh: DataFrame, k: int) -> DataFrame:
-    """query, doc, score, rank of 0.6 semantic + 0.3 keyword + 0.1 freshness. semantic, keyword: query, doc, score; fresh: doc, score."""
-    both = semantic.select("query", "doc", F.col("score").alias("s")).join(keyword.select("query", "doc", F.col("score").alias("kw")), ["query", "doc"], "full_outer").join(fresh.select("doc", F.col("score").alias("f")), "doc", "left")
-    total = 0.6 * F.coalesce("s", F.lit(0.0)) + 0.3 * F.coalesce("kw", F.lit(0.0)) + 0.1 * F.coalesce("f", F.lit(0.0))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return both.withColumn("score", total).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "doc", "score", "rank")
-
-
 def keyword_alert_search(alerts: DataFrame, terms: list[str], text: Column, description: Column, level: str, k: int, tie: str) -> DataFrame:
     """1 for each term in the text, 2 more if in the description; rows without a hit are left out."""
     t, d = F.lower(text), F.lower(description)

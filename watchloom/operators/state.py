@@ -126,9 +126,3 @@ def inventory_clean(rows: DataFrame, clean: DataFrame, keys: list[str]) -> tuple
 
 def sync_due(bookmarks: DataFrame, as_of: Column) -> DataFrame:
     return bookmarks.filter(F.col("last_sync") + F.make_dt_interval(secs=F.col("interval_seconds")) <= as_of)
-
-
-def newest_state(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Latest row of each key by a window, for tables with many columns."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return changes.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
