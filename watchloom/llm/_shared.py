@@ -28,11 +28,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/watchloom/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage is cut, lost executors cost nothing."""
+def save(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it again: lineage is cut, lost executors cost nothing. codec: of the files, if not the session's."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

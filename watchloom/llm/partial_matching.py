@@ -23,6 +23,7 @@ empty table gives no rows; other columns are ignored. Ids are whole numbers or t
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
@@ -45,7 +46,7 @@ BITS = 9
 #: Bytes of text in a block, and symbols of a text that are packed at once.
 BLOCK, SLICE = 1 << 24, 1 << 20
 
-BLOCKS = "block bigint, id string, held_out boolean, text string"
+BLOCKS = "block bigint, id string, held_out boolean, packed binary"
 ASKED = "block bigint, gram bigint, word string, n bigint"
 SCORES = "id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
@@ -78,7 +79,7 @@ def tokens(data: bytes) -> Counter:
 
 
 def in_blocks(docs: DataFrame, held: Column, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """block, id, held_out, text: runs of rows of at most BLOCK bytes or one row, written once."""
+    """block, id, held_out, packed (the normalised text, by zlib): runs of rows of at most BLOCK characters or one row, written once."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +91,8 @@ def in_blocks(docs: DataFrame, held: Column, text_col: str = "text", id_col: str
                     block, size = block + 1, 0
                 size += len(text) + 1
                 own.append(block)
-            yield pdf.assign(block=own)[["block", "id", "held_out", "text"]]
+            packed = [zlib.compress(normalised(text), 1) for text in pdf["text"]]
+            yield pd.DataFrame({"block": own, "id": pdf["id"], "held_out": pdf["held_out"], "packed": packed})
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), held.alias("held_out"), text_or_empty(text_col).alias("text"))
     return save(rows.mapInPandas(run, BLOCKS), "ppm-blocks")
@@ -107,7 +109,7 @@ class Asked:
         for part in grams(data):
             self.pending[learns].append(part)
             self.size += len(part)
-            if self.size > 1 << 23:
+            if self.size > 1 << 22:
                 self.settle()
         for word, n in tokens(data).items():
             self.words[word] += n if learns else 0
@@ -149,17 +151,17 @@ def asked(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, own = None, Asked()
         for pdf in batches:
-            for block, out, text in zip(pdf["block"], pdf["held_out"], pdf["text"], strict=True):
+            for block, out, packed in zip(pdf["block"], pdf["held_out"], pdf["packed"], strict=True):
                 if block != now:
                     if now is not None:
                         yield from own.frames(now)
                     now, own = block, Asked()
-                own.add(normalised(text), not out)
+                own.add(zlib.decompress(packed), not out)
         if now is not None:
             yield from own.frames(now)
 
     # a block that Spark reads in two tasks asks in both; its answers are the same
-    return save(blocks.mapInPandas(run, ASKED), "ppm-asked")
+    return save(blocks.mapInPandas(run, ASKED), "ppm-asked", "zstd")
 
 
 class Level:
@@ -260,20 +262,20 @@ def _scored(usual: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
         now, parts, codes, words = None, [], None, {}
         for pdf in batches:
             out = []
-            for block, own in pdf.groupby("block", sort=False):
+            for block, own in pdf.groupby("block", sort=False):  # sorted by block and kind
                 if block != now:
                     now, parts, codes, words = block, [], None, {}
                 for kind, rows in own.groupby("kind"):
                     if kind == 0:
                         parts.append((rows["gram"].to_numpy(np.int64), rows["value"].to_numpy(np.float64)))
                     elif kind == 1:
-                        words.update(zip((w.encode("utf-8", "surrogatepass") for w in rows["text"]), rows["value"], strict=True))
+                        words.update(zip((w.encode("utf-8", "surrogatepass") for w in rows["word"]), rows["value"], strict=True))
                     else:
                         if codes is None:
                             key, value = (np.concatenate(x) for x in zip(*parts, strict=True))
                             key, first = np.unique(key, return_index=True)
                             codes, parts = (key, value[first]), []
-                        out += [(i, h, *_score(normalised(t), codes, words, usual)) for i, h, t in zip(rows["id"], rows["held_out"], rows["text"], strict=True)]
+                        out += [(i, h, *_score(zlib.decompress(p), codes, words, usual)) for i, h, p in zip(rows["id"], rows["held_out"], rows["packed"], strict=True)]
             yield pd.DataFrame(out, columns=[x.split()[0] for x in SCORES.split(", ")])
 
     return run
@@ -293,7 +295,7 @@ def _score(data: bytes, codes: tuple[np.ndarray, np.ndarray], words: dict[bytes,
 
 def _stream_rows(df: DataFrame, kind: int, **columns: str) -> DataFrame:
     """The rows in the stream's columns; those not given are null."""
-    kinds = {"id": "string", "held_out": "boolean", "gram": "bigint", "text": "string", "value": "double"}
+    kinds = {"id": "string", "held_out": "boolean", "packed": "binary", "gram": "bigint", "word": "string", "value": "double"}
     return df.select("block", F.lit(kind).alias("kind"), *((F.col(columns[c]) if c in columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
 
 
@@ -307,8 +309,8 @@ def score(docs: DataFrame, held: Column | None = None, text_col: str = "text", i
     codes = gram_table(gram_counts)
     gram_answers = wants.filter("gram is not null").select("block", "gram").join(codes, "gram")
     word_answers = wants.filter("word is not null").select("block", "word").join(word_counts, "word")
-    rows = _stream_rows(gram_answers, 0, gram="gram", value="value").unionByName(_stream_rows(word_answers, 1, text="word", value="n"))
-    rows = rows.unionByName(_stream_rows(blocks, 2, id="id", held_out="held_out", text="text"))
+    rows = _stream_rows(gram_answers, 0, gram="gram", value="value").unionByName(_stream_rows(word_answers, 1, word="word", value="n"))
+    rows = rows.unionByName(_stream_rows(blocks, 2, id="id", held_out="held_out", packed="packed"))
     dealt = rows.repartition("block").sortWithinPartitions("block", "kind")
     out = dealt.mapInPandas(_scored(math.log10(sums["n"] + 0.1 * (sums["v"] + 1))), SCORES)
     return out.select(F.col("id").cast("bigint").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(sums["n"]).cast("bigint").alias("train_tokens"), "base_score", "score")
