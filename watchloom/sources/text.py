@@ -1,7 +1,8 @@
 """Line and block sources: raw logs into events.
 
-Files are read in splits. Sources that join lines number the lines of each file by the split's offset and the place in
-it, so one file's lines are sorted, and may be spilled, in one task (rotate files to bound that).
+Files are read in splits, and no step orders a whole file: lines are numbered by the line counts of the splits before theirs, and sources that join
+lines scan a file in chunks of CHUNK lines, in parallel. A chunk's summary is its last boundary (the greatest, so summaries compose in any grouping);
+only the summaries of a file are put in order, and a line takes the nearest boundary of its own chunk or of the chunks before.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.mapping import epoch_timestamp
+from .landing import stored
+
+#: Lines of a chunk.
+CHUNK = 1 << 16
 
 
 def json_lines_source(spark: SparkSession, path: str, schema: StructType | str, quarantine: bool = False) -> DataFrame:
@@ -29,8 +34,10 @@ def alert_history_source(spark: SparkSession, path: str, schema: StructType | st
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(path).withColumn("file", F.col("_metadata.file_path"))
 
 
-def plain_line_source(spark: SparkSession, path: str, longest: int = 65536) -> DataFrame:
-    return spark.read.text(path).select(F.substring("value", 1, longest).alias("line"), F.col("_metadata.file_path").alias("file"))
+def plain_line_source(spark: SparkSession, path: str, longest: int | None = None) -> DataFrame:
+    """line, file. longest: characters after which lines are cut; by default they are whole."""
+    line = F.col("value") if longest is None else F.substring("value", 1, longest)
+    return spark.read.text(path).select(line.alias("line"), F.col("_metadata.file_path").alias("file"))
 
 
 def json_log_source(spark: SparkSession, path: str, schema: StructType | str, **labels: str) -> DataFrame:
@@ -39,15 +46,31 @@ def json_log_source(spark: SparkSession, path: str, schema: StructType | str, **
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 0), line. A line ends at \\n or \\r\\n; an empty file has none."""
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at")]
-    lines = spark.read.option("lineSep", "\n").text(path).select(*place, F.regexp_replace("value", r"\r$", "").alias("line"))
-    number = F.row_number().over(Window.partitionBy("file").orderBy("__start", "__at")) - 1
-    return lines.select("file", number.alias("line_no"), "line")
+    """file, line_no (from 0), line. A line ends at \\n or \\r\\n; an empty file has none.
+
+    The lines are written once with their split and place in it, so that counts and numbers rest on the same splits.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")]
+    lines = stored(spark.read.option("lineSep", "\n").text(path).select(*place, F.regexp_replace("value", r"\r$", "").alias("line")), "lines")
+    splits = lines.groupBy("file", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(stored(splits, "line-splits"), ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line_no"), "line")
 
 
-def _running(flag: Column, by: str = "file") -> Column:
-    return F.sum(flag.cast("int")).over(Window.partitionBy(by).orderBy("line_no"))
+def last_before(lines: DataFrame, name: str, value: Column, inclusive: bool = True, backward: bool = False) -> DataFrame:
+    """Adds, under a name, the greatest value of the lines before (or with inclusive up to) each line of its file, null if there is none.
+
+    value: null, or something that grows with line_no: then it is that of the nearest line. backward: from the file's end; value must grow towards its start.
+    """
+    rows = lines.withColumns({"__chunk": F.floor(F.col("line_no") / CHUNK), "__value": value})
+    sign = F.desc if backward else F.asc
+    own = Window.partitionBy("file", "__chunk").orderBy(sign("line_no")).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    chunks = rows.groupBy("file", "__chunk").agg(F.max("__value").alias("__most"))
+    ahead = Window.partitionBy("file").orderBy(sign("__chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select("file", "__chunk", F.max("__most").over(ahead).alias("__ahead"))
+    near = rows.withColumn("__near", F.max("__value").over(own)).join(chunks, ["file", "__chunk"])
+    return near.withColumn(name, F.coalesce("__near", "__ahead")).drop("__chunk", "__value", "__near", "__ahead")
 
 
 def _collect(lines: DataFrame, group: str, separator: str = "\n") -> DataFrame:
@@ -71,40 +94,82 @@ def strict_chunk_source(lines: DataFrame, n: int) -> DataFrame:
 
 def regex_start_source(lines: DataFrame, pattern: str, join: str = "keep") -> DataFrame:
     """A line that matches opens an event; lines before the first opener are left out."""
-    marked = lines.withColumn("__g", _running(F.col("line").rlike(pattern)))
-    return _collect(marked.filter("__g > 0"), "__g", JOINS[join])
+    marked = last_before(lines, "__g", F.when(F.col("line").rlike(pattern), F.col("line_no")))
+    return _collect(marked.filter("__g is not null"), "__g", JOINS[join])
 
 
 def regex_end_source(lines: DataFrame, pattern: str, join: str = "keep") -> DataFrame:
     """A line that matches closes an event; an open rest is an event too."""
-    ends = F.coalesce(F.lag(F.col("line").rlike(pattern)).over(Window.partitionBy("file").orderBy("line_no")), F.lit(False))
-    return _collect(lines.withColumn("__end", ends).withColumn("__g", _running(F.col("__end"))), "__g", JOINS[join])
+    marked = last_before(lines, "__g", F.when(F.col("line").rlike(pattern), F.col("line_no")), inclusive=False)
+    return _collect(marked, "__g", JOINS[join])
 
 
-def regex_all_source(lines: DataFrame, pattern: str, most: int = 1000, join: str = "keep") -> DataFrame:
-    """Lines gather until the whole buffer matches; a buffer of most lines is given up. The buffer decides, so a file runs in order; a task holds one batch and one buffer."""
-    import re
+BUFFERS = "file string, chunk bigint, kind int, event string, n_lines bigint, line_no bigint, numbers array<bigint>, texts array<string>"
 
-    sign = JOINS[join]
+
+def _gathered(pattern: str, sign: str, most: int | None):
+    """Runs a chunk's lines, sorted, behind the buffer it begins with: its events, and the buffer it leaves."""
+    import re
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled, held, current = re.compile(pattern), [], None
+        compiled, held, now = re.compile(pattern), [], None
         for pdf in batches:
             rows = []
-            for file, no, line in pdf.itertuples(index=False):
-                if file != current:
-                    current, held = file, []
+            for file, chunk, no, line, numbers, texts in pdf.itertuples(index=False):
+                if (file, chunk) != now:
+                    if now is not None:
+                        rows.append((*now, 2, None, None, None, [n for n, _ in held], [x for _, x in held]))
+                    now, held = (file, chunk), []
+                if numbers is not None:
+                    held = list(zip(numbers, texts, strict=True))
+                    continue
                 held.append((no, line))
                 event = sign.join(x for _, x in held)
                 if compiled.search(event):
-                    rows.append((file, event, len(held), held[0][0]))
+                    rows.append((*now, 1, event, len(held), held[0][0], None, None))
                     held = []
-                elif len(held) >= most:
+                elif most and len(held) >= most:
                     held = []
-            yield pd.DataFrame(rows, columns=["file", "event", "n_lines", "line_no"])
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in BUFFERS.split(", ")])
+        if now is not None:
+            yield pd.DataFrame([(*now, 2, None, None, None, [n for n, _ in held], [x for _, x in held])], columns=[x.split()[0] for x in BUFFERS.split(", ")])
+
+    return run
 
-    ordered = lines.select("file", "line_no", "line").repartition("file").sortWithinPartitions("file", "line_no")
-    return ordered.mapInPandas(run, "file string, event string, n_lines bigint, line_no int")
+
+def regex_all_source(lines: DataFrame, pattern: str, most: int | None = None, join: str = "keep") -> DataFrame:
+    """Lines gather until the whole buffer matches; with most, a buffer of so many lines is given up. An open rest is left out.
+
+    Where an event begins hangs on all lines before it. Each chunk first runs as if it began with an empty buffer; then the chunks whose predecessor leaves
+    another buffer than the one they began with run again, until none does. Most logs settle after one such round, as a chunk's last buffer seldom hangs on its
+    first. A task holds a batch of lines and one buffer.
+    """
+    rows = stored(lines.select("file", F.floor(F.col("line_no") / CHUNK).alias("chunk"), "line_no", "line"), "gathered-lines")
+    key, order, empty = ["file", "chunk"], ("file", "chunk", F.asc_nulls_first("line_no")), {"numbers": "array<bigint>", "texts": "array<string>"}
+    begins = rows.select(*key).distinct().select(*key, *(F.lit(None).cast(kind).alias(c) for c, kind in empty.items()))
+    rounds: list[DataFrame] = []
+    while True:
+        todo = rows.join(begins.select(*key), key, "left_semi") if rounds else rows
+        given = begins.filter("numbers is not null").select(*key, F.lit(None).cast("bigint").alias("line_no"), F.lit(None).cast("string").alias("line"), *empty)
+        stream = todo.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in empty.items())).unionByName(given)
+        found = stream.repartition(*key).sortWithinPartitions(*order).mapInPandas(_gathered(pattern, JOINS[join], most), BUFFERS)
+        rounds.append(stored(found.withColumn("round", F.lit(len(rounds))), "gathered"))
+        every = rounds[0]
+        for df in rounds[1:]:
+            every = every.unionByName(df)
+        # the buffer that each chunk left in its last round, and by where it begins the one its successor should have had
+        left = every.filter("kind = 2").groupBy(*key).agg(F.max_by(F.struct("numbers", "texts"), "round").alias("left"))
+        follows = Window.partitionBy("file").orderBy("chunk")
+        due = left.select(*key, F.lag("left").over(follows).alias("due")).filter("due is not null")
+        had = begins if len(rounds) == 1 else had.join(begins.select(*key), key, "left_anti").unionByName(begins)
+        due = due.join(had.select(*key, F.try_element_at("numbers", F.lit(1)).alias("had")), key)
+        due = due.filter(~F.try_element_at("due.numbers", F.lit(1)).eqNullSafe(F.col("had")))
+        begins = stored(due.select(*key, "due.numbers", "due.texts"), "gathered-begins")
+        had = stored(had, "gathered-had") if len(rounds) > 1 else had
+        if begins.isEmpty():
+            break
+    last = every.filter("kind = 2").groupBy(*key).agg(F.max("round").alias("round"))
+    return every.filter("kind = 1").join(last, [*key, "round"]).select("file", "event", "n_lines", "line_no")
 
 
 #: How a record of each database's log begins.
@@ -122,10 +187,11 @@ def ids_block_source(lines: DataFrame) -> DataFrame:
 
 def alert_block_source(lines: DataFrame) -> DataFrame:
     """Text blocks opened by ** Alert and closed by a blank line or the next opener."""
-    opens = F.col("line").startswith("** Alert")
-    after_blank = F.coalesce(F.lag(F.trim("line") == "").over(Window.partitionBy("file").orderBy("line_no")), F.lit(False))
-    marked = lines.withColumn("__new", opens | after_blank).withColumn("__g", _running(F.col("__new")))
-    return _collect(marked.filter(F.trim("line") != ""), "__g").filter(F.col("event").startswith("** Alert"))
+    blank = F.trim("line") == ""
+    after = last_before(lines, "__blank", F.when(blank, F.col("line_no")), inclusive=False)
+    marked = last_before(after, "__open", F.when(F.col("line").startswith("** Alert"), F.col("line_no")))
+    marked = marked.filter(~blank & F.col("__open").isNotNull() & (F.col("__open") > F.coalesce("__blank", F.lit(-1))))
+    return _collect(marked, "__open").drop("__blank")
 
 
 def alert_block_fields(blocks: DataFrame) -> DataFrame:
@@ -157,12 +223,14 @@ def forwarded_alert_source(fields: DataFrame) -> DataFrame:
     return fields.select(F.concat_ws("; ", part("level", "level"), part("rule", "rule_id"), part("location", "location"), part("srcip", "src_ip"), part("user", "user"), part("log", "message")).alias("line"))
 
 
-def audit_record_source(lines: DataFrame, most: int = 200) -> DataFrame:
-    """Consecutive lines with the same msg=audit(id) are one event of at most most lines; other lines are left out."""
+def audit_record_source(lines: DataFrame, most: int | None = None) -> DataFrame:
+    """Consecutive lines with the same msg=audit(id) are one event, of at most most lines if given; other lines are left out."""
     ided = lines.withColumn("audit_id", F.regexp_extract("line", r"msg=audit\(([^)]+)\)", 1)).filter("audit_id <> ''")
-    change = ~F.col("audit_id").eqNullSafe(F.lag("audit_id").over(Window.partitionBy("file").orderBy("line_no")))
-    marked = ided.withColumn("__new", change).withColumn("__g", _running(F.col("__new")))
-    ordered = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("line_no", "line"))), 1, most), lambda x: x["line"])
+    marked = last_before(ided, "__before", F.struct("line_no", "audit_id"), inclusive=False)
+    change = ~F.col("audit_id").eqNullSafe(F.col("__before.audit_id"))
+    marked = last_before(marked, "__g", F.when(change, F.col("line_no")))
+    held = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+    ordered = F.transform(held if most is None else F.slice(held, 1, most), lambda x: x["line"])
     return marked.groupBy("file", "__g", "audit_id").agg(F.array_join(ordered, " ").alias("event"), F.min("line_no").alias("line_no")).drop("__g")
 
 
@@ -230,8 +298,7 @@ def hourly_totals_source(lines: DataFrame) -> DataFrame:
     close = r"^(\d+)--(\d+)--(\d+)--(\d+)--(\d+)$"
     alert = r"^(\d+)-(\d+)-(\d+)-(\d+)$"
     marked = lines.withColumn("__close", F.col("line").rlike(close)).filter(F.col("__close") | F.col("line").rlike(alert))
-    later = F.sum(F.col("__close").cast("int")).over(Window.partitionBy("file").orderBy(F.desc("line_no")))
-    grouped = marked.withColumn("__g", later).filter("__g > 0")
+    grouped = last_before(marked, "__g", F.when(F.col("__close"), -F.col("line_no")), backward=True).filter("__g is not null")
     number = lambda p, k: F.regexp_extract("line", p, k).try_cast("bigint")
     alerts = F.sort_array(F.collect_list(F.when(~F.col("__close"), F.struct("line_no", number(alert, 2).alias("sigid"), number(alert, 3).alias("level"), number(alert, 4).alias("times")))))
     totals = F.max(F.when(F.col("__close"), F.struct(*(number(close, k).alias(n) for k, n in enumerate(("hour", "total_alerts", "events", "syscheck", "firewall"), 1)))))
