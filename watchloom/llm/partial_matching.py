@@ -71,11 +71,9 @@ def grams(data: bytes) -> Iterator[np.ndarray]:
         yield out
 
 
-def tokens(data: bytes) -> Counter:
+def tokens(data: bytes) -> list[bytes]:
     """Words (bytes.split() parts at the six white-space bytes) and one end, which is the empty word."""
-    out = Counter(data.split())
-    out[b""] = 1
-    return out
+    return [*data.split(), b""]
 
 
 def in_blocks(docs: DataFrame, held: Column, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -111,8 +109,11 @@ class Asked:
             self.size += len(part)
             if self.size > 1 << 22:
                 self.settle()
-        for word, n in tokens(data).items():
-            self.words[word] += n if learns else 0
+        words = tokens(data)
+        if learns:
+            self.words.update(words)
+        else:
+            self.words.update(dict.fromkeys(words, 0))
 
     def settle(self) -> None:
         keys, sums = [self.grams[0]], [self.grams[1]]
@@ -259,38 +260,56 @@ def _scored(usual: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
     """usual: log10 of what every word count is divided by."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, parts, codes, words = None, [], None, {}
+        now, answers = None, Answers()
         for pdf in batches:
             out = []
             for block, own in pdf.groupby("block", sort=False):  # sorted by block and kind
                 if block != now:
-                    now, parts, codes, words = block, [], None, {}
+                    now, answers = block, Answers()
                 for kind, rows in own.groupby("kind"):
                     if kind == 0:
-                        parts.append((rows["gram"].to_numpy(np.int64), rows["value"].to_numpy(np.float64)))
+                        answers.add_codes(rows["gram"].to_numpy(np.int64), rows["value"].to_numpy(np.float64))
                     elif kind == 1:
-                        words.update(zip((w.encode("utf-8", "surrogatepass") for w in rows["word"]), rows["value"], strict=True))
+                        answers.add_words(rows["word"], rows["value"].to_numpy(np.float64))
                     else:
-                        if codes is None:
-                            key, value = (np.concatenate(x) for x in zip(*parts, strict=True))
-                            key, first = np.unique(key, return_index=True)
-                            codes, parts = (key, value[first]), []
-                        out += [(i, h, *_score(zlib.decompress(p), codes, words, usual)) for i, h, p in zip(rows["id"], rows["held_out"], rows["packed"], strict=True)]
+                        texts = (zlib.decompress(p) for p in rows["packed"])
+                        out += [(i, h, *answers.score(t, usual)) for i, h, t in zip(rows["id"], rows["held_out"], texts, strict=True)]
             yield pd.DataFrame(out, columns=[x.split()[0] for x in SCORES.split(", ")])
 
     return run
 
 
-def _score(data: bytes, codes: tuple[np.ndarray, np.ndarray], words: dict[bytes, float], usual: float) -> tuple[int, int, float, float]:
-    score = 0.0
-    for part in grams(data):
-        score += float(codes[1][np.searchsorted(codes[0], np.sort(part))].sum())
-    n = known = 0
-    base = 0.0
-    for word, k in tokens(data).items():
-        c = words[word]
-        n, known, base = n + k, known + (k if c > 0 else 0), base + k * math.log10(c + 0.1)
-    return n, known, base - n * usual, score
+class Answers:
+    """What a block asked for: the code length of each n-gram, log10 of each word's count and 0.1, and the words that were never learnt."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.logs: dict[bytes, float] = {}
+        self.unknown: set[bytes] = set()
+        self.key = self.value = np.empty(0)
+
+    def add_codes(self, gram: np.ndarray, value: np.ndarray) -> None:
+        self.parts.append((gram, value))
+
+    def add_words(self, words: pd.Series, count: np.ndarray) -> None:
+        own = [w.encode("utf-8", "surrogatepass") for w in words]
+        self.logs.update(zip(own, np.log10(count + 0.1).tolist(), strict=True))
+        self.unknown.update(own[i] for i in np.flatnonzero(count == 0))
+
+    def score(self, data: bytes, usual: float) -> tuple[int, int, float, float]:
+        """(tokens, known tokens, base score, score) of a text."""
+        if self.parts:
+            key, value = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            self.key, first = np.unique(key, return_index=True)
+            self.value, self.parts = value[first], []
+        score = 0.0
+        for part in grams(data):
+            part.sort()
+            new = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            score += float(self.value[np.searchsorted(self.key, part[new])] @ np.diff(np.append(new, len(part))))
+        words = tokens(data)
+        known = len(words) - (sum(map(self.unknown.__contains__, words)) if self.unknown else 0)
+        return len(words), known, sum(map(self.logs.__getitem__, words)) - len(words) * usual, score
 
 
 def _stream_rows(df: DataFrame, kind: int, **columns: str) -> DataFrame:
