@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import one_row, percentiles
+
 LEVELS = ("info", "error", "critical", "warning", "debug")
 
 
@@ -23,8 +25,9 @@ def top_groups(alerts: DataFrame, k: int = 15) -> DataFrame:
 
 
 def score_statistics(scores: DataFrame, score: str = "score", threshold: float = 62) -> DataFrame:
-    hits = F.count_if(F.col(score) >= threshold)
-    return scores.agg(F.avg(score).alias("mean"), F.median(score).alias("median"), F.min(score).alias("least"), F.max(score).alias("most"), hits.alias("anomalies"), (hits / F.count(score)).alias("rate"), F.count_if(F.col(score) >= 70).alias("high"))
+    """One row; the median is found by refined histograms, so no task holds the scores."""
+    hits, middle = F.count_if(F.col(score) >= threshold), F.lit(percentiles(scores, score, [0.5])[0]).cast("double")
+    return scores.agg(F.avg(score).alias("mean"), middle.alias("median"), F.min(score).alias("least"), F.max(score).alias("most"), hits.alias("anomalies"), F.try_divide(hits, F.count(score)).alias("rate"), F.count_if(F.col(score) >= 70).alias("high"))
 
 
 def score_histogram(scores: DataFrame, score: str = "score", width: int = 10) -> DataFrame:
@@ -75,12 +78,15 @@ def verdict(metrics: DataFrame) -> DataFrame:
 
 
 def calibration_percentiles(raw: DataFrame, score: str = "raw") -> DataFrame:
-    p = F.percentile(score, F.array(F.lit(0.02), F.lit(0.98)))
-    return raw.agg(p.alias("p")).select(F.col("p")[0].alias("score_min"), F.col("p")[1].alias("score_max"))
+    """One row: score_min and score_max, the 2nd and 98th percentile."""
+    low, high = percentiles(raw, score, [0.02, 0.98])
+    return one_row(raw, score_min=low, score_max=high)
 
 
 def anomaly_threshold(scores: DataFrame, score: str = "score") -> DataFrame:
-    return scores.agg(F.greatest(F.lit(40), F.percentile(score, 0.9).cast("int")).alias("threshold"))
+    """One row: threshold, the 90th percentile as a whole number, 40 at least."""
+    top = percentiles(scores, score, [0.9])[0]
+    return one_row(scores, threshold=max(40, int(top)) if top is not None else 40)
 
 
 def collection_status(rows: DataFrame, day: Column) -> DataFrame:

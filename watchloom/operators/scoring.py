@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 #: Groups that hint at an attack.
 SUSPICIOUS_GROUPS = ("authentication_failed", "authentication_failures", "invalid_login", "attack", "exploit", "web_attack", "sql_injection", "recon", "malware", "rootcheck")
 FEATURES = ("words", "log_size", "failures", "hour", "off_hours", "ips", "ports", "processes", "level", "rule_id", "techniques", "suspicious", "data_fields")
@@ -154,7 +156,7 @@ def isolation_forest_score(rows: DataFrame, nodes: DataFrame, sample: int = 256,
 
 def contamination_offset(scored: DataFrame, contamination: float = 0.05) -> float:
     """The quantile of the raw scores below which the given share of the training rows lies."""
-    return scored.agg(F.percentile("raw", contamination)).first()[0]
+    return percentiles(scored, "raw", [contamination])[0]
 
 
 def score_normalise(raw: Column, low: Column, high: Column) -> Column:
@@ -196,12 +198,31 @@ def _may_match(low: Column, pattern: str) -> Column:
     return reduce(or_, (reduce(and_, (low.contains(word) for word in words)) for words in every))
 
 
-def attack_patterns(text: Column) -> Column:
-    """Struct: pattern (the riskiest, the first of equals), risk_score, all_patterns in order, suspicious."""
-    low = F.lower(text)
-    hits = F.array_compact(F.array(*(F.when(_may_match(low, p) & low.rlike(p), F.struct(F.lit(risk).alias("risk"), F.lit(-i).alias("i"), F.lit(name).alias("name"))) for i, (name, p, risk) in enumerate(ATTACK_PATTERNS))))
+def _pattern_hits(low: Column) -> Column:
+    each = (F.when(_may_match(low, p) & low.rlike(p), F.struct(F.lit(risk).alias("risk"), F.lit(-i).alias("i"), F.lit(name).alias("name"))) for i, (name, p, risk) in enumerate(ATTACK_PATTERNS))
+    return F.array_compact(F.array(*each))
+
+
+def _pattern_verdict(hits: Column) -> Column:
     best = F.array_max(hits)
-    return F.struct(F.coalesce(best["name"], F.lit("No known pattern")).alias("pattern"), F.coalesce(best["risk"], F.lit(0)).alias("risk_score"), F.transform(hits, lambda h: h["name"]).alias("all_patterns"), F.coalesce(F.size(hits) > 0, F.lit(False)).alias("suspicious"))
+    return F.struct(
+        F.coalesce(best["name"], F.lit("No known pattern")).alias("pattern"),
+        F.coalesce(best["risk"], F.lit(0)).alias("risk_score"),
+        F.transform(hits, lambda h: h["name"]).alias("all_patterns"),
+        F.coalesce(F.size(hits) > 0, F.lit(False)).alias("suspicious"),
+    )
+
+
+def attack_patterns(text: Column) -> Column:
+    """Struct: pattern (the riskiest, the first of equals), risk_score, all_patterns in order, suspicious. For whole tables use with_attack_patterns."""
+    return _pattern_verdict(_pattern_hits(F.lower(text)))
+
+
+def with_attack_patterns(rows: DataFrame, text: str, name: str = "patterns") -> DataFrame:
+    """Adds the struct of attack_patterns. The lower-cased text and the hits are columns of their own, so each is computed once a row."""
+    low, hits = "__low", "__hits"
+    out = rows.withColumn(low, F.lower(text)).withColumn(hits, _pattern_hits(F.col(low))).drop(low)
+    return out.withColumn(name, _pattern_verdict(F.col(hits))).drop(hits)
 
 
 def severity_boost(risk: Column, severity: Column) -> Column:

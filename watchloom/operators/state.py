@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.transform import delete_key
 from .aggregates import checksum_tree
+from .quantiles import largest, number_of
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], ignore: list[str] = ()) -> DataFrame:
@@ -50,8 +51,11 @@ def version_bump(diff: DataFrame) -> DataFrame:
 
 
 def max_rows_cap(rows: DataFrame, cap: int, newest: str, tie: str) -> DataFrame:
-    """The newest cap rows stay: a top-k, which Spark merges from partitions without one big sort."""
-    return rows.orderBy(F.desc(newest), tie).limit(cap)
+    """The newest cap rows stay, of equals those with the least tie: numbers and times by thresholds (quantiles.largest), so caps may be table sizes."""
+    by, then = number_of(rows, newest), number_of(rows, tie)
+    if by is None or then is None:  # texts have no thresholds: a top-k, whose last merge holds cap rows
+        return rows.orderBy(F.desc(newest), tie).limit(cap)
+    return largest(rows, cap, by, then)
 
 
 def cascade_delete(parents_deleted: DataFrame, children: DataFrame, keys: list[str]) -> DataFrame:

@@ -619,13 +619,13 @@ PATTERNS_SQL = f"h AS (SELECT doc_id, list_filter([{PATTERN_SQL}], lambda x: x I
 
 @query(f"WITH {PATTERNS_SQL} SELECT doc_id, pattern, risk_score, n::INT AS n_patterns FROM b")
 def attack_patterns(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "documents").select("doc_id", R.attack_patterns(F.col("text")).alias("p"))
+    found = R.with_attack_patterns(table(spark, d, "documents").select("doc_id", "text"), "text", "p")
     return found.select("doc_id", "p.pattern", "p.risk_score", F.size("p.all_patterns").alias("n_patterns"))
 
 
 @query(f"WITH {PATTERNS_SQL} SELECT doc_id, greatest(doc_id % 101, risk_score)::BIGINT AS final_score, (doc_id % 97 > 62 OR n > 0 OR greatest(doc_id % 101, risk_score) >= 62) AS is_anomaly, CASE WHEN greatest(doc_id % 101, risk_score) >= 90 THEN 'CRITICAL' WHEN greatest(doc_id % 101, risk_score) >= 75 THEN 'HIGH' WHEN greatest(doc_id % 101, risk_score) >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS threat_level FROM b")
 def threat_assessment(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "documents").select("doc_id", R.attack_patterns(F.col("text")).alias("p"))
+    found = R.with_attack_patterns(table(spark, d, "documents").select("doc_id", "text"), "text", "p")
     out = R.threat_assessment(F.col("doc_id") % 97, F.col("doc_id") % 101, F.col("p.risk_score"), F.col("p.suspicious"))
     return found.select("doc_id", out.alias("a")).select("doc_id", "a.final_score", "a.is_anomaly", "a.threat_level")
 
@@ -720,4 +720,4 @@ def last_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 # the other sets register themselves
-from . import queries_functions, queries_operators, queries_sources  # noqa: E402, F401
+from . import queries_detection, queries_functions, queries_operators, queries_sources  # noqa: E402, F401
