@@ -77,8 +77,6 @@ def brute_infer(langs, table, text, penalty=3.0):
     first = max(langs, key=lambda x: alone[x])
     best, found, price = alone[first], {first: 1.0}, penalty * math.log(sum(counts.values()) + 1)
     for k in range(2, len(langs) + 1):
-        if every[order[k - 1]] < 0.02:
-            break
         share, fit = brute_em(table, counts, order[:k])
         if fit - price * (k - 1) <= best:
             break
@@ -92,7 +90,8 @@ def test_predictions_equal_brute_force(docs):
     langs, table = brute_model([(r.text, r.lang) for r in rows if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 5])
     got = {r.doc_id: r for r in li.identify(docs).collect()}
     mixed = 0
-    for r in sorted(rows, key=lambda r: len(r.text or ""))[:120]:
+    by_length = sorted(rows, key=lambda r: len(r.text or ""))
+    for r in (*by_length[:110], *by_length[110::15], by_length[-1]):
         lang, score = brute_infer(langs, table, r.text)
         mixed += score < 1
         assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 0.02, r.doc_id
@@ -162,6 +161,32 @@ def test_weights_and_large_rates(spark):
     assert {r.source for r in mixing.mix(rows, weights={"big": 1.0, "small": 0.0}).collect()} == {"big"}
 
 
+def test_counts_invert_the_distribution_at_any_rate(spark):
+    given = {"a": 0.3, "b": 7.0, "c": 150.0, "d": 5000.0, "e": 1e6, "none": 0.0}
+    per = mixing.poisson_cdf(spark.createDataFrame([(k, 1, v) for k, v in given.items()], "source string, n bigint, rate double"))
+    assert per.agg(F.max(F.size("cdf"))).first()[0] < 30_000
+    points = spark.createDataFrame([(x,) for x in (0.0, 1e-9, 0.1, 0.5, 0.77, 0.999999, 1 - 2**-52)], "u double")
+    got = {(r.source, r.u): r.k for r in per.crossJoin(points).select("source", "u", mixing.poisson_count(F.col("rate"), F.col("first"), F.col("cdf"), F.col("u")).alias("k")).collect()}
+    for source, rate in given.items():
+        low, total, want = max(0, int(rate - 15 * math.sqrt(rate) - 60)), 0.0, {}
+        for k in range(low, int(rate + 13 * math.sqrt(rate) + 45)):
+            total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate else 1.0
+            for u in (0.0, 1e-9, 0.1, 0.5, 0.77, 0.999999):
+                if total > u and u not in want:
+                    want[u] = k
+        for u, k in want.items():
+            # lgamma of a million is exact to nine digits only, which moves a rare point by one
+            assert abs(got[source, u] - k) <= (1 if rate > 1e5 else 0) or u == 0.0, (source, u)
+
+
+def test_one_row_with_a_million_copies_is_dealt_out(spark):
+    rows = spark.createDataFrame([(1, "x", "text", 5)], "doc_id bigint, source string, __key string, __rate int")
+    out = mixing.mix(rows, total=1_000_000)
+    assert out.columns == ["doc_id", "source", "__key", "__rate", "copy_no", "shuffle_key"]
+    n, distinct, most, text = out.agg(F.count(F.lit(1)), F.count_distinct("copy_no"), F.max("copy_no"), F.min("__key")).first()
+    assert n == distinct == most and abs(n - 1_000_000) < 6000 and text == "text"
+
+
 def test_mix_odd_rows(odd_docs, no_docs):
     out = mixing.mix(odd_docs, total=100)
     assert out.columns == [*odd_docs.columns, "copy_no", "shuffle_key"]

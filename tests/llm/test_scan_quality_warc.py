@@ -216,3 +216,15 @@ def test_ledger_equals_its_sql(spark):
     want = sorted(con.execute(queries.ORACLE["op10_secret_ledger"]).fetchall())
     got = secret_scan.report(secret_scan.scan_in_steps(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_revisits_are_checked_against_their_response_and_a_third_may_be_equal(spark):
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("page "), "id")).alias("html"))
+    got = warc.round_trip(pages).collect()
+    assert len(got) == 3000 and all(r.ok for r in got)
+    assert {(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"} == {(k, 2997) for k in range(0, 2997, 3)}
+    records = spark.createDataFrame(
+        [("a", "response", None, 3, "D", True), ("b", "revisit", "a", 3, "D", True), ("c", "revisit", "a", 3, "E", True), ("d", "revisit", "x", 3, "D", True), ("e", "revisit", "a", 4, "D", True), ("f", "response", None, 1, "F", False), ("g", "revisit", "f", 1, "F", True)],
+        "record_id string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, ok boolean",
+    )
+    assert {r.record_id: r.ok for r in warc.checked_revisits(records).collect()} == {"a": True, "b": True, "c": False, "d": False, "e": False, "f": False, "g": False}

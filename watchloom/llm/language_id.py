@@ -56,7 +56,8 @@ class Model:
 def train(docs: DataFrame, per_language: int = 20_000, most_languages: int = 128, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", smoothing: float = 0.5) -> Model:
     """Learns from about per_language documents of each language, chosen by a hash of the id.
 
-    Of more labels than most_languages the most frequent are learnt, so a dirty label column can't fill the driver. What reaches
+    The model is one table of 65536 floats for each language, which every task gets; most_languages bounds it. A corpus with more labels than that needs a larger
+    value (a thousand languages take 260 MB): a label that isn't learnt is never predicted. Of more labels than most_languages the most frequent are learnt, so a dirty label column can't fill the driver. What reaches
     the driver is a count for each language and bucket, 65536 buckets at most.
     """
     bounded_batches(docs.sparkSession)
@@ -118,8 +119,6 @@ def infer(model: Model, text: str | None, penalty: float = 3.0) -> tuple[str, fl
     single = counts @ np.log(likelihood)
     chosen, share, best = [int(np.argmax(single))], np.ones(1), float(single.max())
     for k in range(2, len(order) + 1):
-        if everything[order[k - 1]] < 0.02:
-            break
         own, fit = proportions(np.ascontiguousarray(likelihood[:, order[:k]]), counts)
         if fit - price * (k - 1) <= best:
             break

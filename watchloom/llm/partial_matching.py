@@ -312,6 +312,13 @@ class Answers:
         return len(words), known, sum(map(self.logs.__getitem__, words)) - len(words) * usual, score
 
 
+def _place(blocks: DataFrame) -> tuple[int, Column]:
+    """(partitions, the partition of a block): blocks are dealt out in turn, as hashes of few blocks would be uneven."""
+    parts, (run, number) = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), (F.shiftright("block", 32), F.col("block").bitwiseAND(F.lit((1 << 32) - 1)))
+    most = 1 + (blocks.agg(F.max(number)).first()[0] or 0)
+    return parts, F.pmod(run * most + number, F.lit(parts)).cast("int")
+
+
 def _stream_rows(df: DataFrame, kind: int, **columns: str) -> DataFrame:
     """The rows in the stream's columns; those not given are null."""
     kinds = {"id": "string", "held_out": "boolean", "packed": "binary", "gram": "bigint", "word": "string", "value": "double"}
@@ -330,7 +337,7 @@ def score(docs: DataFrame, held: Column | None = None, text_col: str = "text", i
     word_answers = wants.filter("word is not null").select("block", "word").join(word_counts, "word")
     rows = _stream_rows(gram_answers, 0, gram="gram", value="value").unionByName(_stream_rows(word_answers, 1, word="word", value="n"))
     rows = rows.unionByName(_stream_rows(blocks, 2, id="id", held_out="held_out", packed="packed"))
-    dealt = rows.repartition("block").sortWithinPartitions("block", "kind")
+    dealt = rows.repartitionById(*_place(blocks)).sortWithinPartitions("block", "kind")
     out = dealt.mapInPandas(_scored(math.log10(sums["n"] + 0.1 * (sums["v"] + 1))), SCORES)
     return out.select(F.col("id").cast("bigint").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(sums["n"]).cast("bigint").alias("train_tokens"), "base_score", "score")
 

@@ -103,6 +103,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = 0,
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), text_or_empty(payload_col).alias("html"))
     rows = rows.withColumn("key", F.when(F.octet_length("html") >= min_bytes, F.unhex(F.sha2("html", 256))))
     groups = rows.select("id", "key").filter("key is not null").groupBy("key").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # written, so that the join reads both sides plainly and Spark can split the pages of a very common payload
+    groups = save(groups, "warc-groups")
     refers = F.when(~F.col("id").eqNullSafe(F.col("last")), F.col("last"))
     placed = rows.join(groups, "key", "left").select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("id"), "url", "html", F.when(F.col("last").isNotNull(), refers).cast("string").alias("refers"))
     return save(placed.mapInPandas(_writer(folder, roll), ARCHIVES), "warc-archives")
@@ -203,5 +205,20 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     def number(col: str) -> Column:
         return F.expr(f"try_cast(substring_index({col}, ':', -1) as bigint)")
 
-    back = read_warc(write_warc(pages, min_bytes=min_bytes))
+    back = checked_revisits(save(read_warc(write_warc(pages, min_bytes=min_bytes)), "warc-records"))
     return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "ok")
+
+
+def checked_revisits(records: DataFrame) -> DataFrame:
+    """The records, where a revisit is ok only if a response has the id it refers to, and its digest and length. records: a written table.
+
+    Only the responses that are referred to are joined, one row for each, and many revisits of one response are a key that Spark can split.
+    """
+    named = records.filter("refers_to is not null").select(F.col("refers_to").alias("own")).distinct()
+    responses = records.filter("record_type = 'response' and ok").join(named, F.col("record_id") == F.col("own"), "left_semi")
+    # responses may share an id (rows with one id and several payloads): one of them must have the digest and length
+    facts = responses.select(F.col("record_id").alias("said"), F.col("payload_digest").alias("said_digest"), F.col("payload_bytes").alias("said_bytes"), F.lit(True).alias("found"))
+    facts = save(facts.distinct(), "warc-responses")
+    same = (F.col("refers_to") == F.col("said")) & (F.col("payload_digest") == F.col("said_digest")) & (F.col("payload_bytes") == F.col("said_bytes"))
+    out = records.join(facts, same, "left")
+    return out.withColumn("ok", F.col("ok") & (F.col("refers_to").isNull() | F.col("found").isNotNull())).select(*records.columns)
