@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cmp_to_key, reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -381,12 +382,13 @@ def _finish(with_text: bool):
 def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text", id_col: str = "doc_id", crowd: int = 256, with_text: bool = False, hash_bits: tuple[int, ...] = (64, 64, 64)) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds the kept bytes.
 
-    hash_bits: width of the context hash of each try; another is needed only if different contexts of an anchor had one hash.
+    hash_bits: width of the context hash of each try, 64 bits from then on; another is needed only if different contexts of an anchor had one hash. It goes
+    on until all copies are proved.
     """
     bounded_batches(docs.sparkSession)
     rows = keyed(docs, text_col, id_col)
     texts = rows.select("key", "text")
-    for salt, bits in enumerate(hash_bits):
+    for salt, bits in enumerate(chain(hash_bits, repeat(64))):
         # a set: what many documents copy is asked for once
         spans = repeated_spans(texts, length, gram, crowd, salt, bits).groupBy(F.col("doc").alias("key")).agg(F.collect_set(F.struct("start", "stop", "of", "origin", "gone")).alias("spans"))
         done = save(texts.join(spans, "key", "left").mapInPandas(_finish(with_text), RESULT + ", kept binary" * with_text), "substring-result")
@@ -395,4 +397,3 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
             named = done.drop("checks")
             named = named.withColumn("doc_id", F.col("key")) if rows.columns[0] == "key" else named.join(rows.select("key", "doc_id"), "key")
             return named.select("doc_id", *[c for c in done.columns if c not in ("key", "checks")])
-    raise RuntimeError("different contexts had one hash in every try")
