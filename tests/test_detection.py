@@ -13,7 +13,10 @@ from watchloom.operators import indicators as I
 from watchloom.operators import merkle as M
 from watchloom.operators import quantiles as Q
 from watchloom.operators import scoring as R
+from watchloom import queries as own
+from watchloom.operators import search as S
 from watchloom.operators import state as D
+from watchloom.operators import vector_index as V
 
 
 # ---- indicators
@@ -129,3 +132,33 @@ def test_descent_follows_only_nodes_that_differ(spark):
     assert len(differ) == 1 and differ[0].leaf == sha("2:77")[:4] and differ[0].mine == differ[0].theirs < 20
     assert [level.count() for level in a.levels[:2]] == [1, 256]
     assert [r.k for r in M.to_send(a, M.descend(a, b)).filter("k = 77").collect()] == [77]
+
+
+# ---- vector index
+
+
+def test_index_holds_every_row_and_recalls(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(20, 16))
+    data = [(k if k % 50 else None, (middles[k % 20] + 0.35 * rng.normal(size=16)).tolist()) for k in range(3000)]
+    data += [(9000 + k, [1.0] * 16) for k in range(1500)] + [(1, [0.0] * 16), (2, None), (3, [1.0]), (4, [None] * 16)]  # a third are copies of one vector
+    monkeypatch.setattr(V, "ROWS", 100)
+    rows = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").repartition(4)
+    index = V.build(rows, cells=40)
+    sizes = [(r.cell, len(r.ids) // 8) for r in index.blocks.collect()]
+    assert sum(n for _, n in sizes) == 4501 and max(n for _, n in sizes) <= 200 and len({c for c, _ in sizes}) > 20
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    exact = S.vector_topk(rows, asked, 10)
+    got = V.recall(V.search(index, asked, 10, 8), exact).first()
+    assert got.queries == exact.select("query").distinct().count() and got.recall >= 0.9
+    whole = V.search(index, asked, 10, 40)
+    assert {(r["query"], r["rank"]): r["id"] for r in whole.collect()} == {(r["query"], r["rank"]): r["id"] for r in exact.collect()}
+    assert 1 <= V.tuned_probes(index, rows, asked.limit(40), 10, 0.9) <= 16
+    assert V.search(index, asked.limit(0), 10, 4).count() == V.search(V.build(rows.limit(0)), asked, 10, 4).count() == 0
+
+
+def test_recall_on_the_given_vectors(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    got = V.recall(own.QUERIES["vector_topk_index"](spark, "/root/testdata/sf0.1"), S.vector_topk(vectors, asked, 10).withColumn("similarity", F.round("similarity", 6)))
+    assert got.first().recall >= 0.9

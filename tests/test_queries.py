@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_queries_without_sql(spark):
-    assert set(own.QUERIES) - set(own.ORACLE) == {"anomaly_scores", "forest_detection"}
+    assert set(own.QUERIES) - set(own.ORACLE) == {"anomaly_scores", "forest_detection", "vector_topk_index"}
     told = own.QUERIES["forest_detection"](spark, SF).first()
     assert told.attack_n + told.clean_n == spark.read.parquet(f"{SF}/events.parquet").count() and told.clean_rate <= 12 and told.verdict in ("GOOD", "FAIR", "POOR")
     scores = own.QUERIES["anomaly_scores"](spark, SF)
