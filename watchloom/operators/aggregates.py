@@ -122,6 +122,17 @@ def hourly_totals(alerts: DataFrame, ts: str = "ts") -> DataFrame:
     return per.groupBy("hour").agg(F.sum("times").alias("total_alerts"), F.sort_array(F.collect_list(F.concat_ws("-", "rule_id", "level", "times"))).alias("alerts"))
 
 
+def hourly_statistics(events: DataFrame, is_alert: Column, is_syscheck: Column, is_firewall: Column, ts: str = "ts") -> DataFrame:
+    """Per hour of all events: hour, alerts (structs of sigid, level, times), total_alerts, events, syscheck, firewall; events: rule_id, level, ts."""
+    flags = {"a": is_alert, "s": is_syscheck, "f": is_firewall}
+    named = events.select(F.date_trunc("hour", ts).alias("hour"), "rule_id", "level", *(F.coalesce(c, F.lit(False)).alias(f"__{k}") for k, c in flags.items()))
+    # one row for each rule and level of an hour: lists are bounded by the rules
+    per = named.groupBy("hour", "rule_id", "level").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(f"__{k}").alias(k) for k in flags))
+    alert = F.when(F.col("a") > 0, F.struct(F.col("rule_id").alias("sigid"), "level", F.col("a").alias("times")))
+    totals = {"total_alerts": "a", "events": "n", "syscheck": "s", "firewall": "f"}
+    return per.groupBy("hour").agg(F.sort_array(F.collect_list(alert)).alias("alerts"), *(F.sum(c).alias(name) for name, c in totals.items()))
+
+
 def distinct_values(rows: DataFrame, array: str, name: str) -> DataFrame:
     """Set of the elements of an array column: rule groups, tags of a compliance framework."""
     return rows.select(F.explode(array).alias(name)).distinct()
@@ -136,11 +147,22 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def process_episode(events: DataFrame) -> DataFrame:
-    """events: id, ts, pid, ppid, user, host. The largest process tree (parent id, else own id); ties by the least key."""
-    groups = events.filter(F.coalesce("ppid", "pid").isNotNull()).groupBy(F.coalesce("ppid", "pid").alias("tree")).agg(
-        F.count(F.lit(1)).alias("process_count"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.sort_array(F.collect_set("user")).alias("users"), F.sort_array(F.collect_set("host")).alias("hosts"), F.sort_array(F.collect_list("id")).alias("raw_refs")
-    )
-    return groups.orderBy(F.desc("process_count"), "tree").limit(1)
+    """events: id, ts, pid, ppid, user, host. The largest group by parent id, else own id; ties by the least key: tree, process_count, start, end, users, hosts.
+
+    Groups are counted first, and only the largest is described. Its events are rows of process_episode_refs.
+    """
+    grouped = events.withColumn("tree", F.coalesce("ppid", "pid")).filter("tree is not null")
+    top = grouped.groupBy("tree").agg(F.count(F.lit(1)).alias("process_count")).orderBy(F.desc("process_count"), "tree").limit(1)
+    own = grouped.join(top, "tree")
+    sets = {name: F.sort_array(F.collect_set(c)).alias(name) for name, c in (("users", "user"), ("hosts", "host"))}
+    return own.groupBy("tree", "process_count").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), *sets.values())
+
+
+def process_episode_refs(events: DataFrame) -> DataFrame:
+    """tree, id of every event of the largest group."""
+    grouped = events.withColumn("tree", F.coalesce("ppid", "pid")).filter("tree is not null")
+    top = grouped.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tree").limit(1)
+    return grouped.join(top.select("tree"), "tree", "left_semi").select("tree", "id")
 
 
 def sessions(events: DataFrame, key: str, gap_seconds: int, ts: str = "ts", tie: str = "id") -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import aggregates as A
 from .operators import indicators as I
 from .operators import merkle as M
+from .operators import process_trees as T
 from .operators import vector_index as V
-from .plans.alerts import table
+from .plans.alerts import alerts, table
 from .registry import query
 
 NO_LETTERS = r"[^\p{L}]+"
@@ -92,3 +94,40 @@ def vector_topk_index(spark: SparkSession, d: str) -> DataFrame:
     index = V.build(vectors)
     probes = V.tuned_probes(index, vectors, asked.orderBy(F.xxhash64("query")).limit(TUNED_BY), 10)
     return V.search(index, asked, 10, probes).withColumn("similarity", F.round("similarity", 6))
+
+
+PROCESS_SQL = """e AS (SELECT event_id AS id, user_id % 20 AS host, event_id % 53 AS pid, (event_id // 53 + user_id) % 61 AS ppid, ts, event_type || ' ' || props AS message, row_number() OVER (ORDER BY ts, event_id) AS o FROM events),
+l AS (SELECT c.id, p.id AS parent FROM e c ASOF LEFT JOIN e p ON c.host = p.host AND c.ppid = p.pid AND c.o > p.o),
+t AS (SELECT id, id AS root, 1 AS depth FROM l WHERE parent IS NULL UNION ALL SELECT l.id, t.root, t.depth + 1 FROM l JOIN t ON l.parent = t.id)"""
+
+
+def processes(spark: SparkSession, d: str) -> DataFrame:
+    """The events as processes of twenty hosts with re-used numbers."""
+    e = table(spark, d, "events")
+    parent = (F.floor(F.col("event_id") / 53) + F.col("user_id")) % 61
+    return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("host"), (F.col("event_id") % 53).alias("pid"), parent.alias("ppid"), "ts", F.concat("event_type", F.lit(" "), "props").alias("message"))
+
+
+@query(f"WITH RECURSIVE {PROCESS_SQL} SELECT * FROM t")
+def process_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Root and depth of every process."""
+    return T.roots(T.with_parents(processes(spark, d)))
+
+
+@query(f"""WITH RECURSIVE {PROCESS_SQL}, g AS (SELECT root, min(host) AS host, count(*) AS process_count, max(depth) AS depth, min(ts) AS start, bool_or(regexp_matches(lower(message), 'powershell|cmd|encoded|base64')) AS a,
+  bool_or(regexp_matches(lower(message), 'privilege|escalation|sudo|su')) AS b, bool_or(regexp_matches(lower(message), 'injection|dll|process')) AS c, bool_or(id % 7 = 0) AS u FROM t JOIN e USING (id) GROUP BY root)
+SELECT root, process_count, depth, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, array_to_string(list_filter(['process_episode', CASE WHEN c THEN 'technique:T1055' END, CASE WHEN b THEN 'technique:T1068' END,
+  CASE WHEN a::INT + b::INT + c::INT + u::INT > 2 THEN 'severity:high' WHEN a OR b OR c OR u THEN 'severity:medium' ELSE 'severity:low' END], lambda x: x IS NOT NULL), ',') AS tags FROM g""")
+def process_trees(spark: SparkSession, d: str) -> DataFrame:
+    """An episode for each process tree, with its depth, indicators and tags."""
+    out = T.tree_episodes(processes(spark, d), F.col("message"), F.col("id") % 7 == 0)
+    return out.select("root", "process_count", "depth", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.array_join("tags", ",").alias("tags"))
+
+
+@query("""WITH {alerts}, p AS (SELECT date_trunc('hour', ts) AS h, rule_id, level, count(*) AS n, count(*) FILTER (is_attack) AS a, count(*) FILTER (rule_id = 'view') AS s, count(*) FILTER (value > 90) AS f FROM alerts GROUP BY 1, 2, 3)
+SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS hour, coalesce(string_agg(rule_id || '-' || level || '-' || a, ',' ORDER BY rule_id, level) FILTER (a > 0), '') AS alerts, sum(a)::BIGINT AS total_alerts, sum(n)::BIGINT AS events, sum(s)::BIGINT AS syscheck, sum(f)::BIGINT AS firewall FROM p GROUP BY h""")
+def hourly_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """All six fields of the hourly totals."""
+    out = A.hourly_statistics(alerts(spark, d), F.col("is_attack"), F.col("rule_id") == "view", F.col("value") > 90)
+    text = F.array_join(F.transform("alerts", lambda a: F.concat_ws("-", a["sigid"], a["level"], a["times"])), ",")
+    return out.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), text.alias("alerts"), "total_alerts", "events", "syscheck", "firewall")
