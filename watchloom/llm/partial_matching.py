@@ -107,7 +107,7 @@ class Asked:
         for part in grams(data):
             self.pending[learns].append(part)
             self.size += len(part)
-            if self.size > 1 << 22:
+            if self.size > SLICE:
                 self.settle()
         words = tokens(data)
         if learns:
@@ -266,7 +266,7 @@ def _scored(usual: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
             for block, own in pdf.groupby("block", sort=False):  # sorted by block and kind
                 if block != now:
                     now, answers = block, Answers()
-                for kind, rows in own.groupby("kind"):
+                for kind, rows in own.groupby("kind"):  # a worker holds the answers of one block
                     if kind == 0:
                         answers.add_codes(rows["gram"].to_numpy(np.int64), rows["value"].to_numpy(np.float64))
                     elif kind == 1:
@@ -293,7 +293,9 @@ class Answers:
 
     def add_words(self, words: pd.Series, count: np.ndarray) -> None:
         own = [w.encode("utf-8", "surrogatepass") for w in words]
-        self.logs.update(zip(own, np.log10(count + 0.1).tolist(), strict=True))
+        kinds, at = np.unique(count, return_inverse=True)
+        logs = np.log10(kinds + 0.1).tolist()  # words of one count share a number
+        self.logs.update((w, logs[i]) for w, i in zip(own, at.tolist(), strict=True))
         self.unknown.update(own[i] for i in np.flatnonzero(count == 0))
 
     def score(self, data: bytes, usual: float) -> tuple[int, int, float, float]:
