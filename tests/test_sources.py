@@ -96,7 +96,7 @@ def test_other_text_sources(spark, tmp_path):
     p = put(tmp_path, "scan.log", "Host: 1.2.3.4 (h)\tPorts: 22/open/tcp//ssh///, 80/open/tcp//http///, 81/closed/tcp//x///\n")
     assert rows(text.scan_report_source(text.numbered_lines(spark, p)).orderBy("port")) == [("1.2.3.4", 22, "tcp", "ssh"), ("1.2.3.4", 80, "tcp", "http")]
     p = put(tmp_path, "u16.log", "one\r\nzwei ü\r\n".encode("utf-16"), "wb")
-    assert rows(text.utf16_source(spark, p).orderBy("line_no"), "line") == [("one",), ("zwei ü",)]
+    assert rows(text.utf16_source(spark, p).orderBy("start"), "line") == [("one",), ("zwei ü",)]
     framed = spark.createDataFrame([("1:/var/log/x:msg: text",), ("1:[7] (web) 10.0.0.1->/var/log/y:hi",), ("1:a|:b:m",), ("bad",)], "value string")
     got = rows(text.framed_event_source(framed), "queue", "location", "agent_id", "agent_name", "message", "ok")
     assert got[:3] == [("1", "/var/log/x", None, None, "msg: text", True), ("1", "/var/log/y", "7", "web", "hi", True), ("1", "a:b", None, None, "m", True)] and not got[3][5]

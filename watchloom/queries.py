@@ -720,4 +720,4 @@ def last_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 # the other sets register themselves
-from . import queries_detection, queries_functions, queries_operators, queries_sources  # noqa: E402, F401
+from . import queries_detection, queries_functions, queries_operators, queries_sources, queries_streams  # noqa: E402, F401

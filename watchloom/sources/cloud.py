@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.mapping import date_from_epoch
+from . import records
 
 
 def _strings(names: str) -> str:
@@ -128,15 +129,10 @@ def audit_trail_source(spark: SparkSession, path: str) -> DataFrame:
 def auto_format_source(spark: SparkSession, path: str) -> DataFrame:
     """file, kind, record: JSON lines, CSV with a header that has no digit (record is a JSON object of its columns), else plain text.
 
-    The first line of each file decides.
+    The first line of each file decides; files of any size are read in ranges.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    first = F.split_part("value", F.lit("\n"), F.lit(1))
-    kind = F.when(F.try_parse_json(first).isNotNull() & first.rlike(r"^\s*[\[{]"), "json").when(first.contains(",") & ~first.rlike(r"\d"), "csv").otherwise("plain")
-    lines = whole.select("file", kind.alias("kind"), F.split(F.trim(first), ",").alias("header"), F.posexplode(F.split("value", r"\r?\n")).alias("no", "line")).filter("line <> ''")
-    cells = F.transform(F.regexp_extract_all("line", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda x: F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), '""', '"'))
-    record = F.when(F.col("kind") == "csv", F.to_json(F.map_from_arrays("header", F.slice(F.concat(cells, F.array_repeat(F.lit(""), F.size("header"))), F.lit(1), F.size("header"))))).otherwise(F.col("line"))
-    return lines.filter("kind <> 'csv' or no > 0").select("file", "kind", record.alias("record"))
+    records.register(spark)
+    return spark.read.format(records.NAME).option("path", path).option("kind", "auto").load().select("file", "kind", "record")
 
 
 def lake_parquet_source(spark: SparkSession, path: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.mapping import epoch_timestamp
+from . import records
 from .landing import stored
 
 #: Lines of a chunk.
@@ -262,9 +263,10 @@ def scan_report_source(lines: DataFrame) -> DataFrame:
 
 
 def utf16_source(spark: SparkSession, path: str, big_endian: bool = False) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
-    text = F.regexp_replace(F.decode("content", "UTF-16BE" if big_endian else "UTF-16LE"), "^\\uFEFF", "")
-    return files.select(F.col("path").alias("file"), F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line")).filter("line <> ''")
+    """file, start (byte), line of UTF-16 files of any size, read in ranges; empty lines are left out."""
+    records.register(spark)
+    rows = spark.read.format(records.NAME).option("path", path).option("encoding", "utf-16-be" if big_endian else "utf-16-le").load()
+    return rows.select("file", "start", F.regexp_replace("record", "^\\uFEFF", "").alias("line")).filter("line <> ''")
 
 
 FRAME = r"^(.):((?:[^:|]|\|.)+):(.*)$"

@@ -51,8 +51,13 @@ def auth_episode_stream(events: DataFrame, key: str, failed: Column, ts: str = "
 
 
 def port_scan_stream(events: DataFrame, key: str, port: str, least: int = 10, ts: str = "ts") -> DataFrame:
-    w = events.withWatermark(ts, LATE).groupBy(F.window(ts, "10 minutes", "1 minute").alias("w"), key)
-    return w.agg(F.approx_count_distinct(port, 0.01).alias("ports")).filter(F.col("ports") > least).select(key, F.col("w.start").alias("start"), "ports")
+    """Exact numbers of distinct ports above least in ten minutes, for every minute.
+
+    Events are combined to one row for each key and minute, with its set of ports (65536 at most); only these rows enter the ten windows that hold them.
+    """
+    panes = events.withWatermark(ts, LATE).groupBy(F.window(ts, "1 minute").alias("pane"), key).agg(F.collect_set(port).alias("ports"))
+    wide = panes.groupBy(F.window(F.window_time("pane"), "10 minutes", "1 minute").alias("w"), key).agg(F.array_distinct(F.flatten(F.collect_set("ports"))).alias("ports"))
+    return wide.select(key, F.col("w.start").alias("start"), F.size("ports").cast("bigint").alias("ports")).filter(F.col("ports") > least)
 
 
 class _Changes(StatefulProcessor):
@@ -63,16 +68,15 @@ class _Changes(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else None
-        for pdf in rows:
-            for op, data in pdf.sort_values("seq")[["operation", "data"]].itertuples(index=False):
-                if held is None:
-                    held = (op != "CREATE", op, data)
-                elif not held[0] and op == "DELETE":
-                    held = None
-                elif not held[0]:
-                    held = (False, "CREATE", data)
-                else:
-                    held = (True, op, data)
+        for op, data in pd.concat(list(rows)).sort_values("seq")[["operation", "data"]].itertuples(index=False):
+            if held is None:
+                held = (op != "CREATE", op, data)
+            elif not held[0] and op == "DELETE":
+                held = None
+            elif not held[0]:
+                held = (False, "CREATE", data)
+            else:
+                held = (True, op, data)
         if held is None:
             self.state.clear()
             yield pd.DataFrame({"id": [key[0]], "operation": ["NONE"], "data": [None], "existing": [False]})
@@ -111,11 +115,15 @@ class _Keepalive(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         ms, stage = self.last.get()
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        self.last.update((ms, stage + 1))
-        if stage == 0:
-            self.handle.registerTimer(at + self.waits[1])
-        yield pd.DataFrame({"agent_id": [key[0]], "status": ["disconnected" if stage == 0 else "alert"], "at_ms": [at]})
+        told = [(key[0], "disconnected" if stage == 0 else "alert", expiredTimerInfo.getExpiryTimeInMs())]
+        after = told[0][2] + self.waits[1]
+        if stage == 0 and after > timerValues.getCurrentWatermarkInMs():
+            self.last.update((ms, 1))
+            self.handle.registerTimer(after)
+        else:  # nothing is kept of an agent that was told of: it counts as new when it comes back
+            told += [(key[0], "alert", after)] * (stage == 0)
+            self.last.clear()
+        yield pd.DataFrame(told, columns=["agent_id", "status", "at_ms"])
 
     def close(self) -> None:
         pass
