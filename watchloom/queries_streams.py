@@ -16,6 +16,7 @@ from .sources import sinks as K
 from .sources import text as S
 from .sources.landing import landed, shared_folder
 from .streaming import streams
+from .streaming.state_table import StateTable
 
 
 def fresh(spark: SparkSession, name: str) -> str:
@@ -245,3 +246,16 @@ def deep_merge_lookup(spark: SparkSession, d: str) -> DataFrame:
     out = J.lookup_merge(rows, kv, "c_nationkey", "target", recursive=True)
     a, b = F.element_at("target", "a"), F.element_at("target", "b")
     return out.select("c_custkey", a["name"].alias("own_name"), a["nation"].alias("nation"), b["only"].alias("own_only"), a["region"].alias("region"))
+
+
+@query("""WITH c AS (SELECT user_id AS key, max(event_id) AS o, arg_max(event_type, event_id) AS t, arg_max(props, event_id) AS p FROM events GROUP BY 1)
+SELECT key, o AS offset_, p AS payload FROM c WHERE t <> 'error'""")
+def feed_state_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a feed in several batches into a bucketed state table; an error deletes its user until something follows."""
+    base = fresh(spark, "feed")
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("offset_"), F.col("props").alias("payload"), "event_type")
+    e.repartition(3).write.parquet(f"{base}/in")
+    schema = "key bigint, offset_ bigint, payload string"
+    state = StateTable(spark, f"{base}/state", ["key"], "offset_", schema, buckets=16)
+    state.follow(streams.incremental_files(spark, f"{base}/in", e.schema, "parquet", per_trigger=1), f"{base}/checkpoint", "event_type = 'error'").awaitTermination()
+    return state.read()
