@@ -93,6 +93,9 @@ def test_network(spark):
     one = M.network_community_id(F.lit("128.232.110.120"), F.lit("66.35.250.204"), F.lit(34855), F.lit(80), F.lit(6))
     turned = M.network_community_id(F.lit("66.35.250.204"), F.lit("128.232.110.120"), F.lit(80), F.lit(34855), F.lit(6))
     assert values(spark, one, turned) == ["1:LQU9qZlK+B5F3KDmev6m5PMibrg="] * 2
+    a, b, six = F.lit("10.0.0.1"), F.lit("10.0.0.2"), F.lit("2001:db8::1")
+    odd = ((a, b, 70000, 1, 6), (a, b, -1, 1, 6), (a, b, 1, 1, 600), (a, six, 1, 1, 6), (a, F.lit("x"), 1, 1, 6), (a, b, None, 1, 6))
+    assert values(spark, *(M.network_community_id(x, y, *(F.lit(n) for n in rest)) for x, y, *rest in odd)) == [None] * 6
 
 
 def test_syslog_and_objects(spark):

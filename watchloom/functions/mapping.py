@@ -103,18 +103,29 @@ def system_epoch() -> Column:
 
 
 # network ---------------------------------------------------------------------------------------
-#: Keywords of the public protocol registry by number from 0 on; - for a number without one.
-PROTOCOL_NAMES = """
-hopopt icmp igmp ggp ipv4 st tcp cbt egp igp bbn-rcc-mon nvp-ii pup argus emcon xnet chaos udp mux dcn-meas
-hmp prm xns-idp trunk-1 trunk-2 leaf-1 leaf-2 rdp irtp iso-tp4 netblt mfe-nsp merit-inp dccp 3pc idpr xtp ddp idpr-cmtp tp++
-il ipv6 sdrp ipv6-route ipv6-frag idrp rsvp gre dsr bna esp ah i-nlsp swipe narp mobile tlsp skip ipv6-icmp ipv6-nonxt
-ipv6-opts - cftp - sat-expak kryptolan rvd ippc - sat-mon visa ipcv cpnx cphb wsn pvp br-sat-mon sun-nd wb-mon wb-expak
-iso-ip vmtp secure-vmtp vines ttp nsfnet-igp dgp tcf eigrp ospfigp sprite-rpc larp mtp ax.25 ipip micp scc-sp etherip encap -
-gmtp ifmp pnni pim aris scps qnx a/n ipcomp snp compaq-peer ipx-in-ip vrrp pgm - l2tp ddx iatp stp srp
-uti smp sm ptp isis-over-ipv4 fire crtp crudp sscopmce iplt sps pipe sctp fc rsvp-e2e-ignore mobility-header udplite mpls-in-ip manet shim6
-wesp rohc ethernet aggfrag nsh homa - bit-emu
-"""
-PROTOCOLS = {k: name for k, name in enumerate(PROTOCOL_NAMES.split()) if name != "-"}
+#: Keywords of the public protocol registry by number.
+# fmt: off
+PROTOCOLS = {
+    0: "hopopt", 1: "icmp", 2: "igmp", 3: "ggp", 4: "ipv4", 5: "st", 6: "tcp", 7: "cbt",
+    8: "egp", 9: "igp", 10: "bbn-rcc-mon", 11: "nvp-ii", 12: "pup", 13: "argus", 14: "emcon", 15: "xnet",
+    16: "chaos", 17: "udp", 18: "mux", 19: "dcn-meas", 20: "hmp", 21: "prm", 22: "xns-idp", 23: "trunk-1",
+    24: "trunk-2", 25: "leaf-1", 26: "leaf-2", 27: "rdp", 28: "irtp", 29: "iso-tp4", 30: "netblt", 31: "mfe-nsp",
+    32: "merit-inp", 33: "dccp", 34: "3pc", 35: "idpr", 36: "xtp", 37: "ddp", 38: "idpr-cmtp", 39: "tp++",
+    40: "il", 41: "ipv6", 42: "sdrp", 43: "ipv6-route", 44: "ipv6-frag", 45: "idrp", 46: "rsvp", 47: "gre",
+    48: "dsr", 49: "bna", 50: "esp", 51: "ah", 52: "i-nlsp", 53: "swipe", 54: "narp", 55: "mobile",
+    56: "tlsp", 57: "skip", 58: "ipv6-icmp", 59: "ipv6-nonxt", 60: "ipv6-opts", 62: "cftp", 64: "sat-expak", 65: "kryptolan",
+    66: "rvd", 67: "ippc", 69: "sat-mon", 70: "visa", 71: "ipcv", 72: "cpnx", 73: "cphb", 74: "wsn",
+    75: "pvp", 76: "br-sat-mon", 77: "sun-nd", 78: "wb-mon", 79: "wb-expak", 80: "iso-ip", 81: "vmtp", 82: "secure-vmtp",
+    83: "vines", 84: "ttp", 85: "nsfnet-igp", 86: "dgp", 87: "tcf", 88: "eigrp", 89: "ospfigp", 90: "sprite-rpc",
+    91: "larp", 92: "mtp", 93: "ax.25", 94: "ipip", 95: "micp", 96: "scc-sp", 97: "etherip", 98: "encap",
+    100: "gmtp", 101: "ifmp", 102: "pnni", 103: "pim", 104: "aris", 105: "scps", 106: "qnx", 107: "a/n",
+    108: "ipcomp", 109: "snp", 110: "compaq-peer", 111: "ipx-in-ip", 112: "vrrp", 113: "pgm", 115: "l2tp", 116: "ddx",
+    117: "iatp", 118: "stp", 119: "srp", 120: "uti", 121: "smp", 122: "sm", 123: "ptp", 124: "isis-over-ipv4",
+    125: "fire", 126: "crtp", 127: "crudp", 128: "sscopmce", 129: "iplt", 130: "sps", 131: "pipe", 132: "sctp",
+    133: "fc", 134: "rsvp-e2e-ignore", 135: "mobility-header", 136: "udplite", 137: "mpls-in-ip", 138: "manet", 139: "shim6", 140: "wesp",
+    141: "rohc", 142: "ethernet", 143: "aggfrag", 144: "nsh", 145: "homa", 147: "bit-emu",
+}
+# fmt: on
 ALIASES = {"icmp6": "ipv6-icmp", "icmpv6": "ipv6-icmp", "ospf": "ospfigp", "udp-lite": "udplite", "ip-in-ip": "ipip"}
 
 
@@ -141,7 +152,10 @@ ICMP_PAIRS = {1: {8: 0, 0: 8, 13: 14, 14: 13, 15: 16, 16: 15, 17: 18, 18: 17, 10
 
 
 def network_community_id(src: Column, dst: Column, sport: Column, dport: Column, protocol: Column, seed: int = 0) -> Column:
-    """Community ID version 1: 1: and the base64 SHA-1 of seed, ordered endpoints, protocol and ports."""
+    """Community ID version 1: 1: and the base64 SHA-1 of seed, ordered endpoints, protocol and ports.
+
+    Null for ports outside 0..65535, protocols outside 0..255, and for addresses that aren't both of one kind.
+    """
     proto, a, b = protocol.try_cast("int"), sport.try_cast("int"), dport.try_cast("int")
     answer = F.lit(None).cast("int")
     for number, pairs in ICMP_PAIRS.items():
@@ -157,8 +171,9 @@ def network_community_id(src: Column, dst: Column, sport: Column, dport: Column,
     ordered = one_way | (ha < hb) | ((ha == hb) & (a <= b))
     left = F.concat(F.when(ordered, F.concat(ha, hb)).otherwise(F.concat(hb, ha)))
     ports = F.when(ordered, F.concat(two(a), two(b))).otherwise(F.concat(two(b), two(a)))
+    fits = proto.between(0, 255) & a.between(0, 65535) & b.between(0, 65535) & (F.length(ha) == F.length(hb))
     text = F.concat(F.lit(f"{seed:04x}"), left, F.lpad(F.hex(proto.cast("bigint")), 2, "0"), F.lit("00"), ports)
-    return F.concat(F.lit("1:"), F.base64(F.unhex(F.sha1(F.unhex(text)))))
+    return F.when(fits, F.concat(F.lit("1:"), F.base64(F.unhex(F.sha1(F.unhex(text))))))
 
 
 # syslog ----------------------------------------------------------------------------------------

@@ -125,9 +125,12 @@ def distinct_groups(spark: SparkSession, d: str) -> DataFrame:
     return A.distinct_values(alerts(spark, d), "groups", "name")
 
 
-@query("SELECT 'part' AS \"table\", count(*) AS n FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'pages', count(*) FROM pages")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in TABLES))
 def table_counts(spark: SparkSession, d: str) -> DataFrame:
-    return A.table_counts({t: table(spark, d, t) for t in ("part", "supplier", "pages")})
+    return A.table_counts({t: table(spark, d, t) for t in TABLES})
 
 
 @query("SELECT user_id, list_sort(list(DISTINCT event_type)) AS kinds FROM events GROUP BY 1")
@@ -683,18 +686,26 @@ def invalid_reasons(spark: SparkSession, d: str) -> DataFrame:
     return A.invalid_reasons(rows)
 
 
-@query()
-def anomaly_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Isolation forest over the alert features: fitted on clean alerts, calibrated, scored 0 to 100."""
+def forest_raw(spark: SparkSession, d: str) -> DataFrame:
+    """id, is_attack, raw of every alert by a forest fitted on the clean ones. The features are written once, as their moments, the fit and the scores read them."""
     rows = alerts(spark, d).withColumns({"agent_ip": F.lit("10.0.0.1"), "message": F.col("full_log")})
-    feats = R.event_features(rows).select("id", "is_attack", "features")
+    feats = stored(R.event_features(rows).select("id", "is_attack", "features"), "forest-features")
     scaled = R.standardise(feats.filter(~F.col("is_attack")), feats)
     nodes = R.isolation_forest_fit(scaled.filter(~F.col("is_attack")))
-    raw = stored(R.isolation_forest_score(scaled, nodes).select("id", "is_attack", "raw"), "forest-raw")
+    return stored(R.isolation_forest_score(scaled, nodes).select("id", "is_attack", "raw"), "forest-raw")
+
+
+def calibrated(raw: DataFrame) -> DataFrame:
     low_high = A.calibration_percentiles(raw.filter(~F.col("is_attack")))
     return raw.crossJoin(F.broadcast(low_high)).select("id", "is_attack", R.score_normalise(F.col("raw"), F.col("score_min"), F.col("score_max")).alias("score"))
 
 
+@query()
+def anomaly_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Isolation forest over the alert features: fitted on clean alerts, calibrated, scored 0 to 100."""
+    return calibrated(forest_raw(spark, d))
+
+
 @query("""WITH {alerts} SELECT id, CASE WHEN hour(ts) BETWEEN 2 AND 6 THEN 30 WHEN hour(ts) >= 22 OR hour(ts) <= 2 THEN 20 WHEN hour(ts) BETWEEN 8 AND 18 THEN 5 ELSE 0 END AS time_score, least(100, trunc(score * 0.5 + (CASE WHEN hour(ts) BETWEEN 2 AND 6 THEN 30 WHEN hour(ts) >= 22 OR hour(ts) <= 2 THEN 20 WHEN hour(ts) BETWEEN 8 AND 18 THEN 5 ELSE 0 END) * 0.2 + least(level * 10, 50) * 0.2 + 0.5))::INT AS combined_score FROM alerts""")
 def multi_dimensional_scores(spark: SparkSession, d: str) -> DataFrame:
     s = R.multi_dimensional_score(F.col("score"), F.hour("ts"), F.col("level"), F.lit(2))

@@ -337,9 +337,12 @@ def technique_matches(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def forest_detection(spark: SparkSession, d: str) -> DataFrame:
-    """What the forest itself tells apart: separation, detection and false-positive rate at its calibrated threshold, and the share under the contamination offset."""
-    from .queries import anomaly_scores
+    """What the forest itself tells apart: separation, detection and false-positive rate at its calibrated threshold, and the shares of clean and attack rows under the contamination offset."""
+    from .queries import calibrated, forest_raw
 
-    scored = stored(anomaly_scores(spark, d), "forest-scores")
+    raw = forest_raw(spark, d)
+    offset = R.contamination_offset(raw.filter(~F.col("is_attack")), 0.05)
+    under = raw.agg(*(F.try_divide(F.count_if(p & (F.col("raw") < offset)), F.count_if(p)).alias(f"{n}_under_offset") for n, p in (("clean", ~F.col("is_attack")), ("attack", F.col("is_attack")))))
+    scored = stored(calibrated(raw), "forest-scores")
     threshold = A.anomaly_threshold(scored.filter(~F.col("is_attack"))).first()[0]
-    return A.verdict(A.class_metrics(scored, threshold)).withColumn("threshold", F.lit(threshold))
+    return A.verdict(A.class_metrics(scored, threshold)).withColumn("threshold", F.lit(threshold)).crossJoin(F.broadcast(under))
