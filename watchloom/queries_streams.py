@@ -14,6 +14,7 @@ from .registry import query
 from .sources import cloud as C
 from .sources import sinks as K
 from .sources import text as S
+from .sources.history import History
 from .sources.landing import landed, shared_folder
 from .streaming import streams
 from .streaming.state_table import StateTable
@@ -259,3 +260,13 @@ def feed_state_stream(spark: SparkSession, d: str) -> DataFrame:
     state = StateTable(spark, f"{base}/state", ["key"], "offset_", schema, buckets=16)
     state.follow(streams.incremental_files(spark, f"{base}/in", e.schema, "parquet", per_trigger=1), f"{base}/checkpoint", "event_type = 'error'").awaitTermination()
     return state.read()
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey % 2 = 0 AND o_orderkey % 4 <> 1 UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 5 <> 0 AND o_custkey % 2 = 1 AND o_orderkey % 4 <> 1")
+def unseen_items(spark: SparkSession, d: str) -> DataFrame:
+    """Orders against a history of two runs, kept with Bloom filters."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    seen = History(spark, fresh(spark, "history"), ["o_orderkey"], buckets=32)
+    seen.extend(rows.filter("o_orderkey % 4 = 1"), "first")
+    seen.extend(rows.filter("o_orderkey % 5 = 0 and o_custkey % 2 = 1 or o_orderkey % 5 <> 0 and o_custkey % 2 = 0"), "second")
+    return seen.unseen(rows)
