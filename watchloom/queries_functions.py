@@ -29,8 +29,10 @@ KINDS = ("object", "array", "boolean", "number", "string")
 
 
 @query("""WITH e AS (SELECT event_id, ['object', 'array', 'boolean', 'number', 'number', 'string', 'null'][event_id % 7 + 1] AS kind FROM events)
-SELECT event_id, kind = 'object' AS is_object, kind = 'array' AS is_array, kind = 'boolean' AS is_boolean, kind = 'number' AS is_number, kind = 'string' AS is_string,
-kind <> 'object' AS is_not_object, kind <> 'array' AS is_not_array, kind <> 'boolean' AS is_not_boolean, kind <> 'number' AS is_not_number, kind <> 'string' AS is_not_string,
+SELECT event_id, kind = 'object' AS is_object, kind = 'array' AS is_array, kind = 'boolean' AS is_boolean, kind = 'number' AS is_number, kind =
+'string' AS is_string,
+kind <> 'object' AS is_not_object, kind <> 'array' AS is_not_array, kind <> 'boolean' AS is_not_boolean, kind <> 'number' AS is_not_number, kind <>
+'string' AS is_not_string,
 kind = 'null' AS is_null, kind <> 'null' AS is_not_null FROM e""")
 def predicate_types(spark: SparkSession, d: str) -> DataFrame:
     e, number = table(spark, d, "events"), F.col("event_id").cast("string")
@@ -50,7 +52,8 @@ def predicate_comparisons(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", *out)
 
 
-@query("""WITH e AS (SELECT event_id, user_id % 4 AS k, user_id % 65536 AS g FROM events) SELECT event_id, k = 0 AND g < 32768 AS inside, k = 0 OR k = 1 AS six, k <> 1 AND k <> 2 AS public FROM e""")
+@query("""WITH e AS (SELECT event_id, user_id % 4 AS k, user_id % 65536 AS g FROM events) SELECT event_id, k = 0 AND g < 32768 AS inside, k = 0 OR k =
+1 AS six, k <> 1 AND k <> 2 AS public FROM e""")
 def predicate_addresses_v6(spark: SparkSession, d: str) -> DataFrame:
     group = F.lower(F.hex(F.col("user_id") % 65536))
     ip = F.element_at(F.array(F.concat(F.lit("2001:db8:"), group, F.lit("::1")), F.concat(F.lit("fe80:0:0:0::"), group), F.concat(F.lit("10.1.2."), F.col("user_id") % 256), F.lit("8.8.8.8")), (F.col("user_id") % 4 + 1).cast("int"))
@@ -58,8 +61,10 @@ def predicate_addresses_v6(spark: SparkSession, d: str) -> DataFrame:
 
 
 # mappings --------------------------------------------------------------------------------------
-@query("""SELECT p_partkey, p_brand || coalesce(CASE WHEN p_size % 2 = 0 THEN p_type END, '') || p_size AS any_parts, p_name AS decoded, array_to_string(string_split(p_type, ' '), '+') AS joined,
-p_size::VARCHAR AS text, lower(replace(p_type, ' ', '_')) AS first_key, p_brand AS pair_value, p_name AS new_value, CASE WHEN p_size % 2 = 0 THEN p_brand END AS old_value FROM part""")
+@query("""SELECT p_partkey, p_brand || coalesce(CASE WHEN p_size % 2 = 0 THEN p_type END, '') || p_size AS any_parts, p_name AS decoded,
+array_to_string(string_split(p_type, ' '), '+') AS joined,
+p_size::VARCHAR AS text, lower(replace(p_type, ' ', '_')) AS first_key, p_brand AS pair_value, p_name AS new_value, CASE WHEN p_size % 2 = 0 THEN
+p_brand END AS old_value FROM part""")
 def mapping_text(spark: SparkSession, d: str) -> DataFrame:
     b, t, n, size = (F.col(c) for c in ("p_brand", "p_type", "p_name", "p_size"))
     objects = F.array(F.struct(t.alias("k"), F.lit("lost").alias("v"), F.lit("x").alias("o")), F.struct(t.alias("k"), b.alias("v"), F.when(size % 2 == 0, b).otherwise("").alias("o")))
@@ -69,7 +74,8 @@ def mapping_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", M.concat_any(b, F.when(size % 2 == 0, t), size).alias("any_parts"), M.decode_base16(F.hex(F.encode(n, "UTF-8"))).alias("decoded"), M.join(F.split(t, " "), "+").alias("joined"), M.to_string(size).alias("text"), key.alias("first_key"), F.col("m")[key].alias("pair_value"), F.col("n")[key]["new"].alias("new_value"), F.col("n")[key]["old"].alias("old_value"))
 
 
-@query("""WITH e AS (SELECT event_id, [1, 6, 17, 47, 50, 58, 132][user_id % 7 + 1] AS code, ['icmp', 'tcp', 'udp', 'gre', 'esp', 'ipv6-icmp', 'sctp'][user_id % 7 + 1] AS name, user_id FROM events)
+@query("""WITH e AS (SELECT event_id, [1, 6, 17, 47, 50, 58, 132][user_id % 7 + 1] AS code, ['icmp', 'tcp', 'udp', 'gre', 'esp', 'ipv6-icmp',
+'sctp'][user_id % 7 + 1] AS name, user_id FROM events)
 SELECT event_id, name, code::VARCHAR AS number, CASE WHEN user_id % 3 = 0 THEN 'IPv4' WHEN user_id % 3 = 1 THEN 'IPv6' END AS version FROM e""")
 def mapping_protocols(spark: SparkSession, d: str) -> DataFrame:
     code = F.element_at(F.array(*map(F.lit, (1, 6, 17, 47, 50, 58, 132))), (F.col("user_id") % 7 + 1).cast("int"))
@@ -79,7 +85,8 @@ def mapping_protocols(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT event_id, user_id % 200 AS s, event_id % 200 AS t, 1024 + user_id % 60000 AS a, 80 + event_id % 1000 AS b FROM events),
-o AS (SELECT *, s < t OR (s = t AND a <= b) AS fwd FROM e), h AS (SELECT event_id, CASE WHEN fwd THEN s ELSE t END AS s, CASE WHEN fwd THEN t ELSE s END AS t, CASE WHEN fwd THEN a ELSE b END AS a, CASE WHEN fwd THEN b ELSE a END AS b FROM o)
+o AS (SELECT *, s < t OR (s = t AND a <= b) AS fwd FROM e), h AS (SELECT event_id, CASE WHEN fwd THEN s ELSE t END AS s, CASE WHEN fwd THEN t ELSE s
+END AS t, CASE WHEN fwd THEN a ELSE b END AS a, CASE WHEN fwd THEN b ELSE a END AS b FROM o)
 SELECT event_id, '1:' || to_base64(unhex(sha1(unhex(printf('00000a0000%02x0a0000%02x0600%04x%04x', s, t, a, b))))) AS community FROM h""")
 def mapping_community_id(spark: SparkSession, d: str) -> DataFrame:
     u, e = F.col("user_id"), F.col("event_id")
@@ -95,8 +102,10 @@ def mapping_clock(spark: SparkSession, d: str) -> DataFrame:
 
 
 # transforms ------------------------------------------------------------------------------------
-@query("""SELECT event_id, concat_ws(',', event_type, CASE WHEN user_id % 2 = 0 THEN 'even' END, 'x') AS added, CASE WHEN event_type = 'click' THEN 'click,x' ELSE event_type || ',click,x' END AS once,
-CASE WHEN user_id % 2 = 0 THEN 1 ELSE 2 END AS n_left, event_type AS kept, 'inner' AS merged, event_type AS under, 'deep' AS deep, event_type AS clean, event_type AS renamed FROM events""")
+@query("""SELECT event_id, concat_ws(',', event_type, CASE WHEN user_id % 2 = 0 THEN 'even' END, 'x') AS added, CASE WHEN event_type = 'click' THEN
+'click,x' ELSE event_type || ',click,x' END AS once,
+CASE WHEN user_id % 2 = 0 THEN 1 ELSE 2 END AS n_left, event_type AS kept, 'inner' AS merged, event_type AS under, 'deep' AS deep, event_type AS
+clean, event_type AS renamed FROM events""")
 def transform_more(spark: SparkSession, d: str) -> DataFrame:
     kind, u = F.col("event_type"), F.col("user_id")
     m = F.create_map(F.lit("kind"), kind, F.lit("custom"), F.lit("c"))
@@ -129,7 +138,8 @@ def xml_extract(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", F.col("extracted.System.EventID").alias("size"), data["Brand"].alias("brand"), data["Size"].cast("int").alias("said"))
 
 
-@query("SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS seconds, o_orderkey % 3 < 2 AS fits FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT o_orderkey, NULL, false FROM orders WHERE o_orderkey % 3 = 2")
+@query("""SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS seconds, o_orderkey % 3 < 2 AS fits FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT
+o_orderkey, NULL, false FROM orders WHERE o_orderkey % 3 = 2""")
 def timestamp_extract(spark: SparkSession, d: str) -> DataFrame:
     day, k = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 3
     raw = F.when(k == 0, F.date_format(day, "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format(day, "dd/MMM/yyyy:HH:mm:ss")).otherwise("soon")
@@ -137,7 +147,8 @@ def timestamp_extract(spark: SparkSession, d: str) -> DataFrame:
     return out.select("o_orderkey", F.unix_seconds("extracted").alias("seconds"), "fits")
 
 
-@query("""SELECT page_id, page_id % 2 = 0 AS domain, page_id % 3 > 0 AS ip, page_id % 2 = 1 AS base64, 'x' || page_id AS between, 'a"' || page_id AS quoted, '/srv/www' AS directory, 'p' || page_id || '.html' AS name, 'html' AS extension FROM pages""")
+@query("""SELECT page_id, page_id % 2 = 0 AS domain, page_id % 3 > 0 AS ip, page_id % 2 = 1 AS base64, 'x' || page_id AS between, 'a"' || page_id AS
+quoted, '/srv/www' AS directory, 'p' || page_id || '.html' AS name, 'html' AS extension FROM pages""")
 def validity_jobs(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("page_id")
     raws = {

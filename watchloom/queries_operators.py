@@ -20,7 +20,8 @@ from .sources.landing import stored
 # filters and projections -----------------------------------------------------------------------
 
 
-@query("""WITH {alerts} SELECT id, CASE WHEN level >= 12 THEN rule_id || '!' END AS staged, coalesce(rule_id = 'click', false) AS is_click, level = score AS same FROM alerts
+@query("""WITH {alerts} SELECT id, CASE WHEN level >= 12 THEN rule_id || '!' END AS staged, coalesce(rule_id = 'click', false) AS is_click, level =
+score AS same FROM alerts
 WHERE level > 2 AND score >= 10 AND (level > 5 OR rule_id = 'click') AND (user_id % 2 = 0) IS NOT DISTINCT FROM true""")
 def filter_chain(spark: SparkSession, d: str) -> DataFrame:
     """check_expression, severity_threshold, field_query, condition_then_stages, value_equals, field_equals_field."""
@@ -37,7 +38,8 @@ def distinct_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT event_id, event_type, 'Event from ' || event_type || ': ' || left(props, 200) AS description,
-lower(concat_ws(' ', event_type, 'level:' || user_id % 16, 'rule:' || event_id, event_type || ' x', 'T1', props, 'k:' || json_extract_string(props, '$.k'), 'Agent')) AS text FROM events""")
+lower(concat_ws(' ', event_type, 'level:' || user_id % 16, 'rule:' || event_id, event_type || ' x', 'T1', props, 'k:' || json_extract_string(props,
+'$.k'), 'Agent')) AS text FROM events""")
 def event_texts(spark: SparkSession, d: str) -> DataFrame:
     e = L.select_fields(table(spark, d, "events"), ["event_id", "event_type", "props", "user_id"], ["event_type"])
     kind, data = F.col("event_type"), F.from_json("props", "map<string,string>")
@@ -70,7 +72,8 @@ def metadata_prefilter(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("o_orderkey")
 
 
-@query("""WITH k AS (SELECT user_id, date_trunc('second', max(ts)) AS t FROM events GROUP BY 1), m AS (SELECT max(t) AS now FROM k) SELECT user_id AS id FROM k, m WHERE user_id % 2 = 0 AND epoch(t) < epoch(now) - 21600""")
+@query("""WITH k AS (SELECT user_id, date_trunc('second', max(ts)) AS t FROM events GROUP BY 1), m AS (SELECT max(t) AS now FROM k) SELECT user_id AS
+id FROM k, m WHERE user_id % 2 = 0 AND epoch(t) < epoch(now) - 21600""")
 def stale_agents(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp")))
     status = F.when(F.col("id") % 2 == 0, "disconnected").otherwise("active")
@@ -79,7 +82,8 @@ def stale_agents(spark: SparkSession, d: str) -> DataFrame:
     return L.stale_agent_filter(agents.crossJoin(F.broadcast(now)), F.col("now"), 21600).select("id")
 
 
-@query("""SELECT url AS path, 'like' AS how FROM pages WHERE url LIKE '%example.org/%' UNION ALL SELECT url, 'inode' FROM pages WHERE page_id % 100 = 7 AND page_id % 3 = 1""")
+@query("""SELECT url AS path, 'like' AS how FROM pages WHERE url LIKE '%example.org/%' UNION ALL SELECT url, 'inode' FROM pages WHERE page_id % 100 =
+7 AND page_id % 3 = 1""")
 def file_state_search(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "pages").select(F.col("url").alias("path"), (F.col("page_id") % 100).alias("inode"), (F.col("page_id") % 3).alias("device"))
     by_name = L.file_state_search(files, like="%example.org/%").withColumn("how", F.lit("like"))
@@ -97,7 +101,8 @@ def vulnerability_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 # joins -----------------------------------------------------------------------------------------
-@query("""WITH e AS (SELECT event_id, user_id % 40 AS a, user_id % 250 AS b FROM events) SELECT event_id, CASE WHEN a < 25 THEN CASE WHEN b < 128 AND a % 2 = 0 THEN n_name || ' low' ELSE n_name END END AS asn FROM e LEFT JOIN nation ON a = n_nationkey""")
+@query("""WITH e AS (SELECT event_id, user_id % 40 AS a, user_id % 250 AS b FROM events) SELECT event_id, CASE WHEN a < 25 THEN CASE WHEN b < 128 AND
+a % 2 = 0 THEN n_name || ' low' ELSE n_name END END AS asn FROM e LEFT JOIN nation ON a = n_nationkey""")
 def asn_enrich(spark: SparkSession, d: str) -> DataFrame:
     """Networks inside networks, half of the addresses IPv6: the smallest network that holds the address."""
     n, u = F.col("n_nationkey"), F.col("user_id")
@@ -120,8 +125,10 @@ def sid_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_custkey", F.array_join("names", ",").alias("names"))
 
 
-@query("""WITH f AS (SELECT DISTINCT p_partkey % 20 AS agent_id, p_brand AS item, 'CVE-' || p_size AS cve, p_partkey % 3 AS source FROM part), b AS (SELECT agent_id, item, cve, min(source) AS source FROM f GROUP BY ALL)
-SELECT agent_id, item, cve, ['vendor', 'nvd', 'other'][source + 1] AS source, CASE WHEN source < 2 THEN 'text ' || cve ELSE 'default' END AS description, CASE WHEN source = 0 THEN 9.5 ELSE 5.0 END AS score,
+@query("""WITH f AS (SELECT DISTINCT p_partkey % 20 AS agent_id, p_brand AS item, 'CVE-' || p_size AS cve, p_partkey % 3 AS source FROM part), b AS
+(SELECT agent_id, item, cve, min(source) AS source FROM f GROUP BY ALL)
+SELECT agent_id, item, cve, ['vendor', 'nvd', 'other'][source + 1] AS source, CASE WHEN source < 2 THEN 'text ' || cve ELSE 'default' END AS
+description, CASE WHEN source = 0 THEN 9.5 ELSE 5.0 END AS score,
 CASE WHEN CAST(substr(cve, 5) AS INT) % 4 = agent_id % 4 THEN 'DELETED' ELSE 'KEPT' END AS operation FROM b""")
 def findings_chain(spark: SparkSession, d: str) -> DataFrame:
     """source_priority_dedup, description_fallback and solved_by_hotfix, one after the other."""
@@ -141,7 +148,8 @@ def findings_chain(spark: SparkSession, d: str) -> DataFrame:
     return J.solved_by_hotfix(out, remediations, hotfixes)
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN c_nationkey % 2 = 0 THEN n_name ELSE 'old' END AS groups FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 5 <> 0""")
+@query("""SELECT c_custkey AS id, CASE WHEN c_nationkey % 2 = 0 THEN n_name ELSE 'old' END AS groups FROM customer JOIN nation ON c_nationkey =
+n_nationkey WHERE c_custkey % 5 <> 0""")
 def agent_group_updates(spark: SparkSession, d: str) -> DataFrame:
     """agent_groups_update after known_item_anti_join has left the customers that were seen out."""
     c = table(spark, d, "customer")
@@ -170,7 +178,8 @@ def technique_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 # aggregates, orders, unions --------------------------------------------------------------------
-@query("""SELECT max(o_custkey) AS version, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS n_filled, strftime(min(o_orderdate), '%Y-%m-%d') AS first, strftime(max(o_orderdate), '%Y-%m-%d') AS last,
+@query("""SELECT max(o_custkey) AS version, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS n_filled, strftime(min(o_orderdate),
+'%Y-%m-%d') AS first, strftime(max(o_orderdate), '%Y-%m-%d') AS last,
 count(*) AS entries, count(DISTINCT o_custkey % 100 * 10 + o_orderkey % 3) AS inodes FROM orders""")
 def table_facts(spark: SparkSession, d: str) -> DataFrame:
     """max_version, rows_per_group, range_bounds and entry_counts of orders, side by side."""
@@ -181,7 +190,8 @@ def table_facts(spark: SparkSession, d: str) -> DataFrame:
     return A.max_version(o.withColumnRenamed("o_custkey", "version")).crossJoin(filled).crossJoin(bounds).crossJoin(entries)
 
 
-@query("""SELECT o_orderkey, o_orderstatus AS part, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS extra, len(list_intersect([o_orderstatus, o_orderpriority, 'x'], ['F', '1-URGENT'])) AS suspicious FROM orders""")
+@query("""SELECT o_orderkey, o_orderstatus AS part, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS extra,
+len(list_intersect([o_orderstatus, o_orderpriority, 'x'], ['F', '1-URGENT'])) AS suspicious FROM orders""")
 def merged_tables(spark: SparkSession, d: str) -> DataFrame:
     """merge_daily of the order states, merge_knowledge where one has a column more, group_intersection over all."""
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("part"), "o_orderpriority")
@@ -192,7 +202,8 @@ def merged_tables(spark: SparkSession, d: str) -> DataFrame:
     return W.merge_knowledge([own, rest])
 
 
-@query("""(SELECT c_custkey, 'sorted' AS how FROM customer ORDER BY c_nationkey DESC, c_custkey LIMIT 40) UNION ALL (SELECT c_custkey, 'paged' FROM customer WHERE c_name LIKE 'Customer#00000%' ORDER BY c_name LIMIT 30 OFFSET 30)""")
+@query("""(SELECT c_custkey, 'sorted' AS how FROM customer ORDER BY c_nationkey DESC, c_custkey LIMIT 40) UNION ALL (SELECT c_custkey, 'paged' FROM
+customer WHERE c_name LIKE 'Customer#00000%' ORDER BY c_name LIMIT 30 OFFSET 30)""")
 def sorted_and_paged(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     first = W.sort_fields(c, ["-c_nationkey", "+c_custkey"], ["c_custkey", "c_nationkey"]).limit(40).select("c_custkey", F.lit("sorted").alias("how"))
@@ -201,15 +212,18 @@ def sorted_and_paged(spark: SparkSession, d: str) -> DataFrame:
 
 
 # state tables ----------------------------------------------------------------------------------
-@query("""WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders) SELECT k, CASE WHEN k % 3 = 0 THEN 'new' ELSE s END AS s, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS touched FROM o WHERE k % 3 = 0 OR k % 2 = 0""")
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders) SELECT k, CASE WHEN k % 3 = 0 THEN 'new' ELSE s END AS s, CASE WHEN k % 3
+= 0 THEN 1 ELSE 0 END AS touched FROM o WHERE k % 3 = 0 OR k % 2 = 0""")
 def row_upsert(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
     state, changes = D.row_upsert(o.filter("k % 2 = 0"), o.filter("k % 3 = 0").withColumn("s", F.lit("new")), ["k"])
     return state.join(changes.select("k", F.lit(1).alias("touched")), "k", "left").na.fill(0, ["touched"])
 
 
-@query("""SELECT k, operation, count(*) OVER (PARTITION BY operation) AS n, CASE operation WHEN 'MODIFIED' THEN 8 WHEN 'INSERTED' THEN 1 END AS version, 3::BIGINT AS stamped FROM (
-SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 1 THEN 'DELETED' WHEN o_orderkey % 10 = 0 THEN 'INSERTED' WHEN o_orderkey % 7 = 0 THEN 'MODIFIED' END AS operation FROM orders) WHERE operation IS NOT NULL""")
+@query("""SELECT k, operation, count(*) OVER (PARTITION BY operation) AS n, CASE operation WHEN 'MODIFIED' THEN 8 WHEN 'INSERTED' THEN 1 END AS
+version, 3::BIGINT AS stamped FROM (
+SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 1 THEN 'DELETED' WHEN o_orderkey % 10 = 0 THEN 'INSERTED' WHEN o_orderkey % 7 = 0 THEN 'MODIFIED'
+END AS operation FROM orders) WHERE operation IS NOT NULL""")
 def transaction_diff(spark: SparkSession, d: str) -> DataFrame:
     """transaction_diff, version_bump and set_version."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.lit(7).alias("version"))
@@ -221,7 +235,8 @@ def transaction_diff(spark: SparkSession, d: str) -> DataFrame:
     return D.set_version(out, 3).withColumnsRenamed({"version": "stamped"}).withColumnRenamed("bumped", "version")
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS origin FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'extra' FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber = 1""")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS origin FROM lineitem UNION ALL SELECT l_orderkey,
+l_linenumber, 'extra' FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber = 1""")
 def candidate_replace(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit("old").alias("origin"))
     again = rows.filter("l_orderkey % 3 = 0").withColumn("origin", F.lit("new"))
@@ -237,7 +252,8 @@ def inventory_clean(spark: SparkSession, d: str) -> DataFrame:
     return stay.withColumn("operation", F.lit(None).cast("string")).unionByName(report).select("o_orderkey", "operation")
 
 
-@query("""WITH k AS (SELECT user_id AS id, max(ts) AS last_sync, (user_id % 5) * 43200 AS s FROM events GROUP BY user_id), m AS (SELECT max(last_sync) AS now FROM k) SELECT id FROM k, m WHERE last_sync + to_seconds(s) <= now""")
+@query("""WITH k AS (SELECT user_id AS id, max(ts) AS last_sync, (user_id % 5) * 43200 AS s FROM events GROUP BY user_id), m AS (SELECT max(last_sync)
+AS now FROM k) SELECT id FROM k, m WHERE last_sync + to_seconds(s) <= now""")
 def sync_due(spark: SparkSession, d: str) -> DataFrame:
     marks = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("last_sync")).withColumn("interval_seconds", F.col("id") % 5 * 43200)
     now = marks.agg(F.max("last_sync").alias("now"))
@@ -256,7 +272,8 @@ def policy_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 # bookmarks -------------------------------------------------------------------------------------
-@query("""SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderdate >= TIMESTAMP '1996-01-01' AND NOT o_orderdate BETWEEN TIMESTAMP '1996-06-01' AND TIMESTAMP '1997-06-01'""")
+@query("""SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderdate >= TIMESTAMP '1996-01-01' AND NOT o_orderdate BETWEEN TIMESTAMP
+'1996-06-01' AND TIMESTAMP '1997-06-01'""")
 def unread_objects(spark: SparkSession, d: str) -> DataFrame:
     """already_processed_filter, then processed_window_filter."""
     moment = lambda x: F.lit(x).cast("timestamp_ntz")
@@ -266,8 +283,11 @@ def unread_objects(spark: SparkSession, d: str) -> DataFrame:
     return INC.processed_window_filter(new, bounds, moment("1996-01-01")).select("o_orderkey")
 
 
-@query("""WITH a AS (SELECT o_custkey AS k, max(o_orderkey) AS token, min(o_orderdate) AS s, max(o_orderdate) AS e FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS k, max(o_orderkey) AS token, min(o_orderdate) AS s, max(o_orderdate) AS e FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
-SELECT coalesce(a.k, b.k) AS k, coalesce(b.token, a.token) AS token, strftime(least(a.s, b.s), '%Y-%m-%d') AS start_time, strftime(greatest(a.e, b.e), '%Y-%m-%d') AS end_time FROM a FULL JOIN b ON a.k = b.k""")
+@query("""WITH a AS (SELECT o_custkey AS k, max(o_orderkey) AS token, min(o_orderdate) AS s, max(o_orderdate) AS e FROM orders WHERE o_orderkey % 2 =
+0 GROUP BY 1), b AS (SELECT o_custkey AS k, max(o_orderkey) AS token, min(o_orderdate) AS s, max(o_orderdate) AS e FROM orders WHERE o_orderkey % 2 =
+1 GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS k, coalesce(b.token, a.token) AS token, strftime(least(a.s, b.s), '%Y-%m-%d') AS start_time, strftime(greatest(a.e, b.e),
+'%Y-%m-%d') AS end_time FROM a FULL JOIN b ON a.k = b.k""")
 def range_bookmarks(spark: SparkSession, d: str) -> DataFrame:
     def marks(parity: int) -> DataFrame:
         rows = table(spark, d, "orders").filter(F.col("o_orderkey") % 2 == parity).groupBy(F.col("o_custkey").alias("k"))
@@ -285,9 +305,12 @@ def path_dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 # scores and labels -----------------------------------------------------------------------------
-@query("""WITH e AS (SELECT event_id, user_id % 101 AS risk, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'][user_id % 4 + 1] AS s, (event_id % 100) / 100 AS c FROM events)
-SELECT event_id, least(100, risk + CASE s WHEN 'CRITICAL' THEN 15 WHEN 'HIGH' THEN 10 WHEN 'MEDIUM' THEN 5 ELSE 0 END) AS boosted, risk > 70 OR c > 0.7 AS suspicious, CASE WHEN c >= 0.8 THEN 'CRITICAL' WHEN c >= 0.6 THEN 'HIGH' WHEN c >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS near,
-round(0.4 * c + 0.3 * risk / 100 + 0.3 * least(event_id % 8 / 5, 1), 6) AS confidence, CASE WHEN event_id % 3 > 0 AND c >= 0.8 THEN 'confirmed' WHEN event_id % 3 > 0 AND c >= 0.6 THEN 'likely' WHEN c >= 0.4 THEN 'possible' ELSE 'unlikely' END AS triage FROM e""")
+@query("""WITH e AS (SELECT event_id, user_id % 101 AS risk, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'][user_id % 4 + 1] AS s, (event_id % 100) / 100 AS c
+FROM events)
+SELECT event_id, least(100, risk + CASE s WHEN 'CRITICAL' THEN 15 WHEN 'HIGH' THEN 10 WHEN 'MEDIUM' THEN 5 ELSE 0 END) AS boosted, risk > 70 OR c >
+0.7 AS suspicious, CASE WHEN c >= 0.8 THEN 'CRITICAL' WHEN c >= 0.6 THEN 'HIGH' WHEN c >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS near,
+round(0.4 * c + 0.3 * risk / 100 + 0.3 * least(event_id % 8 / 5, 1), 6) AS confidence, CASE WHEN event_id % 3 > 0 AND c >= 0.8 THEN 'confirmed' WHEN
+event_id % 3 > 0 AND c >= 0.6 THEN 'likely' WHEN c >= 0.4 THEN 'possible' ELSE 'unlikely' END AS triage FROM e""")
 def score_labels(spark: SparkSession, d: str) -> DataFrame:
     e, risk, c = F.col("event_id"), F.col("user_id") % 101, (F.col("event_id") % 100) / 100
     severity = F.element_at(F.array(*map(F.lit, ("CRITICAL", "HIGH", "MEDIUM", "LOW"))), (F.col("user_id") % 4 + 1).cast("int"))
@@ -296,10 +319,15 @@ def score_labels(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", R.severity_boost(risk, severity).alias("boosted"), R.suspicious(risk, c).alias("suspicious"), R.similarity_severity(c).alias("near"), confidence.alias("confidence"), R.triage_decision(e % 3 > 0, c).alias("triage"))
 
 
-@query("""WITH e AS (SELECT event_id, user_id % 101 AS score, user_id % 31 AS t, event_id % 51 AS f, ['SSH Brute Force', 'SQL Injection', 'PowerShell Obfuscation', 'Port Scanning'][event_id % 4 + 1] AS p, event_id % 5 = 0 AS sus, user_id % 9 = 0 AS intel FROM events),
-l AS (SELECT event_id, list_filter([CASE WHEN score > 80 THEN 'High priority score detected - immediate investigation recommended' END, CASE WHEN t > 20 THEN 'Event occurred during off-hours - suspicious timing' END,
-CASE WHEN f > 30 THEN 'High frequency of failed attempts detected - possible brute force' END, CASE WHEN sus THEN 'Suspicious pattern detected: ' || p END, CASE WHEN sus THEN CASE event_id % 4 WHEN 0 THEN 'Consider blocking source IP and enabling rate limiting' WHEN 1 THEN 'Review database access logs and validate input sanitization'
-WHEN 2 THEN 'Investigate PowerShell execution and check for script obfuscation' END END, CASE WHEN intel THEN 'Similar to known threat: worm' END, CASE WHEN intel THEN 'Recommended mitigation: patch' END], lambda x: x IS NOT NULL) AS l FROM e)
+@query("""WITH e AS (SELECT event_id, user_id % 101 AS score, user_id % 31 AS t, event_id % 51 AS f, ['SSH Brute Force', 'SQL Injection',
+'PowerShell Obfuscation', 'Port Scanning'][event_id % 4 + 1] AS p, event_id % 5 = 0 AS sus, user_id % 9 = 0 AS intel FROM events),
+l AS (SELECT event_id, list_filter([CASE WHEN score > 80 THEN 'High priority score detected - immediate investigation recommended' END, CASE WHEN t >
+20 THEN 'Event occurred during off-hours - suspicious timing' END,
+CASE WHEN f > 30 THEN 'High frequency of failed attempts detected - possible brute force' END, CASE WHEN sus THEN 'Suspicious pattern detected: ' || p
+END, CASE WHEN sus THEN CASE event_id % 4 WHEN 0 THEN 'Consider blocking source IP and enabling rate limiting' WHEN 1 THEN
+'Review database access logs and validate input sanitization'
+WHEN 2 THEN 'Investigate PowerShell execution and check for script obfuscation' END END, CASE WHEN intel THEN 'Similar to known threat: worm' END,
+CASE WHEN intel THEN 'Recommended mitigation: patch' END], lambda x: x IS NOT NULL) AS l FROM e)
 SELECT event_id, CASE WHEN len(l) > 0 THEN array_to_string(l, '; ') ELSE 'Review event manually for potential security concerns' END AS advice FROM l""")
 def advice(spark: SparkSession, d: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
@@ -309,10 +337,15 @@ def advice(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS t, doc_id % 11 = 0 AS a, doc_id % 7 = 0 AS p FROM documents)
-SELECT doc_id, CASE WHEN a THEN 'alert' WHEN p OR regexp_matches(t, 'process|exec') THEN 'process' WHEN regexp_matches(t, 'login|auth|password') THEN 'authentication' WHEN regexp_matches(t, 'connection|port|network') THEN 'network' ELSE 'alert' END AS class,
-concat_ws(',', CASE WHEN regexp_matches(t, 'ssh|login|auth') THEN 'authentication' END, CASE WHEN regexp_matches(t, 'process|exec|command') THEN 'process' END, CASE WHEN regexp_matches(t, 'network|connection|port') THEN 'network' END, CASE WHEN regexp_matches(t, 'file|integrity|modification') THEN 'file_integrity' END) AS tags,
-concat_ws(',', CASE WHEN contains(t, 'powershell') AND contains(t, 'encoded') THEN 'powershell_encoded' END, CASE WHEN contains(t, 'sudo') AND contains(t, 'su') THEN 'privilege_escalation' END, CASE WHEN contains(t, 'injection') AND contains(t, 'dll') THEN 'process_injection' END,
-CASE WHEN contains(t, 'psexec') AND contains(t, 'wmic') THEN 'lateral_movement' END, CASE WHEN contains(t, 'password') AND contains(t, 'credential') THEN 'credential_access' END) AS flags,
+SELECT doc_id, CASE WHEN a THEN 'alert' WHEN p OR regexp_matches(t, 'process|exec') THEN 'process' WHEN regexp_matches(t, 'login|auth|password') THEN
+'authentication' WHEN regexp_matches(t, 'connection|port|network') THEN 'network' ELSE 'alert' END AS class,
+concat_ws(',', CASE WHEN regexp_matches(t, 'ssh|login|auth') THEN 'authentication' END, CASE WHEN regexp_matches(t, 'process|exec|command') THEN
+'process' END, CASE WHEN regexp_matches(t, 'network|connection|port') THEN 'network' END, CASE WHEN regexp_matches(t, 'file|integrity|modification')
+THEN 'file_integrity' END) AS tags,
+concat_ws(',', CASE WHEN contains(t, 'powershell') AND contains(t, 'encoded') THEN 'powershell_encoded' END, CASE WHEN contains(t, 'sudo') AND
+contains(t, 'su') THEN 'privilege_escalation' END, CASE WHEN contains(t, 'injection') AND contains(t, 'dll') THEN 'process_injection' END,
+CASE WHEN contains(t, 'psexec') AND contains(t, 'wmic') THEN 'lateral_movement' END, CASE WHEN contains(t, 'password') AND contains(t, 'credential')
+THEN 'credential_access' END) AS flags,
 array_to_string(list_concat(['10.0.0.1'], regexp_extract_all(t, '\\b((?:\\d{1,3}\\.){3}\\d{1,3})\\b', 1)), ',') AS ips FROM x""")
 def event_labels(spark: SparkSession, d: str) -> DataFrame:
     text, k = F.coalesce("text", F.lit("")), F.col("doc_id")
@@ -325,9 +358,12 @@ def freshness(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(R.freshness(F.col("ts"), F.lit("2024-02-01").cast("timestamp")), 6).alias("fresh"))
 
 
-@query("""WITH q AS (SELECT p_partkey AS query, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part), b AS (SELECT DISTINCT p_type AS technique FROM part),
-n AS (SELECT technique, unnest(list_distinct(string_split(lower(technique), ' '))) AS w, 0.5 AS s FROM b), h AS (SELECT query, technique, max(s) AS score FROM q JOIN n USING (w) GROUP BY 1, 2),
-k AS (SELECT query, technique, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, technique)::INT AS rank FROM h) SELECT * FROM k WHERE rank <= 5""")
+@query("""WITH q AS (SELECT p_partkey AS query, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part), b AS (SELECT DISTINCT p_type
+AS technique FROM part),
+n AS (SELECT technique, unnest(list_distinct(string_split(lower(technique), ' '))) AS w, 0.5 AS s FROM b), h AS (SELECT query, technique, max(s) AS
+score FROM q JOIN n USING (w) GROUP BY 1, 2),
+k AS (SELECT query, technique, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, technique)::INT AS rank FROM h)
+SELECT * FROM k WHERE rank <= 5""")
 def technique_matches(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     techniques = p.select(F.col("p_type").alias("technique"), F.col("p_type").alias("name"), F.lit("").alias("description")).distinct()

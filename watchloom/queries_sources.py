@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from .registry import query
 from .sources import cloud as C
 from .sources import sinks as K
 from .sources import text as S
-from .sources.landing import landed, shared_folder
+from .sources.landing import landed, new_folder
 from .streaming import streams
 
 
@@ -21,7 +19,8 @@ def part(c: str, pattern: str, k: int = 1) -> Column:
 
 
 # lines -----------------------------------------------------------------------------------------
-@query("""SELECT 'lines' AS source, event_id, event_type FROM events WHERE event_id % 10 > 0 UNION ALL SELECT 'log', event_id, event_type FROM events WHERE event_id % 10 > 0
+@query("""SELECT 'lines' AS source, event_id, event_type FROM events WHERE event_id % 10 > 0 UNION ALL SELECT 'log', event_id, event_type FROM events
+WHERE event_id % 10 > 0
 UNION ALL SELECT 'history', event_id, event_type FROM events WHERE event_id % 10 > 0""")
 def json_sources(spark: SparkSession, d: str) -> DataFrame:
     """json_lines_source, json_log_source and alert_history_source; every tenth line is broken."""
@@ -41,7 +40,8 @@ def plain_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH o AS (SELECT o_orderkey AS k, 'status ' || o_orderstatus AS s, 'priority ' || o_orderpriority AS p FROM orders)
 SELECT k, 'fixed' AS how, 'id ' || k || ' ' || s || ' ' || p AS event FROM o UNION ALL SELECT k, 'strict', 'id ' || k || chr(10) || s || chr(10) || p FROM o
-UNION ALL SELECT k, 'start', 'id ' || k || chr(10) || s || chr(10) || p FROM o UNION ALL SELECT k, 'end', 'id ' || k || chr(9) || s || chr(9) || p FROM o UNION ALL SELECT k, 'all', 'id ' || k || s || p FROM o""")
+UNION ALL SELECT k, 'start', 'id ' || k || chr(10) || s || chr(10) || p FROM o UNION ALL SELECT k, 'end', 'id ' || k || chr(9) || s || chr(9) || p
+FROM o UNION ALL SELECT k, 'all', 'id ' || k || s || p FROM o""")
 def multiline_sources(spark: SparkSession, d: str) -> DataFrame:
     """Records of three lines, joined by number, by their first line, by their last and by a pattern of the whole, with each way of joining."""
     text = F.concat(F.lit("id "), "o_orderkey", F.lit("\nstatus "), "o_orderstatus", F.lit("\npriority "), "o_orderpriority")
@@ -60,7 +60,8 @@ def multiline_sources(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("k", F.when(F.col("how") == "all", F.regexp_extract("event", r"^id (\d+)status", 1).cast("bigint")).otherwise(F.col("k")))
 
 
-@query("""SELECT event_id AS rule, user_id % 16 AS level, event_type AS description, 'agent' || user_id % 10 AS hostname, 'u' || user_id AS "user", 'line ' || event_id AS message, epoch(date_trunc('second', ts))::BIGINT AS seconds,
+@query("""SELECT event_id AS rule, user_id % 16 AS level, event_type AS description, 'agent' || user_id % 10 AS hostname, 'u' || user_id AS "user",
+'line ' || event_id AS message, epoch(date_trunc('second', ts))::BIGINT AS seconds,
 'level: ' || user_id % 16 || '; rule: ' || event_id || '; location: /var/log/x; user: u' || user_id || '; log: line ' || event_id AS forwarded FROM events""")
 def alert_blocks(spark: SparkSession, d: str) -> DataFrame:
     """alert_block_source, alert_block_fields and forwarded_alert_source."""
@@ -74,8 +75,10 @@ def alert_blocks(spark: SparkSession, d: str) -> DataFrame:
     return out.join(line, "rule")
 
 
-@query("""SELECT c_custkey AS k, 'audit' AS kind, 'type=A msg=audit(1.0:' || c_custkey || '): one type=B msg=audit(1.0:' || c_custkey || '): two' AS event FROM customer
-UNION ALL SELECT c_custkey, 'delimiter', 'type=A msg=audit(1.0:' || c_custkey || '): one' || chr(10) || 'type=B msg=audit(1.0:' || c_custkey || '): two' || chr(10) || 'other' FROM customer""")
+@query("""SELECT c_custkey AS k, 'audit' AS kind, 'type=A msg=audit(1.0:' || c_custkey || '): one type=B msg=audit(1.0:' || c_custkey || '): two' AS
+event FROM customer
+UNION ALL SELECT c_custkey, 'delimiter', 'type=A msg=audit(1.0:' || c_custkey || '): one' || chr(10) || 'type=B msg=audit(1.0:' || c_custkey ||
+'): two' || chr(10) || 'other' FROM customer""")
 def audit_records(spark: SparkSession, d: str) -> DataFrame:
     """audit_record_source, and delimiter_multiline_source over the same files."""
     k = F.col("c_custkey")
@@ -86,8 +89,11 @@ def audit_records(spark: SparkSession, d: str) -> DataFrame:
     return audit.unionByName(S.delimiter_multiline_source(spark, path, "%%").select(key, F.lit("delimiter").alias("kind"), "event"))
 
 
-@query("""SELECT p_partkey AS k, 'db' AS kind, p_name || ' more' AS a, p_brand AS b FROM part UNION ALL SELECT p_partkey, 'ids', p_name, p_brand FROM part UNION ALL SELECT p_partkey, 'channel', p_name, p_brand FROM part
-UNION ALL SELECT p_partkey, 'scan', (p_size)::VARCHAR, 'ssh' FROM part UNION ALL SELECT p_partkey, 'frame', p_name, '/var/a:b' FROM part UNION ALL SELECT p_partkey, 'manager', p_name, 'error' FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'manager', p_name, 'info' FROM part WHERE p_partkey % 2 = 1""")
+@query("""SELECT p_partkey AS k, 'db' AS kind, p_name || ' more' AS a, p_brand AS b FROM part UNION ALL SELECT p_partkey, 'ids', p_name, p_brand FROM
+part UNION ALL SELECT p_partkey, 'channel', p_name, p_brand FROM part
+UNION ALL SELECT p_partkey, 'scan', (p_size)::VARCHAR, 'ssh' FROM part UNION ALL SELECT p_partkey, 'frame', p_name, '/var/a:b' FROM part UNION ALL
+SELECT p_partkey, 'manager', p_name, 'error' FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'manager', p_name, 'info' FROM part WHERE
+p_partkey % 2 = 1""")
 def block_sources(spark: SparkSession, d: str) -> DataFrame:
     """Logs of databases, intrusion detection, event channels, scans, frames and managers."""
     rows, k = table(spark, d, "part"), F.col("p_partkey")
@@ -126,7 +132,8 @@ def counter_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 # cloud files -----------------------------------------------------------------------------------
-@query("""SELECT event_id, '10.0.0.' || user_id % 256 AS src, 1000 + user_id % 100 AS port, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS start, CASE WHEN event_id % 2 = 0 THEN 'ACCEPT' ELSE 'REJECT' END AS action FROM events""")
+@query("""SELECT event_id, '10.0.0.' || user_id % 256 AS src, 1000 + user_id % 100 AS port, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ')
+AS start, CASE WHEN event_id % 2 = 0 THEN 'ACCEPT' ELSE 'REJECT' END AS action FROM events""")
 def flow_logs(spark: SparkSession, d: str) -> DataFrame:
     s = F.unix_seconds(F.col("ts").cast("timestamp"))
     line = F.concat_ws(" ", F.lit("2"), F.col("event_id"), F.lit("eni"), F.concat(F.lit("10.0.0."), F.col("user_id") % 256), F.lit("10.1.1.1"), 1000 + F.col("user_id") % 100, F.lit("443 6 1 1"), s, s + 60, F.when(F.col("event_id") % 2 == 0, "ACCEPT").otherwise("REJECT"), F.lit("OK"))
@@ -134,7 +141,8 @@ def flow_logs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("account_id").cast("bigint").alias("event_id"), F.col("srcaddr").alias("src"), F.col("srcport").cast("bigint").alias("port"), "start", "action")
 
 
-@query("""SELECT page_id, kind, url, '10.0.0.' || page_id % 256 AS client, (1000 + page_id % 50)::VARCHAR AS port FROM pages, (SELECT unnest(['app', 'classic', 'network']) AS kind)""")
+@query("""SELECT page_id, kind, url, '10.0.0.' || page_id % 256 AS client, (1000 + page_id % 50)::VARCHAR AS port FROM pages, (SELECT unnest(['app',
+'classic', 'network']) AS kind)""")
 def balancer_logs(spark: SparkSession, d: str) -> DataFrame:
     """Application, classic and network load balancers: quoted requests, addresses with ports."""
     p, k = table(spark, d, "pages"), F.col("page_id")
@@ -151,8 +159,10 @@ def balancer_logs(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("elb").cast("bigint").alias("page_id"), "kind", "url", F.col("client_ip").alias("client"), F.col("client_port").alias("port"))
 
 
-@query("""SELECT page_id, 'access' AS kind, url AS value FROM pages UNION ALL SELECT page_id, 'hub', url FROM pages UNION ALL SELECT page_id, 'findings', url FROM pages
-UNION ALL SELECT page_id, 'inline', url FROM pages UNION ALL SELECT page_id, 'csv', url FROM pages UNION ALL SELECT page_id, 'columnar', url FROM pages UNION ALL SELECT page_id, 'lake', url FROM pages""")
+@query("""SELECT page_id, 'access' AS kind, url AS value FROM pages UNION ALL SELECT page_id, 'hub', url FROM pages UNION ALL SELECT page_id,
+'findings', url FROM pages
+UNION ALL SELECT page_id, 'inline', url FROM pages UNION ALL SELECT page_id, 'csv', url FROM pages UNION ALL SELECT page_id, 'columnar', url FROM
+pages UNION ALL SELECT page_id, 'lake', url FROM pages""")
 def landed_findings(spark: SparkSession, d: str) -> DataFrame:
     """Object access logs, hub and JSON findings, blobs by line, CSV access logs, columnar rows and a lake's parquet."""
     p, k = table(spark, d, "pages").select("page_id", "url"), F.col("page_id")
@@ -167,13 +177,13 @@ def landed_findings(spark: SparkSession, d: str) -> DataFrame:
     f = return_(f.select(F.col("id").alias("page_id"), F.col("probe_detail").alias("value")), "findings")
     inline = C.blob_records_source(spark, landed(p, F.when(k >= 0, F.to_json(F.struct("page_id", "url"))), "inline"), "json_inline", "tag", ".txt")
     i = return_(inline.select(F.get_json_object("record", "$.page_id").alias("page_id"), F.get_json_object("record", "$.url").alias("value")), "inline")
-    folder = f"{shared_folder(spark)}/landing/csv-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "csv")
     p.write.option("header", True).csv(folder)
     c = return_(C.gcs_access_log_source(spark, folder).select("page_id", F.col("url").alias("value")), "csv")
     grid = F.to_json(F.struct(F.array(F.struct(F.lit("t").alias("name"), F.array(*(F.struct(F.lit(n).alias("name"), F.lit("string").alias("type")) for n in ("page_id", "url"))).alias("columns"), F.array(F.array(k.cast("string"), "url")).alias("rows"))).alias("tables")))
     g = C.columnar_rows_source(spark, landed(p, grid, "columnar"), by_line=True)
     g = return_(g.select(F.col("record")["page_id"].alias("page_id"), F.col("record")["url"].alias("value")), "columnar")
-    folder = f"{shared_folder(spark)}/landing/lake-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "lake")
     p.write.parquet(folder)
     lake = return_(C.lake_parquet_source(spark, folder).select("page_id", F.col("url").alias("value")), "lake")
     out = a
@@ -183,12 +193,15 @@ def landed_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 # sinks -----------------------------------------------------------------------------------------
-@query("""SELECT event_id, 'index' AS sink, 'wl-' || event_type AS place FROM events WHERE user_id % 5 > 0 UNION ALL SELECT event_id, 'rejected', 'WL ' || event_type FROM events WHERE user_id % 5 = 0
-UNION ALL SELECT event_id, 'file', 'file' FROM events UNION ALL SELECT event_id, 'routed', 'all' FROM events UNION ALL SELECT event_id, 'routed', 'clicks' FROM events WHERE event_type = 'click'
-UNION ALL SELECT event_id, 'enriched', event_type FROM events UNION ALL SELECT event_id, 'archive', strftime(ts, '%Y-%m-%d') FROM events UNION ALL SELECT min(event_id), 'snapshot', strftime(min(ts), '%Y-%m-%d') FROM events GROUP BY user_id HAVING user_id % 3 > 0""")
+@query("""SELECT event_id, 'index' AS sink, 'wl-' || event_type AS place FROM events WHERE user_id % 5 > 0 UNION ALL SELECT event_id, 'rejected',
+'WL ' || event_type FROM events WHERE user_id % 5 = 0
+UNION ALL SELECT event_id, 'file', 'file' FROM events UNION ALL SELECT event_id, 'routed', 'all' FROM events UNION ALL SELECT event_id, 'routed',
+'clicks' FROM events WHERE event_type = 'click'
+UNION ALL SELECT event_id, 'enriched', event_type FROM events UNION ALL SELECT event_id, 'archive', strftime(ts, '%Y-%m-%d') FROM events UNION ALL
+SELECT min(event_id), 'snapshot', strftime(min(ts), '%Y-%m-%d') FROM events GROUP BY user_id HAVING user_id % 3 > 0""")
 def sinks_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Every sink written to a new folder and read back."""
-    e, base = table(spark, d, "events"), f"{shared_folder(spark)}/landing/sinks-{uuid.uuid4().hex}"
+    e, base = table(spark, d, "events"), new_folder(spark, "sinks")
     day = F.date_format("ts", "yyyy-MM-dd")
     slim = e.select("event_id", "event_type", "user_id")
     name = F.concat(F.when(F.col("user_id") % 5 > 0, "wl-").otherwise("WL "), "event_type")
@@ -212,7 +225,7 @@ def sinks_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT event_id, event_type, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS scored FROM events WHERE ts >= TIMESTAMP '2024-01-10'""")
 def stream_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Landed twice, read once a file, cut at a date, deduplicated, scored and appended: incremental_files, discard_late_or_old, stream_dedup, tail_and_score."""
-    base = f"{shared_folder(spark)}/landing/stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
     e = table(spark, d, "events").select("event_id", "event_type", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     e.unionByName(e).write.parquet(f"{base}/in")
     rows = streams.incremental_files(spark, f"{base}/in", e.schema, "parquet", per_trigger=1000)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,18 +13,14 @@ from .sources import cloud as C
 from .sources import sinks as K
 from .sources import text as S
 from .sources.history import History
-from .sources.landing import landed, shared_folder
+from .sources.landing import landed, new_folder
 from .streaming import streams
 from .streaming.state_table import StateTable
 
 
-def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/landing/{name}-{uuid.uuid4().hex}"
-
-
 def ran(spark: SparkSession, rows: DataFrame, build, mode: str, last: DataFrame | None = None) -> DataFrame:
     """The output of a stream over rows as one batch, and after it, if given, over the rows of last, which move the watermark past all others."""
-    base, key = fresh(spark, "stream"), "spark.sql.streaming.stateStore.providerClass"
+    base, key = new_folder(spark, "stream"), "spark.sql.streaming.stateStore.providerClass"
     if not spark.conf.get(key, "").endswith("RocksDBStateStoreProvider"):  # state of keys and timers needs it
         spark.conf.set(key, streams.ROCKS)
     rows.write.parquet(f"{base}/in")
@@ -55,7 +49,8 @@ def second(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS events, count(*) FILTER (event_type = 'error') AS alerts FROM events GROUP BY 1")
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS events, count(*) FILTER (event_type = 'error') AS alerts
+FROM events GROUP BY 1""")
 def hourly_totals_stream(spark: SparkSession, d: str) -> DataFrame:
     rows = timed(spark, d).select("ts", "event_type")
     out = ran(spark, rows, lambda s: streams.hourly_totals_stream(s, F.col("event_type") == "error"), "complete")
@@ -63,16 +58,19 @@ def hourly_totals_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 # a session ends where five minutes pass without an event: an event just five minutes later begins the next
-@query("""WITH p AS (SELECT user_id % 40 AS u, ts, event_type, ts - lag(ts) OVER (PARTITION BY user_id % 40 ORDER BY ts) >= INTERVAL 5 MINUTE AS new FROM events),
+@query("""WITH p AS (SELECT user_id % 40 AS u, ts, event_type, ts - lag(ts) OVER (PARTITION BY user_id % 40 ORDER BY ts) >= INTERVAL 5 MINUTE AS new
+FROM events),
 s AS (SELECT *, sum(coalesce(new, true)::INT) OVER (PARTITION BY u ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM p)
-SELECT u, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS attempts, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'error') > 5 AS brute_force FROM s GROUP BY u, n""")
+SELECT u, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS attempts, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER
+(event_type = 'error') > 5 AS brute_force FROM s GROUP BY u, n""")
 def auth_episode_stream(spark: SparkSession, d: str) -> DataFrame:
     rows = timed(spark, d).select((F.col("user_id") % 40).alias("u"), "ts", "event_type")
     out = ran(spark, rows, lambda s: streams.auth_episode_stream(s, "u", F.col("event_type") == "error"), "complete")
     return out.select("u", second("start").alias("start"), "attempts", "failed", "brute_force")
 
 
-@query("""WITH p AS (SELECT DISTINCT user_id % 3 AS u, date_trunc('minute', ts) AS m, event_id % 50 AS port FROM events), w AS (SELECT u, m - to_minutes(k) AS start, port FROM p, range(0, 10) AS t(k))
+@query("""WITH p AS (SELECT DISTINCT user_id % 3 AS u, date_trunc('minute', ts) AS m, event_id % 50 AS port FROM events), w AS (SELECT u, m -
+to_minutes(k) AS start, port FROM p, range(0, 10) AS t(k))
 SELECT u, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(DISTINCT port) AS ports FROM w GROUP BY 1, start HAVING count(DISTINCT port) > 2""")
 def port_scan_stream(spark: SparkSession, d: str) -> DataFrame:
     rows = timed(spark, d).select((F.col("user_id") % 3).alias("u"), "ts", (F.col("event_id") % 50).alias("port"), "event_id")
@@ -89,9 +87,12 @@ def pending_changes_stream(spark: SparkSession, d: str) -> DataFrame:
     return ran(spark, rows, streams.stream_coalesce_changes, "update").select("id", "operation", "existing")
 
 
-@query("""WITH m AS (SELECT CAST(event_id % 25 AS VARCHAR) AS session, event_id // 25 AS seq FROM events WHERE event_id % 7 <> 3), z AS (SELECT CAST(event_id % 25 AS VARCHAR) AS session, max(event_id // 25) + 1 AS size FROM events GROUP BY 1),
-e AS (SELECT session, seq, coalesce(lag(seq) OVER (PARTITION BY session ORDER BY seq), -1) AS before FROM m UNION ALL SELECT z.session, size, coalesce(max(seq), -1) FROM z LEFT JOIN m ON z.session = m.session GROUP BY 1, 2)
-SELECT session, count(*) FILTER (seq - before > 1) = 0 AS complete, coalesce(string_agg((before + 1) || '-' || (seq - 1), ',' ORDER BY seq) FILTER (seq - before > 1), '') AS missing FROM e GROUP BY 1""")
+@query("""WITH m AS (SELECT CAST(event_id % 25 AS VARCHAR) AS session, event_id // 25 AS seq FROM events WHERE event_id % 7 <> 3), z AS (SELECT
+CAST(event_id % 25 AS VARCHAR) AS session, max(event_id // 25) + 1 AS size FROM events GROUP BY 1),
+e AS (SELECT session, seq, coalesce(lag(seq) OVER (PARTITION BY session ORDER BY seq), -1) AS before FROM m UNION ALL SELECT z.session, size,
+coalesce(max(seq), -1) FROM z LEFT JOIN m ON z.session = m.session GROUP BY 1, 2)
+SELECT session, count(*) FILTER (seq - before > 1) = 0 AS complete, coalesce(string_agg((before + 1) || '-' || (seq - 1), ',' ORDER BY seq) FILTER
+(seq - before > 1), '') AS missing FROM e GROUP BY 1""")
 def sequence_gaps_stream(spark: SparkSession, d: str) -> DataFrame:
     session, seq = (F.col("event_id") % 25).cast("string"), F.floor(F.col("event_id") / 25)
     every = table(spark, d, "events").select("event_id", session.alias("session"), seq.alias("seq"))
@@ -101,7 +102,8 @@ def sequence_gaps_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT CAST(user_id % 30 AS VARCHAR) AS agent_id, max(epoch_us(ts)) // 1000 AS ms FROM events GROUP BY 1)
-SELECT agent_id, 'active' AS status, ms AS at_ms FROM k UNION ALL SELECT agent_id, 'disconnected', ms + 600000 FROM k UNION ALL SELECT agent_id, 'alert', ms + 900000 FROM k""")
+SELECT agent_id, 'active' AS status, ms AS at_ms FROM k UNION ALL SELECT agent_id, 'disconnected', ms + 600000 FROM k UNION ALL SELECT agent_id,
+'alert', ms + 900000 FROM k""")
 def keepalive_stream(spark: SparkSession, d: str) -> DataFrame:
     """Each agent falls silent after its last event; a row a year later lets its timers end."""
     rows = timed(spark, d).select((F.col("user_id") % 30).cast("string").alias("agent_id"), "ts", "event_id")
@@ -112,15 +114,16 @@ def keepalive_stream(spark: SparkSession, d: str) -> DataFrame:
 # files in their own format ----------------------------------------------------------------------
 @query("SELECT event_id, event_type || ' ü' AS event_type FROM events")
 def utf16_records(spark: SparkSession, d: str) -> DataFrame:
-    path = fresh(spark, "utf16")
+    path = new_folder(spark, "utf16")
     table(spark, d, "events").select("event_id", F.concat("event_type", F.lit(" ü")).alias("event_type")).write.option("encoding", "UTF-16LE").json(path)
     return S.utf16_source(spark, path).select(F.from_json("line", "event_id bigint, event_type string").alias("e")).select("e.*")
 
 
-@query("""SELECT 'json' AS kind, event_id, event_type FROM events UNION ALL SELECT 'csv', event_id, event_type FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'plain', event_id, event_type FROM events WHERE event_id % 3 = 0""")
+@query("""SELECT 'json' AS kind, event_id, event_type FROM events UNION ALL SELECT 'csv', event_id, event_type FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT 'plain', event_id, event_type FROM events WHERE event_id % 3 = 0""")
 def auto_records(spark: SparkSession, d: str) -> DataFrame:
     """JSON lines, CSV and plain lines in one folder; each file says by its first line what it is."""
-    path, e = fresh(spark, "auto"), table(spark, d, "events").select("event_id", "event_type")
+    path, e = new_folder(spark, "auto"), table(spark, d, "events").select("event_id", "event_type")
     e.write.json(f"{path}/a")
     e.filter("event_id % 2 = 0").write.option("header", True).csv(f"{path}/b")
     e.filter("event_id % 3 = 0").select(F.concat_ws(" ", "event_id", "event_type").alias("value")).write.text(f"{path}/c")
@@ -145,10 +148,11 @@ def firewall_records(spark: SparkSession, d: str) -> DataFrame:
     return out.select("timestamp", "action", F.col("httpRequest.clientIp").alias("ip"), F.element_at("headers", "host").alias("host"))
 
 
-@query("""SELECT 'dnslogs' AS kind, 't' || event_id AS timestamp, event_type AS what FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'proxylogs', 't' || event_id, event_type FROM events WHERE event_id % 3 = 1
+@query("""SELECT 'dnslogs' AS kind, 't' || event_id AS timestamp, event_type AS what FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'proxylogs',
+'t' || event_id, event_type FROM events WHERE event_id % 3 = 1
 UNION ALL SELECT 'iplogs', 't' || event_id, event_type FROM events WHERE event_id % 3 = 2""")
 def dns_security_records(spark: SparkSession, d: str) -> DataFrame:
-    path, e = fresh(spark, "dns"), table(spark, d, "events")
+    path, e = new_folder(spark, "dns"), table(spark, d, "events")
     for k, (kind, width, at) in enumerate((("dnslogs", 13, 7), ("proxylogs", 23, 6), ("iplogs", 7, 5))):
         cells = [F.col("event_type") if i == at else F.concat(F.lit("t"), "event_id") if i == 0 else F.lit(f"c{i}") for i in range(width)]
         e.filter(F.col("event_id") % 3 == k).select(*(c.alias(f"c{i}") for i, c in enumerate(cells))).write.option("quoteAll", True).csv(f"{path}/{kind}")
@@ -156,7 +160,8 @@ def dns_security_records(spark: SparkSession, d: str) -> DataFrame:
     return C.dns_security_log_source(spark, path).select("kind", "timestamp", what.alias("what"))
 
 
-@query("""SELECT CAST(event_id AS VARCHAR) AS resource_id, CASE event_id % 3 WHEN 0 THEN 'a' || user_id WHEN 1 THEN 'x,' || event_type ELSE event_type END AS groups FROM events""")
+@query("""SELECT CAST(event_id AS VARCHAR) AS resource_id, CASE event_id % 3 WHEN 0 THEN 'a' || user_id WHEN 1 THEN 'x,' || event_type ELSE event_type
+END AS groups FROM events""")
 def config_records(spark: SparkSession, d: str) -> DataFrame:
     """A field that is a text, a list or an object comes as a list."""
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
@@ -167,20 +172,22 @@ def config_records(spark: SparkSession, d: str) -> DataFrame:
     return out.select("resource_id", F.array_join("groups", ",").alias("groups"))
 
 
-@query("""SELECT event_type AS name, CAST(user_id AS VARCHAR) AS region, CASE WHEN event_id % 2 = 0 THEN '{"string":"text ' || event_id || '"}' ELSE '{"k":' || event_id || '}' END AS parameters FROM events""")
+@query("""SELECT event_type AS name, CAST(user_id AS VARCHAR) AS region, CASE WHEN event_id % 2 = 0 THEN '{"string":"text ' || event_id || '"}' ELSE
+'{"k":' || event_id || '}' END AS parameters FROM events""")
 def audit_trail_records(spark: SparkSession, d: str) -> DataFrame:
     """Files of a Records array; plain text parameters are wrapped."""
     parameters = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"text '), "event_id", F.lit('"'))).otherwise(F.concat(F.lit('{"k":'), "event_id", F.lit("}")))
     record = F.concat(F.lit('{"eventName":"'), "event_type", F.lit('","awsRegion":"'), "user_id", F.lit('","requestParameters":'), parameters, F.lit("}"))
     rows = table(spark, d, "events").select((F.col("event_id") % 8).alias("file"), record.alias("r"))
-    path = fresh(spark, "trail")
+    path = new_folder(spark, "trail")
     files = rows.groupBy("file").agg(F.concat(F.lit('{"Records":['), F.array_join(F.collect_list("r"), ","), F.lit("]}")).alias("value"))
     files.repartition(8, "file").write.partitionBy("file").text(path)
     out = C.audit_trail_source(spark, path)
     return out.select(F.col("eventName").alias("name"), F.col("awsRegion").alias("region"), F.col("requestParameters").alias("parameters"))
 
 
-@query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-15' UNION ALL SELECT -event_id FROM events WHERE event_type = 'view' AND event_id >= 100 AND event_id < 5000 AND props NOT LIKE '%7%'")
+@query("""SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-15' UNION ALL SELECT -event_id FROM events WHERE event_type = 'view' AND event_id
+>= 100 AND event_id < 5000 AND props NOT LIKE '%7%'""")
 def range_and_scan_records(spark: SparkSession, d: str) -> DataFrame:
     """Findings since the last scan, and (with negative ids) the events of one stream in a range without those that a pattern discards."""
     e = table(spark, d, "events")
@@ -189,7 +196,8 @@ def range_and_scan_records(spark: SparkSession, d: str) -> DataFrame:
     return found.unionByName(C.log_stream_range_source(logs, "view", 100, 5000, "7").select((-F.col("ts_ms")).alias("event_id")))
 
 
-@query("""SELECT 'ATTACK-' || p_partkey AS episode_id, p_name || ': ' || p_type AS summary, p_brand AS tags, CAST(p_partkey AS VARCHAR) AS entity FROM part UNION ALL SELECT 'YARA-' || p_partkey, p_partkey || ': ' || p_type, p_brand, p_name FROM part
+@query("""SELECT 'ATTACK-' || p_partkey AS episode_id, p_name || ': ' || p_type AS summary, p_brand AS tags, CAST(p_partkey AS VARCHAR) AS entity FROM
+part UNION ALL SELECT 'YARA-' || p_partkey, p_partkey || ': ' || p_type, p_brand, p_name FROM part
 UNION ALL SELECT 'ADV-' || p_partkey, p_name, lower(p_brand), p_type FROM part""")
 def knowledge_bases(spark: SparkSession, d: str) -> DataFrame:
     """Techniques, string rules and advisories as episodes."""
@@ -202,7 +210,7 @@ def knowledge_bases(spark: SparkSession, d: str) -> DataFrame:
     }
     out = None
     for source, (entity, row) in shapes.items():
-        path = fresh(spark, "kb")
+        path = new_folder(spark, "kb")
         # a file is an array of entries
         files = p.select(F.col("p_partkey") % 8, row.alias("r")).toDF("file", "r").groupBy("file").agg(F.to_json(F.collect_list("r")).alias("value"))
         files.repartition(8, "file").write.partitionBy("file").text(path)
@@ -222,7 +230,7 @@ def rule_catalog(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 'p' || event_id % 4 AS program, CAST(event_id AS VARCHAR) AS stamp, event_type || ' ' || props AS message FROM events")
 def multilog_records(spark: SparkSession, d: str) -> DataFrame:
     """One folder a program, whose file is named current."""
-    path, e = fresh(spark, "multilog"), table(spark, d, "events")
+    path, e = new_folder(spark, "multilog"), table(spark, d, "events")
     for k in range(4):
         lines = e.filter(F.col("event_id") % 4 == k).select(F.concat(F.lit("@"), "event_id", F.lit(" "), "event_type", F.lit(" "), "props").alias("value"))
         lines.unionByName(spark.range(1).select(F.lit("no stamp").alias("value"))).write.text(f"{path}/p{k}")
@@ -232,13 +240,14 @@ def multilog_records(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-19' GROUP BY 1")
 def retained_days(spark: SparkSession, d: str) -> DataFrame:
     """Days that are left after those older than ten days before the end of the month are deleted."""
-    path = fresh(spark, "retention")
+    path = new_folder(spark, "retention")
     table(spark, d, "events").select("event_id", F.to_date("ts").cast("string").alias("day")).write.partitionBy("day").parquet(path)
     K.retention_delete(spark, path, "2024-01-30", 10)
     return spark.read.schema("event_id bigint, day date").parquet(path).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT c_custkey, c_name AS own_name, n_name AS nation, 'kept' AS own_only, CAST(n_regionkey AS VARCHAR) AS region FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+@query("""SELECT c_custkey, c_name AS own_name, n_name AS nation, 'kept' AS own_only, CAST(n_regionkey AS VARCHAR) AS region FROM customer JOIN nation
+ON c_nationkey = n_nationkey""")
 def deep_merge_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Maps of maps from a key-value table are merged into a row's own, level by level."""
     inner = lambda **kv: F.create_map(*(F.lit(x) if k % 2 == 0 else x for pair in kv.items() for k, x in enumerate(pair)))
@@ -253,7 +262,7 @@ def deep_merge_lookup(spark: SparkSession, d: str) -> DataFrame:
 SELECT key, o AS offset_, p AS payload FROM c WHERE t <> 'error'""")
 def feed_state_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events as a feed in several batches into a bucketed state table; an error deletes its user until something follows."""
-    base = fresh(spark, "feed")
+    base = new_folder(spark, "feed")
     e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("offset_"), F.col("props").alias("payload"), "event_type")
     e.repartition(3).write.parquet(f"{base}/in")
     schema = "key bigint, offset_ bigint, payload string"
@@ -262,11 +271,12 @@ def feed_state_stream(spark: SparkSession, d: str) -> DataFrame:
     return state.read()
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey % 2 = 0 AND o_orderkey % 4 <> 1 UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 5 <> 0 AND o_custkey % 2 = 1 AND o_orderkey % 4 <> 1")
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey % 2 = 0 AND o_orderkey % 4 <> 1 UNION ALL SELECT o_orderkey,
+o_custkey FROM orders WHERE o_orderkey % 5 <> 0 AND o_custkey % 2 = 1 AND o_orderkey % 4 <> 1""")
 def unseen_items(spark: SparkSession, d: str) -> DataFrame:
     """Orders against a history of two runs, kept with Bloom filters."""
     rows = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    seen = History(spark, fresh(spark, "history"), ["o_orderkey"], buckets=32)
+    seen = History(spark, new_folder(spark, "history"), ["o_orderkey"], buckets=32)
     seen.extend(rows.filter("o_orderkey % 4 = 1"), "first")
     seen.extend(rows.filter("o_orderkey % 5 = 0 and o_custkey % 2 = 1 or o_orderkey % 5 <> 0 and o_custkey % 2 = 0"), "second")
     return seen.unseen(rows)

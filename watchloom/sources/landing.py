@@ -19,15 +19,26 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder below the shared one."""
+    return f"{shared_folder(spark)}/watchloom/landing/{name}-{uuid.uuid4().hex}"
+
+
 def landed(df: DataFrame, text: Column, name: str) -> str:
     """Writes a text of each row, which may be several lines, to new files and returns their folder."""
-    path = f"{shared_folder(df.sparkSession)}/landing/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.select(text.alias("value")).write.text(path)
     return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df below the shared folder and reads it again: it is computed once, and a lost executor costs nothing."""
-    path = f"{shared_folder(df.sparkSession)}/landing/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that was written below the shared folder, once the results that read it are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/watchloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
