@@ -260,3 +260,11 @@ def test_forest_equals_a_plain_walk(spark):
                 n = table[t, n.left if x[n.feature] < n.cut else n.right]
             total += n.depth
         assert abs(got[i] - (0.5 - 2 ** (-total / 20 / mean(64)))) < 1e-9
+
+
+def test_silence_counts_fractions_of_a_second(spark):
+    now = dt.datetime(2024, 1, 2, 0, 0, 0, 900000)
+    silent = [dt.timedelta(hours=6), dt.timedelta(hours=6, microseconds=1), dt.timedelta(hours=6, milliseconds=500), dt.timedelta(hours=18), dt.timedelta(hours=18, microseconds=1)]
+    agents = spark.createDataFrame([(k, now - x, "active", now) for k, x in enumerate(silent)], "id int, last_keepalive timestamp_ntz, status string, now timestamp_ntz")
+    got = rows(D.agent_disconnect(agents, F.col("now"), 21600, 43200).orderBy("id"), "new_status", "alert")
+    assert got == [("active", False), ("disconnected", False), ("disconnected", False), ("disconnected", False), ("disconnected", True)]

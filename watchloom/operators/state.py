@@ -97,10 +97,11 @@ def integrity_extra(mine: DataFrame, theirs: DataFrame, by: list[str]) -> DataFr
 
 
 def agent_disconnect(agents: DataFrame, as_of: Column, disconnect_seconds: int, alert_seconds: int) -> DataFrame:
-    """Adds new_status and alert: active agents that were silent too long, and those silent longer still."""
-    silent = F.unix_seconds(as_of) - F.unix_seconds("last_keepalive")
-    gone = (F.col("status") == "active") & (silent > disconnect_seconds)
-    return agents.withColumn("new_status", F.when(gone, "disconnected").otherwise(F.col("status"))).withColumn("alert", (F.col("new_status") == "disconnected") & (silent > disconnect_seconds + alert_seconds))
+    """Adds new_status and alert: active agents that were silent too long, and those silent longer still, to the microsecond."""
+    silent = as_of - F.col("last_keepalive")
+    longer = lambda seconds: silent > F.make_dt_interval(secs=F.lit(seconds))
+    gone = (F.col("status") == "active") & longer(disconnect_seconds)
+    return agents.withColumn("new_status", F.when(gone, "disconnected").otherwise(F.col("status"))).withColumn("alert", (F.col("new_status") == "disconnected") & longer(disconnect_seconds + alert_seconds))
 
 
 def feed_upsert(state: DataFrame, changes: DataFrame) -> DataFrame:
