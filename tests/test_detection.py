@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,34 @@ def test_intelligence_meets_events(spark):
     assert got == [("a", 1, "one", ["10.0.0.1", "evil.org"]), ("a", 2, "two", ["evil.org"]), ("b", 1, "one", ["evil.org"]), ("b", 2, "two", ["evil.org"])]
 
 
+def test_hits_and_pairs_leave_in_slices(spark, monkeypatch):
+    """Workers pass on some hits at a time, and texts meet intelligence in blocks without a shuffle of the pairs."""
+    rng = random.Random(6)
+    letters = [a + b for a in "abcdé" for b in "xyz"]
+    texts = [(k if k % 9 else None, " ".join(rng.choice(letters) for _ in range(rng.randrange(12)))) for k in range(300)]
+    told = [(k % 70, f"t{k % 70}", {"ip": rng.sample(letters, 3), "actor": ["ax"]}) for k in range(90)]
+    rows = spark.createDataFrame(texts, "id int, t string").repartition(2)
+    intel = spark.createDataFrame(told, "intel_id int, title string, entities map<string,array<string>>")
+    for name, n in (("HELD", 50), ("FOUND", 40), ("PIECES", 16), ("BLOCKS", 2)):
+        monkeypatch.setattr(I, name, n)
+    want = {}
+    for i, t in texts:
+        for k, title, e in told:
+            for x in e["ip"]:
+                if x in t:
+                    want.setdefault((str(i), k, title), set()).add(x)
+    out = I.intel_in_texts(rows, intel, "t", "id", shard_bytes=20)
+    got = out.collect()
+    assert {(str(r.id), r.intel_id, r.title): r.ioc for r in got} == {k: sorted(v) for k, v in want.items()} and len(got) == len(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "intel_id" not in "".join(x for x in plan.split("MapInArrow")[0].splitlines() if "Exchange" in x)
+    listed = spark.createDataFrame([(x,) for x in letters], "literal string")
+    hits = I.literal_hits(rows, listed, "t", "id")
+    assert hits.count() == sum(x in t for _, t in texts for x in letters)
+    slices = list(I._meetings(pa.array(range(200)), pa.array([letters] * 200), pa.array([1, 2]), pa.array(["a", "b"]), pa.array([letters[:5], letters[3:]])))
+    assert sum(x.num_rows for x in slices) == 400 and max(x.num_rows for x in slices) <= 50
+
+
 def test_expressions_run_on_hits_only(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "Drop the TABLE"), (2, "drop it"), (3, "table drop"), (4, None), (5, "x9")], "id int, t string")
     rules = {"sql": (r"drop.*table", [["drop", "table"]]), "digit": (r"\d", []), "never": (r".", [["absent"]])}
