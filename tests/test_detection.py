@@ -76,6 +76,21 @@ def test_hits_and_pairs_leave_in_slices(spark, monkeypatch):
     assert sum(x.num_rows for x in slices) == 400 and max(x.num_rows for x in slices) <= 50
 
 
+def test_workers_pass_on_some_hits_at_a_time(spark, monkeypatch):
+    """A batch of ten thousand texts gives its hits in slices, and its texts are unpacked few at a time."""
+    runs, rows = [], spark.createDataFrame([(1, "x")], "id int, t string")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    monkeypatch.setattr(I, "HELD", 100)
+    I.literal_hits(rows, spark.createDataFrame([(x,) for x in "abc"], "literal string"), "t", "id")
+    I.regex_hits(rows, {"a": ("a", [["a"]])}, "t", "id")
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1000)), "text": ["abcabc"] * 999 + [None]})
+    hits = list(runs[0](iter([batch])))
+    assert sum(x.num_rows for x in hits) == 2997 and max(x.num_rows for x in hits) < 103
+    assert [(r["id"], r["literal"], r["first_at"], r["n"]) for r in hits[0].slice(0, 3).to_pylist()] == [(0, "a", 0, 2), (0, "b", 1, 2), (0, "c", 2, 2)]
+    named = list(runs[1](iter([batch])))[0].to_pylist()
+    assert [r["names"] for r in named] == [["a"]] * 999 + [[]]
+
+
 def test_expressions_run_on_hits_only(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "Drop the TABLE"), (2, "drop it"), (3, "table drop"), (4, None), (5, "x9")], "id int, t string")
     rules = {"sql": (r"drop.*table", [["drop", "table"]]), "digit": (r"\d", []), "never": (r".", [["absent"]])}
