@@ -30,6 +30,15 @@ def test_every_vector_query_is_answered(spark, monkeypatch):
     assert {(r["query"], r["rank"]): r["id"] for r in got} == want
 
 
+def test_vector_blocks_are_scored_some_queries_at_a_time(monkeypatch):
+    rng = np.random.default_rng(7)
+    qs, vs = rng.normal(size=(25, 4)), rng.normal(size=(30, 4))
+    monkeypatch.setattr(S, "SCORES", 100)
+    out = list(S._near(qs, np.arange(25), vs, np.arange(30), np.ones(30, bool), 2))
+    assert len(out) == 9 and [r["query"] for x in out for r in x.to_pylist()] == np.repeat(np.arange(25), 2).tolist()
+    assert [r["id"] for x in out for r in x.to_pylist()] == np.argsort(-(qs @ vs.T), axis=1)[:, :2].ravel().tolist()
+
+
 def test_every_text_query_with_all_words(spark):
     rng = np.random.default_rng(2)
     texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 30) % 200) for _ in range(50)]
