@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -206,3 +207,22 @@ def test_recall_on_the_given_vectors(spark):
     asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     got = V.recall(own.QUERIES["vector_topk_index"](spark, "/root/testdata/sf0.1"), S.vector_topk(vectors, asked, 10).withColumn("similarity", F.round("similarity", 6)))
     assert got.first().recall >= 0.9
+
+
+def test_queries_are_copied_for_their_cells_in_slices(spark, monkeypatch):
+    """A batch of queries that look into many cells would be thousands of copies of each vector."""
+    runs, rng = [], np.random.default_rng(3)
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query bigint, vector array<double>")
+
+    def caught(self, run, schema):
+        runs.append(run)
+        raise LookupError
+
+    monkeypatch.setattr(type(asked), "mapInPandas", caught)
+    monkeypatch.setattr(V, "AT_ONCE", 1000)
+    with pytest.raises(LookupError):
+        V.search(V.Index(V.unit(rng.normal(size=(50, 2))), asked), asked, 3, 40)
+    batch = pd.DataFrame({"id": [str(k) for k in range(100)], "v": list(rng.normal(size=(100, 2)))})
+    out = list(runs[0](iter([batch])))
+    assert sum(map(len, out)) == 4000 and max(len(x) * 2 for x in out) <= 1000
+    assert all(n == 40 for n in pd.concat(out).groupby("id")["asked"].nunique())

@@ -16,16 +16,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.landing import stored
-from .search import HITS, _best, _ids, _merged, _numbered, _whole, vector_topk
+from .search import HITS, _ids, _merged, _near, _numbered, _whole, vector_topk
 
 #: Cells at most, rows of the sample for each cell, and numbers in the sample at most: the bounds of what the driver fits.
 CELLS, SAMPLE, NUMBERS = 4096, 32, 1 << 24
 #: Rows of a block, and queries of one.
 ROWS, QUERIES = 8192, 512
+#: Numbers that a worker holds of rows until they fill a block, and of products and copies at once.
+HELD, AT_ONCE = 1 << 22, 1 << 20
 BLOCKS = "cell int, ids binary, known binary, vs binary"
 ASKING = "asked int, queries binary, qs binary"
 
@@ -84,26 +87,29 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         held: dict[int, list[tuple]] = {}
         count = 0
 
-        def block(cell: int) -> tuple:
-            ids, known, v = (np.concatenate(x) for x in zip(*held.pop(cell), strict=True))
-            return cell, ids.tobytes(), known.tobytes(), v.tobytes()
+        def packed(cells: list[int]) -> Iterator[pd.DataFrame]:
+            for cell in cells:
+                ids, known, v = (np.concatenate(x) for x in zip(*held.pop(cell), strict=True))
+                yield pd.DataFrame([(cell, ids.tobytes(), known.tobytes(), v.tobytes())], columns=[x.split()[0] for x in BLOCKS.split(", ")])
 
+        most = max(1, AT_ONCE // len(centres))
         for pdf in batches:
-            v = unit(pdf["v"])
-            (ids, known), own, out = _ids(pdf["id"]), (v @ shared.value.T).argmax(axis=1), []
-            for cell in np.unique(own).tolist():
-                at = np.flatnonzero(own == cell)
-                for lo in range(0, len(at), ROWS):
-                    part = at[lo : lo + ROWS]
-                    held.setdefault(cell, []).append((ids[part], known[part], v[part]))
-                    if sum(len(x[0]) for x in held[cell]) >= ROWS:
-                        out.append(block(cell))
-            count += len(pdf)
-            if count * length > 1 << 23:  # all that is held goes, so a task holds a bounded number of rows
-                out += [block(cell) for cell in list(held)]
-                count = 0
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in BLOCKS.split(", ")])
-        yield pd.DataFrame([block(cell) for cell in list(held)], columns=[x.split()[0] for x in BLOCKS.split(", ")])
+            for start in range(0, len(pdf), most):  # the whole product would be rows times cells
+                few = pdf.iloc[start : start + most]
+                v = unit(few["v"])
+                (ids, known), own = _ids(few["id"]), (v @ shared.value.T).argmax(axis=1)
+                for cell in np.unique(own).tolist():
+                    at = np.flatnonzero(own == cell)
+                    for lo in range(0, len(at), ROWS):
+                        part = at[lo : lo + ROWS]
+                        held.setdefault(cell, []).append((ids[part], known[part], v[part]))
+                        if sum(len(x[0]) for x in held[cell]) >= ROWS:
+                            yield from packed([cell])
+                count += len(few)
+                if count * length > HELD:  # all that is held goes, so a task holds a bounded number of rows
+                    yield from packed([*held])
+                    count = 0
+        yield from packed([*held])
 
     return Index(centres, stored(rows.mapInPandas(assign, BLOCKS), "vector-index"))
 
@@ -112,13 +118,16 @@ def search(index: Index, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """query, id, similarity, rank of the k most similar rows in the probes cells nearest to each query (query, vector)."""
     length, probes = index.centres.shape[1], min(probes, len(index.centres))
     asked = queries.select(_numbered("query").alias("id"), F.col("vector").cast("array<double>").alias("v")).filter(_whole("v")).filter("id is not null")
-    shared = queries.sparkSession.sparkContext.broadcast(index.centres)
+    shared, cells_in_all = queries.sparkSession.sparkContext.broadcast(index.centres), len(index.centres)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        most = max(1, AT_ONCE // max(probes * length, cells_in_all))
         for pdf in batches:
-            near = unit(pdf["v"]) @ shared.value.T
-            cells = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
-            yield pd.DataFrame({"asked": cells.ravel(), "id": np.repeat(pdf["id"].to_numpy(), probes), "v": [v for v in pdf["v"] for _ in range(probes)]})
+            for lo in range(0, len(pdf), most):  # a query is copied for each cell that it looks into
+                part = pdf.iloc[lo : lo + most]
+                near = unit(part["v"]) @ shared.value.T
+                cells = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
+                yield pd.DataFrame({"asked": cells.ravel(), "id": np.repeat(part["id"].to_numpy(), probes), "v": [v for v in part["v"] for _ in range(probes)]})
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -133,14 +142,14 @@ def search(index: Index, queries: DataFrame, k: int, probes: int) -> DataFrame:
     # queries of a cell side by side; a cell that very many ask is split by the queries' ids
     packed = stored(each.repartition("asked", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("asked").mapInPandas(pack, ASKING), "vector-queries")
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for b in pdf.itertuples():
-                ids, known, q = np.frombuffer(b.ids, np.int64), np.frombuffer(b.known, bool), np.frombuffer(b.queries, np.int64)
-                yield _best(np.frombuffer(b.qs).reshape(len(q), length) @ np.frombuffer(b.vs).reshape(len(ids), length).T, q, ids, known, k, 9)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in range(batch.num_rows):
+                ids, known, q, vs, qs = (np.frombuffer(batch.column(c)[b].as_buffer(), kind) for c, kind in (("ids", np.int64), ("known", bool), ("queries", np.int64), ("vs", float), ("qs", float)))
+                yield from _near(qs.reshape(len(q), length), q, vs.reshape(len(ids), length), ids, known, k)
 
     pairs = index.blocks.join(packed, F.col("cell") == F.col("asked")).drop("cell", "asked")
-    return _merged(pairs.mapInPandas(score, HITS), k, 9).select("query", "id", F.col("score").alias("similarity"), "rank")
+    return _merged(pairs.mapInArrow(score, HITS), k, 9).select("query", "id", F.col("score").alias("similarity"), "rank")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
