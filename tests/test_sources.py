@@ -82,6 +82,14 @@ def test_alert_blocks(spark, tmp_path):
     assert line.startswith("level: 5; rule: 5710; location: /var/log/auth.log; srcip: 10.0.0.9; user: bob")
 
 
+def test_alert_blocks_sort_their_lines_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text, "CHUNK", 4)  # blocks reach over chunks
+    blocks = text.alert_block_source(text.numbered_lines(spark, put(tmp_path, "alerts.log", ALERT)))
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert sum("Sort [" in x and "__chunk" in x and "line_no" in x for x in plan.splitlines()) == 1
+    assert sorted(r.n_lines for r in blocks.collect()) == [2, 4, 6]
+
+
 def test_audit_and_databases(spark, tmp_path):
     p = put(tmp_path, "audit.log", "type=A msg=audit(1.0:5): a\ntype=B msg=audit(1.0:5): b\nnoise\ntype=C msg=audit(1.0:6): c\n")
     got = rows(text.audit_record_source(text.numbered_lines(spark, p)).orderBy("line_no"), "audit_id", "event")

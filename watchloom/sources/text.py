@@ -64,14 +64,21 @@ def last_before(lines: DataFrame, name: str, value: Column, inclusive: bool = Tr
 
     value: null, or something that grows with line_no: then it is that of the nearest line. backward: from the file's end; value must grow towards its start.
     """
-    rows = lines.withColumns({"__chunk": F.floor(F.col("line_no") / CHUNK), "__value": value})
+    return all_before(lines, {name: (value, inclusive)}, backward)
+
+
+def all_before(lines: DataFrame, values: dict[str, tuple[Column, bool]], backward: bool = False) -> DataFrame:
+    """last_before for several values (name → (value, inclusive)) at once: the lines are sorted once for all."""
+    temp = {name: (f"__value_{k}", f"__near_{k}", f"__ahead_{k}") for k, name in enumerate(values)}
+    rows = lines.withColumns({"__chunk": F.floor(F.col("line_no") / CHUNK)} | {temp[name][0]: value for name, (value, _) in values.items()})
     sign = F.desc if backward else F.asc
-    own = Window.partitionBy("file", "__chunk").orderBy(sign("line_no")).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    chunks = rows.groupBy("file", "__chunk").agg(F.max("__value").alias("__most"))
-    ahead = Window.partitionBy("file").orderBy(sign("__chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select("file", "__chunk", F.max("__most").over(ahead).alias("__ahead"))
-    near = rows.withColumn("__near", F.max("__value").over(own)).join(chunks, ["file", "__chunk"])
-    return near.withColumn(name, F.coalesce("__near", "__ahead")).drop("__chunk", "__value", "__near", "__ahead")
+    own = Window.partitionBy("file", "__chunk").orderBy(sign("line_no"))
+    up_to = {inclusive: own.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1) for inclusive in (True, False)}
+    chunks = rows.groupBy("file", "__chunk").agg(*(F.max(value).alias(ahead) for value, _, ahead in temp.values()))
+    earlier = Window.partitionBy("file").orderBy(sign("__chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select("file", "__chunk", *(F.max(ahead).over(earlier).alias(ahead) for _, _, ahead in temp.values()))
+    near = rows.withColumns({temp[name][1]: F.max(temp[name][0]).over(up_to[inclusive]) for name, (_, inclusive) in values.items()}).join(chunks, ["file", "__chunk"])
+    return near.withColumns({name: F.coalesce(n, ahead) for name, (_, n, ahead) in temp.items()}).drop("__chunk", *(c for cs in temp.values() for c in cs))
 
 
 def _collect(lines: DataFrame, group: str, separator: str = "\n") -> DataFrame:
@@ -189,8 +196,8 @@ def ids_block_source(lines: DataFrame) -> DataFrame:
 def alert_block_source(lines: DataFrame) -> DataFrame:
     """Text blocks opened by ** Alert and closed by a blank line or the next opener."""
     blank = F.trim("line") == ""
-    after = last_before(lines, "__blank", F.when(blank, F.col("line_no")), inclusive=False)
-    marked = last_before(after, "__open", F.when(F.col("line").startswith("** Alert"), F.col("line_no")))
+    opens = F.when(F.col("line").startswith("** Alert"), F.col("line_no"))
+    marked = all_before(lines, {"__blank": (F.when(blank, F.col("line_no")), False), "__open": (opens, True)})
     marked = marked.filter(~blank & F.col("__open").isNotNull() & (F.col("__open") > F.coalesce("__blank", F.lit(-1))))
     return _collect(marked, "__open").drop("__blank")
 
