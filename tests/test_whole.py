@@ -62,6 +62,20 @@ def test_every_text_query_with_all_words(spark):
     assert [r["id"] for r in top.orderBy("rank").collect()] == sorted(total, key=lambda d: (-round(total[d], 6), d))[:6]
 
 
+def test_hybrid_scores_all_pairs_once(spark, monkeypatch):
+    calls, hits = [], S._text_hits
+    monkeypatch.setattr(S, "_text_hits", lambda docs, asked, *a: (calls.append(asked.select("query").collect()), hits(docs, asked, *a))[1])
+    docs = spark.createDataFrame([(0, "a b c"), (1, "a d e f g h i"), (2, "d d d d"), (3, "b c x"), (4, "d z y")], "doc_id long, text string").repartition(2)
+    near = spark.createDataFrame([(0, 3, 0.5)], "query long, id long, similarity double")
+    ask = lambda ids: docs.filter(F.col("doc_id").isin(ids)).select(F.col("doc_id").alias("query"), "text")
+    run = lambda ids: {(r["query"], r["rank"]): r["id"] for r in S.hybrid_topk(near, docs, ask(ids), F.lit(0.0), 2, "doc_id", "text").collect()}
+    assert run([0]) == {(0, 1): 3, (0, 2): 0} and len(calls) == 1
+    calls.clear()
+    foreign = spark.createDataFrame([(7, "d")], "query long, text string")  # the best text for it is another than its own
+    got = S.hybrid_topk(near.limit(0), docs, foreign, F.lit(0.0), 3, "doc_id", "text").orderBy("rank").collect()
+    assert [r["id"] for r in got] == [2, 4, 1] and abs(got[0]["score"] - 0.3) < 1e-9 and len(calls) == 3
+
+
 def test_ids_that_are_null_or_very_large_and_vectors_of_any_kind(spark):
     big = 2**60 + 1
     near = [(big, [1.0, 0.0]), (big + 1, [1.0, 0.0]), (None, [1.0, 0.0]), (None, [0.0, 1.0]), (7, [0.0, 0.0])]
