@@ -62,6 +62,29 @@ def test_every_text_query_with_all_words(spark):
     assert [r["id"] for r in top.orderBy("rank").collect()] == sorted(total, key=lambda d: (-round(total[d], 6), d))[:6]
 
 
+def test_texts_share_blocks_by_kind_and_sums_are_exact(monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = [rng.choice(np.arange(60), 40) + 1000 * (i % 2) for i in range(80)]  # two kinds without a common word
+    marks, kinds = S._kinds(docs[:20], 2)
+    pdf = S.pd.DataFrame({"id": [str(i) for i in range(80)], "w": docs, "prior": 0.0})
+    packed = S.pd.concat(S._doc_blocks(marks, kinds)([pdf]))
+    assert sorted({i % 2 for i in np.frombuffer(x, np.int64).tolist()} == {k} for x, k in zip(packed["ids"], (0, 1), strict=True)) in ([False, False], [True, True])
+    assert [len(np.frombuffer(x, np.int64)) for x in packed["ids"]] == [40, 40]
+    asked = S.pd.DataFrame({"query": ["0", "2"], "scale": [1.0, 0.5], "t": [np.unique(docs[0]), np.unique(docs[2])], "near": [[], []], "plus": [[], []]})
+    asked["idf"] = [1 + t / 7 for t in asked["t"]]
+    q, d = S.pd.concat(S._query_blocks(marks, kinds)([asked])).iloc[0], next(x for _, x in packed.iterrows() if 0 in np.frombuffer(x["ids"], np.int64))
+    read = lambda row, **kinds: [np.frombuffer(row[c], k) for c, k in kinds.items()]
+    (tf,), ids = read(d, tf=np.int32), np.frombuffer(d["ids"], np.int64)
+    for common in (0.0, 0.5, 2.0):
+        monkeypatch.setattr(S, "COMMON", common)
+        sums = S._Sums(len(ids), *read(q, qt=np.int64, idf=float, qe=np.int32, qn=np.int32, scale=float), *read(d, dt=np.int64, dn=np.int32, dd=np.uint16), tf.astype(float))
+        want = np.array([[s * sum((1 + t / 7) * (docs[i] == t).sum() for t in ts) for i in ids] for s, ts in zip(asked["scale"], asked["t"], strict=True)])
+        near = sums.near(0, 2)
+        assert (np.abs(near - want) <= want * sums.slack).all()
+        i, j = np.nonzero(want >= 0)
+        assert np.allclose(sums.exact(i, j), want.ravel(), rtol=1e-13)
+
+
 def test_hybrid_scores_all_pairs_once(spark, monkeypatch):
     calls, hits = [], S._text_hits
     monkeypatch.setattr(S, "_text_hits", lambda docs, asked, *a: (calls.append(asked.select("query").collect()), hits(docs, asked, *a))[1])
