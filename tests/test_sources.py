@@ -56,6 +56,16 @@ def test_multiline_sources(spark, tmp_path):
     assert rows(text.delimiter_multiline_source(spark, put(tmp_path, "d.log", "x\ny---\n z ---  "), "---")) == [("x\ny",), ("z",)]
 
 
+def test_lines_of_a_chunk_are_joined_before_they_are_shuffled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text, "CHUNK", 2)  # events reach over chunks
+    lines = text.numbered_lines(spark, put(tmp_path, "m.log", "x\na1\na2\na3\na4\nb1\n\nc1\n"))
+    for df, want in ((text.regex_start_source(lines, "1$"), ["a1\na2\na3\na4", "b1\n", "c1"]), (text.regex_end_source(lines, "4$"), ["x\na1\na2\na3\na4", "b1\n\nc1"])):
+        assert [(r.event, r.n_lines) for r in df.orderBy("line_no").collect()] == [(x, x.count("\n") + 1) for x in want]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate(keys=[file" in plan and any("Aggregate(keys=" in x and "__chunk" in x and "__g" in x for x in plan.splitlines())
+        assert not any("Exchange hashpartitioning" in x and "__chunk" in x and "__g" in x for x in plan.splitlines())
+
+
 ALERT = """** Alert 1700000000.123: - syslog,sshd,
 2023 Nov 14 22:13:20 host1->/var/log/auth.log
 Rule: 5710 (level 5) -> 'Attempt to login'

@@ -67,8 +67,8 @@ def last_before(lines: DataFrame, name: str, value: Column, inclusive: bool = Tr
     return all_before(lines, {name: (value, inclusive)}, backward)
 
 
-def all_before(lines: DataFrame, values: dict[str, tuple[Column, bool]], backward: bool = False) -> DataFrame:
-    """last_before for several values (name → (value, inclusive)) at once: the lines are sorted once for all."""
+def all_before(lines: DataFrame, values: dict[str, tuple[Column, bool]], backward: bool = False, chunks_too: bool = False) -> DataFrame:
+    """last_before for several values (name → (value, inclusive)) at once: the lines are sorted once for all. chunks_too: __chunk stays, by which they lie together."""
     temp = {name: (f"__value_{k}", f"__near_{k}", f"__ahead_{k}") for k, name in enumerate(values)}
     rows = lines.withColumns({"__chunk": F.floor(F.col("line_no") / CHUNK)} | {temp[name][0]: value for name, (value, _) in values.items()})
     sign = F.desc if backward else F.asc
@@ -78,12 +78,17 @@ def all_before(lines: DataFrame, values: dict[str, tuple[Column, bool]], backwar
     earlier = Window.partitionBy("file").orderBy(sign("__chunk")).rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("file", "__chunk", *(F.max(ahead).over(earlier).alias(ahead) for _, _, ahead in temp.values()))
     near = rows.withColumns({temp[name][1]: F.max(temp[name][0]).over(up_to[inclusive]) for name, (_, inclusive) in values.items()}).join(chunks, ["file", "__chunk"])
-    return near.withColumns({name: F.coalesce(n, ahead) for name, (_, n, ahead) in temp.items()}).drop("__chunk", *(c for cs in temp.values() for c in cs))
+    return near.withColumns({name: F.coalesce(n, ahead) for name, (_, n, ahead) in temp.items()}).drop(*(c for cs in temp.values() for c in cs), *(() if chunks_too else ("__chunk",)))
 
 
 def _collect(lines: DataFrame, group: str, separator: str = "\n") -> DataFrame:
+    """The lines of each group as one event. Those of a chunk are joined where they lie, if __chunk tells; then only the events' parts are shuffled."""
+    n = F.count(F.lit(1))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
-    return lines.groupBy("file", group).agg(F.array_join(ordered, separator).alias("event"), F.count(F.lit(1)).alias("n_lines"), F.min("line_no").alias("line_no")).drop(group)
+    if "__chunk" in lines.columns:
+        lines = lines.groupBy("file", "__chunk", group).agg(F.array_join(ordered, separator).alias("line"), n.alias("__n"), F.min("line_no").alias("line_no"))
+        n = F.sum("__n")
+    return lines.groupBy("file", group).agg(F.array_join(ordered, separator).alias("event"), n.alias("n_lines"), F.min("line_no").alias("line_no")).drop(group)
 
 
 #: Joining of lines: replaced by nothing, a space, a tab, or kept.
@@ -102,13 +107,13 @@ def strict_chunk_source(lines: DataFrame, n: int) -> DataFrame:
 
 def regex_start_source(lines: DataFrame, pattern: str, join: str = "keep") -> DataFrame:
     """A line that matches opens an event; lines before the first opener are left out."""
-    marked = last_before(lines, "__g", F.when(F.col("line").rlike(pattern), F.col("line_no")))
+    marked = all_before(lines, {"__g": (F.when(F.col("line").rlike(pattern), F.col("line_no")), True)}, chunks_too=True)
     return _collect(marked.filter("__g is not null"), "__g", JOINS[join])
 
 
 def regex_end_source(lines: DataFrame, pattern: str, join: str = "keep") -> DataFrame:
     """A line that matches closes an event; an open rest is an event too."""
-    marked = last_before(lines, "__g", F.when(F.col("line").rlike(pattern), F.col("line_no")), inclusive=False)
+    marked = all_before(lines, {"__g": (F.when(F.col("line").rlike(pattern), F.col("line_no")), False)}, chunks_too=True)
     return _collect(marked, "__g", JOINS[join])
 
 
