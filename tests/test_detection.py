@@ -1,6 +1,7 @@
 """Indicator matching, order statistics and checksum trees against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 
@@ -77,6 +78,18 @@ def test_hits_and_pairs_leave_in_slices(spark, monkeypatch):
     assert sum(x.num_rows for x in slices) == 400 and max(x.num_rows for x in slices) <= 50
 
 
+def test_texts_are_shuffled_once_and_like_pairs_leave_together(spark):
+    """The result grows with the square: neighbours of one piece and of the same literals take little room in its files, and blocks are made where texts lie."""
+    pieces, literals = pa.array([7, 8, 9]), pa.array([["a", "b"], ["b"], ["a", "c"]])
+    (got,) = I._meetings(pa.array(range(40)), pa.array([["a", "b"], ["a"], ["b"], ["c", "a"]] * 10), pieces, pa.array(["x", "y", "z"]), literals)
+    runs = lambda *names: 1 + sum(x != y for x, y in itertools.pairwise(zip(*(got[n].to_pylist() for n in names), strict=True)))
+    assert got.num_rows == 40 + 20 + 30 and runs("intel_id", "title") == 3 and runs("intel_id", "ioc") == 6
+    intel = spark.createDataFrame([(1, "one", {"ip": ["a"]})], "intel_id int, title string, entities map<string,array<string>>")
+    out = I.intel_in_texts(spark.createDataFrame([("e", "a")], "id string, t string"), intel, "t", "id")
+    plan = out._jdf.queryExecution().executedPlan().toString().split("CartesianProduct")[1]
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan  # one shuffle of each side
+
+
 def test_workers_pass_on_some_hits_at_a_time(spark, monkeypatch):
     """A batch of ten thousand texts gives its hits in slices, and its texts are unpacked few at a time."""
     runs, rows = [], spark.createDataFrame([(1, "x")], "id int, t string")
