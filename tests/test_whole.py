@@ -99,6 +99,69 @@ def test_hybrid_scores_all_pairs_once(spark, monkeypatch):
     assert [r["id"] for r in got] == [2, 4, 1] and abs(got[0]["score"] - 0.3) < 1e-9 and len(calls) == 3
 
 
+def copied_texts():
+    """(id, text) with three copies of most, some in other case, and rows that stand for themselves: without an id, of a repeated id, null and empty texts."""
+    rng = np.random.default_rng(5)
+    own = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 12) % 40) for _ in range(14)]
+    rows = [(7 * i + 3, own[i % 14].upper() if i % 5 == 0 else own[i % 14]) for i in range(56)]
+    return [*rows, (None, own[2]), (None, own[2]), (500, own[3]), (500, "w1 w2"), (501, None), (502, "")]
+
+
+def raw_scores(rows):
+    """(query, text) places in rows → BM25."""
+    words = [(t or "").lower().split() for _, t in rows]
+    avg, n = sum(map(len, words)) / sum(t is not None for _, t in rows), len(rows)
+    df = {t: sum(t in w for w in words) for w in words for t in w}
+    idf = {t: math.log((n - x + 0.5) / (x + 0.5) + 1) for t, x in df.items()}
+    part = [{t: idf[t] * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / avg)) for t in set(w)} for w in words]
+    return {(i, j): x for i in range(n) for j in range(n) if (x := sum(part[j].get(t, 0) for t in set(words[i]))) > 0}
+
+
+def best_of(scores, k, digits):
+    order = sorted(scores, key=lambda x: (-round(x[1], digits), x[0] is None, x[0]))[:k]
+    return [(i, round(s, 6)) for i, s in order]
+
+
+def test_copies_in_hybrid_search_keep_their_own_nearness_and_freshness(spark, monkeypatch):
+    """Copies of a text differ by nearness (below zero too) and freshness, some by less than scores are rounded to."""
+    rows = copied_texts()
+    raw, rng = raw_scores(rows), np.random.default_rng(6)
+    asking = [i for i, (d, _) in enumerate(rows) if d not in (None, 500) and d % 2 == 0]
+    near = {(rows[i][0], int(d)): round(float(x), 3) for i in asking for d, x in zip(rng.permutation([d for d, _ in rows if d not in (None, 500)] + [900])[:7], rng.uniform(-0.5, 1, 7), strict=True)}
+    near |= {(9999, 3): 0.5, (rows[asking[0]][0], None): 0.4}
+    fresh = lambda d: 0.0 if d is None else (d % 11) / 11 + (d % 4) * 4e-6
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(rows[i][0], rows[i][1]) for i in asking], "query long, text string")
+    semantic = spark.createDataFrame([(q, d, x) for (q, d), x in near.items()], "query long, id long, similarity double")
+    id_ = F.col("id")
+    prior = id_ % 11 / 11 + (id_ % 4) * 4e-6
+    want = {}
+    for i in asking:
+        q = rows[i][0]
+        best = max((raw[i, j] for j in range(len(rows)) if (i, j) in raw), default=1)
+        scores = [(d, 0.3 * raw[i, j] / best + 0.1 * fresh(d) + 0.6 * (near.get((q, d), 0) if d is not None else 0)) for j, (d, _) in enumerate(rows) if (i, j) in raw]
+        scores += [(d, 0.6 * x + 0.1 * fresh(d)) for (a, d), x in near.items() if a == q and (d is None or not any((i, j) in raw for j in range(len(rows)) if rows[j][0] == d))]
+        want[q] = best_of(scores, 5, 6)
+    want[9999] = best_of([(3, 0.3 + 0.1 * fresh(3))], 5, 6)
+    for share in (0.1, 9.0):
+        monkeypatch.setattr(S, "COPIED", share)
+        got = {}
+        for r in sorted(S.hybrid_topk(semantic, docs, asked, prior, 5, "doc_id", "text").collect(), key=lambda r: (r["query"], r["rank"])):
+            got.setdefault(r["query"], []).append((r["id"], round(r["score"], 6)))
+        assert got.keys() == want.keys()
+        for q, x in want.items():
+            assert [i for i, _ in got[q]] == [i for i, _ in x] and np.allclose([s for _, s in got[q]], [s for _, s in x], atol=1.1e-6)
+
+
+def test_words_are_cut_as_spark_cuts_them(spark, monkeypatch):
+    monkeypatch.setattr(S, "CUT", 7)
+    texts = ["a  b\tc\n", "", " ", "x\x0by\x0cz\rw", "é\xa0é\x1cé\u2003é", "b a b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(r"filter(split(t, '\\s+'), x -> x <> '') AS w")
+    want, got = [r.w for r in df.collect()], [w.tolist() for w in S._words(S.pd.Series(texts))]
+    assert [len(w) for w in got] == [len(w) for w in want]
+    assert len({(h, x) for a, b in zip(got, want, strict=True) for h, x in zip(a, b, strict=True)}) == len({h for a in got for h in a}) == len({x for a in want for x in a})
+
+
 def test_ids_that_are_null_or_very_large_and_vectors_of_any_kind(spark):
     big = 2**60 + 1
     near = [(big, [1.0, 0.0]), (big + 1, [1.0, 0.0]), (None, [1.0, 0.0]), (None, [0.0, 1.0]), (7, [0.0, 0.0])]
