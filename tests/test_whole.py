@@ -122,6 +122,27 @@ def best_of(scores, k, digits):
     return [(i, round(s, 6)) for i, s in order]
 
 
+def test_copies_of_texts_and_queries_are_met_once(spark, monkeypatch):
+    rows = copied_texts()
+    raw, met, packed = raw_scores(rows), [], S._text_hits
+    asking = [i for i, (d, _) in enumerate(rows) if d not in (None, 500) and d % 2 == 0]
+
+    def counted(texts, asked, *a):
+        met.append((sum(len(x.ids) // 8 for x in texts.select("ids").collect()), asked.count()))
+        return packed(texts, asked, *a)
+
+    monkeypatch.setattr(S, "_text_hits", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(rows[i][0], rows[i][1]) for i in asking], "query long, text string")
+    got = {}
+    for r in sorted(S.bm25_topk(docs, asked, 6, "doc_id", "text").collect(), key=lambda r: (r["query"], r["rank"])):
+        got.setdefault(r["query"], []).append((r["id"], round(r["raw"], 6)))
+    want = {rows[i][0]: best_of([(rows[j][0], raw[i, j]) for j in range(len(rows)) if (i, j) in raw], 6, 9) for i in asking}
+    assert got == {q: x for q, x in want.items() if x}
+    texts = len({t.lower() for d, t in rows[:56]})
+    assert met == [(texts + 5, len({(rows[i][1] or "").lower() for i in asking} - {""}))]  # two without an id, two of one id and an empty one
+
+
 def test_copies_in_hybrid_search_keep_their_own_nearness_and_freshness(spark, monkeypatch):
     """Copies of a text differ by nearness (below zero too) and freshness, some by less than scores are rounded to."""
     rows = copied_texts()
