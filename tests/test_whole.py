@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from watchloom import queries as own
@@ -175,10 +176,14 @@ def test_copies_in_hybrid_search_keep_their_own_nearness_and_freshness(spark, mo
 
 
 def test_words_are_cut_as_spark_cuts_them(spark, monkeypatch):
+    """And some texts at a time."""
     monkeypatch.setattr(S, "CUT", 7)
     texts = ["a  b\tc\n", "", " ", "x\x0by\x0cz\rw", "é\xa0é\x1cé\u2003é", "b a b"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(r"filter(split(t, '\\s+'), x -> x <> '') AS w")
-    want, got = [r.w for r in df.collect()], [w.tolist() for w in S._words(S.pd.Series(texts))]
+    want, got = [r.w for r in df.collect()], [w.tolist() for w in S._words(pa.array(texts))]
+    slices, batch = [], pa.RecordBatch.from_pydict({"id": list(range(6)), "text": texts})
+    list(S._worded(lambda each: (slices.append(x) or x.drop(columns="w") for x in each))(iter([batch, batch.slice(0, 0)])))
+    assert [w.tolist() for x in slices for w in x["w"]] == got and [i for x in slices for i in x["id"]] == list(range(6)) and max(map(len, slices)) < 4
     assert [len(w) for w in got] == [len(w) for w in want]
     assert len({(h, x) for a, b in zip(got, want, strict=True) for h, x in zip(a, b, strict=True)}) == len({h for a in got for h in a}) == len({x for a in want for x in a})
 
